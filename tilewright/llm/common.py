@@ -102,3 +102,14 @@ def word_table(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
 
 def crc(doc_id: int | None) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode())
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The same rows with their lineage cut, in the folder of spark.checkpoint.dir; only where that is unset, in one of our own."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        import tempfile
+
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tilewright-"))
+    return df.checkpoint()
