@@ -7,8 +7,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 #: The word classes of the query contracts.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -30,27 +33,35 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def map_rows(df: DataFrame, fn: Callable[[list], Iterator[tuple]], schema: str, columns: list[str], rows: int = 512) -> DataFrame:
-    """mapInArrow over slices of `rows` rows: `fn` gets a list per column and returns a list per output column.
+def slices(batch: pa.RecordBatch, rows: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of at most `rows` rows, and of at most `size` bytes of its last column unless one row has more."""
+    n = batch.num_rows
+    last = batch.column(batch.num_columns - 1) if batch.num_columns else None
+    if last is not None and (pa.types.is_string(last.type) or pa.types.is_binary(last.type) or pa.types.is_large_string(last.type) or pa.types.is_large_binary(last.type)):
+        total = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(last), 0), np.int64))
+    else:
+        total = np.zeros(n, np.int64)
+    at = 0
+    while at < n:
+        end = int(np.searchsorted(total, (total[at - 1] if at else 0) + size, side="right"))
+        end = min(max(end, at + 1), at + rows, n)
+        yield batch.slice(at, end - at)
+        at = end
 
-    Slices bound the memory of a Python worker however large Arrow's own batches are.
-    """
-    names = [f.split(" ")[0] for f in schema.split(", ")]
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
 
-    arrow = None
+def map_rows(df: DataFrame, fn: Callable, schema: str, columns: list[str], rows: int = 512, size: int = 1 << 20) -> DataFrame:
+    """mapInArrow over small slices: `fn` gets a list per input column and returns a list per output column.
+
+    Slices bound the memory of a Python worker by rows and by bytes of the last column, however large Arrow's own batches are.
+    """
+    arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
+            for part in slices(batch, rows, size):
                 out = fn(*[part.column(c).to_pylist() for c in range(part.num_columns)])
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, arrow.types, strict=True)], names=arrow.names)
 
-    spark_type = _parse_datatype_string(schema)
-    arrow = to_arrow_schema(spark_type)
-    types = list(arrow.types)
     return df.select(*columns).mapInArrow(run, schema)
 
 
@@ -87,13 +98,15 @@ def word_table(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     if len(begin) == 0:
         return data, begin, end, np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
     length = end - begin
-    inside = np.repeat(np.cumsum(length) - length, length)
-    step = np.arange(len(inside)) - inside
-    at = np.repeat(begin, length) + step
-    value = _BYTE_HASH[data[at]] * _POWERS[step & 4095]
-    if length.max() > 4096:  # very long words: mix in how often the powers came round
-        value ^= (step >> 12).astype(np.uint64)
-    h = np.add.reduceat(value, np.cumsum(length) - length) ^ length.astype(np.uint64)
+    h = np.empty(len(begin), np.uint64)
+    for at in range(0, len(begin), 1 << 15):  # in blocks, so that one very long text needs little more memory than itself
+        size = length[at : at + (1 << 15)]
+        first = np.cumsum(size) - size
+        step = np.arange(int(size.sum())) - np.repeat(first, size)
+        value = _BYTE_HASH[data[np.repeat(begin[at : at + (1 << 15)], size) + step]] * _POWERS[step & 4095]
+        if len(size) and size.max() > 4096:  # very long words: mix in how often the powers came round
+            value ^= (step >> 12).astype(np.uint64)
+        h[at : at + (1 << 15)] = np.add.reduceat(value, first) ^ size.astype(np.uint64)
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)

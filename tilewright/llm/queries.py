@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, mixing, quality, secrets, simhash
+from . import decontaminate, media, mixing, quality, secrets, simhash
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score_quality(docs, quality.fit_quality(docs, table(spark, sf_dir, "labels")))
@@ -31,8 +35,9 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_media_columns, op4_secret_scan, op8_quality_classifier, op9_simhash, op10_mix_sources)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_media_columns, op4_secret_scan, op5_decontaminate, op8_quality_classifier, op9_simhash, op10_mix_sources)}
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_decontaminate": decontaminate.SQL,
     "op10_mix_sources": mixing.MIX_SQL.format(docs="documents") + mixing.MIX_SELECT,
 }
