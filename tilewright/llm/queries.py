@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, media, mixing, pii, quality, secrets, simhash
+from . import decontaminate, licenses, media, mixing, pii, quality, secrets, simhash
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(table(spark, sf_dir, "documents")).drop("text_key")
 
@@ -39,7 +43,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_media_columns, op4_secret_scan, op5_decontaminate, op7_personal_data, op8_quality_classifier, op9_simhash, op10_mix_sources)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_media_columns, op4_secret_scan, op5_decontaminate, op6_license_scan, op7_personal_data, op8_quality_classifier, op9_simhash, op10_mix_sources)}
 
 ORACLE_SQL: dict[str, str] = {
     "op5_decontaminate": decontaminate.SQL,
