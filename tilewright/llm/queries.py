@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses, media, mixing, pii, quality, secrets, simhash
+from . import decontaminate, licenses, media, mixing, pii, quality, repeats, secrets, simhash
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_back(media.store_texts(table(spark, sf_dir, "documents")))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.removal_report(table(spark, sf_dir, "documents"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -43,7 +47,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_media_columns, op4_secret_scan, op5_decontaminate, op6_license_scan, op7_personal_data, op8_quality_classifier, op9_simhash, op10_mix_sources)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_media_columns, op3_suffix_dedup, op4_secret_scan, op5_decontaminate, op6_license_scan, op7_personal_data, op8_quality_classifier, op9_simhash, op10_mix_sources)}
 
 ORACLE_SQL: dict[str, str] = {
     "op5_decontaminate": decontaminate.SQL,
