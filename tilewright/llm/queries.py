@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses, media, mixing, pii, quality, repeats, secrets, simhash
+from . import decontaminate, licenses, media, mixing, pii, quality, repeats, secrets, simhash, toxicity
 from .common import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_back(media.store_texts(table(spark, sf_dir, "documents")))
 
@@ -47,7 +52,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_media_columns, op3_suffix_dedup, op4_secret_scan, op5_decontaminate, op6_license_scan, op7_personal_data, op8_quality_classifier, op9_simhash, op10_mix_sources)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_media_columns, op3_suffix_dedup, op4_secret_scan, op5_decontaminate, op6_license_scan, op7_personal_data, op8_quality_classifier, op9_simhash, op10_mix_sources)}
 
 ORACLE_SQL: dict[str, str] = {
     "op5_decontaminate": decontaminate.SQL,
