@@ -117,12 +117,19 @@ def crc(doc_id: int | None) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode())
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The same rows with their lineage cut, in the folder of spark.checkpoint.dir; only where that is unset, in one of our own."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; only where that is unset, one of our own."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         import tempfile
 
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tilewright-"))
+        found = found or tempfile.mkdtemp(prefix="tilewright-")
+        context.setCheckpointDir(found)
+    return found or context._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The same rows with their lineage cut, in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -208,7 +209,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
 
     Cutting is repeated until no window is left, as what stood around a span may form a new one. Clean rows stay as they are.
     """
-    import pandas as pd
 
     blocks = indexes(benchmark, window, block_words)
 

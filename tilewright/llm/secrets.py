@@ -11,7 +11,9 @@ import hashlib
 import math
 import re
 
+import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import documents, map_rows, spans_text
 
@@ -127,8 +129,6 @@ def redact(text: str, mark: str = "[REDACTED]") -> str:
 
 def redact_secrets(docs: DataFrame) -> DataFrame:
     """The same columns and rows, each secret in `text` replaced by a mark; null texts stay null."""
-    from pyspark.sql import functions as F
-    import pandas as pd
 
     @F.pandas_udf("string")
     def clean(texts: pd.Series) -> pd.Series:

@@ -17,7 +17,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, documents, map_rows
@@ -79,27 +79,43 @@ def forest(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
     return edges
 
 
-def _links(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
-    """Rows (mask, part, fp) sorted by (mask, part): links within each run of equal (mask, part)."""
-    rest = np.zeros((3, 0), np.int64)
+def nearest_forest(fps: np.ndarray, distance: int, most: int = 4096) -> list[tuple[int, int]]:
+    """A spanning forest of shortest links (Prim's), so that what is linked closely is verified first; beyond `most`, any forest."""
+    if len(fps) > most:
+        return forest(fps, distance)
+    best, parent = np.full(len(fps), 65, np.int64), np.zeros(len(fps), np.int64)
+    open_, edges, at = np.ones(len(fps), bool), [], 0
+    for _ in range(len(fps) - 1):
+        open_[at] = False
+        d = np.bitwise_count(fps ^ fps[at])
+        closer = open_ & (d < best)
+        best[closer], parent[closer] = d[closer], at
+        at = int(np.where(open_, best, 99).argmin())
+        if best[at] <= distance:
+            edges.append((int(parent[at]), at))
+    return edges
+
+
+def _links(batches: Iterator[pa.RecordBatch], distance: int, grow) -> Iterator[pa.RecordBatch]:
+    """Rows (mask, part, fp, node) sorted by (mask, part): links between nodes within each run of equal (mask, part)."""
+    rest = np.zeros((4, 0), np.int64)
 
     def close(rows: np.ndarray) -> pa.RecordBatch:
         cut = np.flatnonzero((np.diff(rows[0]) != 0) | (np.diff(rows[1]) != 0)) + 1
         begin, end = np.concatenate([[0], cut]), np.concatenate([cut, [rows.shape[1]]])
-        fps = rows[2].view(np.uint64)
+        fps, node = rows[2].view(np.uint64), rows[3]
         two = begin[end - begin == 2]
-        diff = fps[two] ^ fps[two + 1]
-        two = two[(np.bitwise_count(diff) <= distance) & (diff != 0)]
-        a, b = [rows[2][two]], [rows[2][two + 1]]
+        two = two[np.bitwise_count(fps[two] ^ fps[two + 1]) <= distance]
+        a, b = [node[two]], [node[two + 1]]
         for s, e in zip(begin[end - begin > 2].tolist(), end[end - begin > 2].tolist(), strict=True):
-            if e - s > 2 and (pairs := np.array(forest(fps[s:e], distance), np.int64).reshape(-1, 2)).size:
-                a.append(rows[2][s + pairs[:, 0]])
-                b.append(rows[2][s + pairs[:, 1]])
+            if (pairs := np.array(grow(fps[s:e], distance), np.int64).reshape(-1, 2)).size:
+                a.append(node[s + pairs[:, 0]])
+                b.append(node[s + pairs[:, 1]])
         a, b = np.concatenate(a), np.concatenate(b)
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     for batch in batches:
-        rows = np.concatenate([rest, np.stack([np.asarray(batch.column(c)) for c in range(3)])], axis=1)
+        rows = np.concatenate([rest, np.stack([np.asarray(batch.column(c)) for c in (0, 1, 2, batch.num_columns - 1)])], axis=1)
         if rows.shape[1] == 0:
             continue
         same = (rows[0] == rows[0, -1]) & (rows[1] == rows[1, -1])
@@ -118,7 +134,7 @@ def near_links(fps: DataFrame, distance: int = 4) -> DataFrame:
     mask = F.explode(F.array(*map(F.lit, masks(distance)))).alias("mask")
     postings = fps.select("fp").distinct().select(mask, "fp").select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("part"), "fp")
     dealt = postings.repartition("mask", "part").sortWithinPartitions("mask", "part")
-    return dealt.mapInArrow(lambda b: _links(b, distance), "a bigint, b bigint").distinct()
+    return dealt.mapInArrow(lambda b: _links(b, distance, forest), "a bigint, b bigint").distinct()
 
 
 def classes(links: DataFrame, most: int = 60) -> DataFrame:
@@ -150,3 +166,83 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4) -> Dat
     named = joined.groupBy("class").agg(F.min("own").alias("component_id"))
     by_fp = joined.select("fp", "class").join(named, "class").select("fp", "component_id")
     return fps.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+#: The similarity of the deduplicating operator: Jaccard of the sets of WIDTH-word shingles; its fingerprints and sketches.
+WIDTH, SIMILARITY, PRINTS, PRINT_SHINGLE, REACH, SKETCH = 5, 0.8, 2, 2, 12, 256
+
+
+def _shingles(text: str, width: int) -> np.ndarray:
+    """XXH64 of all word shingles, in order."""
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words])
+    starts = (ends - [len(w) + 1 for w in words]).tolist()
+    last = (ends[width - 1 :] - 1).tolist() or [len(joined)]
+    return np.fromiter((xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, last, strict=False)), np.uint64, len(last))
+
+
+def _prints(text: str) -> list[int]:
+    """PRINTS independent fingerprints of the text's PRINT_SHINGLE-word shingles, from one hash each."""
+    h = np.unique(_shingles(text, PRINT_SHINGLE))
+    out = []
+    for k in range(PRINTS):
+        g = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15 + 2 * k)
+        g ^= g >> np.uint64(29)
+        ones = np.zeros(64, np.int64)
+        for at in range(0, len(g), 1 << 16):
+            ones += np.unpackbits(g[at : at + (1 << 16)].view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
+        out.append(int.from_bytes(np.packbits(2 * ones > len(g)).tobytes(), "big", signed=True))
+    return out
+
+
+def similarity(a: np.ndarray, b: np.ndarray, size: int = SKETCH) -> float:
+    """Jaccard similarity from the `size` smallest hashes of each set (sorted): exact if the sets are no larger."""
+    union = np.union1d(a, b)[:size]
+    if len(union) == 0:
+        return 1.0
+    return float(np.isin(union, np.intersect1d(a, b, assume_unique=True)).mean())
+
+
+def similar_links(keyed: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """Links (a < b) between nodes of `keyed` (node, text) whose texts have a similarity of `least` or more.
+
+    Candidates agree in four positional bytes of a fingerprint of short shingles, which few edits change, and differ in REACH bits
+    at most; the shortest of them are verified on sketches of the sets of WIDTH-word shingles.
+    """
+    prints = map_rows(keyed, lambda nodes, texts: (nodes, [_prints(t) for t in texts]), "node bigint, fps array<bigint>", ["node", "text"])
+    prints = checkpointed(prints.dropDuplicates(["node"]))
+    combos = [F.struct(F.lit(k).alias("k"), F.lit(100 * k + n).cast("bigint").alias("slot"), F.lit(m).alias("mask")) for k in range(PRINTS) for n, m in enumerate(masks(4))]
+    spread = prints.select("node", "fps", F.explode(F.array(*combos)).alias("c")).select("c.slot", F.get("fps", F.col("c.k")).alias("fp"), "c.mask", "node")
+    postings = spread.select("slot", F.col("fp").bitwiseAND(F.col("mask")).alias("part"), "fp", "node")
+    found = postings.repartition("slot", "part").sortWithinPartitions("slot", "part").mapInArrow(lambda b: _links(b, REACH, nearest_forest), "a bigint, b bigint")
+    pairs = checkpointed(found.where("a <> b").distinct())
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sketched = map_rows(keyed.join(ends, "node", "left_semi"), lambda nodes, texts: (nodes, [np.unique(_shingles(t, WIDTH))[:SKETCH].tobytes() for t in texts]), "node bigint, sketch binary", ["node", "text"]).dropDuplicates(["node"])
+    sketched = checkpointed(sketched)
+    both = pairs.join(sketched.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a").join(sketched.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
+
+    def verify(a, b, sa, sb):
+        kept = [(x, y) for x, y, p, q in zip(a, b, sa, sb, strict=True) if similarity(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) >= least]
+        return [x for x, _ in kept], [y for _, y in kept]
+
+    return map_rows(both, verify, "a bigint, b bigint", ["a", "b", "sa", "sb"])
+
+
+def drop_near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """The rows of `docs` with one document of each class of near-duplicates: that of the smallest id, nulls last.
+
+    Equal texts are one class; so are texts linked by `similar_links`. Of rows that agree in id and text one stays. Null and empty
+    texts are one class.
+    """
+    ided = docs.select("*", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(2**63 - 1)).alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_node"))
+    nodes = ided.select(F.col("_node").alias("node"), F.coalesce("text", F.lit("")).alias("text"))
+    found = classes(similar_links(nodes, least))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(2**63 - 1)).alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_node"))
+    named = rows.groupBy("_node").agg(F.min("_id").alias("_id")).join(found, F.col("_node") == F.col("node"), "left")
+    stay = named.groupBy(F.coalesce("class", "_node").alias("class")).agg(F.min(F.struct("_id", "_node")).alias("stay")).select("stay.*")
+    turn = Window.partitionBy("_id", "_node").orderBy(F.lit(1))
+    kept = ided.join(stay, ["_id", "_node"], "left_semi").withColumn("_turn", F.row_number().over(turn)).where("_turn = 1")
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -15,6 +15,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -283,7 +284,6 @@ def score_toxicity(docs: DataFrame, network: Network, threshold: float = 0.5) ->
 
 def without_toxic(docs: DataFrame, network: Network, threshold: float = 0.5) -> DataFrame:
     """The rows of `docs` whose score stays under the threshold, with their columns."""
-    import pandas as pd
 
     shared = docs.sparkSession.sparkContext.broadcast(network)
 
