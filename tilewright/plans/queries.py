@@ -2,5 +2,250 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tilewright.functions import geometry, labels, paths, vectors
+from tilewright.functions.overlap import overlap_score, positive
+from tilewright.operators import dataset, embeddings, grid, masks, slides, tasks, tiling
+
+from . import fixtures as fx
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def register(fn):
+        QUERIES[name or fn.__name__] = fn
+        if sql:
+            ORACLE_SQL[name or fn.__name__] = sql if sql.lstrip().startswith("WITH") else f"WITH {fx.SQL} {sql}"
+        return fn
+
+    return register
+
+
+@query("SELECT path || '.mrxs' AS slide_path, type, mammaprint_index FROM mapping")
+def mapping_paths(spark, sf_dir):
+    return slides.slide_metadata(fx.mapping(spark, sf_dir))
+
+
+@query("SELECT path, regexp_replace(regexp_extract(path, '([^/]*)/*$', 1), '^(.+)\\.[^.]+$', '\\1') AS stem, regexp_replace(regexp_extract(path, '([^/]*)/*$', 1), '^(.+)\\.[^.]+$', '\\1') || '.tiff' AS mask_name, regexp_replace(regexp_replace(regexp_extract(path, '([^/]*)/*$', 1), '^(.+)\\.[^.]+$', '\\1'), '^(.+)\\.[^.]+$', '\\1') AS key FROM base")
+def path_stem_suffix(spark, sf_dir):
+    p = F.col("path")
+    return fx.base_slides(spark, sf_dir).select("path", paths.stem(p).alias("stem"), paths.with_suffix_name(p).alias("mask_name"), paths.embedding_key(p, "reference").alias("key"))
+
+
+_FILE = "replace(path[4:], '.mrxs', '.tiff')"
+
+
+@query(f"SELECT path, '/m/tissue/' || {_FILE} AS tissue, '/m/qc/Piqe_piqe_median_activity_mask_' || {_FILE} AS blur, '/m/qc/FoldingFunction_folding_test_' || {_FILE} AS folding, '/m/qc/ResidualArtifactsAndCoverage_coverage_mask_' || {_FILE} AS residual FROM base")
+def mask_paths(spark, sf_dir):
+    p = F.col("path")
+    return fx.base_slides(spark, sf_dir).select("path", paths.mask_path(p, "/m/tissue").alias("tissue"), *[paths.qc_mask_path(p, "/m/qc/", kind).alias(kind) for kind in paths.QC_PREFIXES])
+
+
+@query("SELECT path, '' AS tissue, '' AS blur FROM base")
+def mask_paths_disabled(spark, sf_dir):
+    return fx.base_slides(spark, sf_dir).select("path", paths.mask_path(F.col("path"), None).alias("tissue"), paths.qc_mask_path(F.col("path"), None, "blur").alias("blur"))
+
+
+@query("SELECT path, type, mammaprint_index FROM base LEFT JOIN meta ON path = slide_path")
+def slide_metadata_left_join(spark, sf_dir):
+    meta = slides.slide_metadata(fx.mapping(spark, sf_dir).where("k % 3 <> 0"))
+    return slides.join_metadata(fx.base_slides(spark, sf_dir), meta).select("path", "type", "mammaprint_index")
+
+
+@query("SELECT b.path, m.type, m.mammaprint_index FROM base b LEFT JOIN (SELECT * FROM meta UNION ALL SELECT * FROM meta) m ON b.path = m.slide_path")
+def slide_metadata_join_duplicates(spark, sf_dir):
+    meta = slides.slide_metadata(fx.mapping(spark, sf_dir).where("k % 3 <> 0"))
+    return slides.join_metadata(fx.base_slides(spark, sf_dir), meta.union(meta)).select("path", "type", "mammaprint_index")
+
+
+@query("SELECT path, id FROM slides")
+def slide_row_hash(spark, sf_dir):
+    return fx.slides(spark, sf_dir).select("path", "id")
+
+
+def _levels(spark, sf_dir):
+    level = F.explode(F.sequence(F.lit(0), F.lit(3))).alias("level")
+    s = fx.base_slides(spark, sf_dir).select("path", "k", "extent_x", "extent_y", level)
+    mpp = (F.lit(0.25) + F.col("k") % 3 * 0.125) * F.pow(F.lit(2.0), F.col("level"))
+    return s.select("path", "level", mpp.alias("mpp_x"), mpp.alias("mpp_y"), *[F.floor(F.col(f"extent_{a}") / F.pow(F.lit(2.0), F.col("level"))).cast("int").alias(f"extent_{a}") for a in "xy"])
+
+
+@query("SELECT path, level, mpp_x, mpp_y, extent_x, extent_y FROM (SELECT path, l::INTEGER AS level, (0.25::DOUBLE + k % 3 * 0.125::DOUBLE) * 2.0::DOUBLE ** l AS mpp_x, (0.25::DOUBLE + k % 3 * 0.125::DOUBLE) * 2.0::DOUBLE ** l AS mpp_y, (extent_x // (2 ** l)::INTEGER)::INTEGER AS extent_x, (extent_y // (2 ** l)::INTEGER)::INTEGER AS extent_y FROM base, unnest(range(0, 4)) AS t(l)) QUALIFY row_number() OVER (PARTITION BY path ORDER BY abs(mpp_x - 0.97), level) = 1")
+def level_choice(spark, sf_dir):
+    return slides.choose_level(_levels(spark, sf_dir), 0.97)
+
+
+def _grid(last):
+    def run(spark, sf_dir):
+        return grid.grid_tiles(fx.base_slides(spark, sf_dir), last).select("path", "tile_x", "tile_y")
+
+    return run
+
+
+query("SELECT path, tile_x, tile_y FROM tiles", "grid_keep")(_grid("keep"))
+_COUNT = "(SELECT path, extent_x, extent_y, {x} AS nx, {y} AS ny FROM base) c, unnest(range(0, nx)) AS a(ix), unnest(range(0, ny)) AS b(iy)"
+query("SELECT path, (ix * 32)::INTEGER AS tile_x, (iy * 32)::INTEGER AS tile_y FROM " + _COUNT.format(x="greatest(0, floor((extent_x - 64) / 32)::INTEGER + 1)", y="greatest(0, floor((extent_y - 64) / 32)::INTEGER + 1)"), "grid_drop")(_grid("drop"))
+query("SELECT path, greatest(0, least(ix * 32, extent_x - 64))::INTEGER AS tile_x, greatest(0, least(iy * 32, extent_y - 64))::INTEGER AS tile_y FROM " + _COUNT.format(x="greatest(1, ceil((extent_x - 64) / 32)::INTEGER + 1)", y="greatest(1, ceil((extent_y - 64) / 32)::INTEGER + 1)"), "grid_shift")(_grid("shift"))
+
+
+@query("SELECT path, tile_x, tile_y FROM tiles WHERE extent_x <= 64 OR extent_y <= 64")
+def grid_small_slide(spark, sf_dir):
+    return grid.grid_tiles(fx.base_slides(spark, sf_dir).where("extent_x <= 64 OR extent_y <= 64")).select("path", "tile_x", "tile_y")
+
+
+@query("SELECT t AS tile, (t // 4)::INTEGER AS x0, (t // 4 + t // 2)::INTEGER AS x1 FROM (VALUES (64), (224), (225), (226), (512)) AS v(t)")
+def roi_bounds(spark, sf_dir):
+    rows = [(t, geometry.center_roi(t).x0, geometry.center_roi(t).x1) for t in (64, 224, 225, 226, 512)]
+    return spark.createDataFrame(rows, "tile int, x0 int, x1 int")
+
+
+def _tiles(spark, sf_dir):
+    return tiling.expand(fx.slides(spark, sf_dir), fx.ROOTS)
+
+
+def _overlap(column, path_column, region, value):
+    def run(spark, sf_dir):
+        roi = geometry.center_roi(fx.TILE) if region == "center" else geometry.full_roi(fx.TILE)
+        return masks.add_tile_overlap(_tiles(spark, sf_dir), fx.masks(spark, sf_dir), roi, path_column, column, value).select("slide_id", "tile_x", "tile_y", column)
+
+    return run
+
+
+for _spec in tiling.OVERLAPS:
+    _name = f"overlap_{'center' if _spec[2] == 'center' else 'full'}_{_spec[0].removesuffix('_overlap')}"
+    query(f"SELECT id AS slide_id, tile_x, tile_y, {_spec[0]} FROM tiles JOIN scores USING (k, tile_x, tile_y)", _name)(_overlap(*_spec))
+
+_EDGES = [(1, None), (2, {}), (3, {"0": None}), (4, {"0": 0.0}), (5, {"0": 0.25}), (6, {"0": 1.0}), (7, {"255": 1.0}), (8, {"0": float("nan")})]
+
+
+@query("SELECT * FROM (VALUES (1, 0.0::DOUBLE, 0.0::DOUBLE, false), (2, 0.0, 1.0, false), (3, 0.0, 1.0, false), (4, 0.0, 1.0, false), (5, 0.75, 0.75, true), (6, 0.0, 0.0, false), (7, 0.0, 1.0, false), (8, 'nan'::DOUBLE, 'nan'::DOUBLE, false)) AS t(n, reference, documented, kept)")
+def overlap_edge_cases(spark, sf_dir):
+    df = spark.createDataFrame(_EDGES, "n int, m map<string,double>")
+    ours = overlap_score(F.col("m"), "0")
+    return df.select("n", ours.alias("reference"), overlap_score(F.col("m"), "0", "documented").alias("documented"), positive(ours).alias("kept"))
+
+
+@query("SELECT id AS slide_id, tile_x, tile_y, tissue_overlap FROM tiles JOIN scores USING (k, tile_x, tile_y) WHERE tissue_overlap > 0")
+def tissue_filter(spark, sf_dir):
+    return _overlap(*tiling.OVERLAPS[0])(spark, sf_dir).where(positive(F.col("tissue_overlap")))
+
+
+@query("SELECT tile_x, tile_y, id AS slide_id, type, mammaprint_index, tissue_overlap, blur_overlap, folding_overlap, residual_overlap, epithelium_overlap FROM tiles JOIN scores USING (k, tile_x, tile_y) WHERE tissue_overlap > 0")
+def tiling_pipeline(spark, sf_dir):
+    return tiling.tile_slides(fx.slides(spark, sf_dir), fx.masks(spark, sf_dir), fx.TILE, fx.ROOTS)
+
+
+@query("SELECT (SELECT count(*) FROM slides)::BIGINT AS n_slides, (SELECT count(*) FROM tiles JOIN scores USING (k, tile_x, tile_y) WHERE tissue_overlap > 0)::BIGINT AS n_tiles FROM (SELECT 1)")
+def tiling_counts(spark, sf_dir):
+    tiles = tiling_pipeline(spark, sf_dir).agg(F.count("*").alias("n_tiles"))
+    return fx.slides(spark, sf_dir).agg(F.count("*").alias("n_slides")).crossJoin(tiles)
+
+
+@query("SELECT path, (type = 'a luminal')::BIGINT AS label, regexp_replace(path, '^.*/(.+)\\.[^.]+$', '\\1') AS name FROM mapping")
+def label_type(spark, sf_dir):
+    return labels.process_slides(fx.mapping(spark, sf_dir), "type").select("path", labels.label_value("type").alias("label"), "name")
+
+
+@query("SELECT path, mammaprint_index AS index FROM mapping")
+def label_index_f64(spark, sf_dir):
+    return labels.process_slides(fx.mapping(spark, sf_dir), "index", "mammaprint_index").select("path", "index")
+
+
+@query("SELECT path, mammaprint_index::FLOAT AS label FROM mapping")
+def label_index_f32(spark, sf_dir):
+    return labels.process_slides(fx.mapping(spark, sf_dir), "index", "mammaprint_index").select("path", labels.label_value("index").alias("label"))
+
+
+@query("SELECT id AS slide_id, tile_x AS x, tile_y AS y FROM tiles")
+def rename_xy(spark, sf_dir):
+    return dataset.rename_coordinates(_tiles(spark, sf_dir).select("slide_id", "tile_x", "tile_y"))
+
+
+@query("SELECT replace(path[4:], '.mrxs', '') AS slide_name, id AS slide_id, tile_x AS x, tile_y AS y FROM tiles")
+def tile_samples(spark, sf_dir):
+    return dataset.tile_samples(dataset.link_tiles(fx.slides(spark, sf_dir), _tiles(spark, sf_dir).select("slide_id", "tile_x", "tile_y")))
+
+
+@query("SELECT path, count(*)::BIGINT AS n_tiles FROM tiles GROUP BY path")
+def tiles_by_slide(spark, sf_dir):
+    linked = dataset.link_tiles(fx.slides(spark, sf_dir), _tiles(spark, sf_dir).select("slide_id", "tile_x", "tile_y"))
+    return linked.groupBy("path").agg(F.count("*").alias("n_tiles"))
+
+
+@query("SELECT path, id FROM slides WHERE k % 20 = 0 UNION ALL SELECT path, id FROM slides WHERE k % 20 <> 0")
+def multi_source_union(spark, sf_dir):
+    s = fx.slides(spark, sf_dir)
+    return s.where("k % 20 = 0").select("path", "id").unionByName(s.where("k % 20 <> 0").select("id", "path"))
+
+
+_EMBED = "SELECT vec_id, {x} FROM (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS e FROM embeddings)"
+
+
+@query(_EMBED.format(x="list_transform(e, lambda v, i: (v / 255.0::DOUBLE - [0.485::DOUBLE, 0.456::DOUBLE, 0.406::DOUBLE][(i - 1) % 3 + 1]) / [0.229::DOUBLE, 0.224::DOUBLE, 0.225::DOUBLE][(i - 1) % 3 + 1]) AS pixels"))
+def normalize_channels(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", vectors.normalize_channels(F.col("embedding")).alias("pixels"))
+
+
+@query(_EMBED.format(x="list_concat(e[1:8], list_transform(range(1, 9), lambda d: (0.0::DOUBLE + e[40 + d] + e[48 + d] + e[56 + d]) / 3)) AS pooled"))
+def cls_meanpool(spark, sf_dir):
+    tokens = vectors.in_tokens(F.slice("embedding", 1, 64), 8)
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", vectors.class_and_mean(tokens).alias("pooled"))
+
+
+@query("SELECT (vec_id % 7)::VARCHAR AS slide_name, (vec_id * 32)::INTEGER AS x, (label * 32)::INTEGER AS y, embedding FROM embeddings")
+def embedding_rows(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return e.select((F.col("vec_id") % 7).cast("string").alias("slide_name"), (F.col("vec_id") * 32).cast("int").alias("x"), (F.col("label") * 32).cast("int").alias("y"), F.col("embedding").cast("array<float>").alias("embedding"))
+
+
+def _pending(mode):
+    def run(spark, sf_dir):
+        s = fx.base_slides(spark, sf_dir)
+        done = s.where("k % 50 = 0").select(paths.embedding_key(F.col("path"), mode).alias("key"))
+        return embeddings.pending(s, done, mode).select("path", "key")
+
+    return run
+
+
+query("SELECT path, replace(path[4:], '.mrxs', '') AS key FROM base WHERE k % 50 <> 0", "embed_pending")(_pending("full"))
+query("SELECT path, split_part(path[4:], '.', 1) AS key FROM base WHERE split_part(path[4:], '.', 1) NOT IN (SELECT split_part(path[4:], '.', 1) FROM base WHERE k % 50 = 0)", "embed_pending_reference")(_pending("reference"))
+
+
+@query("SELECT path AS wsi_path, '/out' AS output_path, 3::BIGINT AS mask_level, 1::BIGINT AS sample_level, true AS check_residual FROM base")
+def qc_payload(spark, sf_dir):
+    body = tasks.qc_payload(F.col("path"), "/out", 3, 1)
+    read = F.from_json(body, "wsi_path string, output_path string, mask_level bigint, sample_level bigint, check_residual boolean")
+    return fx.base_slides(spark, sf_dir).select(read.alias("p")).select("p.*")
+
+
+@query("""
+WITH a AS (SELECT '/d/' || user_id AS wsi_path, event_id, CASE WHEN event_type = 'error' THEN 500 WHEN event_type = 'view' AND user_id % 5 = 0 THEN -1 ELSE 200 END AS status FROM events),
+n AS (SELECT *, row_number() OVER (PARTITION BY wsi_path ORDER BY event_id) AS n FROM a QUALIFY n <= 10),
+e AS (SELECT wsi_path, min(CASE WHEN status <> 500 THEN n END) AS stop, max(n) AS m FROM n GROUP BY wsi_path)
+SELECT e.wsi_path, coalesce(stop, m)::INTEGER AS attempts, n.status::INTEGER AS status, CASE WHEN stop IS NULL THEN CASE WHEN m >= 10 THEN 'exhausted' ELSE 'pending' END WHEN n.status = -1 THEN 'timeout' ELSE 'done' END AS outcome,
+(2 ** (coalesce(stop - 1, m) + 1) - 2)::BIGINT AS backoff_s FROM e JOIN n ON n.wsi_path = e.wsi_path AND n.n = coalesce(stop, m)""")
+def qc_retry_outcome(spark, sf_dir):
+    return tasks.retry_outcomes(fx.attempts(spark, sf_dir))
+
+
+@query()
+def bounded_map_outcomes(spark, sf_dir):
+    def call(item):
+        k = item["k"] // 10 % 4
+        if k == 3:
+            raise ValueError("no such slide")
+        return ((200, "ok"), (500, "Internal Server Error"), (404, "missing"))[k]
+
+    return tasks.call_all(fx.base_slides(spark, sf_dir).select(F.col("path").alias("wsi_path"), "k"), call, 4)
+
+
+@query()
+def encoder_stub(spark, sf_dir):
+    samples = embedding_rows(spark, sf_dir).withColumnRenamed("embedding", "pixels")
+    return embeddings.encode(samples, embeddings.projection_encoder())
