@@ -1,37 +1,58 @@
 """Overlap of tiles with mask rasters, as an equi-join on mask and line.
 
 A tile's region is exploded into the mask lines it meets and joined to them on (mask_path, y); only the needed part of a line is sliced.
-Pixels outside the mask are not counted; a region without any pixel has null fractions.
+Several mask kinds go through one join and one aggregation. Pixels outside the mask are not counted; a region without any
+pixel has null fractions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.functions.geometry import Box
 from tilewright.functions.overlap import overlap_score
 
 
-def overlap_fractions(tiles: DataFrame, masks: DataFrame, roi: Box, path_column: str) -> DataFrame:
-    """(mask_path, tile_x, tile_y, mpp_x, mpp_y, fractions) for each different region; fractions maps "0" and "255" to shares."""
-    key = ["mask_path", "tile_x", "tile_y", "mpp_x", "mpp_y"]
-    regions = tiles.where(F.col(path_column) != "").select(F.col(path_column).alias("mask_path"), *key[1:]).distinct()
-    sizes = masks.groupBy("mask_path").agg(F.first("mpp_x").alias("mask_mpp_x"), F.first("mpp_y").alias("mask_mpp_y"))
+class Overlap(NamedTuple):
+    """One score: its column, the column of mask paths, the region, and the undesired pixel value as text."""
+
+    column: str
+    path_column: str
+    roi: Box
+    value: str
+
+
+def _pixels(axis: str, edge: Column, up: bool) -> Column:
+    """A tile's edge in mask pixels, rounded outwards."""
+    scaled = (F.col(f"tile_{axis}") + edge) * F.col(f"mpp_{axis}") / F.col(f"mask_mpp_{axis}")
+    return (F.ceil(scaled) if up else F.floor(scaled)).cast("int")
+
+
+def overlap_fractions(tiles: DataFrame, masks: DataFrame, overlaps: list[Overlap]) -> DataFrame:
+    """For each different region: the tile's key columns and one map column `f<i>` per overlap, from "0" and "255" to shares."""
+    key = [*dict.fromkeys(o.path_column for o in overlaps), "tile_x", "tile_y", "mpp_x", "mpp_y"]
+    kinds = F.array(*[F.struct(F.lit(i).alias("kind"), F.col(o.path_column).alias("mask_path"), *[F.lit(v).alias(n) for n, v in o.roi._asdict().items()]) for i, o in enumerate(overlaps)])
+    regions = tiles.select(*key).distinct().select(*key, F.explode(kinds).alias("k")).select(*key, "k.*").where("mask_path <> ''")
+    sizes = masks.where("y = 0").select("mask_path", F.col("mpp_x").alias("mask_mpp_x"), F.col("mpp_y").alias("mask_mpp_y"))
     scaled = regions.join(sizes, "mask_path")
-    low = lambda axis, edge: F.floor((F.col(f"tile_{axis}") + edge) * F.col(f"mpp_{axis}") / F.col(f"mask_mpp_{axis}")).cast("int")
-    high = lambda axis, edge: F.ceil((F.col(f"tile_{axis}") + edge) * F.col(f"mpp_{axis}") / F.col(f"mask_mpp_{axis}")).cast("int")
-    lines = scaled.select(*key, low("x", roi.x0).alias("x0"), high("x", roi.x1).alias("x1"), F.explode(F.sequence(low("y", roi.y0), high("y", roi.y1) - 1)).alias("y"))
+    lines = scaled.select(*key, "kind", "mask_path", _pixels("x", F.col("x0"), False).alias("from"), _pixels("x", F.col("x1"), True).alias("to"), F.explode(F.sequence(_pixels("y", F.col("y0"), False), _pixels("y", F.col("y1"), True) - 1)).alias("y"))
     met = lines.join(masks.select("mask_path", "y", "row"), ["mask_path", "y"])
-    part = F.slice("row", F.greatest(F.lit(0), F.col("x0")) + 1, F.greatest(F.lit(0), F.col("x1") - F.greatest(F.lit(0), F.col("x0"))))
-    counted = met.select(*key, part.alias("part")).select(*key, F.size("part").alias("n"), F.size(F.filter("part", lambda v: v == 0)).alias("n0"), F.size(F.filter("part", lambda v: v == 255)).alias("n255"))
-    sums = counted.groupBy(*key).agg(*[F.sum(c).alias(c) for c in ("n", "n0", "n255")]).where("n > 0")
-    entries = F.array_compact(F.array(*[F.when(F.col(f"n{k}") > 0, F.struct(F.lit(str(k)).alias("key"), (F.col(f"n{k}") / F.col("n")).alias("value"))) for k in (0, 255)]))
-    return sums.select(*key, F.map_from_entries(entries).alias("fractions"))
-
-
-def add_tile_overlap(tiles: DataFrame, masks: DataFrame, roi: Box, path_column: str, overlap_column: str, value: str, mode: str = "reference") -> DataFrame:
-    """`tiles` with the score of one mask kind; disabled and missing masks score 0."""
-    found = overlap_fractions(tiles, masks, roi, path_column).withColumnRenamed("mask_path", path_column)
-    joined = tiles.join(found, [path_column, "tile_x", "tile_y", "mpp_x", "mpp_y"], "left")
-    return joined.select(*tiles.columns, overlap_score(F.col("fractions"), value, mode).alias(overlap_column))
+    begin = F.greatest(F.lit(0), F.col("from"))
+    part = F.slice("row", begin + 1, F.greatest(F.lit(0), F.col("to") - begin))
+    counted = met.select(*key, "kind", part.alias("part")).select(*key, "kind", F.size("part").alias("n"), F.size(F.filter("part", lambda v: v == 0)).alias("n0"), F.size(F.filter("part", lambda v: v == 255)).alias("n255"))
+    sums = [F.sum(F.when(F.col("kind") == i, F.col(c))).alias(f"{c}_{i}") for i in range(len(overlaps)) for c in ("n", "n0", "n255")]
+    share = lambda i, k: F.when(F.col(f"n{k}_{i}") > 0, F.struct(F.lit(str(k)).alias("key"), (F.col(f"n{k}_{i}") / F.col(f"n_{i}")).alias("value")))
+    maps = [F.when(F.col(f"n_{i}") > 0, F.map_from_entries(F.array_compact(F.array(share(i, 0), share(i, 255))))).alias(f"f{i}") for i in range(len(overlaps))]
+    return counted.groupBy(*key).agg(*sums).select(*key, *maps)
+
+
+def add_overlaps(tiles: DataFrame, masks: DataFrame, overlaps: list[Overlap], mode: str = "reference") -> DataFrame:
+    """`tiles` with the scores of several mask kinds; disabled and missing masks score 0."""
+    found = overlap_fractions(tiles, masks, overlaps)
+    key = [c for c in found.columns if c in tiles.columns]
+    same = [F.col(f"t.{c}").eqNullSafe(F.col(f"f.{c}")) for c in key]
+    joined = tiles.alias("t").join(found.alias("f"), same, "left")
+    return joined.select(*[F.col(f"t.{c}") for c in tiles.columns], *[overlap_score(F.col(f"f.f{i}"), o.value, mode).alias(o.column) for i, o in enumerate(overlaps)])

@@ -109,17 +109,17 @@ def _tiles(spark, sf_dir):
     return tiling.expand(fx.slides(spark, sf_dir), fx.ROOTS)
 
 
-def _overlap(column, path_column, region, value):
+def _overlap(which):
     def run(spark, sf_dir):
-        roi = geometry.center_roi(fx.TILE) if region == "center" else geometry.full_roi(fx.TILE)
-        return masks.add_tile_overlap(_tiles(spark, sf_dir), fx.masks(spark, sf_dir), roi, path_column, column, value).select("slide_id", "tile_x", "tile_y", column)
+        one = tiling.overlaps(fx.TILE)[which]
+        return masks.add_overlaps(_tiles(spark, sf_dir), fx.masks(spark, sf_dir), [one]).select("slide_id", "tile_x", "tile_y", one.column)
 
     return run
 
 
-for _spec in tiling.OVERLAPS:
-    _name = f"overlap_{'center' if _spec[2] == 'center' else 'full'}_{_spec[0].removesuffix('_overlap')}"
-    query(f"SELECT id AS slide_id, tile_x, tile_y, {_spec[0]} FROM tiles JOIN scores USING (k, tile_x, tile_y)", _name)(_overlap(*_spec))
+for _i, (_column, _, _center, _) in enumerate(tiling.OVERLAPS):
+    _name = f"overlap_{'center' if _center else 'full'}_{_column.removesuffix('_overlap')}"
+    query(f"SELECT id AS slide_id, tile_x, tile_y, {_column} FROM tiles JOIN scores USING (k, tile_x, tile_y)", _name)(_overlap(_i))
 
 _EDGES = [(1, None), (2, {}), (3, {"0": None}), (4, {"0": 0.0}), (5, {"0": 0.25}), (6, {"0": 1.0}), (7, {"255": 1.0}), (8, {"0": float("nan")})]
 
@@ -133,7 +133,7 @@ def overlap_edge_cases(spark, sf_dir):
 
 @query("SELECT id AS slide_id, tile_x, tile_y, tissue_overlap FROM tiles JOIN scores USING (k, tile_x, tile_y) WHERE tissue_overlap > 0")
 def tissue_filter(spark, sf_dir):
-    return _overlap(*tiling.OVERLAPS[0])(spark, sf_dir).where(positive(F.col("tissue_overlap")))
+    return _overlap(0)(spark, sf_dir).where(positive(F.col("tissue_overlap")))
 
 
 @query("SELECT tile_x, tile_y, id AS slide_id, type, mammaprint_index, tissue_overlap, blur_overlap, folding_overlap, residual_overlap, epithelium_overlap FROM tiles JOIN scores USING (k, tile_x, tile_y) WHERE tissue_overlap > 0")
