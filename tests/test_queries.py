@@ -1,0 +1,43 @@
+"""Each query of the slide engine against its SQL, on the smallest tables."""
+
+import os
+
+import duckdb
+import pytest
+
+from tilewright.plans.queries import ORACLE_SQL, QUERIES
+
+SF = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+
+
+def plain(v):
+    return tuple(map(plain, v)) if isinstance(v, list | tuple) else repr(v)
+
+
+@pytest.fixture(scope="module")
+def con():
+    c = duckdb.connect()
+    for name in ("part", "events", "embeddings", "orders"):
+        c.sql(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{SF}/{name}.parquet')")
+    return c
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_matches_sql(spark, con, name):
+    df = QUERIES[name](spark, SF)
+    cols = sorted(df.columns)
+    ours = sorted(tuple(plain(r[c]) for c in cols) for r in df.collect())
+    result = con.execute(ORACLE_SQL[name])
+    names = [d[0] for d in result.description]
+    assert sorted(names) == cols
+    theirs = sorted(tuple(plain(r[names.index(c)]) for c in cols) for r in result.fetchall())
+    assert ours == theirs
+
+
+def test_entry_imports_without_the_text_operators(monkeypatch):
+    import __spark_entry__ as entry
+
+    monkeypatch.setattr(entry, "HAS_LLM", False)
+    assert "tiling_pipeline" in entry.queries() and not any(n.startswith("op") and n[2].isdigit() for n in entry.queries())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
