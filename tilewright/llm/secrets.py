@@ -43,19 +43,19 @@ _BITS = [0.0] + [c / WINDOW * math.log2(c / WINDOW) for c in range(1, WINDOW + 1
 
 
 def window_entropies(text: str, size: int = WINDOW) -> list[float]:
-    """Shannon entropy in bits of each window of `size` characters, by adding one character and removing one."""
+    """Shannon entropy in bits of each window of `size` characters, by removing one character and adding one."""
     bits = _BITS if size == WINDOW else [0.0] + [c / size * math.log2(c / size) for c in range(1, size + 1)]
     counts: dict[str, int] = {}
     total, out = 0.0, []
     for i, ch in enumerate(text):
-        c = counts.get(ch, 0)
-        total += bits[c + 1] - bits[c]
-        counts[ch] = c + 1
         if i >= size:
             old = text[i - size]
             c = counts[old]
             total += bits[c - 1] - bits[c]
             counts[old] = c - 1
+        c = counts.get(ch, 0)
+        total += bits[c + 1] - bits[c]
+        counts[ch] = c + 1
         if i >= size - 1:
             out.append(-total)
     return out

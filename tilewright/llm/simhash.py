@@ -237,12 +237,11 @@ def drop_near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFram
     Equal texts are one class; so are texts linked by `similar_links`. Of rows that agree in id and text one stays. Null and empty
     texts are one class.
     """
-    ided = docs.select("*", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(2**63 - 1)).alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_node"))
-    nodes = ided.select(F.col("_node").alias("node"), F.coalesce("text", F.lit("")).alias("text"))
+    own = [F.coalesce(F.col("doc_id").cast("bigint"), F.lit(2**63 - 1)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("node")]
+    nodes = docs.select(own[1], F.coalesce("text", F.lit("")).alias("text"))
     found = classes(similar_links(nodes, least))
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(2**63 - 1)).alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_node"))
-    named = rows.groupBy("_node").agg(F.min("_id").alias("_id")).join(found, F.col("_node") == F.col("node"), "left")
-    stay = named.groupBy(F.coalesce("class", "_node").alias("class")).agg(F.min(F.struct("_id", "_node")).alias("stay")).select("stay.*")
-    turn = Window.partitionBy("_id", "_node").orderBy(F.lit(1))
-    kept = ided.join(stay, ["_id", "_node"], "left_semi").withColumn("_turn", F.row_number().over(turn)).where("_turn = 1")
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    named = docs.select(*own).groupBy("node").agg(F.min("id").alias("id")).join(found, "node", "left")
+    stay = named.groupBy(F.coalesce("class", "node").alias("class")).agg(F.min(F.struct("id", "node")).alias("stay")).select("stay.*")
+    kept = docs.select(F.struct("*").alias("row"), *own).join(stay, ["id", "node"], "left_semi")
+    turn = Window.partitionBy("id", "node").orderBy(F.lit(1))
+    return kept.withColumn("turn", F.row_number().over(turn)).where("turn = 1").select("row.*")

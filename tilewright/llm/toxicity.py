@@ -7,7 +7,7 @@ the largest, the mean of the three largest and the mean over all of its windows.
 Training runs on the driver in numpy over at most `max_rows` labelled documents of each class that are not held out and have at most
 `max_chars` characters (the smallest hashes of their ids); scoring reads whole texts of all documents.
 Defined results: empty and null texts, and texts without words, get the prior as their score; without rows of both classes every
-score is the prior; repeated ids keep all their rows.
+score is near the prior, which is 0 without any label, so that nothing is rejected unlearnt; repeated ids keep all their rows.
 """
 
 from __future__ import annotations
@@ -196,7 +196,8 @@ def evidence_tables(keys: np.ndarray, first: np.ndarray, y: np.ndarray, used: np
 
 def fit(texts: list[str], y: np.ndarray, prior: float | None = None, folds: int = 5, epochs: int = 5, rows: int = 128, rate: float = 0.01, seed: int = 7, most_windows: int = 24_000, least_steps: int = 600, most_epochs: int = 60) -> Network:
     """Adam on the log loss of windows under their document's label, then Newton's method for how windows make a document."""
-    prior = float(y.mean()) if prior is None and len(y) else prior or 0.5
+    if prior is None:
+        prior = float(y.mean()) if len(y) else 0.0
     network = Network(np.zeros((KEYS, SLOTS), np.float32), weights_at_first(seed), np.zeros(4), prior)
     if len(y) == 0 or y.min() == y.max():
         network.joined[3] = np.log(np.clip(prior, 1e-3, 1 - 1e-3) / (1 - np.clip(prior, 1e-3, 1 - 1e-3)))
@@ -300,4 +301,5 @@ def without_toxic(docs: DataFrame, network: Network, threshold: float = 0.5) ->
             at = end
         return pd.Series(np.concatenate(out) if out else np.zeros(0))
 
-    return docs.withColumn("_score", score.asNondeterministic()("text")).where(F.col("_score") < threshold).drop("_score")
+    scored = docs.select(F.struct("*").alias("row"), score.asNondeterministic()("text").alias("score"))
+    return scored.where(F.col("score") < threshold).select("row.*")
