@@ -77,3 +77,11 @@ def test_run_over_odd_rows(spark, odd, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert out.columns == ["doc_id", "source", "size", "source_size", "target", "start", "taken"]
     assert ids(out) == Counter([None, 1, 3, 5, 6, -8])
+
+
+def test_registered_queries():
+    import __spark_entry__ as entry
+
+    found = entry.queries()
+    assert entry.HAS_LLM and "pipeline" in found and set(entry.oracle_sql()) <= set(found)
+    assert sorted(int(n[2:].split("_")[0]) for n in found if n.startswith("op") and n[2].isdigit()) == list(range(1, 11))
