@@ -4,8 +4,8 @@ The automaton keeps, for each token of a document, the longest suffix that occur
 (10 words, or a whole shorter item) the window's words are hit. Tokens are looked up by hash for whole slices of documents at once, and
 only stretches whose word pairs all occur in some item, long enough for a window, are stepped through the automaton:
 no match can leave such a stretch.
-Test items are a stated query set: they are read in blocks of at most `block_words` words, each block's automaton is broadcast
-and passed over all documents, so no broadcast grows with the benchmark.
+Test items are a stated query set: they are read in blocks of about `block_words` words. A benchmark of one block is one pass; a larger
+one takes a pass over all documents per block, one automaton at a time, so what is broadcast doesn't grow with it.
 Defined results: null texts and items without words have no windows; repeated items are one; a null item id is listed as empty text;
 an empty benchmark leaves every document clean.
 """
@@ -13,13 +13,16 @@ an empty benchmark leaves every document clean.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, map_rows, word_table
+from .common import checkpointed, documents, map_rows, word_table
 
 WINDOW, BLOCK_WORDS = 10, 100_000
 
@@ -158,18 +161,19 @@ class Index:
         return out
 
 
-def indexes(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> list:
-    """One broadcast index per block of items; blocks are cut by running bytes, an item is never split."""
+def indexes(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> Iterator[Broadcast]:
+    """One broadcast index after the other per block of items; blocks are cut by running size, an item is never split."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("id"), F.coalesce("text", F.lit("")).alias("text")).distinct()
     context = benchmark.sparkSession.sparkContext
-    out, block, size = [], [], 0
+    block, size = [], 0
     for row in items.orderBy("id", "text").toLocalIterator():  # one partition of the query set at a time
         block.append((row.id, row.text))
         size += len(row.text) // 2 + 1  # at most as many words
         if size >= block_words:
-            out.append(context.broadcast(Index(block, window)))
+            yield context.broadcast(Index(block, window))
             block, size = [], 0
-    return out + ([context.broadcast(Index(block, window))] if block else [])
+    if block:
+        yield context.broadcast(Index(block, window))
 
 
 def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -192,28 +196,62 @@ def _scan_all(blocks: list, texts: list[str]) -> list[tuple[int, list[tuple[int,
     return out
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """One row per document: n_words, n_hit, n_items, items_sha256, contaminated."""
+def _in_blocks(benchmark: DataFrame, window: int, block_words: int) -> tuple[list[Broadcast], Iterator[Broadcast]]:
+    """The only index, or none if there are several: then they are to be taken one by one from the iterator."""
     blocks = indexes(benchmark, window, block_words)
+    first = list(islice(blocks, 2))
+    return (first, iter(())) if len(first) < 2 else ([], chain(first, blocks))
 
-    def read(ids, texts):
-        found = _scan_all(blocks, texts)
-        hit = [sum(b - a for a, b in spans) for _, spans, _, _ in found]
-        return ids, [n for n, *_ in found], hit, [len(x[3]) for x in found], [hashlib.sha256(",".join(x[3]).encode()).hexdigest() for x in found], [h > 0 for h in hit]
 
-    return map_rows(documents(docs), read, "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean", ["doc_id", "text"])
+HITS = "array<struct<a:bigint,b:bigint>>"
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = 0.5, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The columns of `docs`: spans of benchmark windows are cut out, and documents covered beyond `coverage` go.
+def _hits_by_block(docs: DataFrame, blocks: Iterator[Broadcast]) -> DataFrame:
+    """(doc_id, text_key, spans, items) of documents with hits: a pass over all documents per block, its rows written before the next."""
+    keyed = documents(docs).select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    found = None
+    for block in blocks:
 
-    Cutting is repeated until no window is left, as what stood around a span may form a new one. Clean rows stay as they are.
-    """
+        def read(ids, keys, texts, block=block):
+            rows = [(i, k, [{"a": x, "b": y} for x, y, _, _ in hits], sorted(names)) for i, k, (_, hits, names) in zip(ids, keys, block.value.scan(texts), strict=True) if hits]
+            return list(zip(*rows, strict=True)) if rows else [[]] * 4
 
-    blocks = indexes(benchmark, window, block_words)
+        part = checkpointed(map_rows(keyed, read, f"doc_id bigint, text_key bigint, spans {HITS}, items array<string>", ["doc_id", "text_key", "text"]))
+        block.unpersist()
+        found = part if found is None else found.union(part)
+    return found.groupBy("doc_id", "text_key").agg(F.flatten(F.collect_set("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
+
+
+REPORT = "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean"
+
+
+def _report(ids: list, found: list[tuple[int, list[tuple[int, int]], list[str]]]) -> tuple:
+    hit = [sum(b - a for a, b in spans) for _, spans, _ in found]
+    return ids, [n for n, _, _ in found], hit, [len(names) for *_, names in found], [hashlib.sha256(",".join(names).encode()).hexdigest() for *_, names in found], [h > 0 for h in hit]
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """One row per document: n_words, n_hit, n_items, items_sha256, contaminated."""
+    one, several = _in_blocks(benchmark, window, block_words)
+    first = next(several, None)
+    if first is None:
+        return map_rows(documents(docs), lambda ids, texts: _report(ids, [(n, spans, names) for n, spans, _, names in _scan_all(one, texts)]), REPORT, ["doc_id", "text"])
+    found = _hits_by_block(docs, chain([first], several)).alias("h")
+    keyed = documents(docs).select("doc_id", F.xxhash64("text").alias("text_key"), "text").alias("d")
+    rows = keyed.join(found, F.expr("d.doc_id <=> h.doc_id AND d.text_key = h.text_key"), "left").select("d.doc_id", "spans", "items", "text")
+
+    def read(ids, spans, items, texts):
+        counts = np.diff(word_table(texts)[4]).tolist()
+        return _report(ids, [(n, _union([(x["a"], x["b"]) for x in s or ()]), sorted(names or ())) for n, s, names in zip(counts, spans, items, strict=True)])
+
+    return map_rows(rows, read, REPORT, ["doc_id", "spans", "items", "text"])
+
+
+def _cut(docs: DataFrame, block: list[Broadcast], coverage: float) -> DataFrame:
+    """`docs` without the spans of one block, and without documents that it covers beyond `coverage`."""
 
     def clean_one(text: str) -> str | None:
-        words, spans, cuts, _ = _scan_all(blocks, [text])[0]
+        words, spans, cuts, _ = _scan_all(block, [text])[0]
         if words and sum(b - a for a, b in spans) > coverage * words:
             return None
         while cuts:
@@ -221,7 +259,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
             for a, b in reversed(cuts):
                 raw = raw[:a] + raw[b:]
             text = raw.decode("utf-8", "surrogatepass")
-            cuts = _scan_all(blocks, [text])[0][2]
+            cuts = _scan_all(block, [text])[0][2]
         return text
 
     @F.pandas_udf("struct<keep:boolean,text:string>")
@@ -229,7 +267,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
         out, rows = [], texts.tolist()
         for at in range(0, len(rows), 64):
             part = [t or "" for t in rows[at : at + 64]]
-            for t, own, (_, spans, _, _) in zip(part, rows[at : at + 64], _scan_all(blocks, part), strict=True):
+            for t, own, (_, spans, _, _) in zip(part, rows[at : at + 64], _scan_all(block, part), strict=True):
                 done = clean_one(t) if spans else own
                 out.append((not spans or done is not None, done))
         return pd.DataFrame(out, columns=["keep", "text"])
@@ -238,6 +276,35 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
     return cleaned.select(F.col("row").withField("text", F.col("cleaned.text")).alias("row")).select("row.*")
 
 
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = 0.5, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The columns of `docs`: spans of benchmark windows are cut out, and documents covered beyond `coverage` go.
+
+    Cutting is repeated until no window is left, as what stood around a span may form a new one. Clean rows stay as they are.
+    With several blocks, covered documents go first, and the blocks are cut in turn until none finds anything.
+    """
+    one, several = _in_blocks(benchmark, window, block_words)
+    first = next(several, None)
+    if first is None:
+        return _cut(docs, one, coverage)
+    first.unpersist()
+    key = [F.col("doc_id").cast("bigint").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key")]
+    rows = docs.select(F.struct("*").alias("row"), *key).alias("d")
+    covered = map_rows(
+        _hits_by_block(docs, indexes(benchmark, window, block_words)).join(documents(docs).select("doc_id", F.xxhash64("text").alias("text_key"), "text").dropDuplicates(["doc_id", "text_key"]).alias("t"), ["doc_id", "text_key"]),
+        lambda ids, keys, spans, texts: (ids, keys, [sum(b - a for a, b in _union([(x["a"], x["b"]) for x in s])) > coverage * n for s, n in zip(spans, np.diff(word_table(texts)[4]).tolist(), strict=True)]),
+        "doc_id bigint, text_key bigint, covered boolean", ["doc_id", "text_key", "spans", "text"],
+    ).where("covered")
+    docs = checkpointed(rows.join(covered.alias("c"), F.expr("d.id <=> c.doc_id AND d.text_key = c.text_key"), "left_anti").select("row.*"))
+    changed = True
+    while changed:
+        before = docs.agg(F.sum(F.length("text"))).first()[0]
+        for block in indexes(benchmark, window, block_words):
+            docs = checkpointed(_cut(docs, [block], 1.0))
+            block.unpersist()
+        changed = docs.agg(F.sum(F.length("text"))).first()[0] != before
+    return docs
+
+
 SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
