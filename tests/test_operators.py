@@ -2,7 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tilewright.functions.geometry import Box
-from tilewright.operators import dataset, embeddings, masks, slides, tasks, tiling
+from tilewright.functions.plugins import resolve
+from tilewright.operators import dataset, embeddings, masks, pixels, slides, tasks, tiling
 from tilewright.plans import jobs
 from tilewright.sources import readers, sinks
 
@@ -138,3 +139,18 @@ def test_segmentation_and_requests_jobs(spark, tmp_path):
     assert [r.outcome for r in jobs.quality_control_job(spark, str(tmp_path / "map.csv"), lambda item: (200, "ok")).collect()] == ["done"]
     got = jobs.epithelium_masks_job(spark, str(tmp_path / "map.csv"), "/t", "/o", lambda item: (200 if item["output_path"] == "/o/a.tiff" and item["tissue_mask_path"] == "/t/a.tiff" else 404, "ok"))
     assert [r.status for r in got.collect()] == [200]
+
+
+def test_tile_pixels_fill_beyond_the_edge(spark):
+    rasters = spark.createDataFrame([("p", 0, 0, [1, 2, 3]), ("p", 0, 1, [4, 5, 6]), ("p", 1, 0, [9])], "path string, level int, y int, row array<smallint>")
+    tiles = spark.createDataFrame([("p", 0, 0, 0, "a"), ("p", 0, 2, 1, "b"), ("p", 0, 7, 7, "c"), ("p", 0, 0, 0, "d")], "path string, level int, x int, y int, tag string")
+    got = {r.tag: r.pixels for r in pixels.tile_pixels(tiles, rasters, 2, fill=0).collect()}
+    assert got == {"a": [1, 2, 4, 5], "b": [6, 0, 0, 0], "c": [0, 0, 0, 0], "d": [1, 2, 4, 5]}
+
+
+def test_segments_and_plugins():
+    assert pixels.dark_tissue(100)(b"P5 2 1 255 " + bytes([10, 200])) == [[255, 0]]
+    assert resolve("tilewright.operators.pixels.dark_tissue") is pixels.dark_tissue
+    for bad, error in (("dark_tissue", ValueError), ("tilewright.operators.pixels.missing", AttributeError), ("tilewright.operators.tasks.MOST", TypeError)):
+        with pytest.raises(error):
+            resolve(bad)

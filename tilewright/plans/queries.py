@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tilewright.functions import geometry, labels, paths, vectors
 from tilewright.functions.overlap import overlap_score, positive
-from tilewright.operators import dataset, embeddings, grid, masks, slides, tasks, tiling
+from tilewright.operators import dataset, embeddings, grid, masks, pixels, slides, tasks, tiling
 
 from . import fixtures as fx
 
@@ -234,6 +234,17 @@ def qc_retry_outcome(spark, sf_dir):
     return tasks.retry_outcomes(fx.attempts(spark, sf_dir))
 
 
+@query("""SELECT slide_id, x, y, list_sum(pixels)::BIGINT AS total, pixels[1]::BIGINT AS first_pixel, pixels[28]::BIGINT AS middle_pixel FROM (
+SELECT id AS slide_id, tile_x // 32 AS x, tile_y // 32 AS y, list(CASE WHEN tile_y // 32 + dy > extent_y // 8 + 16 OR tile_x // 32 + dx > extent_x // 8 + 16 THEN 0 WHEN ((tile_x // 32 + dx) * 31 + (tile_y // 32 + dy) * 17 + k * 7) % 11 < k % 11 THEN 0 ELSE 255 END ORDER BY dy, dx) AS pixels
+FROM tiles, unnest(range(0, 8)) AS u(dx), unnest(range(0, 8)) AS v(dy) GROUP BY ALL)""")
+def tile_pixels(spark, sf_dir):
+    rasters = fx.masks(spark, sf_dir).where("mask_path LIKE '/m/tissue/%'").select(F.col("mask_path").alias("path"), F.lit(0).alias("level"), "y", "row")
+    tiles = _tiles(spark, sf_dir).select("slide_id", F.col("tissue_mask_path").alias("path"), F.lit(0).alias("level"), (F.col("tile_x") / 32).cast("int").alias("x"), (F.col("tile_y") / 32).cast("int").alias("y"))
+    found = pixels.tile_pixels(tiles, rasters, 8)
+    total = F.aggregate("pixels", F.lit(0).cast("bigint"), lambda a, v: a + v)
+    return found.select("slide_id", "x", "y", total.alias("total"), F.get("pixels", F.lit(0)).cast("bigint").alias("first_pixel"), F.get("pixels", F.lit(27)).cast("bigint").alias("middle_pixel"))
+
+
 @query()
 def bounded_map_outcomes(spark, sf_dir):
     def call(item):
