@@ -212,13 +212,14 @@ def test_contamination(spark, make, block):
     assert [got[i] for i in range(len(texts))] == naive_contamination(texts, items)
 
 
-def test_decontaminate_cuts_until_nothing_is_left(spark, make):
+@pytest.mark.parametrize("block", [100_000, 8])
+def test_decontaminate_cuts_until_nothing_is_left(spark, make, block):
     passage = " ".join(f"w{i}" for i in range(12))
     nested = " ".join(["w0 w1 w2 w3 w4", passage, "w5 w6 w7 w8 w9 w10 w11"])
     filler = " ".join(f"f{i}" for i in range(80))
     texts = ["clean words only", f"{filler} {passage} after", f"{filler} {nested}", passage, None]
-    bench = spark.createDataFrame([(1, passage)], "item_id bigint, text string")
-    out = {r.doc_id: r.text for r in decontaminate.decontaminate(make(texts), bench).collect()}
+    bench = spark.createDataFrame([(1, passage), (2, "q r s t u v w x y z q")], "item_id bigint, text string")
+    out = {r.doc_id: r.text for r in decontaminate.decontaminate(make(texts), bench, block_words=block).collect()}
     assert set(out) == {0, 1, 2, 4} and out[0] == texts[0] and out[4] is None
     assert words_of(out[1]) == words_of(filler + " after") and words_of(out[2]) == words_of(filler)
     empty = spark.createDataFrame([], "item_id bigint, text string")
@@ -334,11 +335,12 @@ def test_near_duplicates(make):
 
 
 def test_links_in_crowded_postings():
-    fps = np.unique(np.array([rng.getrandbits(12) | 0xABCD << 40 for _ in range(900)], np.uint64))
+    fps = np.unique(np.array([rng.getrandbits(20) | 0xABCD << 40 for _ in range(400)] + [0xABCD << 40 | 1 << k for k in range(60)], np.uint64))
+    turn = simhash.turns(4)
     for grow in (simhash.forest, simhash.nearest_forest):
-        edges = grow(fps, 2)
-        assert len(edges) < len(fps) and all(int(fps[a] ^ fps[b]).bit_count() <= 2 for a, b in edges)
-        want = naive_classes(list(range(len(fps))), lambda a, b: int(fps[a] ^ fps[b]).bit_count() <= 2)
+        edges = [e for slot in range(70) for e in grow(fps, 4, turn, slot)]
+        assert all(int(fps[a] ^ fps[b]).bit_count() <= 4 for a, b in edges)
+        want = naive_classes(list(range(len(fps))), lambda a, b: int(fps[a] ^ fps[b]).bit_count() <= 4)
         got = naive_classes(list(range(len(fps))), lambda a, b, e=set(map(tuple, map(sorted, edges))): (a, b) in e)
         assert got == want
 

@@ -2,8 +2,8 @@
 
 Two fingerprints of 8 bytes that differ in at most `distance` bits agree in at least 8 - distance bytes. Postings are keyed by
 that many positional bytes, so a pair meets in a posting only if its tally of shared positional bytes reaches the guaranteed
-minimum; what meets is tallied and verified bit by bit. Within a posting a breadth-first search leaves a spanning forest of the
-links in place of all pairs, which keeps every class whole. Classes follow from star contraction over distinct fingerprints.
+minimum; what meets is tallied and verified bit by bit. A pair that meets in several postings counts in the first alone, and within a
+posting a search leaves a spanning forest of its links in place of all pairs, which keeps every class whole. Classes follow from star contraction over distinct fingerprints.
 Defined results: null and empty texts have fingerprint 0 and are linked like any other; texts with fewer words than a shingle
 are one shingle; rows with a null id get the class of their fingerprint, and a class of null ids alone has a null class id;
 an empty table gives no rows.
@@ -51,64 +51,79 @@ def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = SEED) -> DataFra
     return map_rows(documents(docs), read, "doc_id bigint, fp bigint", ["doc_id", "text"])
 
 
-def masks(distance: int) -> list[int]:
-    """For each choice of the bytes that must agree, those bytes' bits, as signed 64-bit numbers."""
-    out = [sum(0xFF << 8 * p for p in at) for at in combinations(range(8), 8 - distance)]
+def masks(agree: int) -> list[int]:
+    """For each choice of `agree` byte positions, those bytes' bits, as signed 64-bit numbers."""
+    out = [sum(0xFF << 8 * p for p in at) for at in combinations(range(8), agree)]
     return [m - 2**64 if m >= 2**63 else m for m in out]
 
 
-def forest(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among distinct fingerprints: pairs of positions.
+def turns(agree: int) -> np.ndarray:
+    """For each set of agreeing byte positions (as bits), the number of the posting whose turn the pair is: the first of `agree` of them.
+
+    A pair with more agreeing bytes than that meets in several postings and counts in this one alone; -1 for too few.
+    """
+    number = {at: n for n, at in enumerate(combinations(range(8), agree))}
+    first = [tuple(p for p in range(8) if s >> p & 1)[:agree] for s in range(256)]
+    return np.array([number.get(at, -1) for at in first])
+
+
+def _bits(diff: np.ndarray, turn: np.ndarray, slot: int) -> np.ndarray:
+    """Differing bits of pairs whose turn is `slot`, from their tally of agreeing positional bytes; 99 for other pairs."""
+    agreeing = np.packbits(diff.view(np.uint8).reshape(*diff.shape, 8) == 0, axis=-1, bitorder="little")[..., 0]
+    return np.where(turn[agreeing] == slot, np.bitwise_count(diff), 99)
+
+
+def forest(fps: np.ndarray, distance: int, turn: np.ndarray, slot: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links whose turn is `slot`: pairs of positions.
 
     Each step compares the newly reached with those not reached yet, so a clique of n costs n comparisons, not n squared.
     """
     left, edges = np.arange(len(fps)), []
-    least = 8 - distance
     while len(left) > 1:
         front, left = left[:1], left[1:]
         while len(front) and len(left):
             at, front = front[:64], front[64:]
-            diff = fps[at][:, None] ^ fps[left][None, :]
-            tally = (diff.view(np.uint8).reshape(*diff.shape, 8) == 0).sum(2) if diff.size <= 4096 else None
-            near = np.bitwise_count(diff) <= distance
-            if tally is not None:
-                near &= tally >= least
+            near = _bits(fps[at][:, None] ^ fps[left][None, :], turn, slot) <= distance
             hit = near.any(0)
             edges += zip(at[near.argmax(0)[hit]].tolist(), left[hit].tolist(), strict=True)
             front, left = np.concatenate([front, left[hit]]), left[~hit]
     return edges
 
 
-def nearest_forest(fps: np.ndarray, distance: int, most: int = 4096) -> list[tuple[int, int]]:
+def nearest_forest(fps: np.ndarray, distance: int, turn: np.ndarray, slot: int, most: int = 4096) -> list[tuple[int, int]]:
     """A spanning forest of shortest links (Prim's), so that what is linked closely is verified first; beyond `most`, any forest."""
     if len(fps) > most:
-        return forest(fps, distance)
-    best, parent = np.full(len(fps), 65, np.int64), np.zeros(len(fps), np.int64)
+        return forest(fps, distance, turn, slot)
+    best, parent = np.full(len(fps), 99, np.int64), np.zeros(len(fps), np.int64)
     open_, edges, at = np.ones(len(fps), bool), [], 0
     for _ in range(len(fps) - 1):
         open_[at] = False
-        d = np.bitwise_count(fps ^ fps[at])
+        d = _bits(fps ^ fps[at], turn, slot)
         closer = open_ & (d < best)
         best[closer], parent[closer] = d[closer], at
-        at = int(np.where(open_, best, 99).argmin())
+        at = int(np.where(open_, best, 100).argmin())
         if best[at] <= distance:
             edges.append((int(parent[at]), at))
     return edges
 
 
-def _links(batches: Iterator[pa.RecordBatch], distance: int, grow) -> Iterator[pa.RecordBatch]:
-    """Rows (mask, part, fp, node) sorted by (mask, part): links between nodes within each run of equal (mask, part)."""
+def _links(batches: Iterator[pa.RecordBatch], distance: int, agree: int, grow) -> Iterator[pa.RecordBatch]:
+    """Rows (slot, part, fp, node) sorted by (slot, part): links between nodes within each run of equal (slot, part).
+
+    A spanning forest of each posting's own pairs keeps all classes whole, as every link is some posting's.
+    """
     rest = np.zeros((4, 0), np.int64)
+    turn = turns(agree)
 
     def close(rows: np.ndarray) -> pa.RecordBatch:
         cut = np.flatnonzero((np.diff(rows[0]) != 0) | (np.diff(rows[1]) != 0)) + 1
         begin, end = np.concatenate([[0], cut]), np.concatenate([cut, [rows.shape[1]]])
-        fps, node = rows[2].view(np.uint64), rows[3]
+        slot, fps, node = rows[0] % 100, rows[2].view(np.uint64), rows[3]
         two = begin[end - begin == 2]
-        two = two[np.bitwise_count(fps[two] ^ fps[two + 1]) <= distance]
+        two = two[_bits(fps[two] ^ fps[two + 1], turn, slot[two]) <= distance]
         a, b = [node[two]], [node[two + 1]]
         for s, e in zip(begin[end - begin > 2].tolist(), end[end - begin > 2].tolist(), strict=True):
-            if (pairs := np.array(grow(fps[s:e], distance), np.int64).reshape(-1, 2)).size:
+            if (pairs := np.array(grow(fps[s:e], distance, turn, int(slot[s])), np.int64).reshape(-1, 2)).size:
                 a.append(node[s + pairs[:, 0]])
                 b.append(node[s + pairs[:, 1]])
         a, b = np.concatenate(a), np.concatenate(b)
@@ -127,14 +142,20 @@ def _links(batches: Iterator[pa.RecordBatch], distance: int, grow) -> Iterator[p
         yield close(rest)
 
 
+def _slots(agree: int, prints: int = 1):
+    """(k, slot, mask) of each posting of each of `prints` fingerprints."""
+    return F.array(*[F.struct(F.lit(k).alias("k"), F.lit(100 * k + n).cast("bigint").alias("slot"), F.lit(m).alias("mask")) for k in range(prints) for n, m in enumerate(masks(agree))])
+
+
 def near_links(fps: DataFrame, distance: int = 4) -> DataFrame:
     """Distinct links (a < b) between the distinct fingerprints of `fps`: enough of them to join each class."""
     if not 0 < distance < 8:
         raise ValueError("the byte index serves distances from 1 to 7")
-    mask = F.explode(F.array(*map(F.lit, masks(distance)))).alias("mask")
-    postings = fps.select("fp").distinct().select(mask, "fp").select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("part"), "fp")
-    dealt = postings.repartition("mask", "part").sortWithinPartitions("mask", "part")
-    return dealt.mapInArrow(lambda b: _links(b, distance, forest), "a bigint, b bigint").distinct()
+    agree = 8 - distance
+    spread = fps.select("fp").distinct().select("fp", F.explode(_slots(agree)).alias("c"))
+    postings = spread.select("c.slot", F.col("fp").bitwiseAND(F.col("c.mask")).alias("part"), "fp")
+    dealt = postings.repartition("slot", "part").sortWithinPartitions("slot", "part")
+    return dealt.mapInArrow(lambda b: _links(b, distance, agree, forest), "a bigint, b bigint").distinct()
 
 
 def classes(links: DataFrame, most: int = 60) -> DataFrame:
@@ -169,7 +190,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4) -> Dat
 
 
 #: The similarity of the deduplicating operator: Jaccard of the sets of WIDTH-word shingles; its fingerprints and sketches.
-WIDTH, SIMILARITY, PRINTS, PRINT_SHINGLE, REACH, SKETCH = 5, 0.8, 2, 2, 12, 256
+WIDTH, SIMILARITY, PRINTS, PRINT_SHINGLE, AGREE, REACH, SKETCH = 5, 0.8, 3, 2, 4, 12, 256
 
 
 def _shingles(text: str, width: int) -> np.ndarray:
@@ -214,10 +235,9 @@ def similar_links(keyed: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """
     prints = map_rows(keyed, lambda nodes, texts: (nodes, [_prints(t) for t in texts]), "node bigint, fps array<bigint>", ["node", "text"])
     prints = checkpointed(prints.dropDuplicates(["node"]))
-    combos = [F.struct(F.lit(k).alias("k"), F.lit(100 * k + n).cast("bigint").alias("slot"), F.lit(m).alias("mask")) for k in range(PRINTS) for n, m in enumerate(masks(4))]
-    spread = prints.select("node", "fps", F.explode(F.array(*combos)).alias("c")).select("c.slot", F.get("fps", F.col("c.k")).alias("fp"), "c.mask", "node")
+    spread = prints.select("node", "fps", F.explode(_slots(AGREE, PRINTS)).alias("c")).select("c.slot", F.get("fps", F.col("c.k")).alias("fp"), "c.mask", "node")
     postings = spread.select("slot", F.col("fp").bitwiseAND(F.col("mask")).alias("part"), "fp", "node")
-    found = postings.repartition("slot", "part").sortWithinPartitions("slot", "part").mapInArrow(lambda b: _links(b, REACH, nearest_forest), "a bigint, b bigint")
+    found = postings.repartition("slot", "part").sortWithinPartitions("slot", "part").mapInArrow(lambda b: _links(b, REACH, AGREE, nearest_forest), "a bigint, b bigint")
     pairs = checkpointed(found.where("a <> b").distinct())
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sketched = map_rows(keyed.join(ends, "node", "left_semi"), lambda nodes, texts: (nodes, [np.unique(_shingles(t, WIDTH))[:SKETCH].tobytes() for t in texts]), "node bigint, sketch binary", ["node", "text"]).dropDuplicates(["node"])
