@@ -9,7 +9,6 @@ Defined results: a null text counts as empty and is scored; without any label of
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -47,14 +46,16 @@ def statistics(text: str) -> list[float]:
     words = raw.split()
     k = max(len(words), 1)
     lengths = np.fromiter(map(len, words), np.int32, len(words))
-    seen = Counter(words)
-    pairs = Counter(zip(words, words[1:], strict=False))
-    same = sum(a == b for a, b in zip(words, words[1:], strict=False))
+    number: dict[bytes, int] = {}
+    ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
+    most = int(np.bincount(ids).max()) if words else 0
+    most_pair = int(np.unique(ids[:-1] * len(number) + ids[1:], return_counts=True)[1].max()) if len(words) > 1 else 0
+    same = int((ids[:-1] == ids[1:]).sum())
     lines = [x for x in raw.split(b"\n") if x]
     p = counts[counts > 0] / n
     return [
         np.log1p(len(raw)), np.log1p(len(words)), float(lengths.mean()) if words else 0.0, float(lengths.std()) if words else 0.0,
-        len(seen) / k, max(seen.values(), default=0) / k, max(pairs.values(), default=0) / k, same / k,
+        len(number) / k, most / k, most_pair / k, same / k,
         letters, upper, digits, spaces, wide, marks, bars, stops, commas, breaks, quotes,
         np.log1p(len(lines)), np.log1p(len(raw) / max(len(lines), 1)), len(set(lines)) / max(len(lines), 1),
         sum(w.isupper() for w in words) / k, sum(not (w[-1:].isalnum() or w[-1] > 127) for w in words) / k,
