@@ -143,8 +143,9 @@ def tiling_pipeline(spark, sf_dir):
 
 @query("SELECT (SELECT count(*) FROM slides)::BIGINT AS n_slides, (SELECT count(*) FROM tiles JOIN scores USING (k, tile_x, tile_y) WHERE tissue_overlap > 0)::BIGINT AS n_tiles FROM (SELECT 1)")
 def tiling_counts(spark, sf_dir):
-    tiles = tiling_pipeline(spark, sf_dir).agg(F.count("*").alias("n_tiles"))
-    return fx.slides(spark, sf_dir).agg(F.count("*").alias("n_slides")).crossJoin(tiles)
+    ones = lambda df, s, t: df.select(F.lit(s).alias("s"), F.lit(t).alias("t"))
+    both = ones(fx.slides(spark, sf_dir), 1, 0).union(ones(tiling_pipeline(spark, sf_dir), 0, 1))
+    return both.agg(F.coalesce(F.sum("s"), F.lit(0)).alias("n_slides"), F.coalesce(F.sum("t"), F.lit(0)).alias("n_tiles"))
 
 
 @query("SELECT path, (type = 'a luminal')::BIGINT AS label, regexp_replace(path, '^.*/(.+)\\.[^.]+$', '\\1') AS name FROM mapping")
