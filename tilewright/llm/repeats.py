@@ -236,7 +236,9 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, sha
     places = pieces(keyed, wanted, length, gram, bits, False).select("c1", "c2", "k1", "k2", "first", "own")
     place: Column = F.xxhash64("k1", "k2", "first")
     whole = places.groupBy("c1", "c2").agg(F.min(place).alias("p"), F.max(place).alias("q"), F.first("own").alias("own")).where("p <> q").select("c1", "c2", F.lit(0).alias("a"), F.col("own").alias("b"))
-    runs = repeated_runs(distinct, length, gram, shard, crowd).union(whole).groupBy("c1", "c2").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
+    found = repeated_runs(distinct, length, gram, shard, crowd).union(whole).groupBy("c1", "c2").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
+    # Written, so that the join below is one of two plain exchanges and Spark can split a piece that very many texts hold.
+    runs = checkpointed(found)
     back = places.join(runs, ["c1", "c2"]).select("k1", "k2", F.transform("runs", lambda r: F.struct((F.col("first") + r["a"]).alias("a"), (F.col("first") + r["b"]).alias("b"))).alias("runs"))
     copies = keyed.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.max(F.octet_length("text")).alias("size")).where((F.col("n") > 1) & (F.col("size") >= length))
     copies = copies.select("k1", "k2", F.array(F.struct(F.lit(0).cast("bigint").alias("a"), (F.col("size") - length + 1).cast("bigint").alias("b"))).alias("runs"))

@@ -25,21 +25,31 @@ from .common import checkpointed, documents, map_rows
 SEED = 42
 
 
-def fingerprint(text: str, shingle: int = 4, seed: int = SEED) -> int:
-    """64 bits: each is 1 if set in over half of the XXH64 of the text's word shingles (A-Z lower-cased, repeats included)."""
+def shingle_hashes(text: str, width: int, seed: int = SEED, step: int = 1 << 16) -> Iterator[np.ndarray]:
+    """XXH64 of all word shingles in order (A-Z lower-cased, space-joined), `step` at a time; fewer words than `width` are one shingle."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words])
-    starts = (ends - [len(w) + 1 for w in words]).tolist()
-    last = (ends[shingle - 1 :] - 1).tolist() or [len(joined)]
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, last, strict=False)), np.uint64, len(last))
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(h), 1 << 16):
-        ones += np.unpackbits(h[at : at + (1 << 16)].astype(">u8").view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big")
+    for at in range(0, max(len(words) - width + 1, min(len(words), 1)), step):
+        part = words[at : at + step + width - 1]
+        joined = b" ".join(part)
+        ends = np.cumsum([len(w) + 1 for w in part])
+        starts = np.concatenate(([0], ends[:-1])).tolist()
+        last = (ends[width - 1 :] - 1).tolist() or [len(joined)]
+        yield np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, last, strict=False)), np.uint64, len(last))
+
+
+def majority(hashes: Iterator[np.ndarray]) -> int:
+    """64 bits: each is 1 if set in over half of the hashes; 0 without any."""
+    ones, n = np.zeros(64, np.int64), 0
+    for h in hashes:
+        ones += np.unpackbits(h.astype(">u8").view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
+        n += len(h)
+    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big") if n else 0
+
+
+def fingerprint(text: str, shingle: int = 4, seed: int = SEED) -> int:
+    """The majority bits of the text's shingles, repeats included."""
+    return majority(shingle_hashes(text, shingle, seed))
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = SEED) -> DataFrame:
@@ -194,28 +204,17 @@ WIDTH, SIMILARITY, PRINTS, PRINT_SHINGLE, AGREE, REACH, SKETCH = 5, 0.8, 3, 2, 4
 
 
 def _shingles(text: str, width: int) -> np.ndarray:
-    """XXH64 of all word shingles, in order."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words])
-    starts = (ends - [len(w) + 1 for w in words]).tolist()
-    last = (ends[width - 1 :] - 1).tolist() or [len(joined)]
-    return np.fromiter((xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, last, strict=False)), np.uint64, len(last))
+    """Distinct hashes of all word shingles, sorted."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, width)]))
 
 
 def _prints(text: str) -> list[int]:
-    """PRINTS independent fingerprints of the text's PRINT_SHINGLE-word shingles, from one hash each."""
-    h = np.unique(_shingles(text, PRINT_SHINGLE))
-    out = []
+    """PRINTS independent fingerprints of the text's distinct PRINT_SHINGLE-word shingles, from one hash each."""
+    h, out = _shingles(text, PRINT_SHINGLE), []
     for k in range(PRINTS):
         g = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15 + 2 * k)
         g ^= g >> np.uint64(29)
-        ones = np.zeros(64, np.int64)
-        for at in range(0, len(g), 1 << 16):
-            ones += np.unpackbits(g[at : at + (1 << 16)].view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
-        out.append(int.from_bytes(np.packbits(2 * ones > len(g)).tobytes(), "big", signed=True))
+        out.append(majority(g[at : at + (1 << 16)] for at in range(0, len(g), 1 << 16)))
     return out
 
 
@@ -233,15 +232,16 @@ def similar_links(keyed: DataFrame, least: float = SIMILARITY) -> DataFrame:
     Candidates agree in four positional bytes of a fingerprint of short shingles, which few edits change, and differ in REACH bits
     at most; the shortest of them are verified on sketches of the sets of WIDTH-word shingles.
     """
-    prints = map_rows(keyed, lambda nodes, texts: (nodes, [_prints(t) for t in texts]), "node bigint, fps array<bigint>", ["node", "text"])
+    prints = map_rows(keyed, lambda nodes, texts: (nodes, [np.array(_prints(t), np.uint64).view(np.int64).tolist() for t in texts]), "node bigint, fps array<bigint>", ["node", "text"])
     prints = checkpointed(prints.dropDuplicates(["node"]))
     spread = prints.select("node", "fps", F.explode(_slots(AGREE, PRINTS)).alias("c")).select("c.slot", F.get("fps", F.col("c.k")).alias("fp"), "c.mask", "node")
     postings = spread.select("slot", F.col("fp").bitwiseAND(F.col("mask")).alias("part"), "fp", "node")
     found = postings.repartition("slot", "part").sortWithinPartitions("slot", "part").mapInArrow(lambda b: _links(b, REACH, AGREE, nearest_forest), "a bigint, b bigint")
     pairs = checkpointed(found.where("a <> b").distinct())
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sketched = map_rows(keyed.join(ends, "node", "left_semi"), lambda nodes, texts: (nodes, [np.unique(_shingles(t, WIDTH))[:SKETCH].tobytes() for t in texts]), "node bigint, sketch binary", ["node", "text"]).dropDuplicates(["node"])
-    sketched = checkpointed(sketched)
+    # Copies of a text are put together before they move: the join then meets each text once.
+    wanted = keyed.dropDuplicates(["node"]).join(ends, "node", "left_semi")
+    sketched = checkpointed(map_rows(wanted, lambda nodes, texts: (nodes, [_shingles(t, WIDTH)[:SKETCH].tobytes() for t in texts]), "node bigint, sketch binary", ["node", "text"]))
     both = pairs.join(sketched.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a").join(sketched.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
 
     def verify(a, b, sa, sb):
