@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
@@ -245,6 +246,12 @@ def test_licenses(make):
         assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1
     assert got[0].labels == "apache" and got[0].score == 1.0 and got[6].labels == "mit" and got[6].score > 0.75
     assert got[8].labels == "reserved" and got[3].labels == "" and got[3].score == 0.0
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    result = con.execute(licenses.SQL)
+    names = [c[0] for c in result.description]
+    assert sorted(result.fetchall()) == sorted(tuple(r[c] for c in names) for r in got.values())
 
 
 def test_license_plan_is_native(make):

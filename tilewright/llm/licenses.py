@@ -105,3 +105,25 @@ def any_of(tests: list[Column]) -> Column:
     for t in tests[1:]:
         out = out | t
     return out
+
+
+_LISTED = ", ".join(f"({n}, '{label}', '{text}')" for n, (label, text) in enumerate(TEMPLATES))
+_HELD = " OR ".join(f"w[i:i + {len(phrase.split()) - 1}] = {phrase.split()}" for phrase, _ in PHRASES)
+_LABEL = " ".join(f"WHEN '{phrase.split()[0]}' THEN '{label}'" for phrase, label in PHRASES)
+#: The same for tables whose ids are distinct; words stand in the place of their hashes.
+SQL = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}') AS w FROM documents),
+t AS (SELECT template, label, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{WORD}') AS w FROM (VALUES {_LISTED}) AS v(template, label, text)),
+tg AS (SELECT template, label, len(w) AS length, i - 1 AS pos, array_to_string(w[i:i + {GRAM - 1}], ' ') AS gram FROM t, unnest(range(1, len(w) - {GRAM - 2})) AS u(i)),
+dg AS (SELECT doc_id, i - 1 AS place, array_to_string(w[i:i + {GRAM - 1}], ' ') AS gram FROM d, unnest(range(1, len(w) - {GRAM - 2})) AS u(i)),
+hits AS (SELECT doc_id, template, label, length, pos, place - pos AS diagonal FROM dg JOIN tg USING (gram)),
+fresh AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) <= {APART} THEN 0 ELSE 1 END AS fresh FROM (SELECT DISTINCT doc_id, template, diagonal FROM hits)),
+spans AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS span FROM fresh),
+covered AS (SELECT doc_id, label, count(DISTINCT pos + k) / length AS coverage FROM hits JOIN spans USING (doc_id, template, diagonal), unnest(range(0, {GRAM})) AS u(k) GROUP BY doc_id, template, label, length, span),
+found AS (SELECT doc_id, list(DISTINCT label) AS labels, max(coverage) AS best FROM covered WHERE coverage >= {COVERAGE}::DOUBLE GROUP BY doc_id),
+base AS (SELECT doc_id, count(*) AS n_base, min(i) - 1 AS first_word, max(i) - 1 AS last_word, list(DISTINCT CASE w[i] {_LABEL} END) AS labels FROM d, unnest(range(1, len(w) + 1)) AS u(i) WHERE {_HELD} GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+array_to_string(list_sort(coalesce(base.labels, [])), ',') AS base_labels, array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(found.labels, [])))), ',') AS labels,
+coalesce(best, CASE WHEN n_base > 0 THEN 0.5 ELSE 0.0 END)::DOUBLE AS score
+FROM d LEFT JOIN base USING (doc_id) LEFT JOIN found USING (doc_id)
+"""

@@ -56,5 +56,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 
 ORACLE_SQL: dict[str, str] = {
     "op5_decontaminate": decontaminate.SQL,
+    "op6_license_scan": licenses.SQL,
     "op10_mix_sources": mixing.MIX_SQL.format(docs="documents") + mixing.MIX_SELECT,
 }
