@@ -344,12 +344,24 @@ def test_near_duplicates(make):
 def test_links_in_crowded_postings():
     fps = np.unique(np.array([rng.getrandbits(20) | 0xABCD << 40 for _ in range(400)] + [0xABCD << 40 | 1 << k for k in range(60)], np.uint64))
     turn = simhash.turns(4)
-    for grow in (simhash.forest, simhash.nearest_forest):
-        edges = [e for slot in range(70) for e in grow(fps, 4, turn, slot)]
-        assert all(int(fps[a] ^ fps[b]).bit_count() <= 4 for a, b in edges)
-        want = naive_classes(list(range(len(fps))), lambda a, b: int(fps[a] ^ fps[b]).bit_count() <= 4)
+    rows = np.stack([fps, fps >> np.uint64(1)], axis=1)
+    apart = lambda a, b: int(fps[a] ^ fps[b]).bit_count()
+    wide = lambda a, b: apart(a, b) + (int(fps[a] >> np.uint64(1)) ^ int(fps[b] >> np.uint64(1))).bit_count()
+    for edges, bits in (
+        ([e for slot in range(70) for e in simhash.forest(fps, 4, turn, slot)], apart),
+        (simhash.nearest_forests(rows, 4, 1), wide), (simhash.nearest_forests(rows, 4), wide), (simhash.nearest_forests(rows, 4, most=64), wide),
+    ):
+        assert all(bits(a, b) <= 4 for a, b in edges)
+        want = naive_classes(list(range(len(fps))), lambda a, b, bits=bits: bits(a, b) <= 4)
         got = naive_classes(list(range(len(fps))), lambda a, b, e=set(map(tuple, map(sorted, edges))): (a, b) in e)
         assert got == want
+    edges = simhash.nearest_forests(rows, 4)
+    assert len(set(map(frozenset, edges))) == len(edges) > len(simhash.nearest_forests(rows, 4, 1))
+
+
+def test_byte_sets():
+    sets = simhash.byte_sets()
+    assert sets.shape == (96, 4) and all(sorted(sets[k : k + 6].ravel()) == list(range(24)) for k in range(0, 96, 6))
 
 
 def test_classes_of_chains(spark):

@@ -11,6 +11,7 @@ an empty table gives no rows.
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -83,89 +84,115 @@ def _bits(diff: np.ndarray, turn: np.ndarray, slot: int) -> np.ndarray:
     return np.where(turn[agreeing] == slot, np.bitwise_count(diff), 99)
 
 
-def forest(fps: np.ndarray, distance: int, turn: np.ndarray, slot: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links whose turn is `slot`: pairs of positions.
+def _reach(n: int, near) -> list[tuple[int, int]]:
+    """A spanning forest of the places 0 to n - 1, where `near(some, others)` tells which are linked.
 
     Each step compares the newly reached with those not reached yet, so a clique of n costs n comparisons, not n squared.
     """
-    left, edges = np.arange(len(fps)), []
+    left, edges = np.arange(n), []
     while len(left) > 1:
         front, left = left[:1], left[1:]
         while len(front) and len(left):
             at, front = front[:64], front[64:]
-            near = _bits(fps[at][:, None] ^ fps[left][None, :], turn, slot) <= distance
-            hit = near.any(0)
-            edges += zip(at[near.argmax(0)[hit]].tolist(), left[hit].tolist(), strict=True)
+            linked = near(at, left)
+            hit = linked.any(0)
+            edges += zip(at[linked.argmax(0)[hit]].tolist(), left[hit].tolist(), strict=True)
             front, left = np.concatenate([front, left[hit]]), left[~hit]
     return edges
 
 
-def nearest_forest(fps: np.ndarray, distance: int, turn: np.ndarray, slot: int, most: int = 4096) -> list[tuple[int, int]]:
-    """A spanning forest of shortest links (Prim's), so that what is linked closely is verified first; beyond `most`, any forest."""
+def forest(fps: np.ndarray, distance: int, turn: np.ndarray, slot: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links whose turn is `slot`: pairs of positions."""
+    return _reach(len(fps), lambda at, left: _bits(fps[at][:, None] ^ fps[left][None, :], turn, slot) <= distance)
+
+
+def nearest_forests(fps: np.ndarray, distance: int, layers: int = 3, most: int = 4096) -> list[tuple[int, int]]:
+    """Links of `layers` spanning forests of shortest links (Prim's) of rows of fingerprints, each without the links of those before.
+
+    The distance of two rows is the number of bits in which they differ over all of their fingerprints. Shortest links hold most often when texts
+    are compared, and further forests stand in for those that don't. Postings of over `most` rows are put in order and cut;
+    a forest over the whole posting, in one cheap pass, joins the parts.
+    """
     if len(fps) > most:
-        return forest(fps, distance, turn, slot)
-    best, parent = np.full(len(fps), 99, np.int64), np.zeros(len(fps), np.int64)
-    open_, edges, at = np.ones(len(fps), bool), [], 0
-    for _ in range(len(fps) - 1):
-        open_[at] = False
-        d = _bits(fps ^ fps[at], turn, slot)
-        closer = open_ & (d < best)
-        best[closer], parent[closer] = d[closer], at
-        at = int(np.where(open_, best, 100).argmin())
-        if best[at] <= distance:
-            edges.append((int(parent[at]), at))
+        order = np.lexsort(fps.T)
+        edges = _reach(len(fps), lambda at, left: sum(np.bitwise_count(f[at][:, None] ^ f[left][None, :]) for f in fps.T) <= distance)
+        for first in range(0, len(order), most):
+            part = order[first : first + most]
+            edges += [(int(part[a]), int(part[b])) for a, b in nearest_forests(fps[part], distance, layers, most)]
+        return edges
+    edges, taken = [], [[] for _ in range(len(fps))]
+    for _ in range(min(layers, len(fps) - 1)):
+        best, parent = np.full(len(fps), 255, np.int64), np.zeros(len(fps), np.int64)
+        open_, at, before = np.ones(len(fps), bool), 0, len(edges)
+        for _ in range(len(fps) - 1):
+            open_[at] = False
+            d = np.bitwise_count(fps ^ fps[at]).sum(1, dtype=np.int64)
+            d[taken[at]] = 255
+            closer = open_ & (d < best)
+            best[closer], parent[closer] = d[closer], at
+            at = int(np.where(open_, best, 256).argmin())
+            if best[at] <= distance:
+                edges.append((int(parent[at]), at))
+        for x, y in edges[before:]:
+            taken[x].append(y)
+            taken[y].append(x)
     return edges
 
 
-def _links(batches: Iterator[pa.RecordBatch], distance: int, agree: int, grow) -> Iterator[pa.RecordBatch]:
-    """Rows (slot, part, fp, node) sorted by (slot, part): links between nodes within each run of equal (slot, part).
+def _links(batches: Iterator[pa.RecordBatch], keys: int, near, grow) -> Iterator[pa.RecordBatch]:
+    """Rows (`keys` columns of a posting's key, fingerprints, node) sorted by the key: links between nodes within each posting.
 
+    `near(differing bits, first key)` tells for pairs if they are linked, `grow(fingerprints, first key)` gives forests of a posting's links.
     A spanning forest of each posting's own pairs keeps all classes whole, as every link is some posting's.
     """
-    rest = np.zeros((4, 0), np.int64)
-    turn = turns(agree)
+    rest = None
 
     def close(rows: np.ndarray) -> pa.RecordBatch:
-        cut = np.flatnonzero((np.diff(rows[0]) != 0) | (np.diff(rows[1]) != 0)) + 1
+        cut = np.flatnonzero((np.diff(rows[:keys]) != 0).any(0)) + 1
         begin, end = np.concatenate([[0], cut]), np.concatenate([cut, [rows.shape[1]]])
-        slot, fps, node = rows[0] % 100, rows[2].view(np.uint64), rows[3]
+        fps, node = rows[keys:-1].view(np.uint64).T, rows[-1]
         two = begin[end - begin == 2]
-        two = two[_bits(fps[two] ^ fps[two + 1], turn, slot[two]) <= distance]
+        two = two[near(fps[two] ^ fps[two + 1], rows[0, two])]
         a, b = [node[two]], [node[two + 1]]
         for s, e in zip(begin[end - begin > 2].tolist(), end[end - begin > 2].tolist(), strict=True):
-            if (pairs := np.array(grow(fps[s:e], distance, turn, int(slot[s])), np.int64).reshape(-1, 2)).size:
+            if (pairs := np.array(grow(fps[s:e], int(rows[0, s])), np.int64).reshape(-1, 2)).size:
                 a.append(node[s + pairs[:, 0]])
                 b.append(node[s + pairs[:, 1]])
         a, b = np.concatenate(a), np.concatenate(b)
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     for batch in batches:
-        rows = np.concatenate([rest, np.stack([np.asarray(batch.column(c)) for c in (0, 1, 2, batch.num_columns - 1)])], axis=1)
+        rows = np.stack([np.asarray(c) for c in batch.columns])
+        rows = rows if rest is None else np.concatenate([rest, rows], axis=1)
         if rows.shape[1] == 0:
             continue
-        same = (rows[0] == rows[0, -1]) & (rows[1] == rows[1, -1])
+        same = (rows[:keys] == rows[:keys, -1:]).all(0)
         done = rows.shape[1] - int(same[::-1].argmin()) if not same.all() else 0  # the last run may go on in the next batch
         if done:
             yield close(rows[:, :done])
         rest = rows[:, done:]
-    if rest.shape[1]:
+    if rest is not None and rest.shape[1]:
         yield close(rest)
 
 
-def _slots(agree: int, prints: int = 1):
-    """(k, slot, mask) of each posting of each of `prints` fingerprints."""
-    return F.array(*[F.struct(F.lit(k).alias("k"), F.lit(100 * k + n).cast("bigint").alias("slot"), F.lit(m).alias("mask")) for k in range(prints) for n, m in enumerate(masks(agree))])
-
-
 def near_links(fps: DataFrame, distance: int = 4) -> DataFrame:
     """Distinct links (a < b) between the distinct fingerprints of `fps`: enough of them to join each class."""
     if not 0 < distance < 8:
         raise ValueError("the byte index serves distances from 1 to 7")
     agree = 8 - distance
-    spread = fps.select("fp").distinct().select("fp", F.explode(_slots(agree)).alias("c"))
-    postings = spread.select("c.slot", F.col("fp").bitwiseAND(F.col("c.mask")).alias("part"), "fp")
+    slots = F.array(*[F.struct(F.lit(n).cast("bigint").alias("slot"), F.lit(m).alias("mask")) for n, m in enumerate(masks(agree))])
+    spread = fps.select("fp").distinct().select("fp", F.explode(slots).alias("c"))
+    postings = spread.select("c.slot", F.col("fp").bitwiseAND(F.col("c.mask")).alias("part"), "fp", F.col("fp").alias("node"))
     dealt = postings.repartition("slot", "part").sortWithinPartitions("slot", "part")
-    return dealt.mapInArrow(lambda b: _links(b, distance, agree, forest), "a bigint, b bigint").distinct()
+    turn = turns(agree)
+
+    def near(diff: np.ndarray, slot: np.ndarray) -> np.ndarray:
+        return _bits(diff[:, 0], turn, slot) <= distance
+
+    def grow(rows: np.ndarray, slot: int) -> list[tuple[int, int]]:
+        return forest(np.ascontiguousarray(rows[:, 0]), distance, turn, slot)
+
+    return dealt.mapInArrow(lambda b: _links(b, 2, near, grow), "a bigint, b bigint").distinct()
 
 
 def classes(links: DataFrame, most: int = 60) -> DataFrame:
@@ -199,8 +226,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4) -> Dat
     return fps.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: The similarity of the deduplicating operator: Jaccard of the sets of WIDTH-word shingles; its fingerprints and sketches.
-WIDTH, SIMILARITY, PRINTS, PRINT_SHINGLE, AGREE, REACH, SKETCH = 5, 0.8, 3, 2, 4, 12, 256
+#: The similarity of the deduplicating operator: Jaccard of the sets of WIDTH-word shingles; its fingerprints, postings and sketches.
+WIDTH, SIMILARITY, PRINTS, PRINT_SHINGLE, AGREE, ROUNDS, REACH, SKETCH = 5, 0.8, 3, 1, 4, 16, 24, 1024
 
 
 def _shingles(text: str, width: int) -> np.ndarray:
@@ -218,6 +245,21 @@ def _prints(text: str) -> list[int]:
     return out
 
 
+def byte_sets(prints: int = PRINTS, agree: int = AGREE, rounds: int = ROUNDS, seed: int = SEED) -> np.ndarray:
+    """The byte positions of each posting: every round deals all positions of all fingerprints into sets of `agree`."""
+    order, out = list(range(8 * prints)), []
+    rng = random.Random(seed)
+    for _ in range(rounds):
+        rng.shuffle(order)
+        out += [order[at : at + agree] for at in range(0, len(order), agree)]
+    return np.array(out)
+
+
+def _sketch(text: str) -> np.ndarray:
+    """The SKETCH smallest of the leading 32 bits of the hashes of the text's WIDTH-word shingles, sorted."""
+    return np.unique((_shingles(text, WIDTH) >> np.uint64(32)).astype(np.uint32))[:SKETCH]
+
+
 def similarity(a: np.ndarray, b: np.ndarray, size: int = SKETCH) -> float:
     """Jaccard similarity from the `size` smallest hashes of each set (sorted): exact if the sets are no larger."""
     union = np.union1d(a, b)[:size]
@@ -229,23 +271,35 @@ def similarity(a: np.ndarray, b: np.ndarray, size: int = SKETCH) -> float:
 def similar_links(keyed: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """Links (a < b) between nodes of `keyed` (node, text) whose texts have a similarity of `least` or more.
 
-    Candidates agree in four positional bytes of a fingerprint of short shingles, which few edits change, and differ in REACH bits
-    at most; the shortest of them are verified on sketches of the sets of WIDTH-word shingles.
+    Candidates agree in AGREE positional bytes of the fingerprints of single words, which few edits change, and differ in REACH bits over
+    all fingerprints at most; the shortest of them are verified on sketches of the sets of WIDTH-word shingles.
     """
-    prints = map_rows(keyed, lambda nodes, texts: (nodes, [np.array(_prints(t), np.uint64).view(np.int64).tolist() for t in texts]), "node bigint, fps array<bigint>", ["node", "text"])
+    names = [f"f{k}" for k in range(PRINTS)]
+    schema = "node bigint, " + ", ".join(f"{f} bigint" for f in names)
+    prints = map_rows(keyed, lambda nodes, texts: (nodes, *np.array([_prints(t) for t in texts], np.uint64).reshape(-1, PRINTS).T.view(np.int64)), schema, ["node", "text"])
     prints = checkpointed(prints.dropDuplicates(["node"]))
-    spread = prints.select("node", "fps", F.explode(_slots(AGREE, PRINTS)).alias("c")).select("c.slot", F.get("fps", F.col("c.k")).alias("fp"), "c.mask", "node")
-    postings = spread.select("slot", F.col("fp").bitwiseAND(F.col("mask")).alias("part"), "fp", "node")
-    found = postings.repartition("slot", "part").sortWithinPartitions("slot", "part").mapInArrow(lambda b: _links(b, REACH, AGREE, nearest_forest), "a bigint, b bigint")
+    sets = byte_sets()
+
+    def spread(*columns):
+        fps, node = np.array(columns[:-1], np.int64), np.array(columns[-1], np.int64)
+        held = np.ascontiguousarray(fps.T).view(np.uint8)[:, sets].astype(np.int64)
+        keys = (held << 8 * np.arange(AGREE)).sum(2) + (np.arange(len(sets)) << 8 * AGREE)
+        return keys.ravel(), *(np.repeat(c, len(sets)) for c in (*fps, node))
+
+    def near(diff: np.ndarray, key: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(diff).sum(1, dtype=np.int64) <= REACH
+
+    postings = map_rows(prints, spread, "part bigint, " + ", ".join(f"{f} bigint" for f in names) + ", node bigint", [*names, "node"])
+    found = postings.repartition("part").sortWithinPartitions("part").mapInArrow(lambda b: _links(b, 1, near, lambda fps, key: nearest_forests(fps, REACH)), "a bigint, b bigint")
     pairs = checkpointed(found.where("a <> b").distinct())
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     # Copies of a text are put together before they move: the join then meets each text once.
     wanted = keyed.dropDuplicates(["node"]).join(ends, "node", "left_semi")
-    sketched = checkpointed(map_rows(wanted, lambda nodes, texts: (nodes, [_shingles(t, WIDTH)[:SKETCH].tobytes() for t in texts]), "node bigint, sketch binary", ["node", "text"]))
+    sketched = checkpointed(map_rows(wanted, lambda nodes, texts: (nodes, [_sketch(t).tobytes() for t in texts]), "node bigint, sketch binary", ["node", "text"]))
     both = pairs.join(sketched.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a").join(sketched.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
 
     def verify(a, b, sa, sb):
-        kept = [(x, y) for x, y, p, q in zip(a, b, sa, sb, strict=True) if similarity(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) >= least]
+        kept = [(x, y) for x, y, p, q in zip(a, b, sa, sb, strict=True) if similarity(np.frombuffer(p, np.uint32), np.frombuffer(q, np.uint32)) >= least]
         return [x for x, _ in kept], [y for _, y in kept]
 
     return map_rows(both, verify, "a bigint, b bigint", ["a", "b", "sa", "sb"])
