@@ -379,6 +379,37 @@ def test_similar_texts_leave_one(make):
     assert kept == [*range(12), *range(24, 28)]
 
 
+def test_copies_with_words_appended_or_cut_off(make):
+    """Similarity from 0.8 on by whole passages, where fingerprints of words differ most."""
+    rng = random.Random(3)
+    texts = []
+    for i in range(60):
+        n = rng.randrange(90, 300)
+        w = [f"t{i}w{k}" for k in range(n)]
+        more = [f"t{i}x{k}" for k in range((n - 4) // 4)]
+        texts += [" ".join(w), " ".join([w + more, more + w, w[: 4 + -(-(n - 4) * 4 // 5)]][i % 3])]
+    # Just below: one shingle too many.
+    w = [f"v{k}" for k in range(104)]
+    texts += [" ".join(w), " ".join(w + [f"y{k}" for k in range(26)])]
+    kept = sorted(r.doc_id for r in simhash.drop_near_duplicates(make(texts)).collect())
+    assert kept == [*range(0, 120, 2), 120, 121]
+
+
+def test_prefixes_and_parities_rule_no_similar_pair_out():
+    draw = np.random.default_rng(4)
+    levels = draw.integers(0, 3, 1 << simhash.BUCKETS).astype(np.uint8)
+    for n in [*range(1, 40), 200]:
+        a = draw.integers(0, 2**64, n, dtype=np.uint64)
+        for gone in range(n // 5 + 1):
+            for new in range(n // 4 + 1):
+                b = np.concatenate([a[gone:], draw.integers(0, 2**64, new, dtype=np.uint64)])
+                if n - gone >= 0.8 * (n + new):
+                    a, b = np.unique(a), np.unique(b)
+                    assert np.isin(simhash.prefix(a, levels), simhash.prefix(b, levels)).any()
+                    bits = np.stack([simhash.parity(x).view(np.uint64) for x in (a, b)])
+                    assert len(list(simhash._open_pairs(np.array([len(a), len(b)]), np.array([1, 2]), bits, 0.8))[0][0]) == 1
+
+
 # --- mixing
 
 

@@ -11,6 +11,7 @@ an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Iterator
 from itertools import combinations
@@ -21,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, documents, map_rows
+from .common import checkpointed, documents, map_rows, slices
 
 SEED = 42
 
@@ -228,6 +229,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4) -> Dat
 
 #: The similarity of the deduplicating operator: Jaccard of the sets of WIDTH-word shingles; its fingerprints, postings and sketches.
 WIDTH, SIMILARITY, PRINTS, PRINT_SHINGLE, AGREE, ROUNDS, REACH, SKETCH = 5, 0.8, 3, 1, 4, 16, 24, 1024
+#: Buckets (as bits) in which shingles are counted for their order, and the bits of a set's parity.
+BUCKETS, PARITY = 22, 1024
 
 
 def _shingles(text: str, width: int) -> np.ndarray:
@@ -268,11 +271,11 @@ def similarity(a: np.ndarray, b: np.ndarray, size: int = SKETCH) -> float:
     return float(np.isin(union, np.intersect1d(a, b, assume_unique=True)).mean())
 
 
-def similar_links(keyed: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """Links (a < b) between nodes of `keyed` (node, text) whose texts have a similarity of `least` or more.
+def byte_pairs(keyed: DataFrame) -> DataFrame:
+    """Distinct pairs (a < b) of nodes of `keyed` (node, text) that are likely to be similar.
 
-    Candidates agree in AGREE positional bytes of the fingerprints of single words, which few edits change, and differ in REACH bits over
-    all fingerprints at most; the shortest of them are verified on sketches of the sets of WIDTH-word shingles.
+    They agree in AGREE positional bytes of the fingerprints of single words, which few edits change, and differ in REACH bits over
+    all fingerprints at most; each posting gives the shortest of its pairs.
     """
     names = [f"f{k}" for k in range(PRINTS)]
     schema = "node bigint, " + ", ".join(f"{f} bigint" for f in names)
@@ -291,7 +294,122 @@ def similar_links(keyed: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
     postings = map_rows(prints, spread, "part bigint, " + ", ".join(f"{f} bigint" for f in names) + ", node bigint", [*names, "node"])
     found = postings.repartition("part").sortWithinPartitions("part").mapInArrow(lambda b: _links(b, 1, near, lambda fps, key: nearest_forests(fps, REACH)), "a bigint, b bigint")
-    pairs = checkpointed(found.where("a <> b").distinct())
+    return found.where("a <> b").distinct()
+
+
+def rarity(keyed: DataFrame, least: int = 8, most: int = 1 << 16) -> np.ndarray:
+    """For each of 2^BUCKETS buckets of shingle hashes, the binary logarithm of its count where that is large, else 0.
+
+    It only puts shingles in an order; any order finds the same pairs, and this one keeps common shingles out of prefixes.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, held, n = np.zeros(1 << BUCKETS, np.int64), [], 0
+        for batch in batches:
+            for part in slices(batch, 512, 1 << 20):
+                for t in part.column(0).to_pylist():
+                    held.append((_shingles(t, WIDTH) >> np.uint64(64 - BUCKETS)).astype(np.int64))
+                    n += len(held[-1])
+                if n >= 1 << 20:
+                    total += np.bincount(np.concatenate(held), minlength=len(total))
+                    held, n = [], 0
+        if n:
+            total += np.bincount(np.concatenate(held), minlength=len(total))
+        at = np.flatnonzero(total >= max(least, 4 * total.mean()))
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
+
+    counts = keyed.select("text").mapInArrow(count, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
+    found = counts.orderBy(F.desc("n"), "bucket").limit(most).toArrow()
+    out = np.zeros(1 << BUCKETS, np.uint8)
+    out[np.asarray(found["bucket"])] = np.log2(np.asarray(found["n"], float)).astype(np.uint8) if len(found) else 0
+    return out
+
+
+def prefix(hashes: np.ndarray, levels: np.ndarray, least: float = SIMILARITY) -> np.ndarray:
+    """The first hashes of a set in the order of `levels`: sets with a similarity of `least` or more share one of them; 0 for an empty set."""
+    if len(hashes) == 0:
+        return np.zeros(1, np.uint64)
+    size = len(hashes) - math.ceil(least * len(hashes) - 1e-9) + 1
+    return hashes[np.lexsort((hashes, levels[hashes >> np.uint64(64 - BUCKETS)]))[:size]]
+
+
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """PARITY bits, each telling if the hashes of its own share are odd in number: sets differ in at least as many hashes as in bits."""
+    return np.packbits(np.bincount((hashes & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1)
+
+
+def _open_pairs(size: np.ndarray, kind: np.ndarray, bits: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of all pairs of a posting's rows that are of different classes and whose sizes and parities allow a similarity of `least`."""
+    differ = (1 - least) / (1 + least)
+    order = np.argsort(size, kind="stable")
+    size, kind, bits = size[order], kind[order], bits[order]
+    end = np.searchsorted(size, size / least + 1e-9, side="right")
+    for i, e in enumerate(end.tolist()):
+        at = i + 1 + np.flatnonzero(kind[i + 1 : e] != kind[i])
+        if len(at):
+            apart = np.bitwise_count(bits[at] ^ bits[i]).sum(1, dtype=np.int64)
+            at = at[apart <= (size[at] + size[i]) * differ + 1e-9]
+            yield np.full(len(at), order[i]), order[at]
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by their first column, in tables that hold whole runs of it."""
+    rest = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+        if rows.num_rows == 0:
+            continue
+        key = rows.column(0).to_numpy()
+        done = int(np.searchsorted(key, key[-1]))
+        if done:
+            yield rows.slice(0, done)
+        rest = rows.slice(done)
+    if rest is not None and rest.num_rows:
+        yield rest
+
+
+def prefix_pairs(keyed: DataFrame, known: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """Distinct pairs (a < b) of nodes of `keyed` that hold every pair with a similarity of `least` or more between classes of `known` (node, class).
+
+    Similar sets share a shingle of their prefixes; of the pairs that do, those go whose sizes or parities rule the similarity out.
+    """
+    levels = keyed.sparkSession.sparkContext.broadcast(rarity(keyed))
+
+    def read(nodes, texts):
+        sets = [_shingles(t, WIDTH) for t in texts]
+        return nodes, [len(h) for h in sets], [parity(h).tobytes() for h in sets], [prefix(h, levels.value, least).view(np.int64) for h in sets]
+
+    read_rows = map_rows(keyed, read, "node bigint, size bigint, bits binary, keys array<bigint>", ["node", "text"])
+    rows = checkpointed(read_rows.dropDuplicates(["node"]).join(known, "node", "left").withColumn("class", F.coalesce("class", "node")))
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in _runs(batches):
+            key, kind = run.column(0).to_numpy(), run.column(2).to_numpy()
+            begin = np.flatnonzero(np.diff(key, prepend=~key[:1]) != 0)
+            several = np.minimum.reduceat(kind, begin) != np.maximum.reduceat(kind, begin)
+            keep = np.repeat(several, np.diff(np.append(begin, len(key))))
+            yield from run.select([0, 1]).filter(pa.array(keep)).combine_chunks().to_batches()
+
+    postings = rows.select(F.explode("keys").alias("key"), "node", "class").repartition("key").sortWithinPartitions("key")
+    met = checkpointed(postings.mapInArrow(shared, "key bigint, node bigint"))
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in _runs(batches):
+            key, node, kind, size = (run.column(c).to_numpy() for c in range(4))
+            bits = np.frombuffer(b"".join(run.column(4).to_pylist()), np.uint64).reshape(len(key), -1)
+            cut = np.flatnonzero(np.diff(key)) + 1
+            for s, e in zip([0, *cut.tolist()], [*cut.tolist(), len(key)], strict=True):
+                for x, y in _open_pairs(size[s:e], kind[s:e], bits[s:e], least):
+                    x, y = node[s + x], node[s + y]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+    held = met.join(rows.select("node", "class", "size", "bits"), "node").select("key", "node", "class", "size", "bits")
+    return held.repartition("key").sortWithinPartitions("key").mapInArrow(pairs, "a bigint, b bigint").distinct()
+
+
+def _verified(keyed: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
+    """The pairs whose texts have a similarity of `least` or more."""
+    pairs = checkpointed(pairs)
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     # Copies of a text are put together before they move: the join then meets each text once.
     wanted = keyed.dropDuplicates(["node"]).join(ends, "node", "left_semi")
@@ -302,7 +420,16 @@ def similar_links(keyed: DataFrame, least: float = SIMILARITY) -> DataFrame:
         kept = [(x, y) for x, y, p, q in zip(a, b, sa, sb, strict=True) if similarity(np.frombuffer(p, np.uint32), np.frombuffer(q, np.uint32)) >= least]
         return [x for x, _ in kept], [y for _, y in kept]
 
-    return map_rows(both, verify, "a bigint, b bigint", ["a", "b", "sa", "sb"])
+    return checkpointed(map_rows(both, verify, "a bigint, b bigint", ["a", "b", "sa", "sb"]))
+
+
+def similar_links(keyed: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """Links (a < b) between nodes of `keyed` (node, text) whose texts have a similarity of `least` or more: enough of them to join each class.
+
+    `byte_pairs` joins most classes by few pairs; `prefix_pairs` adds every pair between the classes that this leaves.
+    """
+    likely = _verified(keyed, byte_pairs(keyed), least)
+    return likely.union(_verified(keyed, prefix_pairs(keyed, classes(likely), least), least))
 
 
 def drop_near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
