@@ -410,6 +410,16 @@ def test_prefixes_and_parities_rule_no_similar_pair_out():
                     assert len(list(simhash._open_pairs(np.array([len(a), len(b)]), np.array([1, 2]), bits, 0.8))[0][0]) == 1
 
 
+def test_long_texts_are_compared_by_all_shingles(make):
+    """4,000 to 5,000 shingles just over and just under 0.8, in 12 pairs of each kind."""
+    texts = []
+    for i in range(24):
+        w = [f"l{i}w{k}" for k in range(4004)]
+        texts += [" ".join(w), " ".join(w + [f"l{i}x{k}" for k in range(1000 + i % 2)])]
+    kept = sorted(r.doc_id for r in simhash.drop_near_duplicates(make(texts)).collect())
+    assert kept == [i for i in range(48) if i % 2 == 0 or i // 2 % 2]
+
+
 # --- mixing
 
 

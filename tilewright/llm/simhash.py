@@ -227,8 +227,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4) -> Dat
     return fps.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: The similarity of the deduplicating operator: Jaccard of the sets of WIDTH-word shingles; its fingerprints, postings and sketches.
-WIDTH, SIMILARITY, PRINTS, PRINT_SHINGLE, AGREE, ROUNDS, REACH, SKETCH = 5, 0.8, 3, 1, 4, 16, 24, 1024
+#: The similarity of the deduplicating operator: Jaccard of the sets of WIDTH-word shingles; its fingerprints and postings.
+WIDTH, SIMILARITY, PRINTS, PRINT_SHINGLE, AGREE, ROUNDS, REACH = 5, 0.8, 3, 1, 4, 16, 24
 #: Buckets (as bits) in which shingles are counted for their order, and the bits of a set's parity.
 BUCKETS, PARITY = 22, 1024
 
@@ -258,17 +258,10 @@ def byte_sets(prints: int = PRINTS, agree: int = AGREE, rounds: int = ROUNDS, se
     return np.array(out)
 
 
-def _sketch(text: str) -> np.ndarray:
-    """The SKETCH smallest of the leading 32 bits of the hashes of the text's WIDTH-word shingles, sorted."""
-    return np.unique((_shingles(text, WIDTH) >> np.uint64(32)).astype(np.uint32))[:SKETCH]
-
-
-def similarity(a: np.ndarray, b: np.ndarray, size: int = SKETCH) -> float:
-    """Jaccard similarity from the `size` smallest hashes of each set (sorted): exact if the sets are no larger."""
-    union = np.union1d(a, b)[:size]
-    if len(union) == 0:
-        return 1.0
-    return float(np.isin(union, np.intersect1d(a, b, assume_unique=True)).mean())
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sets of distinct hashes; 1 for two empty sets."""
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return shared / (len(a) + len(b) - shared) if len(a) or len(b) else 1.0
 
 
 def byte_pairs(keyed: DataFrame) -> DataFrame:
@@ -408,16 +401,16 @@ def prefix_pairs(keyed: DataFrame, known: DataFrame, least: float = SIMILARITY)
 
 
 def _verified(keyed: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
-    """The pairs whose texts have a similarity of `least` or more."""
+    """The pairs whose texts have a similarity of `least` or more, by all of their shingles."""
     pairs = checkpointed(pairs)
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     # Copies of a text are put together before they move: the join then meets each text once.
     wanted = keyed.dropDuplicates(["node"]).join(ends, "node", "left_semi")
-    sketched = checkpointed(map_rows(wanted, lambda nodes, texts: (nodes, [_sketch(t).tobytes() for t in texts]), "node bigint, sketch binary", ["node", "text"]))
-    both = pairs.join(sketched.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a").join(sketched.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
+    sets = checkpointed(map_rows(wanted, lambda nodes, texts: (nodes, [_shingles(t, WIDTH).tobytes() for t in texts]), "node bigint, held binary", ["node", "text"]))
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("held").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("held").alias("sb")), "b")
 
     def verify(a, b, sa, sb):
-        kept = [(x, y) for x, y, p, q in zip(a, b, sa, sb, strict=True) if similarity(np.frombuffer(p, np.uint32), np.frombuffer(q, np.uint32)) >= least]
+        kept = [(x, y) for x, y, p, q in zip(a, b, sa, sb, strict=True) if similarity(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) >= least]
         return [x for x, _ in kept], [y for _, y in kept]
 
     return checkpointed(map_rows(both, verify, "a bigint, b bigint", ["a", "b", "sa", "sb"]))
