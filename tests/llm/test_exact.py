@@ -420,6 +420,17 @@ def test_long_texts_are_compared_by_all_shingles(make):
     assert kept == [i for i in range(48) if i % 2 == 0 or i // 2 % 2]
 
 
+def test_near_copies_among_many_texts_of_the_same_words(make):
+    """One template: orders of the same 120 words, whose word fingerprints are all equal; each has a copy with three other words at its end."""
+    rng = random.Random(8)
+    words, texts = [f"p{k}" for k in range(120)], []
+    for i in range(150):
+        w = rng.sample(words, len(words))
+        texts += [" ".join(w), " ".join([*w[:-3], *(f"c{rng.randrange(40)}" for _ in range(3))])]
+    kept = sorted(r.doc_id for r in simhash.drop_near_duplicates(make(texts)).collect())
+    assert kept == list(range(0, 300, 2))
+
+
 # --- mixing
 
 
