@@ -227,6 +227,19 @@ def test_decontaminate_cuts_until_nothing_is_left(spark, make, block):
     assert decontaminate.decontaminate(make(texts), empty).count() == 5
 
 
+def test_blocks_cut_what_one_block_cuts(spark, make):
+    """Windows of different blocks that overlap or touch, and covered documents with null ids."""
+    w = [f"w{i}" for i in range(24)]
+    items = [(1, " ".join(w[:12])), (2, " ".join(w[6:18])), (3, " ".join(w[12:])), (4, "solo"), (5, "f3 f4")]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    f = [f"f{i}" for i in range(60)]
+    texts = [" ".join([*f[10:], *w[:18], "end"]), " ".join([*f[10:40], "; ".join(w), *f[40:]]), " ".join(w), " ".join(w), " ".join([*f[10:], *w[:6], *w, *w[6:12]]), "f0 f1 f2 f3 solo f4", None, "clean"]
+    docs = make(texts, [None, 1, None, 3, 4, 5, None, 7])
+    rows = [sorted(((r.doc_id is None, r.doc_id or 0, r.text is None, r.text or "") for r in decontaminate.decontaminate(docs, bench, block_words=n).collect())) for n in (100_000, 8)]
+    assert rows[0] == rows[1] and [r[1] for r in rows[0]] == [1, 4, 5, 7, 0, 0]
+    assert words_of(rows[0][4][3]) == [*f[10:], "end"] and words_of(rows[0][1][3]) == f[10:] and words_of(rows[0][2][3]) == f[:3]
+
+
 # --- licenses
 
 

@@ -247,19 +247,28 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     return map_rows(rows, read, REPORT, ["doc_id", "spans", "items", "text"])
 
 
+def _without(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text without the words of the spans, and what stands between the words of a span."""
+    _, begin, end, _, _ = word_table([text])
+    raw = text.encode("utf-8", "surrogatepass")
+    for a, b in reversed(_union(spans)):
+        raw = raw[: int(begin[a])] + raw[int(end[b - 1]) :]
+    return raw.decode("utf-8", "surrogatepass")
+
+
+def _covered(text: str, spans: list[tuple[int, int]], coverage: float) -> bool:
+    return sum(b - a for a, b in _union(spans)) > coverage * int(np.diff(word_table([text])[4])[0])
+
+
 def _cut(docs: DataFrame, block: list[Broadcast], coverage: float) -> DataFrame:
     """`docs` without the spans of one block, and without documents that it covers beyond `coverage`."""
 
-    def clean_one(text: str) -> str | None:
-        words, spans, cuts, _ = _scan_all(block, [text])[0]
-        if words and sum(b - a for a, b in spans) > coverage * words:
+    def clean_one(text: str, spans: list[tuple[int, int]]) -> str | None:
+        if _covered(text, spans, coverage):
             return None
-        while cuts:
-            raw = text.encode("utf-8", "surrogatepass")
-            for a, b in reversed(cuts):
-                raw = raw[:a] + raw[b:]
-            text = raw.decode("utf-8", "surrogatepass")
-            cuts = _scan_all(block, [text])[0][2]
+        while spans:
+            text = _without(text, spans)
+            spans = _scan_all(block, [text])[0][1]
         return text
 
     @F.pandas_udf("struct<keep:boolean,text:string>")
@@ -268,7 +277,7 @@ def _cut(docs: DataFrame, block: list[Broadcast], coverage: float) -> DataFrame:
         for at in range(0, len(rows), 64):
             part = [t or "" for t in rows[at : at + 64]]
             for t, own, (_, spans, _, _) in zip(part, rows[at : at + 64], _scan_all(block, part), strict=True):
-                done = clean_one(t) if spans else own
+                done = clean_one(t, spans) if spans else own
                 out.append((not spans or done is not None, done))
         return pd.DataFrame(out, columns=["keep", "text"])
 
@@ -276,33 +285,41 @@ def _cut(docs: DataFrame, block: list[Broadcast], coverage: float) -> DataFrame:
     return cleaned.select(F.col("row").withField("text", F.col("cleaned.text")).alias("row")).select("row.*")
 
 
+def _cut_round(docs: DataFrame, blocks: Iterator[Broadcast], coverage: float) -> tuple[DataFrame, DataFrame]:
+    """Rows without a hit in any block; and the others, cut at the hits of all blocks at once, but for those covered beyond `coverage`."""
+    key = [F.col("doc_id").cast("bigint").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key")]
+    found = _hits_by_block(docs, blocks).select("doc_id", "text_key", F.col("spans.a").alias("a"), F.col("spans.b").alias("b"))
+    rows = docs.select(F.struct("*").alias("row"), *key).alias("d")
+    joined = checkpointed(rows.join(found.alias("h"), F.expr("d.id <=> h.doc_id AND d.key = h.text_key"), "left").select("row", "a", "b"))
+
+    @F.pandas_udf("struct<keep:boolean,text:string>")
+    def clean(texts: pd.Series, first: pd.Series, last: pd.Series) -> pd.DataFrame:
+        out = []
+        for text, a, b in zip(texts, first, last, strict=True):
+            spans = list(zip(map(int, a), map(int, b), strict=True))
+            keep = not _covered(text, spans, coverage)
+            out.append((keep, _without(text, spans) if keep else None))
+        return pd.DataFrame(out, columns=["keep", "text"])
+
+    hit = joined.where("a IS NOT NULL").select("row", clean.asNondeterministic()("row.text", "a", "b").alias("cleaned")).where("cleaned.keep")
+    return joined.where("a IS NULL").select("row.*"), hit.select(F.col("row").withField("text", F.col("cleaned.text")).alias("row")).select("row.*")
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = 0.5, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The columns of `docs`: spans of benchmark windows are cut out, and documents covered beyond `coverage` go.
 
     Cutting is repeated until no window is left, as what stood around a span may form a new one. Clean rows stay as they are.
-    With several blocks, covered documents go first, and the blocks are cut in turn until none finds anything.
+    With several blocks, each round finds the hits of all blocks on the same text before it cuts, so the rows are those of one block.
     """
     one, several = _in_blocks(benchmark, window, block_words)
     first = next(several, None)
     if first is None:
         return _cut(docs, one, coverage)
-    first.unpersist()
-    key = [F.col("doc_id").cast("bigint").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key")]
-    rows = docs.select(F.struct("*").alias("row"), *key).alias("d")
-    covered = map_rows(
-        _hits_by_block(docs, indexes(benchmark, window, block_words)).join(documents(docs).select("doc_id", F.xxhash64("text").alias("text_key"), "text").dropDuplicates(["doc_id", "text_key"]).alias("t"), ["doc_id", "text_key"]),
-        lambda ids, keys, spans, texts: (ids, keys, [sum(b - a for a, b in _union([(x["a"], x["b"]) for x in s])) > coverage * n for s, n in zip(spans, np.diff(word_table(texts)[4]).tolist(), strict=True)]),
-        "doc_id bigint, text_key bigint, covered boolean", ["doc_id", "text_key", "spans", "text"],
-    ).where("covered")
-    docs = checkpointed(rows.join(covered.alias("c"), F.expr("d.id <=> c.doc_id AND d.text_key = c.text_key"), "left_anti").select("row.*"))
-    changed = True
-    while changed:
-        before = docs.agg(F.sum(F.length("text"))).first()[0]
-        for block in indexes(benchmark, window, block_words):
-            docs = checkpointed(_cut(docs, [block], 1.0))
-            block.unpersist()
-        changed = docs.agg(F.sum(F.length("text"))).first()[0] != before
-    return docs
+    clean, left = _cut_round(docs, chain([first], several), coverage)
+    while not (left := checkpointed(left)).isEmpty():
+        more, left = _cut_round(left, indexes(benchmark, window, block_words), 1.0)
+        clean = clean.union(more)
+    return clean
 
 
 SQL = r"""
