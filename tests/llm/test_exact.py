@@ -181,6 +181,24 @@ def test_entropy_and_allow_list(make):
     assert (row.n_assign, row.n_entropy) == (1, 1) and row.base_sha256 == hashlib.sha256(f"assign:0:{9 + len(key)}".encode()).hexdigest()
 
 
+def test_entropy_of_glued_keys():
+    """Keys of a narrow class behind a name or path, and keys beside an allowed word, are found whole."""
+    rng = random.Random(6)
+    for alphabet, n in (("0123456789ABCDEF", 64), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 64)):
+        for name in ("AUTH_KEY=", "id/", "sample_key="):
+            found = 0
+            for _ in range(200):
+                key = "".join(rng.choice(alphabet) for _ in range(n))
+                found += any(a <= len(name) and b == len(name) + n for a, b in secrets.entropy_spans(name + key))
+            alone = sum(secrets.entropy_spans(k) == [(0, n)] for k in ("".join(rng.choice(alphabet) for _ in range(n)) for _ in range(200)))
+            assert found > alone - 25
+    uuid, key = "123e4567-e89b-12d3-a456-426614174000", "wJalrXUtnFEMIK7MDENGbPxRfiCYzz9q"
+    for public in ("day/20240131123045123456789/log", "example" + key + "/a", uuid):
+        assert secrets.entropy_spans(public) == []
+    (span,) = secrets.entropy_spans(f"sample_key={key}")
+    assert span[0] <= 11 and span[1] == 11 + len(key)
+
+
 # --- decontamination
 
 

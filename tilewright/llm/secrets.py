@@ -32,13 +32,10 @@ CLASSES = (
     ("base64", re.compile(r"[A-Za-z0-9+/_=-]+"), 3.9),
 )
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-#: Public strings that look random.
-ALLOW = (
-    re.compile(r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", re.I),
-    re.compile(r"[0-9_/=+-]+"),
-    re.compile(r"[A-Za-z_/=+-]+"),
-    re.compile(r"(?i).*(example|sample|placeholder|changeme|xxxx|0123456789|abcdefgh).*"),
-)
+#: Public strings that look random: whole candidates or whole runs of a narrower class, parts of candidates, and words that make the letters and digits around them public.
+ALLOW = (re.compile(r"[0-9_/=+-]+"), re.compile(r"[A-Za-z_/=+-]+"))
+ALLOW_PART = re.compile(r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", re.I)
+ALLOW_WORD = re.compile(r"(?i)[A-Za-z0-9]*(example|sample|placeholder|changeme|xxxx|0123456789|abcdefgh)[A-Za-z0-9]*")
 _BITS = [0.0] + [c / WINDOW * math.log2(c / WINDOW) for c in range(1, WINDOW + 1)]
 
 
@@ -62,21 +59,28 @@ def window_entropies(text: str, size: int = WINDOW) -> list[float]:
 
 
 def entropy_spans(text: str, window: int = WINDOW) -> list[tuple[int, int]]:
-    """Runs of windows of a candidate string that reach the threshold of the narrowest class it belongs to."""
+    """Runs of windows of a candidate string that reach a class's threshold.
+
+    The candidate is judged by the narrowest class it belongs to, and each run of a narrower class inside it by that class. Windows within an
+    allowed part, and those that touch a piece of letters and digits with an allowed word, don't count.
+    """
     spans = []
     for m in CANDIDATE.finditer(text):
         s = m.group()
-        if any(a.fullmatch(s) for a in ALLOW):
-            continue
-        least = next(bits for _, pattern, bits in CLASSES if pattern.fullmatch(s))
-        open_at = None
-        scores = window_entropies(s, window)
-        for i, e in enumerate([*scores, -1.0]):
-            if e >= least - 1e-9:
-                open_at = i if open_at is None else open_at
-            elif open_at is not None:
-                spans.append((m.start() + open_at, m.start() + i - 1 + window))
-                open_at = None
+        parts, words = [x.span() for x in ALLOW_PART.finditer(s)], [x.span() for x in ALLOW_WORD.finditer(s)]
+        units = {x.span(): bits for _, pattern, bits in reversed(CLASSES) for x in pattern.finditer(s) if x.end() - x.start() >= window}
+        for (start, end), least in units.items():
+            unit = s[start:end]
+            if any(a.fullmatch(unit) for a in ALLOW):
+                continue
+            open_at = None
+            for i, e in enumerate([*window_entropies(unit, window), -1.0], start):
+                public = any(a <= i and i + window <= b for a, b in parts) or any(a < i + window and i < b for a, b in words)
+                if e >= least - 1e-9 and not public:
+                    open_at = i if open_at is None else open_at
+                elif open_at is not None:
+                    spans.append((m.start() + open_at, m.start() + i - 1 + window))
+                    open_at = None
     return _merged(spans)
 
 
