@@ -375,24 +375,11 @@ def test_near_duplicates(make):
 def test_links_in_crowded_postings():
     fps = np.unique(np.array([rng.getrandbits(20) | 0xABCD << 40 for _ in range(400)] + [0xABCD << 40 | 1 << k for k in range(60)], np.uint64))
     turn = simhash.turns(4)
-    rows = np.stack([fps, fps >> np.uint64(1)], axis=1)
+    edges = {tuple(sorted(e)) for slot in range(70) for e in simhash.forest(fps, 4, turn, slot)}
     apart = lambda a, b: int(fps[a] ^ fps[b]).bit_count()
-    wide = lambda a, b: apart(a, b) + (int(fps[a] >> np.uint64(1)) ^ int(fps[b] >> np.uint64(1))).bit_count()
-    for edges, bits in (
-        ([e for slot in range(70) for e in simhash.forest(fps, 4, turn, slot)], apart),
-        (simhash.nearest_forests(rows, 4, 1), wide), (simhash.nearest_forests(rows, 4), wide), (simhash.nearest_forests(rows, 4, most=64), wide),
-    ):
-        assert all(bits(a, b) <= 4 for a, b in edges)
-        want = naive_classes(list(range(len(fps))), lambda a, b, bits=bits: bits(a, b) <= 4)
-        got = naive_classes(list(range(len(fps))), lambda a, b, e=set(map(tuple, map(sorted, edges))): (a, b) in e)
-        assert got == want
-    edges = simhash.nearest_forests(rows, 4)
-    assert len(set(map(frozenset, edges))) == len(edges) > len(simhash.nearest_forests(rows, 4, 1))
-
-
-def test_byte_sets():
-    sets = simhash.byte_sets()
-    assert sets.shape == (96, 4) and all(sorted(sets[k : k + 6].ravel()) == list(range(24)) for k in range(0, 96, 6))
+    assert all(apart(a, b) <= 4 for a, b in edges)
+    nodes = list(range(len(fps)))
+    assert naive_classes(nodes, lambda a, b: (a, b) in edges) == naive_classes(nodes, lambda a, b: apart(a, b) <= 4)
 
 
 def test_classes_of_chains(spark):
@@ -438,7 +425,29 @@ def test_prefixes_and_parities_rule_no_similar_pair_out():
                     a, b = np.unique(a), np.unique(b)
                     assert np.isin(simhash.prefix(a, levels), simhash.prefix(b, levels)).any()
                     bits = np.stack([simhash.parity(x).view(np.uint64) for x in (a, b)])
-                    assert len(list(simhash._open_pairs(np.array([len(a), len(b)]), np.array([1, 2]), bits, 0.8))[0][0]) == 1
+                    assert len(list(simhash._open_pairs(np.array([len(a), len(b)]), np.array([1, 2]), bits, np.zeros(2, int), 0.8))[0][0]) == 1
+
+
+@pytest.mark.parametrize("block", [4096, 7])
+def test_open_pairs_of_crowded_postings(spark, block):
+    """All pairs of different classes that meet, whatever the blocks; none is ruled out, as the sets are equal."""
+    nodes = [(k - 20, 10, bytearray(128), [1] if k < 30 else [1, 2] if k < 45 else [3]) for k in range(50)]
+    rows = spark.createDataFrame(nodes, "node bigint, size bigint, bits binary, keys array<bigint>")
+    known = spark.createDataFrame([(k - 20, -20) for k in range(25)] + [(k - 20, 25) for k in range(45, 50)], "node bigint, class bigint")
+    got = {(r.a, r.b) for r in simhash.open_pairs(simhash.meetings(rows), known, rows, block=block).collect()}
+    assert got == {(a - 20, b - 20) for a in range(45) for b in range(max(a + 1, 25), 45)}
+
+
+def test_texts_that_share_a_node_are_told_apart(make, monkeypatch):
+    """Were 64 bits of two texts equal, neither would go as a copy of the other."""
+    words = [f"w{k}" for k in range(60)]
+    docs = make([" ".join(words), " ".join(words[:30]), " ".join(words), " ".join([*words, "end"])])
+    plain = simhash.F.xxhash64
+    monkeypatch.setattr(simhash.F, "xxhash64", lambda *c: simhash.F.lit(5).cast("bigint") if len(c) == 1 else plain(*c))
+    links = simhash.similar_links
+    monkeypatch.setattr(simhash, "similar_links", lambda keyed, least: keyed.sparkSession.createDataFrame([], "a bigint, b bigint"))
+    assert links is not simhash.similar_links
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(docs).collect()) == [0, 1, 3]
 
 
 def test_long_texts_are_compared_by_all_shingles(make):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -117,16 +118,42 @@ def crc(doc_id: int | None) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode())
 
 
+#: Bits of a filter of numbers: 16 MB, however many numbers it is told.
+FILTER_BITS = 1 << 27
+
+
+def bit_filter(numbers: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
+    """Bit filter of `bits` bits that holds all numbers of the only column: built by Spark in pages of 4 KB, of which there are a fixed number."""
+    slot = numbers.select(F.pmod(F.col(numbers.columns[0]), F.lit(bits)).alias("slot"))
+    pages = slot.groupBy(F.bitmap_bucket_number("slot").alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
+    out = np.zeros((bits // 32768 + 2, 4096), np.uint8)
+    for row in pages.toLocalIterator():
+        out[row.page] = np.frombuffer(bytes(row.bits), np.uint8)
+    return out
+
+
+def in_filter(pages: np.ndarray, numbers: np.ndarray, bits: int = FILTER_BITS) -> np.ndarray:
+    """Whether a filter may hold each number. Spark numbers buckets from 1 for 0 <= value, and bits from the lowest of each byte."""
+    slot = numbers % bits
+    value = np.where(slot > 0, slot - 1, 0)
+    page = np.where(slot > 0, 1 + value // 32768, 0)
+    bit = value % 32768
+    return (pages[page, bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where that is unset, one of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder of spark.checkpoint.dir, or the one the context was given. Without either, a temporary one in local mode alone: elsewhere executors couldn't see it."""
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        found = found or tempfile.mkdtemp(prefix="tilewright-")
-        context.setCheckpointDir(found)
-    return found or context._jsc.sc().getCheckpointDir().get()
+    given = context._jsc.sc().getCheckpointDir()
+    if not given.isEmpty():
+        return spark.conf.get("spark.checkpoint.dir", None) or given.get()
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="tilewright-")
+    context.setCheckpointDir(found)
+    return found
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -23,10 +23,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, documents, map_rows
+from .common import FILTER_BITS, bit_filter, checkpointed, documents, in_filter, map_rows
 from .suffix_array import repeated_starts
 
-LENGTH, GRAM, SHARD, CROWD, FILTER_BITS = 200, 32, 1_500_000, 4096, 1 << 27
+LENGTH, GRAM, SHARD, CROWD = 200, 32, 1_500_000, 4096
 _MIX = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9)
 BLOCK = 1 << 20
 
@@ -110,25 +110,6 @@ def repeated_anchors(keyed: DataFrame, length: int, gram: int) -> DataFrame:
     return places.select("anchor", place).groupBy("anchor").agg(F.min("place").alias("a"), F.max("place").alias("b")).where("a <> b").select("anchor")
 
 
-def _filter(anchors: DataFrame, bits: int) -> np.ndarray:
-    """Bit filter of `bits` bits that holds all anchors: built by Spark in pages of 4 KB, of which there are a fixed number."""
-    slot = anchors.select(F.pmod("anchor", F.lit(bits)).alias("slot"))
-    pages = slot.groupBy(F.bitmap_bucket_number("slot").alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
-    out = np.zeros((bits // 32768 + 2, 4096), np.uint8)
-    for row in pages.toLocalIterator():
-        out[row.page] = np.frombuffer(bytes(row.bits), np.uint8)
-    return out
-
-
-def _held(pages: np.ndarray, anchors: np.ndarray, bits: int) -> np.ndarray:
-    """Spark numbers buckets from 1 for 0 <= value, and bits from the lowest of each byte."""
-    slot = anchors.view(np.int64) % bits
-    value = np.where(slot > 0, slot - 1, 0)
-    page = np.where(slot > 0, 1 + value // 32768, 0)
-    bit = value % 32768
-    return (pages[page, bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
-
-
 PIECES = "anchor bigint, c1 bigint, c2 bigint, k1 bigint, k2 bigint, first bigint, own int, piece binary"
 
 
@@ -140,7 +121,7 @@ def pieces(keyed: DataFrame, wanted, length: int, gram: int, bits: int, content:
         for a, b, t in zip(k1, k2, texts, strict=True):
             raw = t.encode("utf-8", "surrogatepass")
             anchor, first, own = anchor_runs(raw, length, gram)
-            kept = np.flatnonzero(_held(wanted.value, anchor, bits)) if len(anchor) else []
+            kept = np.flatnonzero(in_filter(wanted.value, anchor.view(np.int64), bits)) if len(anchor) else []
             for h, s, n in zip(anchor.view(np.int64)[kept].tolist(), first[kept].tolist(), own[kept].tolist(), strict=True):
                 piece = raw[s : s + n + length - 1]
                 key = xxhash.xxh3_128_intdigest(piece, h & 0xFFFFFFFF)
@@ -231,7 +212,7 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, sha
     if gram & (gram - 1) or gram > length:
         raise ValueError("gram must be a power of two, at most length")
     keyed = _keyed(docs)
-    wanted = docs.sparkSession.sparkContext.broadcast(_filter(repeated_anchors(keyed, length, gram), bits))
+    wanted = docs.sparkSession.sparkContext.broadcast(bit_filter(repeated_anchors(keyed, length, gram), bits))
     distinct = checkpointed(pieces(keyed, wanted, length, gram, bits, True).groupBy("anchor", "c1", "c2", "own").agg(F.first("piece").alias("piece")))
     places = pieces(keyed, wanted, length, gram, bits, False).select("c1", "c2", "k1", "k2", "first", "own")
     place: Column = F.xxhash64("k1", "k2", "first")

@@ -12,7 +12,6 @@ an empty table gives no rows.
 from __future__ import annotations
 
 import math
-import random
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -22,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, documents, map_rows, slices
+from .common import FILTER_BITS, bit_filter, checkpointed, documents, in_filter, map_rows, slices
 
 SEED = 42
 
@@ -107,43 +106,10 @@ def forest(fps: np.ndarray, distance: int, turn: np.ndarray, slot: int) -> list[
     return _reach(len(fps), lambda at, left: _bits(fps[at][:, None] ^ fps[left][None, :], turn, slot) <= distance)
 
 
-def nearest_forests(fps: np.ndarray, distance: int, layers: int = 3, most: int = 4096) -> list[tuple[int, int]]:
-    """Links of `layers` spanning forests of shortest links (Prim's) of rows of fingerprints, each without the links of those before.
-
-    The distance of two rows is the number of bits in which they differ over all of their fingerprints. Shortest links hold most often when texts
-    are compared, and further forests stand in for those that don't. Postings of over `most` rows are put in order and cut;
-    a forest over the whole posting, in one cheap pass, joins the parts.
-    """
-    if len(fps) > most:
-        order = np.lexsort(fps.T)
-        edges = _reach(len(fps), lambda at, left: sum(np.bitwise_count(f[at][:, None] ^ f[left][None, :]) for f in fps.T) <= distance)
-        for first in range(0, len(order), most):
-            part = order[first : first + most]
-            edges += [(int(part[a]), int(part[b])) for a, b in nearest_forests(fps[part], distance, layers, most)]
-        return edges
-    edges, taken = [], [[] for _ in range(len(fps))]
-    for _ in range(min(layers, len(fps) - 1)):
-        best, parent = np.full(len(fps), 255, np.int64), np.zeros(len(fps), np.int64)
-        open_, at, before = np.ones(len(fps), bool), 0, len(edges)
-        for _ in range(len(fps) - 1):
-            open_[at] = False
-            d = np.bitwise_count(fps ^ fps[at]).sum(1, dtype=np.int64)
-            d[taken[at]] = 255
-            closer = open_ & (d < best)
-            best[closer], parent[closer] = d[closer], at
-            at = int(np.where(open_, best, 256).argmin())
-            if best[at] <= distance:
-                edges.append((int(parent[at]), at))
-        for x, y in edges[before:]:
-            taken[x].append(y)
-            taken[y].append(x)
-    return edges
-
-
 def _links(batches: Iterator[pa.RecordBatch], keys: int, near, grow) -> Iterator[pa.RecordBatch]:
     """Rows (`keys` columns of a posting's key, fingerprints, node) sorted by the key: links between nodes within each posting.
 
-    `near(differing bits, first key)` tells for pairs if they are linked, `grow(fingerprints, first key)` gives forests of a posting's links.
+    `near(differing bits, first key)` tells for pairs if they are linked, `grow(fingerprints, first key)` gives a forest of a posting's links.
     A spanning forest of each posting's own pairs keeps all classes whole, as every link is some posting's.
     """
     rest = None
@@ -227,69 +193,23 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4) -> Dat
     return fps.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: The similarity of the deduplicating operator: Jaccard of the sets of WIDTH-word shingles; its fingerprints and postings.
-WIDTH, SIMILARITY, PRINTS, PRINT_SHINGLE, AGREE, ROUNDS, REACH = 5, 0.8, 3, 1, 4, 16, 24
-#: Buckets (as bits) in which shingles are counted for their order, and the bits of a set's parity.
-BUCKETS, PARITY = 22, 1024
+#: The similarity of the deduplicating operator: Jaccard of the sets of WIDTH-word shingles.
+WIDTH, SIMILARITY = 5, 0.8
+#: Buckets (as bits) in which shingles are counted for their order, the bits of a set's parity, and the rows of a posting compared in one group.
+BUCKETS, PARITY, BLOCK = 22, 1024, 4096
 
 
-def _shingles(text: str, width: int) -> np.ndarray:
+def _shingles(text: str, width: int = WIDTH) -> np.ndarray:
     """Distinct hashes of all word shingles, sorted."""
     return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, width)]))
 
 
-def _prints(text: str) -> list[int]:
-    """PRINTS independent fingerprints of the text's distinct PRINT_SHINGLE-word shingles, from one hash each."""
-    h, out = _shingles(text, PRINT_SHINGLE), []
-    for k in range(PRINTS):
-        g = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15 + 2 * k)
-        g ^= g >> np.uint64(29)
-        out.append(majority(g[at : at + (1 << 16)] for at in range(0, len(g), 1 << 16)))
-    return out
-
-
-def byte_sets(prints: int = PRINTS, agree: int = AGREE, rounds: int = ROUNDS, seed: int = SEED) -> np.ndarray:
-    """The byte positions of each posting: every round deals all positions of all fingerprints into sets of `agree`."""
-    order, out = list(range(8 * prints)), []
-    rng = random.Random(seed)
-    for _ in range(rounds):
-        rng.shuffle(order)
-        out += [order[at : at + agree] for at in range(0, len(order), agree)]
-    return np.array(out)
-
-
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
     """Jaccard similarity of two sets of distinct hashes; 1 for two empty sets."""
     shared = len(np.intersect1d(a, b, assume_unique=True))
     return shared / (len(a) + len(b) - shared) if len(a) or len(b) else 1.0
 
 
-def byte_pairs(keyed: DataFrame) -> DataFrame:
-    """Distinct pairs (a < b) of nodes of `keyed` (node, text) that are likely to be similar.
-
-    They agree in AGREE positional bytes of the fingerprints of single words, which few edits change, and differ in REACH bits over
-    all fingerprints at most; each posting gives the shortest of its pairs.
-    """
-    names = [f"f{k}" for k in range(PRINTS)]
-    schema = "node bigint, " + ", ".join(f"{f} bigint" for f in names)
-    prints = map_rows(keyed, lambda nodes, texts: (nodes, *np.array([_prints(t) for t in texts], np.uint64).reshape(-1, PRINTS).T.view(np.int64)), schema, ["node", "text"])
-    prints = checkpointed(prints.dropDuplicates(["node"]))
-    sets = byte_sets()
-
-    def spread(*columns):
-        fps, node = np.array(columns[:-1], np.int64), np.array(columns[-1], np.int64)
-        held = np.ascontiguousarray(fps.T).view(np.uint8)[:, sets].astype(np.int64)
-        keys = (held << 8 * np.arange(AGREE)).sum(2) + (np.arange(len(sets)) << 8 * AGREE)
-        return keys.ravel(), *(np.repeat(c, len(sets)) for c in (*fps, node))
-
-    def near(diff: np.ndarray, key: np.ndarray) -> np.ndarray:
-        return np.bitwise_count(diff).sum(1, dtype=np.int64) <= REACH
-
-    postings = map_rows(prints, spread, "part bigint, " + ", ".join(f"{f} bigint" for f in names) + ", node bigint", [*names, "node"])
-    found = postings.repartition("part").sortWithinPartitions("part").mapInArrow(lambda b: _links(b, 1, near, lambda fps, key: nearest_forests(fps, REACH)), "a bigint, b bigint")
-    return found.where("a <> b").distinct()
-
-
 def rarity(keyed: DataFrame, least: int = 8, most: int = 1 << 16) -> np.ndarray:
     """For each of 2^BUCKETS buckets of shingle hashes, the binary logarithm of its count where that is large, else 0.
 
@@ -301,7 +221,7 @@ def rarity(keyed: DataFrame, least: int = 8, most: int = 1 << 16) -> np.ndarray:
         for batch in batches:
             for part in slices(batch, 512, 1 << 20):
                 for t in part.column(0).to_pylist():
-                    held.append((_shingles(t, WIDTH) >> np.uint64(64 - BUCKETS)).astype(np.int64))
+                    held.append((_shingles(t) >> np.uint64(64 - BUCKETS)).astype(np.int64))
                     n += len(held[-1])
                 if n >= 1 << 20:
                     total += np.bincount(np.concatenate(held), minlength=len(total))
@@ -327,115 +247,152 @@ def prefix(hashes: np.ndarray, levels: np.ndarray, least: float = SIMILARITY) ->
 
 
 def parity(hashes: np.ndarray) -> np.ndarray:
-    """PARITY bits, each telling if the hashes of its own share are odd in number: sets differ in at least as many hashes as in bits."""
+    """PARITY positional bits, each telling if the hashes of its own share are odd in number: sets differ in at least as many hashes as in bits."""
     return np.packbits(np.bincount((hashes & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1)
 
 
-def _open_pairs(size: np.ndarray, kind: np.ndarray, bits: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places of all pairs of a posting's rows that are of different classes and whose sizes and parities allow a similarity of `least`."""
-    differ = (1 - least) / (1 + least)
-    order = np.argsort(size, kind="stable")
-    size, kind, bits = size[order], kind[order], bits[order]
-    end = np.searchsorted(size, size / least + 1e-9, side="right")
-    for i, e in enumerate(end.tolist()):
-        at = i + 1 + np.flatnonzero(kind[i + 1 : e] != kind[i])
-        if len(at):
-            apart = np.bitwise_count(bits[at] ^ bits[i]).sum(1, dtype=np.int64)
-            at = at[apart <= (size[at] + size[i]) * differ + 1e-9]
-            yield np.full(len(at), order[i]), order[at]
+def prefix_rows(keyed: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """node, size, bits, keys of each different text of `keyed` (node, other, text): its shingles' number, parity and prefix.
 
+    `other` is a second hash of the text; of texts with one node that of the smallest is read.
+    """
+    levels = keyed.sparkSession.sparkContext.broadcast(rarity(keyed))
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Rows sorted by their first column, in tables that hold whole runs of it."""
-    rest = None
-    for batch in batches:
-        rows = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
-        if rows.num_rows == 0:
-            continue
-        key = rows.column(0).to_numpy()
-        done = int(np.searchsorted(key, key[-1]))
-        if done:
-            yield rows.slice(0, done)
-        rest = rows.slice(done)
-    if rest is not None and rest.num_rows:
-        yield rest
+    def read(nodes, others, texts):
+        sets = [_shingles(t) for t in texts]
+        return nodes, others, [len(h) for h in sets], [parity(h).tobytes() for h in sets], [prefix(h, levels.value, least).view(np.int64) for h in sets]
 
+    rows = map_rows(keyed, read, "node bigint, other bigint, size bigint, bits binary, keys array<bigint>", ["node", "other", "text"])
+    own = rows.groupBy("node").agg(F.min_by(F.struct("size", "bits", "keys"), "other").alias("r"))
+    return checkpointed(own.select("node", "r.*"))
 
-def prefix_pairs(keyed: DataFrame, known: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """Distinct pairs (a < b) of nodes of `keyed` that hold every pair with a similarity of `least` or more between classes of `known` (node, class).
 
-    Similar sets share a shingle of their prefixes; of the pairs that do, those go whose sizes or parities rule the similarity out.
-    """
-    levels = keyed.sparkSession.sparkContext.broadcast(rarity(keyed))
+def meetings(rows: DataFrame) -> DataFrame:
+    """key, node, low, high of the postings with more than one node: low and high are the smallest and largest node there."""
+    postings = rows.select("node", F.explode("keys").alias("key"))
+    shared = postings.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
+    return checkpointed(postings.join(shared, "key"))
 
-    def read(nodes, texts):
-        sets = [_shingles(t, WIDTH) for t in texts]
-        return nodes, [len(h) for h in sets], [parity(h).tobytes() for h in sets], [prefix(h, levels.value, least).view(np.int64) for h in sets]
 
-    read_rows = map_rows(keyed, read, "node bigint, size bigint, bits binary, keys array<bigint>", ["node", "text"])
-    rows = checkpointed(read_rows.dropDuplicates(["node"]).join(known, "node", "left").withColumn("class", F.coalesce("class", "node")))
+def shingle_sets(keyed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, held) with all shingle hashes of the texts of `nodes`; a bit filter tells the scan of the texts which to read, so no text is moved."""
+    wanted = keyed.sparkSession.sparkContext.broadcast(bit_filter(nodes.select("node"), FILTER_BITS))
 
-    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for run in _runs(batches):
-            key, kind = run.column(0).to_numpy(), run.column(2).to_numpy()
-            begin = np.flatnonzero(np.diff(key, prepend=~key[:1]) != 0)
-            several = np.minimum.reduceat(kind, begin) != np.maximum.reduceat(kind, begin)
-            keep = np.repeat(several, np.diff(np.append(begin, len(key))))
-            yield from run.select([0, 1]).filter(pa.array(keep)).combine_chunks().to_batches()
+    def read(nodes, others, texts):
+        at = np.flatnonzero(in_filter(wanted.value, np.array(nodes, np.int64), FILTER_BITS)).tolist() if nodes else []
+        return [nodes[k] for k in at], [others[k] for k in at], [_shingles(texts[k]).tobytes() for k in at]
 
-    postings = rows.select(F.explode("keys").alias("key"), "node", "class").repartition("key").sortWithinPartitions("key")
-    met = checkpointed(postings.mapInArrow(shared, "key bigint, node bigint"))
+    sets = map_rows(keyed, read, "node bigint, other bigint, held binary", ["node", "other", "text"]).groupBy("node").agg(F.min_by("held", "other").alias("held"))
+    return checkpointed(sets.join(nodes, "node", "left_semi"))
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for run in _runs(batches):
-            key, node, kind, size = (run.column(c).to_numpy() for c in range(4))
-            bits = np.frombuffer(b"".join(run.column(4).to_pylist()), np.uint64).reshape(len(key), -1)
-            cut = np.flatnonzero(np.diff(key)) + 1
-            for s, e in zip([0, *cut.tolist()], [*cut.tolist(), len(key)], strict=True):
-                for x, y in _open_pairs(size[s:e], kind[s:e], bits[s:e], least):
-                    x, y = node[s + x], node[s + y]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
-
-    held = met.join(rows.select("node", "class", "size", "bits"), "node").select("key", "node", "class", "size", "bits")
-    return held.repartition("key").sortWithinPartitions("key").mapInArrow(pairs, "a bigint, b bigint").distinct()
-
-
-def _verified(keyed: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
-    """The pairs whose texts have a similarity of `least` or more, by all of their shingles."""
-    pairs = checkpointed(pairs)
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    # Copies of a text are put together before they move: the join then meets each text once.
-    wanted = keyed.dropDuplicates(["node"]).join(ends, "node", "left_semi")
-    sets = checkpointed(map_rows(wanted, lambda nodes, texts: (nodes, [_shingles(t, WIDTH).tobytes() for t in texts]), "node bigint, held binary", ["node", "text"]))
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("held").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("held").alias("sb")), "b")
+
+def verified(pairs: DataFrame, sets: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """The distinct `pairs` (a, b) whose texts have a similarity of `least` or more, by all of their shingles."""
+    both = pairs.distinct().join(sets.select(F.col("node").alias("a"), F.col("held").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("held").alias("sb")), "b")
 
     def verify(a, b, sa, sb):
-        kept = [(x, y) for x, y, p, q in zip(a, b, sa, sb, strict=True) if similarity(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) >= least]
+        kept = [(x, y) for x, y, p, q in zip(a, b, sa, sb, strict=True) if min(len(p), len(q)) >= least * max(len(p), len(q)) - 1e-6 and similarity(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) >= least]
         return [x for x, _ in kept], [y for _, y in kept]
 
     return checkpointed(map_rows(both, verify, "a bigint, b bigint", ["a", "b", "sa", "sb"]))
 
 
+def _open_pairs(size: np.ndarray, kind: np.ndarray, bits: np.ndarray, part: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of all pairs of rows of different classes whose sizes and parities allow a similarity of `least`.
+
+    Rows of two parts are only paired across them. The tally of agreeing positional bits must reach the least that such a similarity guarantees.
+    """
+    differ = (1 - least) / (1 + least)
+    order = np.argsort(size, kind="stable")
+    size, kind, bits, part = size[order], kind[order], bits[order], part[order]
+    across = bool((part != part[:1]).any())
+    end = np.searchsorted(size, size / least + 1e-9, side="right")
+    for i, e in enumerate(end.tolist()):
+        apart = kind[i + 1 : e] != kind[i]
+        if across:
+            apart &= part[i + 1 : e] != part[i]
+        at = i + 1 + np.flatnonzero(apart)
+        if len(at):
+            bits_apart = np.bitwise_count(bits[at] ^ bits[i]).sum(1, dtype=np.int64)
+            at = at[bits_apart <= (size[at] + size[i]) * differ + 1e-9]
+            yield np.full(len(at), order[i]), order[at]
+
+
+def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Rows sorted by their first `keys` columns, one run of equal ones after the other."""
+    rest: list[pa.Table] = []
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        if rows.num_rows == 0:
+            continue
+        key = np.stack([rows.column(c).to_numpy() for c in range(keys)])
+        cut = [0, *(np.flatnonzero((np.diff(key) != 0).any(0)) + 1).tolist(), rows.num_rows]
+        if rest and any(rest[-1].column(c)[0].as_py() != key[c, 0] for c in range(keys)):
+            yield pa.concat_tables(rest)
+            rest = []
+        for s, e in zip(cut[:-1], cut[1:], strict=True):
+            rest.append(rows.slice(s, e - s))
+            if e < rows.num_rows:
+                yield pa.concat_tables(rest)
+                rest = []
+    if rest:
+        yield pa.concat_tables(rest)
+
+
+def open_pairs(met: DataFrame, known: DataFrame, rows: DataFrame, least: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """Pairs (a < b) of nodes of different classes of `known` (node, class) that meet in a posting and that size and parity don't rule out.
+
+    A posting of more than `block` rows is dealt into blocks, and each two of them are compared in a group of their own, so none grows with the posting.
+    """
+    named = checkpointed(met.join(known, "node", "left").select("key", "node", F.coalesce("class", "node").alias("class")))
+    several = named.groupBy("key").agg(F.min("class").alias("c"), F.max("class").alias("d"), F.ceil(F.count("*") / block).cast("int").alias("parts")).where("c <> d").select("key", "parts")
+    dealt = named.join(several, "key").select("key", "node", "class", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    group = ["key", "i", "j"]
+    held = dealt.join(rows.select("node", "size", "bits"), "node").select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "class", "size", "bits")
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in _runs(batches, len(group)):
+            part, node, kind, size = (run.column(c).to_numpy() for c in range(3, 7))
+            if run.column(1)[0] != run.column(2)[0] and (part == part[0]).all():
+                continue  # of two blocks one is empty
+            bits = np.frombuffer(b"".join(run.column(7).to_pylist()), np.uint64).reshape(len(node), -1)
+            for x, y in _open_pairs(size, kind, bits, part, least):
+                x, y = node[x], node[y]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+    return held.repartition(*group).sortWithinPartitions(*group).mapInArrow(pairs, "a bigint, b bigint").distinct()
+
+
 def similar_links(keyed: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """Links (a < b) between nodes of `keyed` (node, text) whose texts have a similarity of `least` or more: enough of them to join each class.
+    """Links (a < b) between nodes of `keyed` (node, other, text) whose texts have a similarity of `least` or more: enough of them to join each class.
 
-    `byte_pairs` joins most classes by few pairs; `prefix_pairs` adds every pair between the classes that this leaves.
+    Similar texts share a shingle of their prefixes. In each such posting all nodes are verified against its smallest and its largest one, which
+    joins most classes by few pairs; then every pair that meets between the classes that this leaves is verified.
     """
-    likely = _verified(keyed, byte_pairs(keyed), least)
-    return likely.union(_verified(keyed, prefix_pairs(keyed, classes(likely), least), least))
+    rows = prefix_rows(keyed, least)
+    met = meetings(rows)
+    sets = shingle_sets(keyed, met.select("node").distinct())
+    star = F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("node").alias("b")), F.struct(F.col("node").alias("a"), F.col("high").alias("b"))))
+    likely = verified(met.select(star.alias("p")).select("p.*").where("a <> b"), sets, least)
+    return likely.union(verified(open_pairs(met, classes(likely), rows, least), sets, least))
 
 
 def drop_near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """The rows of `docs` with one document of each class of near-duplicates: that of the smallest id, nulls last.
 
-    Equal texts are one class; so are texts linked by `similar_links`. Of rows that agree in id and text one stays. Null and empty
-    texts are one class.
+    Equal texts are one class; so are texts linked by `similar_links`. Of rows that agree in id and text the first in the order of all their
+    columns stays. Null, empty and blank texts are one class. Texts are told apart by 128 bits of hash; nodes have the first 64, and a text
+    that shares them with a different one is a class of its own. An empty table gives no rows; extra columns are kept and never read.
     """
-    own = [F.coalesce(F.col("doc_id").cast("bigint"), F.lit(2**63 - 1)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("node")]
-    nodes = docs.select(own[1], F.coalesce("text", F.lit("")).alias("text"))
-    found = classes(similar_links(nodes, least))
-    named = docs.select(*own).groupBy("node").agg(F.min("id").alias("id")).join(found, "node", "left")
-    stay = named.groupBy(F.coalesce("class", "node").alias("class")).agg(F.min(F.struct("id", "node")).alias("stay")).select("stay.*")
-    kept = docs.select(F.struct("*").alias("row"), *own).join(stay, ["id", "node"], "left_semi")
-    turn = Window.partitionBy("id", "node").orderBy(F.lit(1))
+    text = F.coalesce("text", F.lit(""))
+    own = [F.coalesce(F.col("doc_id").cast("bigint"), F.lit(2**63 - 1)).alias("id"), F.xxhash64(text).alias("node"), F.xxhash64(F.lit(WIDTH), text).alias("other")]
+    found = classes(similar_links(docs.select(*own[1:], text.alias("text")), least))
+    texts = checkpointed(docs.select(*own).groupBy("node", "other").agg(F.min("id").alias("id")))
+    read = texts.groupBy("node").agg(F.min("other").alias("other"))
+    named = texts.join(read.join(found, "node", "left").withColumn("class", F.coalesce("class", "node")), ["node", "other"], "left")
+    alone = F.when(F.col("class").isNull(), F.struct("node", "other"))
+    stay = named.groupBy("class", alone.alias("alone")).agg(F.min(F.struct("id", "node", "other")).alias("stay")).select("stay.*")
+    key = ["id", "node", "other"]
+    kept = docs.select(F.struct("*").alias("row"), *own).join(stay, key, "left_semi")
+    turn = Window.partitionBy(*key).orderBy(F.to_json("row"))
     return kept.withColumn("turn", F.row_number().over(turn)).where("turn = 1").select("row.*")
