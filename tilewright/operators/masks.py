@@ -1,8 +1,9 @@
-"""Overlap of tiles with mask rasters, as an equi-join on mask and line.
+"""Overlap of tiles with mask rasters, by bit words and one join per row of tiles.
 
-A tile's region is exploded into the mask lines it meets and joined to them on (mask_path, y); only the needed part of a line is sliced.
-Several mask kinds go through one join and one aggregation. Pixels outside the mask are not counted; a region without any
-pixel has null fractions.
+Mask lines are packed into words of WORD bits, one for each pixel that has the undesired value, and BAND lines make a row of the join's table. Tiles of one
+row of the grid (one `tile_y`) read the same lines, so the join works on grid rows, not on tiles: each meets the bands it touches on
+(mask_path, band), and keeps the lines as a strip. A tile's pixels are then counted in its strip, a word at a time. Pixels outside the mask are
+not counted; a region without any pixel has null fractions, and so has one whose mask has no line 0.
 """
 
 from __future__ import annotations
@@ -15,6 +16,9 @@ from pyspark.sql import functions as F
 from tilewright.functions.geometry import Box
 from tilewright.functions.overlap import overlap_score
 
+WORD, BAND = 64, 64
+LINES = "array<struct<y:int,n:int,words:array<bigint>>>"
+
 
 class Overlap(NamedTuple):
     """One score: its column, the column of mask paths, the region, and the undesired pixel value as text."""
@@ -25,34 +29,68 @@ class Overlap(NamedTuple):
     value: str
 
 
-def _pixels(axis: str, edge: Column, up: bool) -> Column:
+def packed_words(row: Column, value: int) -> Column:
+    """One bit per pixel that equals `value`, the first pixel in the lowest bit of the first word."""
+    word = lambda w: F.aggregate(F.reverse(F.slice(row, w * WORD + 1, F.lit(WORD))), F.lit(0).cast("bigint"), lambda a, v: F.shiftleft(a, 1).bitwiseOR((v == value).cast("bigint")))
+    return F.when(F.size(row) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(row) - 1) / WORD).cast("int")), word)).otherwise(F.array().cast("array<bigint>"))
+
+
+def bits_between(words: Column, first: Column, last: Column) -> Column:
+    """Set bits at the places from `first` to before `last`, both within the packed line."""
+    shift = lambda name, by: F.call_function(name, F.lit(-1).cast("bigint"), F.greatest(by, F.lit(0)))
+    kept = lambda w: shift("shiftleft", first - w * WORD).bitwiseAND(shift("shiftrightunsigned", (w + 1) * WORD - last))
+    spread = F.sequence(F.floor(first / WORD).cast("int"), F.floor((last - 1) / WORD).cast("int"))
+    return F.when(last > first, F.aggregate(spread, F.lit(0), lambda a, w: a + F.bit_count(F.get(words, w).bitwiseAND(kept(w))))).otherwise(F.lit(0))
+
+
+def mask_bands(masks: DataFrame, values: list[str]) -> DataFrame:
+    """mask_path, band, and for each value its lines `v<value>`: (y, n, words), in any order."""
+    lines = masks.select("mask_path", F.floor(F.col("y") / BAND).cast("int").alias("band"), *[F.struct(F.col("y").cast("int").alias("y"), F.size("row").alias("n"), packed_words(F.col("row"), int(v)).alias("words")).alias(f"v{v}") for v in values])
+    return lines.groupBy("mask_path", "band").agg(*[F.collect_list(f"v{v}").alias(f"v{v}") for v in values])
+
+
+def _pixels(axis: str, edge: Column | int, resolution: Column, up: bool) -> Column:
     """A tile's edge in mask pixels, rounded outwards."""
-    scaled = (F.col(f"tile_{axis}") + edge) * F.col(f"mpp_{axis}") / F.col(f"mask_mpp_{axis}")
+    scaled = (F.col(f"tile_{axis}") + edge) * F.col(f"mpp_{axis}") / resolution
     return (F.ceil(scaled) if up else F.floor(scaled)).cast("int")
 
 
-def overlap_fractions(tiles: DataFrame, masks: DataFrame, overlaps: list[Overlap]) -> DataFrame:
-    """For each different region: the tile's key columns and one map column `f<i>` per overlap, from "0" and "255" to shares."""
-    key = [*dict.fromkeys(o.path_column for o in overlaps), "tile_x", "tile_y", "mpp_x", "mpp_y"]
-    kinds = F.array(*[F.struct(F.lit(i).alias("kind"), F.col(o.path_column).alias("mask_path"), *[F.lit(v).alias(n) for n, v in o.roi._asdict().items()]) for i, o in enumerate(overlaps)])
-    regions = tiles.select(*key).distinct().select(*key, F.explode(kinds).alias("k")).select(*key, "k.*").where("mask_path <> ''")
+def mask_strips(rows: DataFrame, masks: DataFrame, overlaps: list[Overlap], key: list[str]) -> DataFrame:
+    """One row per different `key` of `rows` (grid rows with path columns, tile_y, mpp_x, mpp_y): for overlap i the mask's mpp_x `m<i>` and its lines `s<i>`."""
+    box = ("y0", "y1")
+    kinds = F.array(*[F.struct(F.lit(i).alias("kind"), F.lit(f"v{o.value}").alias("plane"), F.col(o.path_column).alias("mask_path"), *[F.lit(getattr(o.roi, n)).alias(n) for n in box]) for i, o in enumerate(overlaps)])
+    wanted = list(dict.fromkeys([*key, "tile_y", "mpp_y"]))
+    regions = rows.select(*wanted, F.explode(kinds).alias("k")).select(*wanted, "k.*").where("mask_path <> ''").dropDuplicates([*key, "kind"])
     sizes = masks.where("y = 0").select("mask_path", F.col("mpp_x").alias("mask_mpp_x"), F.col("mpp_y").alias("mask_mpp_y"))
-    scaled = regions.join(sizes, "mask_path")
-    lines = scaled.select(*key, "kind", "mask_path", _pixels("x", F.col("x0"), False).alias("from"), _pixels("x", F.col("x1"), True).alias("to"), F.explode(F.sequence(_pixels("y", F.col("y0"), False), _pixels("y", F.col("y1"), True) - 1)).alias("y"))
-    met = lines.join(masks.select("mask_path", "y", "row"), ["mask_path", "y"])
-    begin = F.greatest(F.lit(0), F.col("from"))
-    part = F.slice("row", begin + 1, F.greatest(F.lit(0), F.col("to") - begin))
-    counted = met.select(*key, "kind", part.alias("part")).select(*key, "kind", F.size("part").alias("n"), F.size(F.filter("part", lambda v: v == 0)).alias("n0"), F.size(F.filter("part", lambda v: v == 255)).alias("n255"))
-    sums = [F.sum(F.when(F.col("kind") == i, F.col(c))).alias(f"{c}_{i}") for i in range(len(overlaps)) for c in ("n", "n0", "n255")]
-    share = lambda i, k: F.when(F.col(f"n{k}_{i}") > 0, F.struct(F.lit(str(k)).alias("key"), (F.col(f"n{k}_{i}") / F.col(f"n_{i}")).alias("value")))
-    maps = [F.when(F.col(f"n_{i}") > 0, F.map_from_entries(F.array_compact(F.array(share(i, 0), share(i, 255))))).alias(f"f{i}") for i in range(len(overlaps))]
-    return counted.groupBy(*key).agg(*sums).select(*key, *maps)
-
-
-def add_overlaps(tiles: DataFrame, masks: DataFrame, overlaps: list[Overlap], mode: str = "reference") -> DataFrame:
-    """`tiles` with the scores of several mask kinds; disabled and missing masks score 0."""
-    found = overlap_fractions(tiles, masks, overlaps)
-    key = [c for c in found.columns if c in tiles.columns]
-    same = [F.col(f"t.{c}").eqNullSafe(F.col(f"f.{c}")) for c in key]
-    joined = tiles.alias("t").join(found.alias("f"), same, "left")
-    return joined.select(*[F.col(f"t.{c}") for c in tiles.columns], *[overlap_score(F.col(f"f.f{i}"), o.value, mode).alias(o.column) for i, o in enumerate(overlaps)])
+    scaled = regions.join(sizes, "mask_path").select(*key, "kind", "plane", "mask_path", "mask_mpp_x", _pixels("y", F.col("y0"), F.col("mask_mpp_y"), False).alias("from"), _pixels("y", F.col("y1"), F.col("mask_mpp_y"), True).alias("to"))
+    touched = scaled.withColumn("band", F.explode(F.sequence(F.floor(F.col("from") / BAND).cast("int"), F.floor((F.col("to") - 1) / BAND).cast("int"))))
+    values = sorted({o.value for o in overlaps})
+    met = touched.join(mask_bands(masks, values), ["mask_path", "band"])
+    plane = F.coalesce(*[F.when(F.col("plane") == f"v{v}", F.col(f"v{v}")) for v in values])
+    found = met.select(*key, "kind", "mask_mpp_x", F.filter(plane, lambda line: (line["y"] >= F.col("from")) & (line["y"] < F.col("to"))).alias("lines"))
+    of = lambda i, c: F.when(F.col("kind") == i, F.col(c))
+    return found.groupBy(*key).agg(*[x for i in range(len(overlaps)) for x in (F.max(of(i, "mask_mpp_x")).alias(f"m{i}"), F.flatten(F.collect_list(of(i, "lines"))).alias(f"s{i}"))])
+
+
+def strip_fractions(i: int, overlap: Overlap) -> Column:
+    """From the undesired value to its share of the pixels under the tile's region; null without any pixel."""
+    begin, end = F.greatest(_pixels("x", overlap.roi.x0, F.col(f"m{i}"), False), F.lit(0)), _pixels("x", overlap.roi.x1, F.col(f"m{i}"), True)
+    total = F.aggregate(F.col(f"s{i}"), F.lit(0), lambda a, line: a + F.greatest(F.least(end, line["n"]) - begin, F.lit(0)))
+    held = F.aggregate(F.col(f"s{i}"), F.lit(0), lambda a, line: a + bits_between(line["words"], begin, F.least(end, line["n"])))
+    return F.when(total > 0, F.create_map(F.lit(overlap.value), held / total))
+
+
+def strip_score(i: int, overlap: Overlap, mode: str) -> Column:
+    return overlap_score(strip_fractions(i, overlap), overlap.value, mode).alias(overlap.column)
+
+
+def add_overlaps(tiles: DataFrame, masks: DataFrame, overlaps: list[Overlap], mode: str = "reference", key: list[str] | None = None) -> DataFrame:
+    """`tiles` with the scores of several mask kinds; disabled and missing masks score 0.
+
+    `key` names columns that decide the mask paths, resolutions and `tile_y` of a tile; by default these columns themselves.
+    """
+    key = key or [*dict.fromkeys(o.path_column for o in overlaps), "tile_y", "mpp_x", "mpp_y"]
+    strips = mask_strips(tiles, masks, overlaps, key)
+    joined = tiles.alias("t").join(strips.alias("f"), [F.col(f"t.{c}").eqNullSafe(F.col(f"f.{c}")) for c in key], "left")
+    both = joined.select("t.*", *[F.col(f"f.{n}{i}") for i in range(len(overlaps)) for n in "ms"])
+    return both.select(*[F.col(c) for c in tiles.columns], *[strip_score(i, o, mode) for i, o in enumerate(overlaps)])

@@ -9,7 +9,7 @@ from tilewright.functions.paths import slide_path
 
 
 def slide_metadata(mapping: DataFrame, suffix: str = ".mrxs") -> DataFrame:
-    return mapping.select(slide_path(F.col("path"), suffix).alias("slide_path"), "type", "mammaprint_index")
+    return mapping.select(slide_path(F.col("path"), suffix).alias("slide_path"), "type", "risk_index")
 
 
 def choose_level(levels: DataFrame, mpp: float) -> DataFrame:

@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+import heapq
+import queue
+import threading
+import time
 from collections.abc import Callable, Iterator
+from itertools import chain, islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tilewright.sources.scratch import checkpointed
+
 #: The answer that is tried again, and the text of a timeout.
 RETRY_STATUS, RETRY_TEXT, TIMEOUT = 500, "Internal Server Error", "Timeout"
 MOST = 10
+#: Seconds until a quality-control request, a heat-map request and a report request are given up.
+QC_SECONDS, HEATMAP_SECONDS, REPORT_SECONDS = 36_000.0, 3_000.0, 3_600.0
 
 
 def retryable(status: Column, text: Column) -> Column:
@@ -39,42 +48,75 @@ def retry_outcomes(attempts: DataFrame, most: int = MOST) -> DataFrame:
     return ends.select("wsi_path", end["n"].alias("attempts"), end["status"].alias("status"), outcome.alias("outcome"), (F.pow(F.lit(2), waits + 1) - 2).cast("bigint").alias("backoff_s"))
 
 
-def call_all(items: DataFrame, call: Callable[[dict], tuple[int, str]], limit: int, most: int = MOST, sleep: Callable[[float], None] | None = None) -> DataFrame:
+def within(call: Callable[[dict], tuple[int, str]], item: dict, seconds: float | None) -> tuple[int, str]:
+    """(status, text) of one call; one that takes longer or fails in any way is an answer with status -1."""
+    answers: queue.SimpleQueue = queue.SimpleQueue()
+
+    def run() -> None:
+        try:
+            answers.put(call(item))
+        except TimeoutError:
+            answers.put((-1, TIMEOUT))
+        except Exception as error:  # noqa: BLE001  any failure is the item's outcome
+            answers.put((-1, str(error)))
+
+    threading.Thread(target=run, daemon=True).start()
+    try:
+        return answers.get(timeout=seconds)
+    except queue.Empty:
+        return -1, TIMEOUT
+
+
+def outcomes(items: Iterator[dict], call: Callable[[dict], tuple[int, str]], most: int, sleep: Callable[[float], None], timeout: float | None, clock: Callable[[], float] = time.monotonic) -> Iterator[tuple]:
+    """(wsi_path, status, attempts, outcome, error) of each item. While one waits to be tried again, others are called."""
+    waiting: list[tuple[float, int, int, dict]] = []
+    turn, more = 0, iter(items)
+    while True:
+        item, attempt = next(more, None), 1
+        if waiting and (item is None or waiting[0][0] <= clock()):
+            if item is not None:
+                more = chain([item], more)
+            due, _, attempt, item = heapq.heappop(waiting)
+            if (left := due - clock()) > 0:
+                sleep(left)
+        elif item is None:
+            return
+        status, text = within(call, item, timeout)
+        outcome = "timeout" if (status, text) == (-1, TIMEOUT) else "error" if status == -1 else "done"
+        if status == RETRY_STATUS and RETRY_TEXT in text:
+            if attempt < most:
+                turn += 1
+                heapq.heappush(waiting, (clock() + 2.0**attempt, turn, attempt + 1, item))
+                continue
+            outcome = "exhausted"
+        yield item.get("wsi_path") or "<unknown>", status, attempt, outcome, text if outcome != "done" else None
+
+
+OUTCOME = "wsi_path string, status int, attempts int, outcome string, error string"
+
+
+def call_all(items: DataFrame, call: Callable[[dict], tuple[int, str]], limit: int, most: int = MOST, sleep: Callable[[float], None] = time.sleep, timeout: float | None = QC_SECONDS) -> DataFrame:
     """wsi_path, status, attempts, outcome, error: `call` for each row, at most `limit` at a time; a failing item doesn't end the others.
 
-    `call` returns (status, text) and must be safe to repeat, as a lost executor's items are called again.
+    The calls are made once: their outcomes are written, and what is returned reads them, however often it is used. Attempt k of a
+    retryable answer is followed by 2^k seconds in which the slot serves other items, the last one by none. `call` returns (status, text) and must be
+    safe to repeat, as a lost executor's items are called again.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for item in frame.to_dict("records"):
-                status, text, outcome, attempt = -1, "", "exhausted", 0
-                for attempt in range(1, most + 1):
-                    try:
-                        status, text = call(item)
-                    except TimeoutError:
-                        status, text = -1, TIMEOUT
-                    except Exception as error:  # noqa: BLE001  any failure is the item's outcome
-                        status, text = -1, str(error)
-                    if status == RETRY_STATUS and RETRY_TEXT in text:
-                        if sleep:
-                            sleep(2.0**attempt)
-                        continue
-                    outcome = "timeout" if (status, text) == (-1, TIMEOUT) else "error" if status == -1 else "done"
-                    break
-                rows.append((item.get("wsi_path", "<unknown>"), status, attempt, outcome, text if outcome != "done" else None))
-            yield pd.DataFrame(rows, columns=["wsi_path", "status", "attempts", "outcome", "error"])
-
-    return items.repartition(limit).mapInPandas(run, "wsi_path string, status int, attempts int, outcome string, error string")
+        rows = outcomes((item for frame in frames for item in frame.to_dict("records")), call, most, sleep, timeout)
+        while part := list(islice(rows, 256)):
+            yield pd.DataFrame(part, columns=["wsi_path", "status", "attempts", "outcome", "error"])
+
+    return checkpointed(items.repartition(limit).mapInPandas(run, OUTCOME))
 
 
 def qc_payload(path: Column, output_path: str, mask_level: int, sample_level: int, residual: bool = True, folding: bool = True, blur: bool = True) -> Column:
     return F.to_json(F.struct(path.alias("wsi_path"), F.lit(output_path).alias("output_path"), F.lit(mask_level).alias("mask_level"), F.lit(sample_level).alias("sample_level"), F.lit(residual).alias("check_residual"), F.lit(folding).alias("check_folding"), F.lit(blur).alias("check_blur")))
 
 
-def report_requests(paths: DataFrame, url: str, mask_dir: str, save_location: str, parts: int = 1, metrics: bool = True) -> DataFrame:
-    """(url, payload) of the report requests; with many slides, `parts` bounds the size of one request."""
+def report_requests(paths: DataFrame, url: str, mask_dir: str, save_location: str, part: Column | None = None, metrics: bool = True) -> DataFrame:
+    """(url, payload) of the report requests: one over all slides, or, as that grows with their number, one per value of `part`."""
     body = F.struct(F.array_sort(F.collect_list("wsi_path")).alias("backgrounds"), F.lit(mask_dir).alias("mask_dir"), F.lit(save_location).alias("save_location"), F.lit(metrics).alias("compute_metrics"))
-    dealt = paths.select("wsi_path", F.pmod(F.xxhash64("wsi_path"), F.lit(parts)).alias("part"))
+    dealt = paths.withColumn("part", F.lit(0) if part is None else part)
     return dealt.groupBy("part").agg(F.to_json(body).alias("payload")).select(F.lit(url + "report").alias("url"), "payload")

@@ -11,8 +11,8 @@ from tilewright.functions import geometry, paths
 from tilewright.functions.overlap import positive
 from tilewright.sources.schemas import TILE_COLUMNS
 
-from .grid import grid_tiles
-from .masks import Overlap, add_overlaps
+from .grid import grid_along, grid_tiles
+from .masks import Overlap, mask_strips, strip_score
 
 #: Overlaps in order: column, mask column, whether only the centre counts, undesired pixel value. The first one filters.
 OVERLAPS = (
@@ -22,6 +22,7 @@ OVERLAPS = (
     ("residual_overlap", "residual_mask_path", False, "0"),
     ("epithelium_overlap", "epithelium_mask_path", False, "0"),
 )
+CARRIED = ("mpp_x", "mpp_y", "type", "risk_index")
 
 
 def overlaps(tile_extent: int) -> list[Overlap]:
@@ -38,17 +39,28 @@ class MaskRoots:
     qc: str | None = None
 
 
-def expand(slides: DataFrame, roots: MaskRoots, last: str = "keep") -> DataFrame:
-    """Tiles with the columns that the overlaps need."""
+def with_mask_paths(slides: DataFrame, roots: MaskRoots) -> DataFrame:
     path = F.col("path")
     named = {"tissue_mask_path": paths.mask_path(path, roots.tissue), "epithelium_mask_path": paths.mask_path(path, roots.epithelium)}
-    named |= {f"{kind}_mask_path": paths.qc_mask_path(path, roots.qc, kind) for kind in paths.QC_PREFIXES}
-    tiles = grid_tiles(slides.withColumns(named), last)
-    return tiles.select("tile_x", "tile_y", F.col("id").alias("slide_id"), "mpp_x", "mpp_y", *named, "type", "mammaprint_index")
+    return slides.withColumns(named | {f"{kind}_mask_path": paths.qc_mask_path(path, roots.qc, kind) for kind in paths.QC_PREFIXES})
+
+
+def expand(slides: DataFrame, roots: MaskRoots, last: str = "keep") -> DataFrame:
+    """Tiles with the columns that the overlaps need."""
+    return grid_tiles(with_mask_paths(slides, roots), last).select("tile_x", "tile_y", F.col("id").alias("slide_id"), *CARRIED, *[path for _, path, _, _ in OVERLAPS])
 
 
 def tile_slides(slides: DataFrame, masks: DataFrame, tile_extent: int, roots: MaskRoots, mode: str = "reference", last: str = "keep") -> DataFrame:
-    """Ten columns per tile that has tissue in its centre: the small, selective region first, the other four in one join."""
-    tissue, *others = overlaps(tile_extent)
-    tiles = add_overlaps(expand(slides, roots, last), masks, [tissue], mode).where(positive(F.col(tissue.column)))
-    return add_overlaps(tiles, masks, others, mode).select(*TILE_COLUMNS)
+    """Ten columns per tile that has tissue in its centre.
+
+    Rows of the grid get the mask lines they need, and only then spread into tiles, which are scored where they stand: no tile is shuffled.
+    """
+    kinds = overlaps(tile_extent)
+    rows = grid_along(with_mask_paths(slides, roots), "y", last).withColumnRenamed("id", "slide_id")
+    key = ["slide_id", "tile_y"]
+    strips = mask_strips(rows, masks, kinds, key)
+    met = rows.join(strips, key)  # a row without any mask has no tissue
+    tiles = grid_along(met.select("slide_id", "tile_y", *CARRIED, *[f"{n}_x" for n in ("extent", "tile_extent", "stride")], *[f"{n}{i}" for i in range(len(kinds)) for n in "ms"]), "x", last)
+    first, *others = [strip_score(i, o, mode) for i, o in enumerate(kinds)]
+    kept = tiles.withColumn("_first", first).where(positive(F.col("_first")))
+    return kept.select("tile_x", "tile_y", "slide_id", "type", "risk_index", F.col("_first").alias(kinds[0].column), *others).select(*TILE_COLUMNS)

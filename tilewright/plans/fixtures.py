@@ -21,12 +21,12 @@ KINDS = {
 
 
 def part(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/part.parquet").where("p_partkey % 10 = 0")
+    return spark.read.parquet(f"{sf_dir}/part.parquet")
 
 
 def mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = F.when(F.col("p_partkey") % 20 == 0, "a luminal").otherwise("b luminal")
-    return part(spark, sf_dir).select(F.concat(F.lit("/d/"), "p_brand", F.lit("."), F.col("p_partkey").cast("string")).alias("path"), kind.alias("type"), (F.col("p_partkey") % 97 / 4).alias("mammaprint_index"), F.col("p_partkey").alias("k"))
+    kind = F.when(F.col("p_partkey") % 2 == 0, "a luminal").otherwise("b luminal")
+    return part(spark, sf_dir).select(F.concat(F.lit("/d/"), "p_brand", F.lit("."), F.col("p_partkey").cast("string")).alias("path"), kind.alias("type"), (F.col("p_partkey") % 97 / 4).alias("risk_index"), F.col("p_partkey").alias("k"))
 
 
 def base_slides(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,13 +43,16 @@ def slides(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slide_ops.add_id(slide_ops.join_metadata(base_slides(spark, sf_dir), meta))
 
 
-def masks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raster lines of all five kinds, at an eighth of the slide's resolution and wide enough for tiles that hang over."""
+def masks(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = tuple(KINDS)) -> DataFrame:
+    """Raster lines of the five kinds (or those named), at an eighth of the slide's resolution and wide enough for tiles that hang over."""
     s = base_slides(spark, sf_dir).select("k", F.concat(F.regexp_extract("path", "([^/]*)\\.mrxs$", 1), F.lit(".tiff")).alias("file"), "extent_x", "extent_y")
-    kinds = F.array(*[F.struct(F.lit(prefix).alias("prefix"), F.lit(salt).alias("salt")) for prefix, salt in KINDS.values()])
+    kinds = F.array(*[F.struct(F.lit(prefix).alias("prefix"), F.lit(salt).alias("salt")) for prefix, salt in (KINDS[n] for n in names)])
     lines = s.select("*", F.explode(kinds).alias("kind")).select("*", F.explode(F.sequence(F.lit(0), F.floor(F.col("extent_y") / SCALE).cast("int") + 2 * SCALE)).alias("y"))
-    value = lambda px: F.when((px * 31 + F.col("y") * 17 + F.col("k") * 7 + F.col("kind.salt")) % 11 < F.col("k") % 11, 0).otherwise(255).cast("smallint")
-    row = F.transform(F.sequence(F.lit(0), F.floor(F.col("extent_x") / SCALE).cast("int") + 2 * SCALE), value)
+    # A line's pixels follow from two remainders: each of the 121 kinds of line is one row of a literal table, of the widest line's length.
+    patterns = F.array(*[F.array(*[F.lit(0 if (px * 31 + r) % 11 < m else 255).cast("smallint") for px in range(11)]) for r in range(11) for m in range(11)])
+    line = F.get(patterns, ((F.col("y") * 17 + F.col("k") * 7 + F.col("kind.salt")) % 11 * 11 + F.col("k") % 11).cast("int"))
+    width = F.floor(F.col("extent_x") / SCALE).cast("int") + 2 * SCALE + 1
+    row = F.slice(F.flatten(F.array_repeat(line, F.ceil(width / 11).cast("int"))), F.lit(1), width)
     return lines.select(F.concat("kind.prefix", "file").alias("mask_path"), "y", F.lit(0.5 * SCALE).alias("mpp_x"), F.lit(0.5 * SCALE).alias("mpp_y"), row.alias("row"))
 
 
@@ -64,17 +67,19 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The same in SQL, as common table expressions.
 SQL = r"""
-p AS (SELECT p_partkey AS k, p_brand, p_size, '/d/' || p_brand || '.' || p_partkey AS bare FROM part WHERE p_partkey % 10 = 0),
-mapping AS (SELECT bare AS path, CASE WHEN k % 20 = 0 THEN 'a luminal' ELSE 'b luminal' END AS type, k % 97 / 4 AS mammaprint_index, k FROM p),
+p AS (SELECT p_partkey AS k, p_brand, p_size, '/d/' || p_brand || '.' || p_partkey AS bare FROM part),
+mapping AS (SELECT bare AS path, CASE WHEN k % 2 = 0 THEN 'a luminal' ELSE 'b luminal' END AS type, k % 97 / 4 AS risk_index, k FROM p),
 base AS (SELECT bare || '.mrxs' AS path, k, (p_size * 32)::INTEGER AS extent_x, ((p_size % 7 + 1) * 40)::INTEGER AS extent_y FROM p),
-meta AS (SELECT path || '.mrxs' AS slide_path, type, mammaprint_index FROM mapping WHERE k % 3 <> 0),
-slides AS (SELECT base.*, type, mammaprint_index, sha256(path || '|0|' || extent_x || '|' || extent_y || '|64|64|32|32|' || coalesce(type, '')) AS id FROM base LEFT JOIN meta ON path = slide_path),
+meta AS (SELECT path || '.mrxs' AS slide_path, type, risk_index FROM mapping WHERE k % 3 <> 0),
+slides AS (SELECT base.*, type, risk_index, sha256(path || '|0|' || extent_x || '|' || extent_y || '|64|64|32|32|' || coalesce(type, '')) AS id FROM base LEFT JOIN meta ON path = slide_path),
 counts AS (SELECT *, greatest(1, ceil((extent_x - 64) / 32)::INTEGER + 1) AS nx, greatest(1, ceil((extent_y - 64) / 32)::INTEGER + 1) AS ny FROM slides),
 tiles AS (SELECT (ix * 32)::INTEGER AS tile_x, (iy * 32)::INTEGER AS tile_y, c.* FROM counts c, unnest(range(0, nx)) AS a(ix), unnest(range(0, ny)) AS b(iy)),
 px AS (SELECT DISTINCT k, tile_x, tile_y FROM tiles),
-shares AS (SELECT k, tile_x, tile_y, m.name, avg(CASE WHEN ((tile_x // 8 + dx) * 31 + (tile_y // 8 + dy) * 17 + k * 7 + m.salt) % 11 < k % 11 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS zero
-  FROM px, (VALUES ('tissue', 0, 2, 6), ('epithelium', 1, 0, 8), ('blur', 3, 0, 8), ('folding', 5, 0, 8), ('residual', 7, 0, 8)) AS m(name, salt, lo, hi),
-  unnest(range(m.lo, m.hi)) AS u(dx), unnest(range(m.lo, m.hi)) AS v(dy) GROUP BY ALL),
+areas AS (SELECT r, z, lo, avg(CASE WHEN (dx * 31 + dy * 17 + r) % 11 < z THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS zero
+  FROM range(0, 11) AS a(r), range(0, 11) AS b(z), (VALUES (2, 6), (0, 8)) AS e(lo, hi), unnest(range(lo, hi)) AS u(dx), unnest(range(lo, hi)) AS v(dy) GROUP BY ALL),
+shares AS (SELECT k, tile_x, tile_y, m.name, zero
+  FROM px, (VALUES ('tissue', 0, 2), ('epithelium', 1, 0), ('blur', 3, 0), ('folding', 5, 0), ('residual', 7, 0)) AS m(name, salt, lo)
+  JOIN areas ON areas.lo = m.lo AND areas.z = k % 11 AND areas.r = (tile_x // 8 * 31 + tile_y // 8 * 17 + k * 7 + m.salt) % 11),
 scores AS (SELECT k, tile_x, tile_y,
   max(CASE WHEN name = 'tissue' THEN CASE WHEN zero = 0 THEN 0.0::DOUBLE ELSE 1 - zero END END) AS tissue_overlap,
   max(CASE WHEN name = 'blur' THEN CASE WHEN zero = 1 THEN 0.0::DOUBLE ELSE zero END END) AS blur_overlap,

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.functions import paths
@@ -16,7 +16,7 @@ from tilewright.sources import readers, sinks
 EXPERIMENTS = {level: {"mpp": mpp, "tile_extent": 224, "stride": 112} for level, mpp in enumerate((0.24, 0.485, 0.97, 1.94))}
 
 
-def tiling_job(spark: SparkSession, mapping_csv: str, levels: DataFrame, masks: DataFrame, out: str, name: str, mpp: float, tile_extent: int, stride: int, roots: tiling.MaskRoots, mode: str = "reference") -> dict[str, int]:
+def tiling_job(spark: SparkSession, mapping_csv: str, levels: DataFrame, masks: DataFrame, out: str, name: str, mpp: float, tile_extent: int, stride: int, roots: tiling.MaskRoots, mode: str = "reference", rows_per_file: int = 0) -> dict[str, int]:
     """Slides and tiles of a mapping, written as a pair; returns their counts.
 
     The id is a hash of the slide's own columns, so both outputs agree on it without keeping the slides in memory.
@@ -26,17 +26,20 @@ def tiling_job(spark: SparkSession, mapping_csv: str, levels: DataFrame, masks:
     wanted = listed.select(F.col("slide_path").alias("path"))
     found = slides.read_slides(levels, mpp, tile_extent, stride).join(wanted, "path")
     table = slides.add_id(slides.join_metadata(found, listed))
-    return sinks.write_dataset(table, tiling.tile_slides(table, masks, tile_extent, roots, mode), out, name)
+    return sinks.write_dataset(table, tiling.tile_slides(table, masks, tile_extent, roots, mode), out, name, rows_per_file)
 
 
-def embeddings_job(spark: SparkSession, roots: list[str], out: str, load: Callable[[DataFrame], DataFrame], make_encoder: Callable, mode: str = "full") -> int:
-    """Embeddings of the slides that have none yet. `load` adds `pixels` to (slide_name, slide_id, x, y); returns the slides done."""
-    slide_table, tiles = readers.read_pair(spark, *roots)
+def embeddings_job(spark: SparkSession, roots: list[str], out: str, load: Callable[[DataFrame], DataFrame], make_encoder: str | Callable, mode: str = "full", transform: str | Callable | None = None, pairs: Sequence[tuple[DataFrame, DataFrame]] = ()) -> int:
+    """Embeddings of the slides that have none yet; returns the slides done.
+
+    `load` adds `pixels` to (slide_name, slide_id, x, y). Encoder and transform may be given by dotted name.
+    """
+    slide_table, tiles = readers.read_pair(spark, *roots, pairs=pairs)
     todo = embeddings.pending(slide_table, written_keys(spark, out), mode)
     samples = dataset.tile_samples(dataset.link_tiles(todo, tiles))
     count = todo.count()
     if count:
-        sinks.write_embeddings(embeddings.encode(load(samples), make_encoder), out)
+        sinks.write_embeddings(embeddings.encode(load(samples), make_encoder, transform=transform), out)
     return count
 
 
@@ -48,27 +51,46 @@ def written_keys(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.schema("x int, y int, embedding array<float>, slide_name string").parquet(out).select(F.col("slide_name").alias("key")).distinct()
 
 
-def quality_control_job(spark: SparkSession, mapping_csv: str, call: Callable[[dict], tuple[int, str]], limit: int = 4, most: int = tasks.MOST, sleep: Callable[[float], None] | None = None) -> DataFrame:
-    """The outcome of one request per slide."""
+def quality_control_job(
+    spark: SparkSession, mapping_csv: str, call: Callable[[dict], tuple[int, str]], output_path: str, mask_level: int, sample_level: int, limit: int = 4, most: int = tasks.MOST,
+    url: str | None = None, report: Callable[[dict], tuple[int, str]] | None = None, save_location: str = "", metrics: bool = True, part: Column | None = None, **how,
+) -> tuple[DataFrame, DataFrame | None]:
+    """The outcomes of one request per slide, and of the report that follows when all of them have ended.
+
+    `call` gets wsi_path and payload, `report` gets url and payload; a slide whose request failed is in the report too. `how` has sleep and timeout.
+    """
+    path = F.col("wsi_path")
     items = readers.read_mapping(spark, mapping_csv).select(paths.slide_path(F.col("path")).alias("wsi_path"))
-    return tasks.call_all(items, call, limit, most, sleep)
+    done = tasks.call_all(items.withColumn("payload", tasks.qc_payload(path, output_path, mask_level, sample_level)), call, limit, most, **how)
+    if report is None:
+        return done, None
+    requests = tasks.report_requests(items, url or "", output_path, save_location, part, metrics)
+    return done, tasks.call_all(requests.withColumn("wsi_path", F.col("url")), report, limit, 1, **{"timeout": tasks.REPORT_SECONDS} | how)
 
 
-def tissue_masks_job(files: DataFrame, segment: Callable[[bytes], list[list[int]]], mpp_x: float, mpp_y: float, out: str) -> None:
-    """Mask rows of (path, content), by a `segment` function that returns lines of 0 and 255."""
+def tissue_masks_job(files: DataFrame, levels: DataFrame, level: int, segment: Callable[[bytes, float], list[list[int]]], out: str) -> None:
+    """Mask rows of (path, content), the pixels of each slide at `level`, by a `segment` function that returns lines of 0 and 255.
+
+    Each slide has the resolution that `levels` gives for it; `segment` gets the mean of both axes.
+    """
+    known = levels.where(F.col("level") == level).select("path", "mpp_x", "mpp_y")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for path, content in zip(frame["path"], frame["content"], strict=True):
-                lines = segment(content)
-                yield pd.DataFrame({"path": path, "y": range(len(lines)), "row": lines})
+            for path, content, x, y in zip(frame["path"], frame["content"], frame["mpp_x"], frame["mpp_y"], strict=True):
+                lines = segment(content, (x + y) / 2)
+                yield pd.DataFrame({"path": path, "y": range(len(lines)), "mpp_x": x, "mpp_y": y, "row": lines})
 
-    rows = files.select("path", "content").mapInPandas(run, "path string, y int, row array<smallint>")
-    sinks.write_masks(rows.select(paths.with_suffix_name(F.col("path")).alias("mask_path"), "y", F.lit(mpp_x).alias("mpp_x"), F.lit(mpp_y).alias("mpp_y"), "row"), out)
+    rows = files.select("path", "content").join(known, "path").mapInPandas(run, "path string, y int, mpp_x double, mpp_y double, row array<smallint>")
+    sinks.write_masks(rows.select(paths.with_suffix_name(F.col("path")).alias("mask_path"), "y", "mpp_x", "mpp_y", "row"), out)
 
 
-def epithelium_masks_job(spark: SparkSession, mapping_csv: str, tissue_root: str, out: str, call: Callable[[dict], tuple[int, str]], limit: int = 4) -> DataFrame:
-    """One heat-map request per slide, with its tissue mask and output path; failures are outcomes, not errors."""
+def heatmap_items(mapping: DataFrame, tissue_root: str | None, out: str, model: str) -> DataFrame:
+    """wsi_path, tissue_mask_path, output_path and model of the heat-map requests."""
     path = paths.slide_path(F.col("path"))
-    items = readers.read_mapping(spark, mapping_csv).select(path.alias("wsi_path"), paths.mask_path(path, tissue_root).alias("tissue_mask_path"), paths.mask_path(path, out).alias("output_path"))
-    return tasks.call_all(items, call, limit, most=1)
+    return mapping.select(path.alias("wsi_path"), paths.mask_path(path, tissue_root).alias("tissue_mask_path"), paths.mask_path(path, out).alias("output_path"), F.lit(model).alias("model"))
+
+
+def epithelium_masks_job(spark: SparkSession, mapping_csv: str, tissue_root: str, out: str, model: str, call: Callable[[dict], tuple[int, str]], limit: int = 4, timeout: float | None = tasks.HEATMAP_SECONDS) -> DataFrame:
+    """One heat-map request per slide, with its tissue mask, output path and model; failures are outcomes, not errors."""
+    return tasks.call_all(heatmap_items(readers.read_mapping(spark, mapping_csv), tissue_root, out, model), call, limit, most=1, timeout=timeout)

@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from tilewright.functions import geometry, labels, paths, vectors
 from tilewright.functions.overlap import overlap_score, positive
 from tilewright.operators import dataset, embeddings, grid, masks, pixels, slides, tasks, tiling
+from tilewright.sources import readers, schemas, sinks
+from tilewright.sources.scratch import fresh_folder
 
 from . import fixtures as fx
+from . import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -27,7 +30,7 @@ def query(sql: str | None = None, name: str | None = None):
     return register
 
 
-@query("SELECT path || '.mrxs' AS slide_path, type, mammaprint_index FROM mapping")
+@query("SELECT path || '.mrxs' AS slide_path, type, risk_index FROM mapping")
 def mapping_paths(spark, sf_dir):
     return slides.slide_metadata(fx.mapping(spark, sf_dir))
 
@@ -52,16 +55,16 @@ def mask_paths_disabled(spark, sf_dir):
     return fx.base_slides(spark, sf_dir).select("path", paths.mask_path(F.col("path"), None).alias("tissue"), paths.qc_mask_path(F.col("path"), None, "blur").alias("blur"))
 
 
-@query("SELECT path, type, mammaprint_index FROM base LEFT JOIN meta ON path = slide_path")
+@query("SELECT path, type, risk_index FROM base LEFT JOIN meta ON path = slide_path")
 def slide_metadata_left_join(spark, sf_dir):
     meta = slides.slide_metadata(fx.mapping(spark, sf_dir).where("k % 3 <> 0"))
-    return slides.join_metadata(fx.base_slides(spark, sf_dir), meta).select("path", "type", "mammaprint_index")
+    return slides.join_metadata(fx.base_slides(spark, sf_dir), meta).select("path", "type", "risk_index")
 
 
-@query("SELECT b.path, m.type, m.mammaprint_index FROM base b LEFT JOIN (SELECT * FROM meta UNION ALL SELECT * FROM meta) m ON b.path = m.slide_path")
+@query("SELECT b.path, m.type, m.risk_index FROM base b LEFT JOIN (SELECT * FROM meta UNION ALL SELECT * FROM meta) m ON b.path = m.slide_path")
 def slide_metadata_join_duplicates(spark, sf_dir):
     meta = slides.slide_metadata(fx.mapping(spark, sf_dir).where("k % 3 <> 0"))
-    return slides.join_metadata(fx.base_slides(spark, sf_dir), meta.union(meta)).select("path", "type", "mammaprint_index")
+    return slides.join_metadata(fx.base_slides(spark, sf_dir), meta.union(meta)).select("path", "type", "risk_index")
 
 
 @query("SELECT path, id FROM slides")
@@ -136,7 +139,7 @@ def tissue_filter(spark, sf_dir):
     return _overlap(0)(spark, sf_dir).where(positive(F.col("tissue_overlap")))
 
 
-@query("SELECT tile_x, tile_y, id AS slide_id, type, mammaprint_index, tissue_overlap, blur_overlap, folding_overlap, residual_overlap, epithelium_overlap FROM tiles JOIN scores USING (k, tile_x, tile_y) WHERE tissue_overlap > 0")
+@query("SELECT tile_x, tile_y, id AS slide_id, type, risk_index, tissue_overlap, blur_overlap, folding_overlap, residual_overlap, epithelium_overlap FROM tiles JOIN scores USING (k, tile_x, tile_y) WHERE tissue_overlap > 0")
 def tiling_pipeline(spark, sf_dir):
     return tiling.tile_slides(fx.slides(spark, sf_dir), fx.masks(spark, sf_dir), fx.TILE, fx.ROOTS)
 
@@ -153,14 +156,14 @@ def label_type(spark, sf_dir):
     return labels.process_slides(fx.mapping(spark, sf_dir), "type").select("path", labels.label_value("type").alias("label"), "name")
 
 
-@query("SELECT path, mammaprint_index AS index FROM mapping")
+@query("SELECT path, risk_index AS index FROM mapping")
 def label_index_f64(spark, sf_dir):
-    return labels.process_slides(fx.mapping(spark, sf_dir), "index", "mammaprint_index").select("path", "index")
+    return labels.process_slides(fx.mapping(spark, sf_dir), "index", "risk_index").select("path", "index")
 
 
-@query("SELECT path, mammaprint_index::FLOAT AS label FROM mapping")
+@query("SELECT path, risk_index::FLOAT AS label FROM mapping")
 def label_index_f32(spark, sf_dir):
-    return labels.process_slides(fx.mapping(spark, sf_dir), "index", "mammaprint_index").select("path", labels.label_value("index").alias("label"))
+    return labels.process_slides(fx.mapping(spark, sf_dir), "index", "risk_index").select("path", labels.label_value("index").alias("label"))
 
 
 @query("SELECT id AS slide_id, tile_x AS x, tile_y AS y FROM tiles")
@@ -179,10 +182,13 @@ def tiles_by_slide(spark, sf_dir):
     return linked.groupBy("path").agg(F.count("*").alias("n_tiles"))
 
 
-@query("SELECT path, id FROM slides WHERE k % 20 = 0 UNION ALL SELECT path, id FROM slides WHERE k % 20 <> 0")
+@query("SELECT path, id FROM slides WHERE k % 2 = 0 UNION ALL SELECT path, id FROM slides WHERE k % 2 <> 0")
 def multi_source_union(spark, sf_dir):
-    s = fx.slides(spark, sf_dir)
-    return s.where("k % 20 = 0").select("path", "id").unionByName(s.where("k % 20 <> 0").select("id", "path"))
+    """One source is read from its folder, the other is a pair already loaded."""
+    s, folder = fx.slides(spark, sf_dir), fresh_folder(spark, "union")
+    none = spark.createDataFrame([], "slide_id string")
+    sinks.write_dataset(s.where("k % 2 = 0").select("path", "id"), none, folder, "even")
+    return readers.read_pair(spark, f"{folder}/even", pairs=[(s.where("k % 2 <> 0").select("id", "path"), none)])[0]
 
 
 _EMBED = "SELECT vec_id, {x} FROM (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS e FROM embeddings)"
@@ -208,20 +214,20 @@ def embedding_rows(spark, sf_dir):
 def _pending(mode):
     def run(spark, sf_dir):
         s = fx.base_slides(spark, sf_dir)
-        done = s.where("k % 50 = 0").select(paths.embedding_key(F.col("path"), mode).alias("key"))
+        done = s.where("k % 5 = 0").select(paths.embedding_key(F.col("path"), mode).alias("key"))
         return embeddings.pending(s, done, mode).select("path", "key")
 
     return run
 
 
-query("SELECT path, replace(path[4:], '.mrxs', '') AS key FROM base WHERE k % 50 <> 0", "embed_pending")(_pending("full"))
-query("SELECT path, split_part(path[4:], '.', 1) AS key FROM base WHERE split_part(path[4:], '.', 1) NOT IN (SELECT split_part(path[4:], '.', 1) FROM base WHERE k % 50 = 0)", "embed_pending_reference")(_pending("reference"))
+query("SELECT path, replace(path[4:], '.mrxs', '') AS key FROM base WHERE k % 5 <> 0", "embed_pending")(_pending("full"))
+query("SELECT path, split_part(path[4:], '.', 1) AS key FROM base WHERE split_part(path[4:], '.', 1) NOT IN (SELECT split_part(path[4:], '.', 1) FROM base WHERE k % 5 = 0)", "embed_pending_reference")(_pending("reference"))
 
 
-@query("SELECT path AS wsi_path, '/out' AS output_path, 3::BIGINT AS mask_level, 1::BIGINT AS sample_level, true AS check_residual FROM base")
+@query("SELECT path AS wsi_path, '/out' AS output_path, 3::BIGINT AS mask_level, 1::BIGINT AS sample_level, true AS check_residual, false AS check_folding, true AS check_blur FROM base")
 def qc_payload(spark, sf_dir):
-    body = tasks.qc_payload(F.col("path"), "/out", 3, 1)
-    read = F.from_json(body, "wsi_path string, output_path string, mask_level bigint, sample_level bigint, check_residual boolean")
+    body = tasks.qc_payload(F.col("path"), "/out", 3, 1, folding=False)
+    read = F.from_json(body, "wsi_path string, output_path string, mask_level bigint, sample_level bigint, check_residual boolean, check_folding boolean, check_blur boolean")
     return fx.base_slides(spark, sf_dir).select(read.alias("p")).select("p.*")
 
 
@@ -246,18 +252,96 @@ def tile_pixels(spark, sf_dir):
     return found.select("slide_id", "x", "y", total.alias("total"), F.get("pixels", F.lit(0)).cast("bigint").alias("first_pixel"), F.get("pixels", F.lit(27)).cast("bigint").alias("middle_pixel"))
 
 
-@query()
+@query("""SELECT CASE WHEN k % 7 = 0 THEN '<unknown>' ELSE path END AS wsi_path, ([200, 500, 404, -1])[k % 4 + 1]::INTEGER AS status, (CASE WHEN k % 4 = 1 THEN 3 ELSE 1 END)::INTEGER AS attempts,
+([ 'done', 'exhausted', 'done', 'error'])[k % 4 + 1] AS outcome, ([NULL, 'Internal Server Error', NULL, 'no such slide'])[k % 4 + 1] AS error FROM base""")
 def bounded_map_outcomes(spark, sf_dir):
     def call(item):
-        k = item["k"] // 10 % 4
+        k = item["k"] % 4
         if k == 3:
             raise ValueError("no such slide")
         return ((200, "ok"), (500, "Internal Server Error"), (404, "missing"))[k]
 
-    return tasks.call_all(fx.base_slides(spark, sf_dir).select(F.col("path").alias("wsi_path"), "k"), call, 4)
+    named = F.when(F.col("k") % 7 != 0, F.col("path"))
+    return tasks.call_all(fx.base_slides(spark, sf_dir).select(named.alias("wsi_path"), "k"), call, 4, most=3, sleep=lambda seconds: None)
 
 
-@query()
+@query("""SELECT slide_name, x, y, list_transform(range(0, 16), lambda j: list_sum(list_transform(range(0, len(q)), lambda i: q[i + 1] * ((7 * i + 13 * j) % 11 - 5)))::FLOAT) AS embedding FROM (
+SELECT (vec_id % 7)::VARCHAR AS slide_name, (vec_id * 32)::INTEGER AS x, (label * 32)::INTEGER AS y, list_transform(embedding, lambda v: floor(v * 16)::BIGINT) AS q FROM embeddings)""")
 def encoder_stub(spark, sf_dir):
-    samples = embedding_rows(spark, sf_dir).withColumnRenamed("embedding", "pixels")
-    return embeddings.encode(samples, embeddings.projection_encoder())
+    """Whole numbers go in, so that sums don't depend on their order."""
+    pixels = F.transform("embedding", lambda v: F.floor(v * 16).cast("float"))
+    return embeddings.encode(embedding_rows(spark, sf_dir).withColumn("pixels", pixels), "tilewright.operators.embeddings.small_projection")
+
+
+@query("SELECT path, type, risk_index FROM mapping")
+def mapping_csv(spark, sf_dir):
+    """Written as a CSV with another name of the third column, and read with declared types."""
+    folder = fresh_folder(spark, "mapping")
+    fx.mapping(spark, sf_dir).select("path", "type", F.col("risk_index").alias("index")).write.option("header", True).csv(folder)
+    return readers.read_mapping(spark, folder, "index")
+
+
+@query("SELECT p.path, count(t.tile_x)::BIGINT AS n_tiles, (SELECT count(*) FROM slides)::BIGINT AS n_slides FROM slides p LEFT JOIN (SELECT id, tile_x FROM tiles) t ON p.id = t.id GROUP BY p.path")
+def dataset_pair(spark, sf_dir):
+    """A pair written and read back, with the count that the writer observed."""
+    folder = fresh_folder(spark, "pair")
+    seen = sinks.write_dataset(fx.slides(spark, sf_dir), _tiles(spark, sf_dir).select("slide_id", "tile_x", "tile_y"), folder, "pair", rows_per_file=256 * 400)
+    s, t = readers.read_pair(spark, f"{folder}/pair")
+    return dataset.link_tiles(s, t, "left").groupBy("path").agg(F.count("x").alias("n_tiles")).withColumn("n_slides", F.lit(seen["slides"]).cast("bigint"))
+
+
+@query("SELECT (vec_id % 7)::VARCHAR AS slide_name, (vec_id * 32)::INTEGER AS x, (label * 32)::INTEGER AS y, embedding FROM embeddings")
+def embedding_files(spark, sf_dir):
+    """Embeddings written by slide and read back."""
+    folder = fresh_folder(spark, "embeddings")
+    sinks.write_embeddings(embedding_rows(spark, sf_dir), folder)
+    return spark.read.schema(schemas.EMBEDDINGS).parquet(folder)
+
+
+@query("""SELECT '/m/tissue/' || replace(path[4:], '.mrxs', '.tiff') AS mask_path, y::INTEGER AS y, 4.0::DOUBLE AS mpp_x, (extent_x // 8 + 17)::BIGINT AS n, list_sum(list_transform(range(0, extent_x // 8 + 17), lambda px: CASE WHEN (px * 31 + y * 17 + k * 7) % 11 < k % 11 THEN 1 ELSE 0 END))::BIGINT AS zeros
+FROM base, unnest(range(0, extent_y // 8 + 17)) AS t(y)""")
+def mask_files(spark, sf_dir):
+    """Mask lines written and read back."""
+    folder = fresh_folder(spark, "masks")
+    sinks.write_masks(fx.masks(spark, sf_dir, ("tissue",)), folder)
+    found = spark.read.schema(schemas.MASK_ROWS).parquet(folder)
+    return found.select("mask_path", "y", "mpp_x", F.size("row").cast("bigint").alias("n"), F.size(F.filter("row", lambda v: v == 0)).cast("bigint").alias("zeros"))
+
+
+def _graymaps(spark, sf_dir):
+    """(path, content): two lines of pixels per slide, with its resolution in a comment."""
+    s = fx.base_slides(spark, sf_dir).select("path", "k", (F.col("extent_x") / 32 % 9 + 1).cast("int").alias("w"), ((F.col("k") % 3 + 1) / 4).alias("mpp"))
+    head = F.format_string("P5\n# slide=%s mpp_x=%.2f mpp_y=%.2f\n%d 2\n255\n", "path", "mpp", "mpp", "w")
+    pixel = lambda i: F.lpad(F.hex((i % F.col("w") + F.floor(i / F.col("w")) + F.col("k")) % 250), 2, "0")
+    body = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), 2 * F.col("w") - 1), pixel), ""))
+    return s.select("path", F.concat(head.cast("binary"), body).alias("content"))
+
+
+@query("SELECT path, 0 AS level, (k % 3 + 1) / 4 AS mpp_x, (k % 3 + 1) / 4 AS mpp_y, (extent_x // 32 % 9 + 1)::INTEGER AS extent_x, 2 AS extent_y FROM base")
+def slide_headers(spark, sf_dir):
+    return readers.levels_of(_graymaps(spark, sf_dir))
+
+
+@query("SELECT replace(path[4:], '.mrxs', '.tiff') AS mask_path, y::INTEGER AS y, (k % 3 + 1) / 4 AS mpp_x, list_transform(range(0, extent_x // 32 % 9 + 1), lambda x: (CASE WHEN (x + y + k) % 250 < 100 * (k % 3 + 1) / 4 THEN 255 ELSE 0 END)::SMALLINT) AS row FROM base, unnest(range(0, 2)) AS t(y)")
+def tissue_masks(spark, sf_dir):
+    """Masks at each slide's own resolution, which the stand-in's limit follows, written and read back."""
+    files, folder = _graymaps(spark, sf_dir), fresh_folder(spark, "tissue")
+    jobs.tissue_masks_job(files, readers.levels_of(files), 0, lambda data, mpp: pixels.dark_tissue(100 * mpp)(data), folder)
+    return spark.read.schema(schemas.MASK_ROWS).parquet(folder).select("mask_path", "y", "mpp_x", "row")
+
+
+@query("SELECT '/d/' || p_brand || '.' || k || '.mrxs' AS wsi_path, '/m/tissue/' || p_brand || '.' || k || '.tiff' AS tissue_mask_path, '/m/epithelium/' || p_brand || '.' || k || '.tiff' AS output_path, 'segmentation-1' AS model FROM p")
+def heatmap_requests(spark, sf_dir):
+    return jobs.heatmap_items(fx.mapping(spark, sf_dir), "/m/tissue", "/m/epithelium", "segmentation-1")
+
+
+@query("""SELECT 'http://qc/report' AS url, '{"backgrounds":[' || string_agg('"' || path || '"', ',' ORDER BY path) || '],"mask_dir":"/masks","save_location":"/reports","compute_metrics":true}' AS payload FROM base GROUP BY k % 16""")
+def report_bodies(spark, sf_dir):
+    """The report in sixteen requests of bounded size."""
+    wanted = fx.base_slides(spark, sf_dir).select(F.col("path").alias("wsi_path"), "k")
+    return tasks.report_requests(wanted, "http://qc/", "/masks", "/reports", part=F.col("k") % 16)
+
+
+@query("SELECT path, (k % 2 = 0)::INTEGER AS target FROM mapping")
+def label_target(spark, sf_dir):
+    return labels.process_slides(fx.mapping(spark, sf_dir), "type").select("path", F.col(labels.target_column("type")).cast("int").alias("target"))

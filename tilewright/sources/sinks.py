@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 
-def write_dataset(slides: DataFrame, tiles: DataFrame, root: str, name: str) -> dict[str, int]:
-    """Writes <root>/<name>/slides and /tiles; returns both row counts, observed while writing."""
+def write_dataset(slides: DataFrame, tiles: DataFrame, root: str, name: str, rows_per_file: int = 0) -> dict[str, int]:
+    """Writes <root>/<name>/slides and /tiles, in files of at most `rows_per_file` rows if it is given; returns both row counts, observed while writing."""
     counts = {}
     for part, df in (("slides", slides), ("tiles", tiles)):
         seen = Observation(part)
-        df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{root}/{name}/{part}")
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).parquet(f"{root}/{name}/{part}")
         counts[part] = seen.get["n"]
     return counts
 
