@@ -2,12 +2,13 @@
 
 Mask lines are packed into words of WORD bits, one for each pixel that has the undesired value, and BAND lines make a row of the join's table. Tiles of one
 row of the grid (one `tile_y`) read the same lines, so the join works on grid rows, not on tiles: each meets the bands it touches on
-(mask_path, band), and keeps the lines as a strip. A tile's pixels are then counted in its strip, a word at a time. Pixels outside the mask are
+(mask_path, band), and keeps the lines as a strip. A tile's pixels are then counted by two lookups per line of its strip. Pixels outside the mask are
 not counted; a region without any pixel has null fractions, and so has one whose mask has no line 0.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -17,7 +18,6 @@ from tilewright.functions.geometry import Box
 from tilewright.functions.overlap import overlap_score
 
 WORD, BAND = 64, 64
-LINES = "array<struct<y:int,n:int,words:array<bigint>>>"
 
 
 class Overlap(NamedTuple):
@@ -35,17 +35,22 @@ def packed_words(row: Column, value: int) -> Column:
     return F.when(F.size(row) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(row) - 1) / WORD).cast("int")), word)).otherwise(F.array().cast("array<bigint>"))
 
 
-def bits_between(words: Column, first: Column, last: Column) -> Column:
-    """Set bits at the places from `first` to before `last`, both within the packed line."""
-    shift = lambda name, by: F.call_function(name, F.lit(-1).cast("bigint"), F.greatest(by, F.lit(0)))
-    kept = lambda w: shift("shiftleft", first - w * WORD).bitwiseAND(shift("shiftrightunsigned", (w + 1) * WORD - last))
-    spread = F.sequence(F.floor(first / WORD).cast("int"), F.floor((last - 1) / WORD).cast("int"))
-    return F.when(last > first, F.aggregate(spread, F.lit(0), lambda a, w: a + F.bit_count(F.get(words, w).bitwiseAND(kept(w))))).otherwise(F.lit(0))
+def counts_ahead(words: Column) -> Column:
+    """Set bits before each word, and before the end."""
+    return F.aggregate(words, F.array(F.lit(0)), lambda a, w: F.array_append(a, F.element_at(a, -1) + F.bit_count(w)))
+
+
+def bits_before(line: Column, at: Column) -> Column:
+    """Set bits of a line (words, ahead) before the place `at`: the count of the words before it, and a part of its own word."""
+    word = F.floor(at / WORD).cast("int")
+    below = F.bitwise_not(F.call_function("shiftleft", F.lit(-1).cast("bigint"), at % WORD))
+    return F.get(line["ahead"], word) + F.coalesce(F.bit_count(F.get(line["words"], word).bitwiseAND(below)), F.lit(0))
 
 
 def mask_bands(masks: DataFrame, values: list[str]) -> DataFrame:
-    """mask_path, band, and for each value its lines `v<value>`: (y, n, words), in any order."""
+    """mask_path, band, and for each value its lines `v<value>`: (y, n, words, ahead), in any order."""
     lines = masks.select("mask_path", F.floor(F.col("y") / BAND).cast("int").alias("band"), *[F.struct(F.col("y").cast("int").alias("y"), F.size("row").alias("n"), packed_words(F.col("row"), int(v)).alias("words")).alias(f"v{v}") for v in values])
+    lines = lines.select("mask_path", "band", *[let(F.col(f"v{v}"), lambda c: F.struct(c["y"].alias("y"), c["n"].alias("n"), c["words"].alias("words"), counts_ahead(c["words"]).alias("ahead"))).alias(f"v{v}") for v in values])
     return lines.groupBy("mask_path", "band").agg(*[F.collect_list(f"v{v}").alias(f"v{v}") for v in values])
 
 
@@ -72,16 +77,29 @@ def mask_strips(rows: DataFrame, masks: DataFrame, overlaps: list[Overlap], key:
     return found.groupBy(*key).agg(*[x for i in range(len(overlaps)) for x in (F.max(of(i, "mask_mpp_x")).alias(f"m{i}"), F.flatten(F.collect_list(of(i, "lines"))).alias(f"s{i}"))])
 
 
-def strip_fractions(i: int, overlap: Overlap) -> Column:
-    """From the undesired value to its share of the pixels under the tile's region; null without any pixel."""
-    begin, end = F.greatest(_pixels("x", overlap.roi.x0, F.col(f"m{i}"), False), F.lit(0)), _pixels("x", overlap.roi.x1, F.col(f"m{i}"), True)
-    total = F.aggregate(F.col(f"s{i}"), F.lit(0), lambda a, line: a + F.greatest(F.least(end, line["n"]) - begin, F.lit(0)))
-    held = F.aggregate(F.col(f"s{i}"), F.lit(0), lambda a, line: a + bits_between(line["words"], begin, F.least(end, line["n"])))
-    return F.when(total > 0, F.create_map(F.lit(overlap.value), held / total))
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once, however often `body` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def strip_score(i: int, overlap: Overlap, mode: str) -> Column:
-    return overlap_score(strip_fractions(i, overlap), overlap.value, mode).alias(overlap.column)
+    """The score of a tile from its strip's lines: the share of the undesired value among the pixels under its region."""
+    region = F.struct(F.greatest(_pixels("x", overlap.roi.x0, F.col(f"m{i}"), False), F.lit(0)).alias("begin"), _pixels("x", overlap.roi.x1, F.col(f"m{i}"), True).alias("end"))
+
+    def add(a: Column, line: Column, r: Column) -> Column:
+        end = F.least(r["end"], line["n"])
+        return F.when(end > r["begin"], F.struct((a["n"] + end - r["begin"]).alias("n"), (a["held"] + bits_before(line, end) - bits_before(line, r["begin"])).alias("held"))).otherwise(a)
+
+    def score(a: Column) -> Column:
+        return overlap_score(F.when(a["n"] > 0, F.create_map(F.lit(overlap.value), a["held"] / a["n"])), overlap.value, mode)
+
+    counted = let(region, lambda r: F.aggregate(F.col(f"s{i}"), F.struct(F.lit(0).alias("n"), F.lit(0).alias("held")), lambda a, line: add(a, line, r), score))
+    return F.coalesce(counted, F.lit(0.0))
+
+
+def with_scores(df: DataFrame, scores: dict[str, Column]) -> DataFrame:
+    """`df` with more columns, from a generator of one row: filters on a score then don't compute it again."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in scores.items()]))))
 
 
 def add_overlaps(tiles: DataFrame, masks: DataFrame, overlaps: list[Overlap], mode: str = "reference", key: list[str] | None = None) -> DataFrame:
@@ -93,4 +111,4 @@ def add_overlaps(tiles: DataFrame, masks: DataFrame, overlaps: list[Overlap], mo
     strips = mask_strips(tiles, masks, overlaps, key)
     joined = tiles.alias("t").join(strips.alias("f"), [F.col(f"t.{c}").eqNullSafe(F.col(f"f.{c}")) for c in key], "left")
     both = joined.select("t.*", *[F.col(f"f.{n}{i}") for i in range(len(overlaps)) for n in "ms"])
-    return both.select(*[F.col(c) for c in tiles.columns], *[strip_score(i, o, mode) for i, o in enumerate(overlaps)])
+    return with_scores(both, {o.column: strip_score(i, o, mode) for i, o in enumerate(overlaps)}).select(*tiles.columns, *[o.column for o in overlaps])

@@ -12,7 +12,7 @@ from tilewright.functions.overlap import positive
 from tilewright.sources.schemas import TILE_COLUMNS
 
 from .grid import grid_along, grid_tiles
-from .masks import Overlap, mask_strips, strip_score
+from .masks import Overlap, mask_strips, strip_score, with_scores
 
 #: Overlaps in order: column, mask column, whether only the centre counts, undesired pixel value. The first one filters.
 OVERLAPS = (
@@ -61,6 +61,7 @@ def tile_slides(slides: DataFrame, masks: DataFrame, tile_extent: int, roots: Ma
     strips = mask_strips(rows, masks, kinds, key)
     met = rows.join(strips, key)  # a row without any mask has no tissue
     tiles = grid_along(met.select("slide_id", "tile_y", *CARRIED, *[f"{n}_x" for n in ("extent", "tile_extent", "stride")], *[f"{n}{i}" for i in range(len(kinds)) for n in "ms"]), "x", last)
-    first, *others = [strip_score(i, o, mode) for i, o in enumerate(kinds)]
-    kept = tiles.withColumn("_first", first).where(positive(F.col("_first")))
-    return kept.select("tile_x", "tile_y", "slide_id", "type", "risk_index", F.col("_first").alias(kinds[0].column), *others).select(*TILE_COLUMNS)
+    scores = {o.column: strip_score(i, o, mode) for i, o in enumerate(kinds)}
+    first = kinds[0].column
+    kept = with_scores(tiles, {first: scores.pop(first)}).where(positive(F.col(first)))
+    return with_scores(kept, scores).select(*TILE_COLUMNS)
