@@ -9,7 +9,8 @@
    different pieces would make a shard too large: their strings are dealt by hash and counted instead.
 4. Removal. Runs go back to all texts that hold the piece, by joins, and the union of the strings they start is removed.
 Texts are told apart by 128 bits of hash. Rows with equal texts repeat each other whole.
-Defined results: a null text is empty; a text shorter than `length` loses nothing; null and repeated ids are kept as they are.
+Defined results: a null text is empty; a text shorter than `length` loses nothing; null and repeated ids are kept as they are; anchors of equal
+hash are one anchor, which costs time, not truth; very long texts are read in blocks; an empty table gives no rows; other columns are never read.
 """
 
 from __future__ import annotations
@@ -113,8 +114,8 @@ def repeated_anchors(keyed: DataFrame, length: int, gram: int) -> DataFrame:
 PIECES = "anchor bigint, c1 bigint, c2 bigint, k1 bigint, k2 bigint, first bigint, own int, piece binary"
 
 
-def pieces(keyed: DataFrame, wanted, length: int, gram: int, bits: int, content: bool) -> DataFrame:
-    """The pieces of each text whose anchor the filter holds. With `content`, one row with bytes per different piece and slice of rows."""
+def pieces(keyed: DataFrame, wanted, length: int, gram: int, bits: int) -> DataFrame:
+    """The pieces of each text whose anchor the filter holds; of equal pieces in a slice of rows only the first has its bytes."""
 
     def read(k1, k2, texts):
         rows, seen = [], set()
@@ -125,10 +126,8 @@ def pieces(keyed: DataFrame, wanted, length: int, gram: int, bits: int, content:
             for h, s, n in zip(anchor.view(np.int64)[kept].tolist(), first[kept].tolist(), own[kept].tolist(), strict=True):
                 piece = raw[s : s + n + length - 1]
                 key = xxhash.xxh3_128_intdigest(piece, h & 0xFFFFFFFF)
-                if content and key in seen:
-                    continue
+                rows.append((h, (key >> 64) - 2**63, (key & 2**64 - 1) - 2**63, a, b, s, n, None if key in seen else piece))
                 seen.add(key)
-                rows.append((h, (key >> 64) - 2**63, (key & 2**64 - 1) - 2**63, a, b, s, n, piece if content else None))
         return list(zip(*rows, strict=True)) if rows else [[]] * 8
 
     return map_rows(keyed, read, PIECES, ["k1", "k2", "text"])
@@ -175,7 +174,7 @@ def _sorted_shards(batches: Iterator[pa.RecordBatch], length: int, gram: int, sh
 
 def repeated_runs(distinct: DataFrame, length: int, gram: int, shard: int, crowd: int) -> DataFrame:
     """(c1, c2, a, b): runs of repeated strings within different pieces, from shards or, for crowded anchors, by hash."""
-    crowded = checkpointed(distinct.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("anchor"))
+    crowded = checkpointed(distinct.select("anchor", "c1", "c2").distinct().groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("anchor"))
     usual = distinct.join(crowded, "anchor", "left_anti") if crowded.head(1) else distinct
     dealt = usual.select("anchor", "c1", "c2", "own", "piece").repartition("anchor").sortWithinPartitions("anchor", "c1", "c2")
     runs = dealt.mapInArrow(lambda b: _sorted_shards(b, length, gram, shard), "c1 bigint, c2 bigint, a int, b int")
@@ -213,8 +212,9 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, sha
         raise ValueError("gram must be a power of two, at most length")
     keyed = _keyed(docs)
     wanted = docs.sparkSession.sparkContext.broadcast(bit_filter(repeated_anchors(keyed, length, gram), bits))
-    distinct = checkpointed(pieces(keyed, wanted, length, gram, bits, True).groupBy("anchor", "c1", "c2", "own").agg(F.first("piece").alias("piece")))
-    places = pieces(keyed, wanted, length, gram, bits, False).select("c1", "c2", "k1", "k2", "first", "own")
+    cut = checkpointed(pieces(keyed, wanted, length, gram, bits))
+    distinct = cut.where("piece IS NOT NULL").groupBy("anchor", "c1", "c2", "own").agg(F.first("piece").alias("piece"))
+    places = cut.select("c1", "c2", "k1", "k2", "first", "own")
     place: Column = F.xxhash64("k1", "k2", "first")
     whole = places.groupBy("c1", "c2").agg(F.min(place).alias("p"), F.max(place).alias("q"), F.first("own").alias("own")).where("p <> q").select("c1", "c2", F.lit(0).alias("a"), F.col("own").alias("b"))
     found = repeated_runs(distinct, length, gram, shard, crowd).union(whole).groupBy("c1", "c2").agg(F.collect_list(F.struct("a", "b")).alias("runs"))

@@ -1,7 +1,8 @@
 """Suffix arrays of byte shards by induced sorting, in numpy, and permuted common prefixes.
 
 The linear scans of induced sorting go bucket by bucket: all entries that a bucket holds at one time induce their predecessors at
-once, in order, and what falls into the same bucket is taken in a next turn, as a scan from left to right would.
+once, in order, and what falls into the same bucket is taken in a next turn, as a scan from left to right would. Strings of names, whose
+alphabets are large, are scanned entry by entry.
 """
 
 from __future__ import annotations
@@ -9,8 +10,8 @@ from __future__ import annotations
 import numpy as np
 
 SEPARATOR = 0xFF  # occurs in no UTF-8 text
-#: Alphabets beyond this are ranked by doubling instead of by a scan over buckets.
-MOST_BUCKETS = 2048
+#: Alphabets beyond this are scanned entry by entry, as a turn per bucket would serve few.
+MOST_TURNS = 1024
 
 
 def _types(s: np.ndarray) -> np.ndarray:
@@ -74,27 +75,46 @@ def _induce(s: np.ndarray, small: np.ndarray, lms: np.ndarray, size: np.ndarray)
     return sa
 
 
-def _doubled(names: np.ndarray, depth: int) -> np.ndarray:
-    """Order of the suffixes of `names` to `depth` symbols, by doubling the compared length."""
-    n, rank, k = len(names), names.astype(np.int64), 1
-    while True:
-        key = rank * (n + 2)
-        key[:-k or None] += np.append(rank[k:] + 1, np.zeros(0, np.int64))[: n - k] if k < n else 0
-        order = np.argsort(key, kind="stable")
-        fresh = np.concatenate(([0], np.diff(key[order]) != 0))
-        rank[order] = np.cumsum(fresh)
-        k *= 2
-        if k >= depth or k >= n or rank[order[-1]] == n - 1:
-            return order
+def _induce_names(s: np.ndarray, small: np.ndarray, lms: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The same for alphabets of which most buckets hold few suffixes: a scan entry by entry."""
+    n, ends = len(s), np.cumsum(size)
+    text, head, tail = s.tolist(), (ends - size).tolist(), ends.tolist()
+    # The bucket of each larger (smaller) suffix, -1 for the others and for the sentinel, which place -1 means: 0 stands where nothing is known.
+    larger, smaller = np.where(small, -1, s), np.where(small, s, -1)
+    smaller[-1] = -1
+    larger, smaller = larger.tolist(), smaller.tolist()
+    sa = [0] * n
+    for p in lms[::-1].tolist():
+        c = text[p]
+        tail[c] = at = tail[c] - 1
+        sa[at] = p
+    for p in sa:  # sees what it puts further on
+        c = larger[p - 1]
+        if c >= 0:
+            at = head[c]
+            head[c] = at + 1
+            sa[at] = p - 1
+    tail = ends.tolist()
+    for p in reversed(sa):
+        c = smaller[p - 1]
+        if c >= 0:
+            tail[c] = at = tail[c] - 1
+            sa[at] = p - 1
+    sa[0] = n - 1  # the sentinel
+    return np.array(sa, np.int32)
+
 
+def induced_order(s: np.ndarray, buckets: int) -> np.ndarray:
+    """Suffix array of `s`, whose last symbol is a unique smallest one.
 
-def induced_order(s: np.ndarray, buckets: int, depth: int) -> np.ndarray:
-    """Suffix array of `s`, whose last symbol is a unique smallest one; suffixes that agree in `depth` symbols may stand in any order."""
+    Leftmost-smaller substrings are sorted by one induction and named; if names repeat, the string of the names is sorted in the same way.
+    """
     small = _types(s)
     size = np.bincount(s, minlength=buckets)
     lms = np.flatnonzero(small[1:] & ~small[:-1]).astype(np.int32) + 1
+    induce = _induce if buckets <= MOST_TURNS else _induce_names
     if len(lms) > 1:
-        sa = _induce(s, small, lms, size)
+        sa = induce(s, small, lms, size)
         is_lms = np.zeros(len(s), bool)
         is_lms[lms] = True
         ordered = sa[is_lms[sa]]
@@ -117,13 +137,8 @@ def induced_order(s: np.ndarray, buckets: int, depth: int) -> np.ndarray:
         names = np.zeros(len(lms), np.int64)
         names[number[ordered]] = np.concatenate(([0], np.cumsum(~same)))
         top = int(names.max()) + 1
-        if top == len(lms):
-            lms = ordered
-        elif top <= MOST_BUCKETS and top * 64 <= len(lms):
-            lms = lms[induced_order(names, top, depth)]
-        else:
-            lms = lms[_doubled(names, depth)]
-    return _induce(s, small, lms, size)
+        lms = ordered if top == len(lms) else lms[induced_order(names, top)]
+    return induce(s, small, lms, size)
 
 
 def permuted_prefixes(data: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
@@ -169,8 +184,7 @@ def repeated_starts(pieces: list[bytes], own: list[int], length: int) -> list[li
     begin = np.cumsum(size) - size
     data = np.frombuffer(bytes([SEPARATOR]).join(pieces) + bytes([SEPARATOR]), np.uint8)
     symbols = np.append(data.astype(np.int16) + 1, 0)
-    # Every second symbol at least starts no substring, so `length` names reach beyond `length` bytes.
-    sa = induced_order(symbols, 257, length)[1:]
+    sa = induced_order(symbols, 257)[1:]
     shared = permuted_prefixes(data, sa, 2 * max(length, int(size.max())))
     owned = np.zeros(len(data) + 1, np.int8)
     np.add.at(owned, begin, 1)
