@@ -3,8 +3,10 @@
 All rolling 3-word hashes of every document are joined to the positions of the same hashes in the license templates (a fixed list, so
 its broadcast is bounded). A shared passage lines up on one offset diagonal (place in the document less place in the template), and an
 inserted or missing word moves it to a neighbouring one: votes are aggregated by diagonal, neighbouring diagonals are merged, and a merged
-span is verified by the share of the template's words that it covers.
-Defined results: null and empty texts have no words and score 0; repeated rows each get the labels of their text; null ids are kept.
+span is verified by the share of the template's words that it covers. Of verified spans that overlap only the best counts (most words
+covered, then the larger share, then the earlier template), so that a notice isn't read as its near relation.
+Defined results: null and empty texts have no words and score 0; repeated rows each get the labels of their text; null ids are kept; spans of equal
+rank can't be, as templates differ; very long texts are one array of words each; an empty table gives no rows; other columns are never read.
 """
 
 from __future__ import annotations
@@ -25,15 +27,29 @@ PHRASES = (
 TEMPLATES = (
     ("gpl", "This work is licensed under the GNU General Public License, version 3."),
     ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation."),
+    ("gpl", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see"),
+    ("agpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("lgpl", "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details. You should have received a copy of the GNU Lesser General Public License along with this library"),
     ("apache", "Licensed under the Apache License, Version 2.0."),
     ("apache", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at'),
+    ("apache", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
     ("mit", "Released under the MIT License."),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction"),
+    ("mit", "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("bsd", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("mpl", "If a copy of the MPL was not distributed with this file, You can obtain one at"),
+    ("epl", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at"),
+    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     ("cc-by", "Licensed under CC BY 4.0."),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
     ("cc-by-sa", "Licensed under CC BY-SA 4.0."),
     ("reserved", "All rights reserved."),
@@ -68,13 +84,21 @@ def license_spans(keyed: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     merged = diagonals.withColumn("fresh", fresh.cast("int")).withColumn("span", F.sum("fresh").over(along))
     spans = merged.groupBy(*key, "label", "length", "span").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"), F.min(F.col("diagonal") + F.array_min("at")).alias("first"), F.max(F.col("diagonal") + F.array_max("at") + GRAM - 1).alias("last"))
     covered = F.size(F.array_distinct(F.flatten(F.transform("at", lambda p: F.array(*[p + k for k in range(GRAM)])))))
-    return spans.select(*key, "label", "first", "last", (covered / F.col("length")).alias("coverage")).where(F.col("coverage") >= coverage)
+    return spans.select(*key, "label", "first", "last", covered.alias("n"), (covered / F.col("length")).alias("coverage")).where(F.col("coverage") >= coverage)
+
+
+def best_spans(spans: DataFrame) -> DataFrame:
+    """doc_id, text_key, spans: of each document's verified spans those that no better one overlaps."""
+    rank = lambda s: F.struct(s["n"], s["coverage"], -s["template"])
+    beaten = lambda s: F.exists("all", lambda o: (o["first"] <= s["last"]) & (s["first"] <= o["last"]) & (rank(o) > rank(s)))
+    listed = spans.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("template", "label", "first", "last", "n", "coverage")).alias("all"))
+    return listed.select("doc_id", "text_key", F.filter("all", lambda s: ~beaten(s)).alias("spans"))
 
 
 def scan_licenses(docs: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score: one row per row of `docs`."""
     keyed = documents(docs).select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    found = license_spans(keyed, coverage).groupBy("doc_id", "text_key").agg(F.collect_set("label").alias("found"), F.max("coverage").alias("best"))
+    found = best_spans(license_spans(keyed, coverage)).select("doc_id", "text_key", F.col("spans.label").alias("found"), F.array_max("spans.coverage").alias("best"))
     rows = keyed.select("doc_id", "text_key", words_of(F.col("text")).alias("words"))
     rows = rows.select("*", F.concat(F.lit(" "), F.concat_ws(" ", "words"), F.lit(" ")).alias("flat"))
     held = [F.col("flat").contains(f" {phrase} ") for phrase, _ in PHRASES]
@@ -119,8 +143,10 @@ dg AS (SELECT doc_id, i - 1 AS place, array_to_string(w[i:i + {GRAM - 1}], ' ')
 hits AS (SELECT doc_id, template, label, length, pos, place - pos AS diagonal FROM dg JOIN tg USING (gram)),
 fresh AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) <= {APART} THEN 0 ELSE 1 END AS fresh FROM (SELECT DISTINCT doc_id, template, diagonal FROM hits)),
 spans AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS span FROM fresh),
-covered AS (SELECT doc_id, label, count(DISTINCT pos + k) / length AS coverage FROM hits JOIN spans USING (doc_id, template, diagonal), unnest(range(0, {GRAM})) AS u(k) GROUP BY doc_id, template, label, length, span),
-found AS (SELECT doc_id, list(DISTINCT label) AS labels, max(coverage) AS best FROM covered WHERE coverage >= {COVERAGE}::DOUBLE GROUP BY doc_id),
+covered AS (SELECT doc_id, template, label, min(diagonal + pos) AS first, max(diagonal + pos + k) AS last, count(DISTINCT pos + k) AS n, count(DISTINCT pos + k) / length AS coverage
+  FROM hits JOIN spans USING (doc_id, template, diagonal), unnest(range(0, {GRAM})) AS u(k) GROUP BY doc_id, template, label, length, span HAVING count(DISTINCT pos + k) / length >= {COVERAGE}::DOUBLE),
+found AS (SELECT doc_id, list(DISTINCT label) AS labels, max(coverage) AS best FROM covered s
+  WHERE NOT EXISTS (SELECT 1 FROM covered o WHERE o.doc_id = s.doc_id AND o.first <= s.last AND s.first <= o.last AND (o.n, o.coverage, -o.template) > (s.n, s.coverage, -s.template)) GROUP BY doc_id),
 base AS (SELECT doc_id, count(*) AS n_base, min(i) - 1 AS first_word, max(i) - 1 AS last_word, list(DISTINCT CASE w[i] {_LABEL} END) AS labels FROM d, unnest(range(1, len(w) + 1)) AS u(i) WHERE {_HELD} GROUP BY doc_id)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
 array_to_string(list_sort(coalesce(base.labels, [])), ',') AS base_labels, array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(found.labels, [])))), ',') AS labels,
