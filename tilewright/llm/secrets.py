@@ -2,7 +2,9 @@
 
 The entropy of a window is kept by incremental counts: moving one place changes two counts, so a string costs
 time linear in its length. Each character class has its own alphabet and threshold; an allow-list suppresses
-identifiers that look random but are public. Null and empty texts have no spans.
+identifiers that look random but are public, and letters alone where they fall into words of an identifier.
+Defined results: null and empty texts have no spans; rows with null or repeated ids are scanned like any other; of spans with one start the kinds
+stand in the order listed; very long texts are read whole, in time linear in their length; an empty table gives no rows; other columns are never read.
 """
 
 from __future__ import annotations
@@ -33,7 +35,9 @@ CLASSES = (
 )
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 #: Public strings that look random: whole candidates or whole runs of a narrower class, parts of candidates, and words that make the letters and digits around them public.
-ALLOW = (re.compile(r"[0-9_/=+-]+"), re.compile(r"[A-Za-z_/=+-]+"))
+ALLOW = (re.compile(r"[0-9_/=+-]+"),)
+#: The words of an identifier without digits, and how many letters they must have on average to be words.
+LETTERS, PART, PART_SIZE = re.compile(r"[A-Za-z_/=+-]+"), re.compile(r"[A-Z]?[a-z]+|[A-Z]+"), 3
 ALLOW_PART = re.compile(r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", re.I)
 ALLOW_WORD = re.compile(r"(?i)[A-Za-z0-9]*(example|sample|placeholder|changeme|xxxx|0123456789|abcdefgh)[A-Za-z0-9]*")
 _BITS = [0.0] + [c / WINDOW * math.log2(c / WINDOW) for c in range(1, WINDOW + 1)]
@@ -58,6 +62,14 @@ def window_entropies(text: str, size: int = WINDOW) -> list[float]:
     return out
 
 
+def is_words(unit: str) -> bool:
+    """Whether a string without digits reads as words in any case; random letters change case too often."""
+    if not LETTERS.fullmatch(unit):
+        return False
+    parts = PART.findall(unit)
+    return sum(map(len, parts)) >= PART_SIZE * len(parts)
+
+
 def entropy_spans(text: str, window: int = WINDOW) -> list[tuple[int, int]]:
     """Runs of windows of a candidate string that reach a class's threshold.
 
@@ -71,7 +83,7 @@ def entropy_spans(text: str, window: int = WINDOW) -> list[tuple[int, int]]:
         units = {x.span(): bits for _, pattern, bits in reversed(CLASSES) for x in pattern.finditer(s) if x.end() - x.start() >= window}
         for (start, end), least in units.items():
             unit = s[start:end]
-            if any(a.fullmatch(unit) for a in ALLOW):
+            if any(a.fullmatch(unit) for a in ALLOW) or is_words(unit):
                 continue
             open_at = None
             for i, e in enumerate([*window_entropies(unit, window), -1.0], start):
