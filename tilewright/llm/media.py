@@ -1,8 +1,10 @@
 """Media columns: ISO base media containers, read by walking their boxes and sample tables.
 
-`probe` reads only boxes and tables; no payload is decoded. `mux` stores bytes as 8-bit mono samples.
+`probe` reads only boxes and tables, those of movie fragments too; no payload is decoded. `mux` stores bytes as 8-bit mono samples.
 Defined results: empty or null input has no tracks and status 'empty'; a box that overruns its parent or
-a table that points outside the file gives status 'broken' with what was read before; unknown boxes are skipped.
+a table that points outside the file gives status 'broken' with what was read before; unknown boxes are skipped; a fragment of an unknown track is
+'broken'. Rows with null or repeated ids are read like any other, equal bytes give equal values; a very long text is one container; an empty
+table gives no rows; other columns are never read.
 """
 
 from __future__ import annotations
@@ -17,7 +19,11 @@ from pyspark.sql import DataFrame
 from .common import documents, map_rows
 
 #: Boxes that hold boxes (fixed values of the format).
-PARENTS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta"}
+PARENTS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta", b"mvex", b"moof", b"traf"}
+#: Bits of a track fragment's and a run's flags (fixed values of the format).
+BASE_OFFSET, DESCRIPTION, DURATION, SIZE, FLAGS = 0x1, 0x2, 0x8, 0x10, 0x20
+RUN_OFFSET, RUN_FIRST_FLAGS, RUN_DURATION, RUN_SIZE, RUN_FLAGS, RUN_SHIFT = 0x1, 0x4, 0x100, 0x200, 0x400, 0x800
+NOT_SYNC = 0x10000
 UNIT, RATE, KEY_EVERY = 576, 8000, 16
 
 
@@ -66,6 +72,7 @@ def mux(payload: bytes, unit: int = UNIT, rate: int = RATE, key_every: int = KEY
 
 @dataclass
 class Track:
+    number: int = 0
     handler: str = ""
     codec: str = ""
     timescale: int = 0
@@ -76,12 +83,26 @@ class Track:
     chunks: list[int] = field(default_factory=list)
     sync: list[int] | None = None
     ranges: list[tuple[int, int]] = field(default_factory=list)
+    #: Duration, size and flags of a sample of a fragment that doesn't give them, and what fragments hold: (begin, end, duration, sync).
+    usual: tuple[int, int, int] = (0, 0, 0)
+    pieces: list[tuple[int, int, int, bool]] = field(default_factory=list)
+
+    @property
+    def samples(self) -> list[tuple[int, int]]:
+        """Byte ranges of all samples, those of fragments last."""
+        return self.ranges + [(a, b) for a, b, _, _ in self.pieces]
 
     @property
     def keys(self) -> list[tuple[int, int]]:
         """Byte ranges of the sync samples; without a sync table every sample is one."""
         n = len(self.ranges)
-        return self.ranges if self.sync is None else [self.ranges[k - 1] for k in self.sync if 1 <= k <= n]
+        own = self.ranges if self.sync is None else [self.ranges[k - 1] for k in self.sync if 1 <= k <= n]
+        return own + [(a, b) for a, b, _, sync in self.pieces if sync]
+
+    @property
+    def seconds(self) -> float | None:
+        """The header's duration and that of the fragments; null without a time scale."""
+        return (self.duration + sum(d for *_, d, _ in self.pieces)) / self.timescale if self.timescale else None
 
 
 def boxes(data: bytes, at: int, end: int):
@@ -105,6 +126,8 @@ def _table(track: Track, data: bytes, kind: bytes, at: int, end: int) -> None:
     version = data[at]
     if kind == b"mdhd":
         track.timescale, track.duration = struct.unpack_from(">IQ" if version else ">II", data, at + (20 if version else 12))
+    elif kind == b"tkhd":
+        track.number = struct.unpack_from(">I", data, at + (20 if version else 12))[0]
     elif kind == b"hdlr":
         track.handler = data[at + 8 : at + 12].decode("latin-1")
     elif kind == b"stsd" and struct.unpack_from(">I", data, at + 4)[0]:
@@ -136,13 +159,77 @@ def _table(track: Track, data: bytes, kind: bytes, at: int, end: int) -> None:
             track.chunks = list(flat)
 
 
-def _walk(data: bytes, at: int, end: int, tracks: list[Track]) -> None:
+@dataclass
+class Fragment:
+    """Where the samples of a track fragment go on, and what they have by default."""
+
+    track: Track
+    base: int
+    usual: tuple[int, int, int]
+
+
+def _fragment(data: bytes, at: int, end: int, moof: int, tracks: list[Track]) -> Fragment:
+    """A track fragment's header; without a base of its own, places count from the movie fragment."""
+    flags, number = struct.unpack_from(">II", data, at)
+    flags, at = flags & 0xFFFFFF, at + 8
+    track = next((t for t in tracks if t.number == number), None)
+    if track is None:
+        raise ValueError("a fragment of an unknown track")
+    base, usual = moof, list(track.usual)
+    if flags & BASE_OFFSET:
+        base, at = struct.unpack_from(">Q", data, at)[0], at + 8
+    at += 4 if flags & DESCRIPTION else 0
+    for k, bit in enumerate((DURATION, SIZE, FLAGS)):
+        if flags & bit:
+            usual[k], at = struct.unpack_from(">I", data, at)[0], at + 4
+    return Fragment(track, base, tuple(usual))
+
+
+def _run(data: bytes, at: int, end: int, fragment: Fragment, following: int | None) -> int:
+    """Adds the samples of one run; returns where the next run begins unless it says so itself."""
+    flags, n = struct.unpack_from(">II", data, at)
+    flags, at = flags & 0xFFFFFF, at + 8
+    place = fragment.base if following is None else following
+    if flags & RUN_OFFSET:
+        place, at = fragment.base + struct.unpack_from(">i", data, at)[0], at + 4
+    first = None
+    if flags & RUN_FIRST_FLAGS:
+        first, at = struct.unpack_from(">I", data, at)[0], at + 4
+    given = [k for k, bit in enumerate((RUN_DURATION, RUN_SIZE, RUN_FLAGS)) if flags & bit]
+    width = len(given) + bool(flags & RUN_SHIFT)
+    if at + 4 * n * width > end or n > len(data):
+        raise ValueError("a run overruns")
+    for k in range(n):
+        values = list(fragment.usual)
+        if k == 0 and first is not None:
+            values[2] = first
+        for column, i in enumerate(given):
+            values[i] = struct.unpack_from(">I", data, at + 4 * (k * width + column))[0]
+        if place < 0 or place + values[1] > len(data):
+            raise ValueError("a sample lies outside the file")
+        fragment.track.pieces.append((place, place + values[1], values[0], not values[2] & NOT_SYNC))
+        place += values[1]
+    return place
+
+
+def _walk(data: bytes, at: int, end: int, tracks: list[Track], moof: int = 0) -> None:
+    fragment, following, before = None, None, at
     for kind, body, stop in boxes(data, at, end):
         if kind == b"trak":
             tracks.append(Track())
         if kind in PARENTS:
-            _walk(data, body, stop, tracks)
-        elif tracks and kind in (b"mdhd", b"hdlr", b"stsd", b"stts", b"stss", b"stsc", b"stsz", b"stz2", b"stco", b"co64"):
+            _walk(data, body, stop, tracks, before if kind == b"moof" else moof)
+        elif kind == b"trex":
+            number, _, *usual = struct.unpack_from(">5I", data, body + 4)
+            for t in tracks:
+                if t.number == number:
+                    t.usual = tuple(usual)
+        elif kind == b"tfhd":
+            fragment, following = _fragment(data, body, stop, moof, tracks), None
+        elif kind == b"trun" and fragment:
+            following = _run(data, body, stop, fragment, following)
+        before = stop
+        if tracks and kind in (b"tkhd", b"mdhd", b"hdlr", b"stsd", b"stts", b"stss", b"stsc", b"stsz", b"stz2", b"stco", b"co64"):
             _table(tracks[-1], data, kind, body, stop)
 
 
@@ -174,16 +261,22 @@ def probe(data: bytes | None) -> tuple[str, list[Track]]:
     return "ok", tracks
 
 
+RANGES = "array<struct<start:bigint,end:bigint>>"
+
+
+def track_row(track: Track) -> dict:
+    return {"handler": track.handler, "codec": track.codec.strip(), "duration_s": track.seconds, "n_samples": len(track.samples), "keyframes": [{"start": a, "end": b} for a, b in track.keys]}
+
+
 def media_columns(df: DataFrame, key: str = "media_id", media: str = "media") -> DataFrame:
-    """Codec, duration and keyframe byte ranges of each container; one row per input row, payloads untouched."""
+    """Codec, duration and keyframe byte ranges of every track of each container; one row per input row, payloads untouched."""
 
     def read(keys, blobs):
         found = [probe(b) for b in blobs]
-        first = [t[0] if t else Track() for _, t in found]
-        return keys, [s for s, _ in found], [len(t) for _, t in found], [t.codec for t in first], [t.duration / t.timescale if t.timescale else None for t in first], [len(t.ranges) for t in first], [[{"start": a, "end": b} for a, b in t.keys] for t in first]
+        return keys, [s for s, _ in found], [[track_row(t) for t in tracks] for _, tracks in found]
 
     kind = dict(df.dtypes)[key]
-    return map_rows(df, read, f"{key} {kind}, status string, n_tracks int, codec string, duration_s double, n_samples int, keyframes array<struct<start:bigint,end:bigint>>", [key, media], rows=64)
+    return map_rows(df, read, f"{key} {kind}, status string, tracks array<struct<handler:string,codec:string,duration_s:double,n_samples:int,keyframes:{RANGES}>>", [key, media], rows=64)
 
 
 def padded(text: str) -> bytes:
@@ -201,10 +294,10 @@ def store_texts(docs: DataFrame) -> DataFrame:
 
 
 def read_back(stored: DataFrame) -> DataFrame:
-    """Digests of the samples and tables read back from the stored bytes."""
+    """Digests of the samples and tables read back from the stored bytes, and codec, duration and keyframe byte ranges of the one track."""
 
     def read(ids, sizes, blobs):
-        out = [[] for _ in range(6)]
+        out = [[] for _ in range(9)]
         for blob in blobs:
             status, tracks = probe(blob)
             if status != "ok" or len(tracks) != 1:
@@ -213,8 +306,8 @@ def read_back(stored: DataFrame) -> DataFrame:
             payload = b"".join(blob[a:b] for a, b in t.ranges)
             keys = hashlib.sha256(",".join(f"{a}-{b}" for a, b in t.keys).encode()).hexdigest()[:16]
             feature = f"{t.handler}:{t.codec.strip()}:{t.timescale}:{t.duration}:{len(t.ranges)}:{len(t.keys)}:{keys}"
-            for column, value in zip(out, (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(blob), hashlib.sha256(blob).hexdigest(), feature), strict=True):
+            for column, value in zip(out, (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(blob), hashlib.sha256(blob).hexdigest(), feature, t.codec.strip(), t.seconds, track_row(t)["keyframes"]), strict=True):
                 column.append(value)
         return ids, sizes, *out
 
-    return map_rows(stored, read, "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string", ["doc_id", "n_bytes", "media"], rows=256)
+    return map_rows(stored, read, f"doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, codec string, duration_s double, keyframes {RANGES}", ["doc_id", "n_bytes", "media"], rows=256)
