@@ -1,13 +1,15 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling over character and word inputs.
 
-Inputs of a word are weights of evidence (log odds of the label, from documents that hold the key) of the whole word and of its
-leading four and six and last four bytes, so unseen words are read by their characters. The network reads windows of WINDOW words that overlap
-(one every STRIDE words, to the end of the text), pools each window by attention and gives it a logit; a document's score joins
-the largest, the mean of the three largest and the mean over all of its windows.
+Characters: a bidirectional GRU reads the bytes of each word, all of them, from learnt embeddings, and its two last states are inputs of the word.
+Words: beside them, weights of evidence (log odds of the label, from documents that hold the key) of the whole word and of its
+leading four and six and last four bytes. A second bidirectional GRU reads windows of WINDOW words that overlap
+(one every STRIDE words, to the end of the text), pools each window by attention and gives it a logit; both are trained together. A document's score
+joins the largest, the mean of the three largest and the mean over all of its windows. A word of more than PIECE bytes is read as several.
 Training runs on the driver in numpy over at most `max_rows` labelled documents of each class that are not held out and have at most
 `max_chars` characters (the smallest hashes of their ids); scoring reads whole texts of all documents.
 Defined results: empty and null texts, and texts without words, get the prior as their score; without rows of both classes every
-score is near the prior, which is 0 without any label, so that nothing is rejected unlearnt; repeated ids keep all their rows.
+score is near the prior, which is 0 without any label, so that nothing is rejected unlearnt; repeated and null ids keep all their rows; equal
+texts get equal scores; very long texts are read whole, in windows; an empty table gives no rows; other columns are never read.
 """
 
 from __future__ import annotations
@@ -23,12 +25,33 @@ from .common import documents, held_out, map_rows, word_table
 
 WINDOW, STRIDE, HIDDEN, KEYS, SLOTS = 64, 48, 8, 4, 1 << 19
 MAX_ROWS, MAX_CHARS = 1500, 20_000
-_INPUTS = KEYS + 2
+PIECE, EMBED, SPELL = 32, 6, 4
+_EVIDENCE = KEYS + 2
+_INPUTS = _EVIDENCE + 2 * SPELL
 
 
-def word_keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Slots of each word's keys (words x KEYS), the words' lengths in bytes, and the first word of each text (and one more)."""
+@dataclass
+class Words:
+    """Words of some texts: slots of their keys (words x KEYS), bytes and lengths of the different ones, which one each is, and the first word of each text."""
+
+    keys: np.ndarray
+    size: np.ndarray
+    letters: np.ndarray
+    lengths: np.ndarray
+    which: np.ndarray
+    first: np.ndarray
+
+
+def words_of(texts: list[str]) -> Words:
     data, begin, end, words, first = word_table(texts)
+    parts = np.maximum(1, -(-(end - begin) // PIECE))
+    if len(parts) and parts.max() > 1:
+        ends = np.cumsum(parts)
+        step = np.arange(ends[-1]) - np.repeat(ends - parts, parts)
+        begin = np.repeat(begin, parts) + step * PIECE
+        end = np.minimum(begin + PIECE, np.repeat(end, parts))
+        words = np.repeat(words, parts) + step.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        first = np.concatenate([[0], ends])[first]
     size = end - begin
     head, tail = np.zeros((2, len(begin)), np.uint64)
     four = head
@@ -41,7 +64,18 @@ def word_keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             tail |= np.where(k < size, data[np.maximum(end - 1 - k, 0)], 0).astype(np.uint64) << np.uint64(8 * k)
     keys = np.stack([words, four ^ np.uint64(1 << 60), head ^ np.uint64(2 << 60), tail ^ np.uint64(3 << 60)], axis=1)
     keys *= np.uint64(0x9E3779B97F4A7C15)
-    return (keys >> np.uint64(64 - 19)).astype(np.int32), size, first
+    _, own, which = np.unique(words, return_index=True, return_inverse=True)
+    at = begin[own][:, None] + np.arange(PIECE)
+    letters = np.where(at < end[own][:, None], data[np.minimum(at, len(data) - 1)], 0)
+    return Words((keys >> np.uint64(64 - 19)).astype(np.int32), size, letters, size[own], which, first)
+
+
+def joined_words(parts: list[Words]) -> Words:
+    """The words of several lists of texts as of one."""
+    shift = np.cumsum([0] + [len(p.letters) for p in parts])
+    first = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p.first) for p in parts]))])
+    column = lambda name: np.concatenate([getattr(p, name) for p in parts])
+    return Words(column("keys"), column("size"), column("letters"), column("lengths"), np.concatenate([p.which + s for p, s in zip(parts, shift, strict=False)]), first)
 
 
 def windows_of(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -67,21 +101,23 @@ class Network:
     joined: np.ndarray
     prior: float
 
-    def inputs(self, keys: np.ndarray, size: np.ndarray) -> np.ndarray:
-        x = np.empty((len(keys), _INPUTS), np.float32)
+    def evidence_of(self, keys: np.ndarray, size: np.ndarray) -> np.ndarray:
+        x = np.empty((len(keys), _EVIDENCE), np.float32)
         for k in range(KEYS):
             x[:, k] = self.evidence[k, keys[:, k]]
         x[:, KEYS] = np.minimum(size, 32) / 16
         x[:, KEYS + 1] = x[:, :KEYS].max(axis=1)
         return x
 
+    def inputs(self, evidence: np.ndarray, words: Words) -> np.ndarray:
+        """Evidence and spelling of each word."""
+        return np.concatenate([evidence, spell(self.weights, words.letters, words.lengths)[0][words.which]], axis=1)
+
     def batch(self, x: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(steps x windows x inputs, steps x windows) with the places beyond a window's end masked."""
-        steps = max(int(size.max()), 1)
-        at = begin[None, :] + np.arange(steps)[:, None]
-        held = np.arange(steps)[:, None] < size[None, :]
-        padded = x[np.minimum(at, max(len(x) - 1, 0))] if len(x) else np.zeros((*at.shape, _INPUTS), np.float32)
-        return padded * held[:, :, None], held.astype(np.float32)
+        at, held = places(begin, size, len(x))
+        padded = x[at] if len(x) else np.zeros((*at.shape, _INPUTS), np.float32)
+        return padded * held[:, :, None], held
 
     def window_logits(self, x: np.ndarray, begin: np.ndarray, size: np.ndarray, rows: int = 2048) -> np.ndarray:
         out = np.empty(len(begin), np.float32)
@@ -92,10 +128,11 @@ class Network:
         return out
 
     def score(self, texts: list[str]) -> np.ndarray:
-        keys, length, first = word_keys(texts)
-        begin, size, doc = windows_of(first)
-        scores = _sigmoid(self.document_features(self.window_logits(self.inputs(keys, length), begin, size), doc, len(texts)) @ self.joined)
-        return np.where(np.diff(first) > 0, scores, self.prior)
+        words = words_of(texts)
+        begin, size, doc = windows_of(words.first)
+        x = self.inputs(self.evidence_of(words.keys, words.size), words)
+        scores = _sigmoid(self.document_features(self.window_logits(x, begin, size), doc, len(texts)) @ self.joined)
+        return np.where(np.diff(words.first) > 0, scores, self.prior)
 
     @staticmethod
     def document_features(logits: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
@@ -109,26 +146,89 @@ class Network:
         return np.stack([ranked[start], top, np.bincount(doc[order], ranked, n) / count, np.ones(n)], axis=1)
 
 
-def forward(w: dict[str, np.ndarray], x: np.ndarray, held: np.ndarray, keep: bool = False):
-    """Logits of a batch of windows; with `keep`, also what the backward pass needs."""
+def places(begin: np.ndarray, size: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (steps x windows) among `n` words, and which of them lie within their window."""
+    steps = max(int(size.max()), 1)
+    at = begin[None, :] + np.arange(steps)[:, None]
+    return np.minimum(at, max(n - 1, 0)), (np.arange(steps)[:, None] < size[None, :]).astype(np.float32)
+
+
+def gru(w: dict[str, np.ndarray], layer: str, x: np.ndarray, held: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
+    """States (steps x rows x both directions) of a layer, which stand still where nothing is held; with `keep`, what its gradients need."""
     steps, n, _ = x.shape
-    h2 = 2 * HIDDEN
-    states = np.empty((steps, n, h2), np.float32)
+    size = len(w[f"{layer}rec0"])
+    states = np.empty((steps, n, 2 * size), np.float32)
     kept = []
     for d, order in ((0, range(steps)), (1, range(steps - 1, -1, -1))):
-        p = x @ w[f"in{d}"] + w[f"bias{d}"]
-        h = np.zeros((n, HIDDEN), np.float32)
+        p = x @ w[f"{layer}in{d}"] + w[f"{layer}bias{d}"]
+        h = np.zeros((n, size), np.float32)
         for t in order:
-            g = h @ w[f"rec{d}"]
-            zr = _sigmoid(p[t, :, :h2] + g[:, :h2])
-            z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-            c = np.tanh(p[t, :, h2:] + r * g[:, h2:])
+            g = h @ w[f"{layer}rec{d}"]
+            zr = _sigmoid(p[t, :, : 2 * size] + g[:, : 2 * size])
+            z, r = zr[:, :size], zr[:, size:]
+            c = np.tanh(p[t, :, 2 * size :] + r * g[:, 2 * size :])
             m = held[t][:, None]
             new = h + m * (1 - z) * (c - h)
             if keep:
-                kept.append((d, t, h, z, r, c, g[:, h2:]))
+                kept.append((d, t, h, z, r, c, g[:, 2 * size :]))
             h = new
-            states[t, :, d * HIDDEN : (d + 1) * HIDDEN] = h
+            states[t, :, d * size : (d + 1) * size] = h
+    return states, kept
+
+
+def gru_back(w: dict[str, np.ndarray], layer: str, x: np.ndarray, held: np.ndarray, kept: list, dstates: np.ndarray, g: dict[str, np.ndarray]) -> np.ndarray:
+    """Adds a layer's gradients to `g`; returns those of its inputs."""
+    size = len(w[f"{layer}rec0"])
+    dx = np.zeros_like(x)
+    for d in (0, 1):
+        dh = np.zeros((x.shape[1], size), np.float32)
+        dp = np.zeros(x.shape[:2] + (3 * size,), np.float32)
+        for _, t, h, z, r, c, gc in reversed([k for k in kept if k[0] == d]):
+            dh = dh + dstates[t, :, d * size : (d + 1) * size]
+            m = held[t][:, None]
+            dc = dh * m * (1 - z) * (1 - c * c)
+            dz = -dh * m * (c - h) * z * (1 - z)
+            dr = dc * gc * r * (1 - r)
+            dp[t] = np.concatenate([dz, dr, dc], axis=1)
+            drec = np.concatenate([dz, dr, dc * r], axis=1)
+            g[f"{layer}rec{d}"] += h.T @ drec
+            dh = dh * (1 - m * (1 - z)) + drec @ w[f"{layer}rec{d}"].T
+        g[f"{layer}in{d}"] += np.tensordot(x, dp, ((0, 1), (0, 1)))
+        g[f"{layer}bias{d}"] += dp.sum(axis=(0, 1))
+        dx += dp @ w[f"{layer}in{d}"].T
+    return dx
+
+
+def spell(w: dict[str, np.ndarray], letters: np.ndarray, lengths: np.ndarray, keep: bool = False, rows: int = 1024) -> tuple[np.ndarray, list]:
+    """The two last states of the byte layer for each different word; words of like lengths are read together."""
+    out, saved = np.zeros((len(letters), 2 * SPELL), np.float32), []
+    order = np.argsort(lengths, kind="stable")
+    for a in range(0, len(order), rows):
+        at = order[a : a + rows]
+        steps = max(int(lengths[at[-1]]), 1)
+        spelt = letters[at, :steps].T
+        x, held = w["letters"][spelt], (np.arange(steps)[:, None] < lengths[at][None, :]).astype(np.float32)
+        states, kept = gru(w, "char", x, held, keep)
+        out[at] = np.concatenate([states[-1, :, :SPELL], states[0, :, SPELL:]], axis=1)
+        if keep:
+            saved.append((at, spelt, x, held, kept))
+    return out, saved
+
+
+def spell_back(w: dict[str, np.ndarray], saved: list, dout: np.ndarray, g: dict[str, np.ndarray]) -> None:
+    """Adds the byte layer's gradients to `g`."""
+    for at, spelt, x, held, kept in saved:
+        dstates = np.zeros(spelt.shape + (2 * SPELL,), np.float32)
+        dstates[-1, :, :SPELL] = dout[at, :SPELL]
+        dstates[0, :, SPELL:] = dout[at, SPELL:]
+        dx = gru_back(w, "char", x, held, kept, dstates, g)
+        for k in range(EMBED):
+            g["letters"][:, k] += np.bincount(spelt.ravel(), dx[:, :, k].ravel(), 256)
+
+
+def forward(w: dict[str, np.ndarray], x: np.ndarray, held: np.ndarray, keep: bool = False):
+    """Logits of a batch of windows; with `keep`, also what the backward pass needs."""
+    states, kept = gru(w, "word", x, held, keep)
     u = np.tanh(states @ w["att"])
     score = np.where(held > 0, u @ w["focus"], -1e9)
     e = np.exp(score - score.max(axis=0)) * np.maximum(held, 1e-9)
@@ -138,11 +238,10 @@ def forward(w: dict[str, np.ndarray], x: np.ndarray, held: np.ndarray, keep: boo
     return (logit, (x, held, kept, states, u, a, pooled)) if keep else (logit, None)
 
 
-def backward(w: dict[str, np.ndarray], saved, dlogit: np.ndarray) -> dict[str, np.ndarray]:
-    """Gradients of the weights for the given gradients of the logits."""
+def backward(w: dict[str, np.ndarray], saved, dlogit: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Gradients of the weights and of the inputs for the given gradients of the logits."""
     x, held, kept, states, u, a, pooled = saved
     g = {k: np.zeros_like(v) for k, v in w.items()}
-    h2 = 2 * HIDDEN
     g["out"], g["const"][0] = pooled.T @ dlogit, dlogit.sum()
     dpool = dlogit[:, None] * w["out"]
     dstates = a[:, :, None] * dpool
@@ -152,30 +251,31 @@ def backward(w: dict[str, np.ndarray], saved, dlogit: np.ndarray) -> dict[str, n
     du = dscore[:, :, None] * w["focus"] * (1 - u * u)
     g["att"] = np.tensordot(states, du, ((0, 1), (0, 1)))
     dstates += du @ w["att"].T
-    for d in (0, 1):
-        dh = np.zeros(states.shape[1:2] + (HIDDEN,), np.float32)
-        dp = np.zeros(x.shape[:2] + (3 * HIDDEN,), np.float32)
-        for _, t, h, z, r, c, gc in reversed([k for k in kept if k[0] == d]):
-            dh = dh + dstates[t, :, d * HIDDEN : (d + 1) * HIDDEN]
-            m = held[t][:, None]
-            dc = dh * m * (1 - z) * (1 - c * c)
-            dz = -dh * m * (c - h) * z * (1 - z)
-            dr = dc * gc * r * (1 - r)
-            dp[t] = np.concatenate([dz, dr, dc], axis=1)
-            drec = np.concatenate([dz, dr, dc * r], axis=1)
-            g[f"rec{d}"] += h.T @ drec
-            dh = dh * (1 - m * (1 - z)) + drec @ w[f"rec{d}"].T
-        g[f"in{d}"] = np.tensordot(x, dp, ((0, 1), (0, 1)))
-        g[f"bias{d}"] = dp.sum(axis=(0, 1))
+    return g, gru_back(w, "word", x, held, kept, dstates, g)
+
+
+def loss_gradients(w: dict[str, np.ndarray], evidence: np.ndarray, words: Words, begin: np.ndarray, size: np.ndarray, slope) -> dict[str, np.ndarray]:
+    """Gradients of all weights over some windows, through words and their bytes; `slope` gives those of the logits."""
+    at, held = places(begin, size, len(evidence))
+    used, which = np.unique(words.which[at], return_inverse=True)
+    spelt, kept = spell(w, words.letters[used], words.lengths[used], keep=True)
+    which = which.reshape(at.shape)
+    x = np.concatenate([evidence[at], spelt[which]], axis=2) * held[:, :, None]
+    logit, saved = forward(w, x, held, keep=True)
+    g, dx = backward(w, saved, slope(logit))
+    dx = dx * held[:, :, None]
+    dout = np.stack([np.bincount(which.ravel(), dx[:, :, _EVIDENCE + k].ravel(), len(used)) for k in range(2 * SPELL)], axis=1).astype(np.float32)
+    spell_back(w, kept, dout, g)
     return g
 
 
 def weights_at_first(seed: int = 7) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
     draw = lambda *shape: (rng.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
-    w = {"att": draw(2 * HIDDEN, HIDDEN), "focus": draw(HIDDEN), "out": draw(2 * HIDDEN), "const": np.zeros(1, np.float32)}
+    w = {"att": draw(2 * HIDDEN, HIDDEN), "focus": draw(HIDDEN), "out": draw(2 * HIDDEN), "const": np.zeros(1, np.float32), "letters": draw(256, EMBED) * 16}
     for d in (0, 1):
-        w |= {f"in{d}": draw(_INPUTS, 3 * HIDDEN), f"rec{d}": draw(HIDDEN, 3 * HIDDEN), f"bias{d}": np.zeros(3 * HIDDEN, np.float32)}
+        for layer, inputs, size in (("word", _INPUTS, HIDDEN), ("char", EMBED, SPELL)):
+            w |= {f"{layer}in{d}": draw(inputs, 3 * size), f"{layer}rec{d}": draw(size, 3 * size), f"{layer}bias{d}": np.zeros(3 * size, np.float32)}
     return w
 
 
@@ -204,18 +304,18 @@ def fit(texts: list[str], y: np.ndarray, prior: float | None = None, folds: int
         return network
     parts, at = [], 0
     while at < len(texts):
-        parts.append(word_keys(texts[at : at + 200]))
+        parts.append(words_of(texts[at : at + 200]))
         at += 200
-    keys, size = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    first = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p[2]) for p in parts]))])
+    words = joined_words(parts)
+    keys, size, first = words.keys, words.size, words.first
     # The network learns from evidence that other documents gave, as it will meet it in new texts.
     rng = np.random.default_rng(seed)
     fold = rng.permutation(len(y)) % folds
-    x = np.empty((len(keys), _INPUTS), np.float32)
+    x = np.empty((len(keys), _EVIDENCE), np.float32)
     for k in range(folds):
         network.evidence = evidence_tables(keys, first, y, fold != k)
         own = np.repeat(fold == k, np.diff(first))
-        x[own] = network.inputs(keys[own], size[own])
+        x[own] = network.evidence_of(keys[own], size[own])
     network.evidence = evidence_tables(keys, first, y, np.ones(len(y), bool))
     begin, length, doc = windows_of(first)
     usable = np.arange(len(begin))
@@ -224,7 +324,7 @@ def fit(texts: list[str], y: np.ndarray, prior: float | None = None, folds: int
     step = 0
     for epoch in range(epochs):
         if epoch:  # not every window of a toxic document is toxic: go on with the half that looks most so
-            logits = network.window_logits(x, begin, length)
+            logits = network.window_logits(network.inputs(x, words), begin, length)
             ranked = np.lexsort((-logits, doc))
             count = np.bincount(doc, minlength=len(y))
             rank = np.empty(len(doc))
@@ -233,8 +333,8 @@ def fit(texts: list[str], y: np.ndarray, prior: float | None = None, folds: int
         order = rng.permutation(usable)[:most_windows]
         for a in range(0, len(order), rows):
             pick = order[a : a + rows]
-            logit, saved = forward(network.weights, *network.batch(x, begin[pick], length[pick]), keep=True)
-            grads = backward(network.weights, saved, ((_sigmoid(logit) - y[doc[pick]]) / len(pick)).astype(np.float32))
+            slope = lambda logit, own=doc[pick]: ((_sigmoid(logit) - y[own]) / len(own)).astype(np.float32)
+            grads = loss_gradients(network.weights, x, words, begin[pick], length[pick], slope)
             norm = np.sqrt(sum(float((v * v).sum()) for v in grads.values()))
             step += 1
             pace = rate * (1 - epoch / (epochs + 1))
@@ -244,7 +344,7 @@ def fit(texts: list[str], y: np.ndarray, prior: float | None = None, folds: int
                 m += 0.1 * (v - m)
                 s += 0.001 * (v * v - s)
                 network.weights[k] -= pace * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)
-    f = network.document_features(network.window_logits(x, begin, length), doc, len(texts))
+    f = network.document_features(network.window_logits(network.inputs(x, words), begin, length), doc, len(texts))
     beta = np.array([0.5, 0.5, 0.0, 0.0])
     share = float(y.mean())
     weight = np.where(y == 1, prior / share, (1 - prior) / (1 - share))  # the sample has more toxic rows than the corpus
