@@ -4,10 +4,12 @@ The automaton keeps, for each token of a document, the longest suffix that occur
 (10 words, or a whole shorter item) the window's words are hit. Tokens are looked up by hash for whole slices of documents at once, and
 only stretches whose word pairs all occur in some item, long enough for a window, are stepped through the automaton:
 no match can leave such a stretch.
-Test items are a stated query set: they are read in blocks of about `block_words` words. A benchmark of one block is one pass; a larger
-one takes a pass over all documents per block, one automaton at a time, so what is broadcast doesn't grow with it.
+Test items are a stated query set: they are read in blocks of about `block_words` words. A benchmark of one block is one pass. With more, one pass
+over all documents tells by a bit filter of all windows' hashes which may hold any; only these are read block by block, one automaton at a time, so
+neither what is broadcast nor the passes over the documents grow with the benchmark.
 Defined results: null texts and items without words have no windows; repeated items are one; a null item id is listed as empty text;
-an empty benchmark leaves every document clean.
+an empty benchmark leaves every document clean; rows with null or repeated ids are read like any other, equal texts get equal results; very long texts
+are read whole; an empty table of documents gives no rows; other columns are never read, and kept where rows are.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, documents, map_rows, word_table
+from .common import bit_filter, checkpointed, documents, in_filter, map_rows, word_table
 
 WINDOW, BLOCK_WORDS = 10, 100_000
 
@@ -206,9 +208,52 @@ def _in_blocks(benchmark: DataFrame, window: int, block_words: int) -> tuple[lis
 HITS = "array<struct<a:bigint,b:bigint>>"
 
 
-def _hits_by_block(docs: DataFrame, blocks: Iterator[Broadcast]) -> DataFrame:
-    """(doc_id, text_key, spans, items) of documents with hits: a pass over all documents per block, its rows written before the next."""
+def _window_hashes(words: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places where `size` words of one text stand from, and a hash of these."""
+    n = max(len(words) - size + 1, 0)
+    end = np.repeat(first[1:], np.diff(first))[:n]
+    at = np.flatnonzero(np.arange(n) + size <= end)
+    h = np.zeros(len(at), np.uint64)
+    for k in range(size):
+        h = (h + words[at + k]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return at, h + np.uint64(size)
+
+
+def suspects(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
+    """(doc_id, text_key, text) of the documents that may hold a window of any item: all that do, and few others."""
+
+    def cut(texts):
+        _, _, _, words, first = word_table(texts)
+        size = np.minimum(np.diff(first), window)
+        found = [(np.array([n] * len(h)), h.view(np.int64)) for n in np.unique(size[size > 0]).tolist() for h in [_of_items(words, first, size, n)]]
+        return [np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1)]
+
+    windows = checkpointed(map_rows(benchmark.select(F.coalesce("text", F.lit("")).alias("text")), cut, "size bigint, hash bigint", ["text"]))
+    sizes = sorted(r["size"] for r in windows.select("size").distinct().collect())  # at most `window` numbers
+    known = docs.sparkSession.sparkContext.broadcast(bit_filter(windows.select("hash")))
+
+    def read(ids, keys, texts):
+        _, _, _, words, first = word_table(texts)
+        hit = np.zeros(len(texts), bool)
+        for n in sizes:
+            at, h = _window_hashes(words, first, n)
+            hit[np.searchsorted(first, at[in_filter(known.value, h.view(np.int64))], side="right") - 1] = True
+        return [[c[k] for k in np.flatnonzero(hit).tolist()] for c in (ids, keys, texts)]
+
     keyed = documents(docs).select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    return checkpointed(map_rows(keyed, read, "doc_id bigint, text_key bigint, text string", ["doc_id", "text_key", "text"]))
+
+
+def _of_items(words: np.ndarray, first: np.ndarray, size: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the windows of those items whose windows have `n` words."""
+    at, h = _window_hashes(words, first, n)
+    return h[size[np.searchsorted(first, at, side="right") - 1] == n]
+
+
+def _hits_by_block(docs: DataFrame, benchmark: DataFrame, window: int, blocks: Iterator[Broadcast]) -> DataFrame:
+    """(doc_id, text_key, spans, items) of documents with hits: a pass over the suspects per block, its rows written before the next."""
+    keyed = suspects(docs, benchmark, window)
     found = None
     for block in blocks:
 
@@ -236,7 +281,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     first = next(several, None)
     if first is None:
         return map_rows(documents(docs), lambda ids, texts: _report(ids, [(n, spans, names) for n, spans, _, names in _scan_all(one, texts)]), REPORT, ["doc_id", "text"])
-    found = _hits_by_block(docs, chain([first], several)).alias("h")
+    found = _hits_by_block(docs, benchmark, window, chain([first], several)).alias("h")
     keyed = documents(docs).select("doc_id", F.xxhash64("text").alias("text_key"), "text").alias("d")
     rows = keyed.join(found, F.expr("d.doc_id <=> h.doc_id AND d.text_key = h.text_key"), "left").select("d.doc_id", "spans", "items", "text")
 
@@ -285,10 +330,10 @@ def _cut(docs: DataFrame, block: list[Broadcast], coverage: float) -> DataFrame:
     return cleaned.select(F.col("row").withField("text", F.col("cleaned.text")).alias("row")).select("row.*")
 
 
-def _cut_round(docs: DataFrame, blocks: Iterator[Broadcast], coverage: float) -> tuple[DataFrame, DataFrame]:
+def _cut_round(docs: DataFrame, benchmark: DataFrame, window: int, blocks: Iterator[Broadcast], coverage: float) -> tuple[DataFrame, DataFrame]:
     """Rows without a hit in any block; and the others, cut at the hits of all blocks at once, but for those covered beyond `coverage`."""
     key = [F.col("doc_id").cast("bigint").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key")]
-    found = _hits_by_block(docs, blocks).select("doc_id", "text_key", F.col("spans.a").alias("a"), F.col("spans.b").alias("b"))
+    found = _hits_by_block(docs, benchmark, window, blocks).select("doc_id", "text_key", F.col("spans.a").alias("a"), F.col("spans.b").alias("b"))
     rows = docs.select(F.struct("*").alias("row"), *key).alias("d")
     joined = checkpointed(rows.join(found.alias("h"), F.expr("d.id <=> h.doc_id AND d.key = h.text_key"), "left").select("row", "a", "b"))
 
@@ -315,9 +360,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
     first = next(several, None)
     if first is None:
         return _cut(docs, one, coverage)
-    clean, left = _cut_round(docs, chain([first], several), coverage)
+    clean, left = _cut_round(docs, benchmark, window, chain([first], several), coverage)
     while not (left := checkpointed(left)).isEmpty():
-        more, left = _cut_round(left, indexes(benchmark, window, block_words), 1.0)
+        more, left = _cut_round(left, benchmark, window, indexes(benchmark, window, block_words), 1.0)
         clean = clean.union(more)
     return clean
 
