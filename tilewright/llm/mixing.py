@@ -3,8 +3,9 @@
 Every document gets a random key, the hash of its id; a source is read in the order of its keys. Keys are uniform, so their
 leading bits are equal ranges: prefix sums come from sums per (source, range) and windows within one range, and a hot source is
 spread over all ranges. A source whose target exceeds its words is read again from its first key.
-Defined results: a null text has size 0; a null source is a source of its own, last in order; null or repeated ids are
-ordered by their text's hash, and equal rows are interchangeable; an empty table gives no rows.
+Defined results: a null text has size 0; a null source is a source of its own, last in order; a null id's key is the hash of its text; rows of
+equal keys stand by id and size, and those that agree in both are interchangeable; very long texts count like any other; an empty table gives no
+rows; other columns are never read. Sources are few beside documents: one task orders their names and shares their targets.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import checkpointed
+
 #: Fixed values of the contract: weights by position, the size of the mix, and the most epochs of a source.
 WEIGHTS, SHARE, MOST = (5.0, 2.0, 1.0), 1.5, 2.0
 RANGES = 1024
@@ -43,13 +46,17 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     return df.select("source", "source_size", F.when(F.col("level") < F.col("full_at"), F.col("level") * F.col("weight")).otherwise(F.col("cap")).alias("target"))
 
 
-def mix(docs: DataFrame, ranges: int = RANGES, **how) -> DataFrame:
+def mix(docs: DataFrame, ranges: int = RANGES, texts: bool = False, **how) -> DataFrame:
     """doc_id, source, size, source_size, target, start (words of its source before it), taken.
 
-    `taken` is the whole document for each epoch that reaches it; the document at the cut gives the words up to the budget.
+    `taken` is the whole document for each epoch that reaches it; the document at the cut gives the words up to the budget. With `texts`, the text
+    comes too.
     """
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", word_count(F.col("text")).alias("size"), F.coalesce(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit(""))), F.lit("")).alias("key"))
+    kept = ["text"] if texts else []
+    rows = docs.select(*kept, F.col("doc_id").cast("bigint").alias("doc_id"), "source", word_count(F.col("text")).alias("size"), F.coalesce(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit(""))), F.lit("")).alias("key"))
     rows = rows.withColumn("range", (F.conv(F.substring("key", 1, 8), 16, 10).cast("bigint") * ranges / 2**32).cast("int"))
+    if not texts:  # the words are counted once, for the sums and for the windows
+        rows = checkpointed(rows)
     sums = rows.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     ahead = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("source", "range", F.coalesce(F.sum("range_size").over(ahead), F.lit(0)).alias("offset"))
@@ -61,7 +68,17 @@ def mix(docs: DataFrame, ranges: int = RANGES, **how) -> DataFrame:
     budget = F.floor(F.col("target") + F.lit(0.5)).cast("bigint")
     start = F.col("within") + F.col("offset")
     reached = lambda epoch: F.greatest(F.lit(0), F.least(F.col("size"), budget - epoch * F.col("source_size") - start))
-    return out.select("doc_id", "r.source", "size", "source_size", "target", start.alias("start"), (reached(0) + reached(1)).cast("bigint").alias("taken"))
+    return out.select(*kept, "doc_id", "r.source", "size", "source_size", "target", start.alias("start"), (reached(0) + reached(1)).cast("bigint").alias("taken"))
+
+
+def mixed_texts(docs: DataFrame, **how) -> DataFrame:
+    """doc_id, source, epoch, text: the mix itself, a row per document and epoch that takes words of it; the text at the cut ends there."""
+    plan = mix(docs, texts=True, **how)
+    words = lambda epoch: F.greatest(F.lit(0), F.least(F.col("size"), F.col("taken") - epoch * F.col("size"))).cast("int")
+    each = plan.select("doc_id", "source", "size", "text", F.explode(F.array(*[F.struct(F.lit(e).alias("epoch"), words(e).alias("words")) for e in (0, 1)])).alias("e")).where("e.words > 0")
+    flat = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    part = F.when(F.col("e.words") == F.col("size"), F.col("text")).otherwise(F.array_join(F.slice(flat, F.lit(1), F.col("e.words")), " "))
+    return each.select("doc_id", "source", "e.epoch", part.alias("text"))
 
 
 MIX_SQL = r"""
