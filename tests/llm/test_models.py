@@ -28,22 +28,52 @@ def synthetic(n, seed):
 
 
 def test_gradients():
+    """Of words and of their bytes, against differences."""
     rng = np.random.default_rng(3)
-    w = {k: v.astype(np.float64) for k, v in toxicity.weights_at_first(3).items()}
-    x, held = rng.standard_normal((5, 3, toxicity._INPUTS)), np.array([[1, 1, 1], [1, 1, 1], [1, 1, 0], [1, 0, 0], [1, 0, 0]], float)
-    x *= held[:, :, None]
-    logit, saved = toxicity.forward({k: v.astype(np.float32) for k, v in w.items()}, x.astype(np.float32), held.astype(np.float32), keep=True)
-    grads = toxicity.backward({k: v.astype(np.float32) for k, v in w.items()}, saved, np.ones(3, np.float32))
+    w = toxicity.weights_at_first(3)
+    words = toxicity.words_of(["some words of a text", "and others of a text, a longer one with some words"])
+    evidence = rng.standard_normal((len(words.keys), toxicity._EVIDENCE)).astype(np.float32)
+    begin, size = np.array([0, 5, 7]), np.array([5, 3, 4])
+    grads = toxicity.loss_gradients(w, evidence, words, begin, size, np.ones_like)
+
+    def total():
+        x = np.concatenate([evidence, toxicity.spell(w, words.letters, words.lengths)[0][words.which]], axis=1)
+        at, held = toxicity.places(begin, size, len(x))
+        return toxicity.forward(w, x[at] * held[:, :, None], held)[0].sum(dtype=np.float64)
+
     for k in w:
         flat = w[k].reshape(-1)
-        for i in rng.choice(len(flat), min(4, len(flat)), replace=False):
-            old, step = flat[i], 1e-2
+        picked = rng.choice(len(flat), min(4, len(flat)), replace=False) if k != "letters" else [6 * ord(c) + i for i, c in enumerate("some")]
+        for i in picked:
+            old, step = flat[i], np.float32(1e-2)
             ends = []
             for d in (step, -step):
                 flat[i] = old + d
-                ends.append(toxicity.forward({n: v.astype(np.float32) for n, v in w.items()}, x.astype(np.float32), held.astype(np.float32))[0].sum())
+                ends.append(total())
             flat[i] = old
-            assert grads[k].reshape(-1)[i] == pytest.approx((ends[0] - ends[1]) / (2 * step), abs=2e-2)
+            assert grads[k].reshape(-1)[i] == pytest.approx((ends[0] - ends[1]) / 0.02, abs=2e-2)
+
+
+def test_long_words_are_read_whole():
+    texts = ["a " + "x" * 31 + "yz " + "q" * 100 + " b", "", "q" * 100, "x" * 32]
+    words = toxicity.words_of(texts)
+    assert np.diff(words.first).tolist() == [1 + 2 + 4 + 1, 0, 4, 1] and words.size.tolist() == [1, 32, 1, 32, 32, 32, 4, 1, 32, 32, 32, 4, 32]
+    assert words.which[3:7].tolist() == words.which[8:12].tolist() and words.lengths[words.which].tolist() == words.size.tolist()
+    assert bytes(words.letters[words.which[1]]) == b"x" * 31 + b"y" and bytes(words.letters[words.which[6]][:5]) == b"qqqq\0"
+
+
+def test_toxicity_reads_inside_words():
+    """Words that differ in all that the evidence sees: their label shows in the middle alone."""
+    rng = random.Random(5)
+    draw = lambda n: "".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(n))
+
+    def texts(n):
+        y = np.array([float(rng.random() < 0.5) for _ in range(n)])
+        return [" ".join(draw(6) + ("zqz" if t and k % 3 == 0 else draw(3)) + draw(5) for k in range(12)) for t in y], y
+
+    network = toxicity.fit(*texts(500), least_steps=400)
+    more, y = texts(200)
+    assert ((network.score(more) >= 0.5) == y).mean() > 0.9
 
 
 def test_windows_cover_whole_texts():
@@ -95,6 +125,24 @@ def test_statistics_are_finite():
         assert len(s) == len(quality.FEATURES) and np.isfinite(s).all()
 
 
+def test_statistics_by_counting():
+    text = 'The cat, the cat | sat!\n\nOn "THE" mat...\nß été 12 AA # aa\n\nOn'
+    raw, w = text.encode(), text.encode().split()
+    got = dict(zip(quality.FEATURES, quality.statistics(text), strict=True))
+    share = lambda chars: sum(raw.count(c.encode()) for c in chars) / len(raw)
+    pairs = [(a, b) for a, b in zip(w, w[1:])]
+    lines = [x for x in raw.split(b"\n") if x]
+    want = {
+        "log_bytes": np.log(len(raw) + 1), "log_words": np.log(len(w) + 1), "word_len": np.mean([len(x) for x in w]), "word_len_sd": np.std([len(x) for x in w]), "unique_words": len(set(w)) / len(w),
+        "top_word": max(map(w.count, w)) / len(w), "top_pair": max(map(pairs.count, pairs)) / len(w), "repeats_next": sum(a == b for a, b in pairs) / len(w),
+        "letters": sum(chr(c).isascii() and chr(c).isalpha() for c in raw) / len(raw), "upper": sum(65 <= c <= 90 for c in raw) / len(raw), "digits": share("12"), "spaces": share(" \n"), "wide": sum(c > 127 for c in raw) / len(raw),
+        "marks": share(',|!".#'), "bars": share("|"), "stops": share("."), "commas": share(","), "breaks": share("\n"), "quotes": share('"'), "lines": np.log(len(lines) + 1), "line_len": np.log(1 + len(raw) / len(lines)),
+        "unique_lines": len(set(lines)) / len(lines), "upper_words": sum(x.isupper() for x in w) / len(w), "marked_words": sum(x[-1:] in (b",", b"|", b"!", b'"', b".", b"#") for x in w) / len(w),
+        "short_words": sum(len(x) < 3 for x in w) / len(w), "long_words": 0.0, "byte_entropy": -sum(raw.count(c) / len(raw) * np.log2(raw.count(c) / len(raw)) for c in set(raw)), "exclaims": share("!"), "hashes": share("#"),
+    }
+    assert set(want) == set(got) and all(got[k] == pytest.approx(v) for k, v in want.items())
+
+
 def test_both_in_spark(spark, make):
     texts, toxic, good = synthetic(400, 4)
     docs = make(texts)

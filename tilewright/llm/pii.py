@@ -7,7 +7,8 @@ the share of the entity's information that the term gives away: 0 if independent
 Terms at or above the threshold, seen with the entity in `support` documents or more, are spans of kind `term` near that entity.
 Corpus counts of terms are taken through a bit filter of fixed size, so what is broadcast doesn't grow with the corpus.
 Defined results: null and empty texts have no spans; repeated rows count as documents of their own and get the same spans;
-null ids are kept; without any entity no term is disclosed.
+null ids are kept; without any entity no term is disclosed; terms of equal disclosure are all spans; very long texts are read whole; an empty table
+gives no rows; other columns are never read.
 """
 
 from __future__ import annotations

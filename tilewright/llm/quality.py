@@ -4,7 +4,8 @@ Training: labelled rows that are not held out, at most `max_rows` of them (the s
 reduced to statistics by Spark; the driver sees those few numbers per row, never texts. Scoring: the trees are flattened
 into arrays that numpy walks for many documents at once.
 Defined results: a null text counts as empty and is scored; without any label of either class every score is the prior
-(0.5 without any label); documents without a label are scored but not learnt from; repeated ids keep all their rows.
+(0.5 without any label); documents without a label are scored but not learnt from; repeated and null ids keep all their rows; equal texts get equal
+scores; very long texts are counted whole; an empty table gives no rows; other columns are never read.
 """
 
 from __future__ import annotations
