@@ -74,5 +74,12 @@ def test_run(spark, tmp_path):
     for i in kept:
         assert (got[i].size, got[i].source_size) == (size[i], total[f"s{i % 4}"]) and got[i].target == pytest.approx(target[f"s{i % 4}"])
     assert abs(sum(r.taken for r in got.values()) - 1.5 * sum(size.values())) <= 4
+    folder = str(tmp_path / "out")
+    corpus_pipeline.write_corpus(spark, str(tmp_path), folder)
+    held = {}
+    for r in spark.read.parquet(f"{folder}/corpus").collect():
+        assert r.text.split() == last[r.doc_id].split()[: len(r.text.split())]
+        held[r.doc_id] = held.get(r.doc_id, 0) + len(r.text.split())
+    assert held == {i: r.taken for i, r in got.items() if r.taken} and sorted(p.name for p in (tmp_path / "out").iterdir()) == ["corpus", "secrets"]
     # It did something at every stage.
     assert sum(scores >= 0.5) >= 15 and len(kept) < sum(scores < 0.5) and any(v[1] for v in found.values()) and any("[REDACTED]" in (t or "") for t in last.values())

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -14,6 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
+from tilewright.sources.scratch import checkpointed, shared_folder
+
+__all__ = ["checkpointed", "shared_folder"]
+
 #: The word classes of the query contracts.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -139,24 +142,3 @@ def in_filter(pages: np.ndarray, numbers: np.ndarray, bits: int = FILTER_BITS) -
     page = np.where(slot > 0, 1 + value // 32768, 0)
     bit = value % 32768
     return (pages[page, bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, or the one the context was given. Without either, a temporary one in local mode alone: elsewhere executors couldn't see it."""
-    context = spark.sparkContext
-    given = context._jsc.sc().getCheckpointDir()
-    if not given.isEmpty():
-        return spark.conf.get("spark.checkpoint.dir", None) or given.get()
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="tilewright-")
-    context.setCheckpointDir(found)
-    return found
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The same rows with their lineage cut, in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()

@@ -5,8 +5,8 @@ that many positional bytes, so a pair meets in a posting only if its tally of sh
 minimum; what meets is tallied and verified bit by bit. A pair that meets in several postings counts in the first alone, and within a
 posting a search leaves a spanning forest of its links in place of all pairs, which keeps every class whole. Classes follow from star contraction over distinct fingerprints.
 Defined results: null and empty texts have fingerprint 0 and are linked like any other; texts with fewer words than a shingle
-are one shingle; rows with a null id get the class of their fingerprint, and a class of null ids alone has a null class id;
-an empty table gives no rows.
+are one shingle; rows with a null id get the class of their fingerprint, and a class of null ids alone has a null class id; repeated rows get equal
+results; very long texts are hashed in parts; an empty table gives no rows; other columns are never read.
 """
 
 from __future__ import annotations
@@ -197,6 +197,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4) -> Dat
 WIDTH, SIMILARITY = 5, 0.8
 #: Buckets (as bits) in which shingles are counted for their order, the bits of a set's parity, and the rows of a posting compared in one group.
 BUCKETS, PARITY, BLOCK = 22, 1024, 4096
+#: Postings of a node that tell where a pair of nodes has its turn.
+LEAD = 8
 
 
 def _shingles(text: str, width: int = WIDTH) -> np.ndarray:
@@ -247,8 +249,20 @@ def prefix(hashes: np.ndarray, levels: np.ndarray, least: float = SIMILARITY) ->
 
 
 def parity(hashes: np.ndarray) -> np.ndarray:
-    """PARITY positional bits, each telling if the hashes of its own share are odd in number: sets differ in at least as many hashes as in bits."""
-    return np.packbits(np.bincount((hashes & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1)
+    """Positional bits, each telling if the hashes of its own share are odd in number: sets differ in at least as many hashes as in bits.
+
+    There are PARITY bits, or as many more, in powers of two, as a larger set has hashes; `folded` makes them comparable.
+    """
+    bits = max(PARITY, 1 << (len(hashes) - 1).bit_length()) if len(hashes) else PARITY
+    return np.packbits(np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1)
+
+
+def folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """Rows of positional bits (in any unit) with `size` of them: the bits of shares that fall together are added."""
+    while bits.shape[-1] > size:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] ^ bits[..., half:]
+    return bits
 
 
 def prefix_rows(keyed: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -286,35 +300,64 @@ def shingle_sets(keyed: DataFrame, nodes: DataFrame) -> DataFrame:
     return checkpointed(sets.join(nodes, "node", "left_semi"))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, least: float = SIMILARITY) -> DataFrame:
+def plausible(pairs: DataFrame, rows: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """The distinct `pairs` (a, b) whose sizes and parities allow a similarity of `least`."""
+    end = lambda e: rows.select(F.col("node").alias(e), F.col("size").alias(f"size_{e}"), F.col("bits").alias(f"bits_{e}"))
+    both = pairs.distinct().join(end("a"), "a").join(end("b"), "b").where(F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * least - 1e-6)
+
+    def tally(a, b, size_a, size_b, bits_a, bits_b):
+        apart = np.zeros(len(a), np.int64)
+        for k, (x, y) in enumerate(zip(bits_a, bits_b, strict=True)):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            least_bits = min(len(x), len(y))
+            apart[k] = np.bitwise_count(folded(x, least_bits) ^ folded(y, least_bits)).sum(dtype=np.int64)
+        at = _allowed(apart, np.array(size_a, np.int64) + np.array(size_b, np.int64), least)
+        return [[c[k] for k in np.flatnonzero(at).tolist()] for c in (a, b)]
+
+    return map_rows(both, tally, "a bigint, b bigint", ["a", "b", "size_a", "size_b", "bits_a", "bits_b"])
+
+
+def _allowed(bits_apart: np.ndarray, sizes: np.ndarray, least: float) -> np.ndarray:
+    """Whether the tally of agreeing positional bits reaches the least that sets of a similarity of `least` and of `sizes` together guarantee."""
+    return bits_apart <= sizes * (1 - least) / (1 + least) + 1e-9
+
+
+def verified(pairs: DataFrame, keyed: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """The distinct `pairs` (a, b) whose texts have a similarity of `least` or more, by all of their shingles."""
-    both = pairs.distinct().join(sets.select(F.col("node").alias("a"), F.col("held").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("held").alias("sb")), "b")
+    pairs = checkpointed(pairs)
+    sets = shingle_sets(keyed, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("held").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("held").alias("sb")), "b")
 
     def verify(a, b, sa, sb):
-        kept = [(x, y) for x, y, p, q in zip(a, b, sa, sb, strict=True) if min(len(p), len(q)) >= least * max(len(p), len(q)) - 1e-6 and similarity(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) >= least]
+        kept = [(x, y) for x, y, p, q in zip(a, b, sa, sb, strict=True) if similarity(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) >= least]
         return [x for x, _ in kept], [y for _, y in kept]
 
     return checkpointed(map_rows(both, verify, "a bigint, b bigint", ["a", "b", "sa", "sb"]))
 
 
-def _open_pairs(size: np.ndarray, kind: np.ndarray, bits: np.ndarray, part: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _open_pairs(size: np.ndarray, kind: np.ndarray, bits: list[bytes], part: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places of all pairs of rows of different classes whose sizes and parities allow a similarity of `least`.
 
-    Rows of two parts are only paired across them. The tally of agreeing positional bits must reach the least that such a similarity guarantees.
+    Rows of two parts are only paired across them.
     """
-    differ = (1 - least) / (1 + least)
     order = np.argsort(size, kind="stable")
-    size, kind, bits, part = size[order], kind[order], bits[order], part[order]
+    size, kind, part = size[order], kind[order], part[order]
+    rows = [np.frombuffer(bits[k], np.uint64) for k in order.tolist()]
     across = bool((part != part[:1]).any())
     end = np.searchsorted(size, size / least + 1e-9, side="right")
+    level, held = 0, np.zeros((0, 0), np.uint64)
     for i, e in enumerate(end.tolist()):
+        if len(rows[i]) != level:  # larger sets have more bits: all that rows of this level may be compared with, folded to it
+            level, first = len(rows[i]), i
+            last = int(np.searchsorted(size, max(s for s, r in zip(size[i:].tolist(), rows[i:], strict=True) if len(r) == level) / least + 1e-9, side="right"))
+            held = np.stack([folded(r, level) for r in rows[i:last]])
         apart = kind[i + 1 : e] != kind[i]
         if across:
             apart &= part[i + 1 : e] != part[i]
         at = i + 1 + np.flatnonzero(apart)
         if len(at):
-            bits_apart = np.bitwise_count(bits[at] ^ bits[i]).sum(1, dtype=np.int64)
-            at = at[bits_apart <= (size[at] + size[i]) * differ + 1e-9]
+            bits_apart = np.bitwise_count(held[at - first] ^ held[i - first]).sum(1, dtype=np.int64)
+            at = at[_allowed(bits_apart, size[at] + size[i], least)]
             yield np.full(len(at), order[i]), order[at]
 
 
@@ -339,25 +382,37 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.concat_tables(rest)
 
 
+def _turns(a: np.ndarray, b: np.ndarray, key: int) -> np.ndarray:
+    """For each pair of rows of leading postings the smallest one that both hold, or `key` without any."""
+    shared = (a[:, :, None] == b[:, None, :]).any(2)
+    return np.where(shared.any(1), np.where(shared, a, 2**63 - 1).min(1), key)
+
+
 def open_pairs(met: DataFrame, known: DataFrame, rows: DataFrame, least: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """Pairs (a < b) of nodes of different classes of `known` (node, class) that meet in a posting and that size and parity don't rule out.
 
+    In postings of up to three nodes every pair has the smallest or the largest one, so these are left out.
     A posting of more than `block` rows is dealt into blocks, and each two of them are compared in a group of their own, so none grows with the posting.
+    A pair that meets in several postings has its turn in one: the smallest that both have among their LEAD first, if there is such a one.
     """
     named = checkpointed(met.join(known, "node", "left").select("key", "node", F.coalesce("class", "node").alias("class")))
-    several = named.groupBy("key").agg(F.min("class").alias("c"), F.max("class").alias("d"), F.ceil(F.count("*") / block).cast("int").alias("parts")).where("c <> d").select("key", "parts")
+    several = named.groupBy("key").agg(F.min("class").alias("c"), F.max("class").alias("d"), F.count("*").alias("n")).where("c <> d AND n > 3").select("key", F.ceil(F.col("n") / block).cast("int").alias("parts"))
     dealt = named.join(several, "key").select("key", "node", "class", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     group = ["key", "i", "j"]
-    held = dealt.join(rows.select("node", "size", "bits"), "node").select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "class", "size", "bits")
+    first = named.join(several, "key").groupBy("node").agg(F.array_sort(F.collect_set("key")).alias("all"))
+    lead = first.select("node", F.transform(F.sequence(F.lit(0), F.lit(LEAD - 1)), lambda k: F.get("all", F.least(k, F.size("all") - 1))).alias("lead"))
+    known = rows.select("node", "size", "bits").join(lead, "node")
+    held = dealt.join(known, "node").select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "class", "size", "bits", "lead")
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run in _runs(batches, len(group)):
             part, node, kind, size = (run.column(c).to_numpy() for c in range(3, 7))
             if run.column(1)[0] != run.column(2)[0] and (part == part[0]).all():
                 continue  # of two blocks one is empty
-            bits = np.frombuffer(b"".join(run.column(7).to_pylist()), np.uint64).reshape(len(node), -1)
-            for x, y in _open_pairs(size, kind, bits, part, least):
-                x, y = node[x], node[y]
+            key, lead = run.column(0)[0].as_py(), np.array(run.column(8).to_pylist(), np.int64)
+            for x, y in _open_pairs(size, kind, run.column(7).to_pylist(), part, least):
+                now = _turns(lead[x], lead[y], key) == key
+                x, y = node[x[now]], node[y[now]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
     return held.repartition(*group).sortWithinPartitions(*group).mapInArrow(pairs, "a bigint, b bigint").distinct()
@@ -371,10 +426,9 @@ def similar_links(keyed: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """
     rows = prefix_rows(keyed, least)
     met = meetings(rows)
-    sets = shingle_sets(keyed, met.select("node").distinct())
     star = F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("node").alias("b")), F.struct(F.col("node").alias("a"), F.col("high").alias("b"))))
-    likely = verified(met.select(star.alias("p")).select("p.*").where("a <> b"), sets, least)
-    return likely.union(verified(open_pairs(met, classes(likely), rows, least), sets, least))
+    likely = verified(plausible(met.select(star.alias("p")).select("p.*").where("a <> b"), rows, least), keyed, least)
+    return likely.union(verified(open_pairs(met, classes(likely), rows, least), keyed, least))
 
 
 def drop_near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
