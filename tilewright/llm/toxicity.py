@@ -294,8 +294,11 @@ def evidence_tables(keys: np.ndarray, first: np.ndarray, y: np.ndarray, used: np
     return out
 
 
-def fit(texts: list[str], y: np.ndarray, prior: float | None = None, folds: int = 5, epochs: int = 5, rows: int = 128, rate: float = 0.01, seed: int = 7, most_windows: int = 24_000, least_steps: int = 600, most_epochs: int = 60) -> Network:
-    """Adam on the log loss of windows under their document's label, then Newton's method for how windows make a document."""
+def fit(texts: list[str], y: np.ndarray, prior: float | None = None, folds: int = 5, epochs: int = 5, rows: int = 128, rate: float = 0.01, seed: int = 7, most_windows: int = 24_000, least_steps: int = 600, most_epochs: int = 60, spelling: int = 300) -> Network:
+    """Adam on the log loss of windows under their document's label, then Newton's method for how windows make a document.
+
+    Both layers are trained in the first `spelling` steps, the layer of words in all.
+    """
     if prior is None:
         prior = float(y.mean()) if len(y) else 0.0
     network = Network(np.zeros((KEYS, SLOTS), np.float32), weights_at_first(seed), np.zeros(4), prior)
@@ -321,10 +324,10 @@ def fit(texts: list[str], y: np.ndarray, prior: float | None = None, folds: int
     usable = np.arange(len(begin))
     epochs = min(most_epochs, max(epochs, -(-least_steps * rows // min(len(begin), most_windows))))
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in network.weights.items()}
-    step = 0
+    step, spelt = 0, None
     for epoch in range(epochs):
         if epoch:  # not every window of a toxic document is toxic: go on with the half that looks most so
-            logits = network.window_logits(network.inputs(x, words), begin, length)
+            logits = network.window_logits(network.inputs(x, words) if spelt is None else spelt, begin, length)
             ranked = np.lexsort((-logits, doc))
             count = np.bincount(doc, minlength=len(y))
             rank = np.empty(len(doc))
@@ -334,7 +337,12 @@ def fit(texts: list[str], y: np.ndarray, prior: float | None = None, folds: int
         for a in range(0, len(order), rows):
             pick = order[a : a + rows]
             slope = lambda logit, own=doc[pick]: ((_sigmoid(logit) - y[own]) / len(own)).astype(np.float32)
-            grads = loss_gradients(network.weights, x, words, begin[pick], length[pick], slope)
+            if step < spelling:
+                grads = loss_gradients(network.weights, x, words, begin[pick], length[pick], slope)
+            else:  # the bytes are learnt: go on with the words alone
+                spelt = network.inputs(x, words) if spelt is None else spelt
+                logit, saved = forward(network.weights, *network.batch(spelt, begin[pick], length[pick]), keep=True)
+                grads = {k: v for k, v in backward(network.weights, saved, slope(logit))[0].items() if not k.startswith(("char", "letters"))}
             norm = np.sqrt(sum(float((v * v).sum()) for v in grads.values()))
             step += 1
             pace = rate * (1 - epoch / (epochs + 1))
