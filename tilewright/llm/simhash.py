@@ -288,12 +288,16 @@ def meetings(rows: DataFrame) -> DataFrame:
     return checkpointed(postings.join(shared, "key"))
 
 
-def shingle_sets(keyed: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, held) with all shingle hashes of the texts of `nodes`; a bit filter tells the scan of the texts which to read, so no text is moved."""
-    wanted = keyed.sparkSession.sparkContext.broadcast(bit_filter(nodes.select("node"), FILTER_BITS))
+def shingle_sets(keyed: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
+    """(node, held) with all shingle hashes of the texts of `nodes`; a bit filter tells the scan of the texts which to read, so no text is moved.
+
+    The filter has some eight bits for each of `most` nodes, and FILTER_BITS at most; what it lets through beyond them is dropped after.
+    """
+    bits = min(FILTER_BITS, max(1 << 20, 1 << (8 * most).bit_length()))
+    wanted = keyed.sparkSession.sparkContext.broadcast(bit_filter(nodes.select("node"), bits))
 
     def read(nodes, others, texts):
-        at = np.flatnonzero(in_filter(wanted.value, np.array(nodes, np.int64), FILTER_BITS)).tolist() if nodes else []
+        at = np.flatnonzero(in_filter(wanted.value, np.array(nodes, np.int64), bits)).tolist() if nodes else []
         return [nodes[k] for k in at], [others[k] for k in at], [_shingles(texts[k]).tobytes() for k in at]
 
     sets = map_rows(keyed, read, "node bigint, other bigint, held binary", ["node", "other", "text"]).groupBy("node").agg(F.min_by("held", "other").alias("held"))
@@ -325,7 +329,7 @@ def _allowed(bits_apart: np.ndarray, sizes: np.ndarray, least: float) -> np.ndar
 def verified(pairs: DataFrame, keyed: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """The distinct `pairs` (a, b) whose texts have a similarity of `least` or more, by all of their shingles."""
     pairs = checkpointed(pairs)
-    sets = shingle_sets(keyed, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    sets = shingle_sets(keyed, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), 2 * pairs.count())
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("held").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("held").alias("sb")), "b")
 
     def verify(a, b, sa, sb):
