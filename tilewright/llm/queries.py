@@ -1,12 +1,13 @@
-"""The queries op1 to op10: each applies its operator to its whole table and derives the columns of its contract."""
+"""The queries op1 to op13: each applies its operator to its whole table and derives the columns of its contract."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, media, mixing, pii, quality, repeats, secrets, simhash, toxicity
+from . import codes, decontaminate, licenses, media, mixing, negatives, pieces, pii, quality, repeats, secrets, simhash, toxicity
 from .common import table
 
 
@@ -52,10 +53,37 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_media_columns, op3_suffix_dedup, op4_secret_scan, op5_decontaminate, op6_license_scan, op7_personal_data, op8_quality_classifier, op9_simhash, op10_mix_sources)}
+#: Where the vocabulary files of public tokenizers are: the package `public_tokenizers` if it can be imported, else this folder.
+TOKENIZERS = "/opt/tokenizers"
+
+
+def tokenizer_path(name: str) -> str:
+    try:
+        from public_tokenizers import path
+    except ImportError:
+        return f"{TOKENIZERS}/{name}"
+    return path(name)
+
+
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.token_report(table(spark, sf_dir, "documents"), pieces.read_vocabulary(tokenizer_path("piece_bpe_32k.model")))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"))
+    return negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.code_report(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_media_columns, op3_suffix_dedup, op4_secret_scan, op5_decontaminate, op6_license_scan, op7_personal_data, op8_quality_classifier, op9_simhash, op10_mix_sources, op11_sentencepiece, op12_hard_negatives, op13_vector_codes)}
 
 ORACLE_SQL: dict[str, str] = {
     "op5_decontaminate": decontaminate.SQL,
     "op6_license_scan": licenses.SQL,
     "op10_mix_sources": mixing.MIX_SQL.format(docs="documents") + mixing.MIX_SELECT,
+    "op12_hard_negatives": negatives.SQL,
+    "op13_vector_codes": codes.SQL,
 }
