@@ -1,8 +1,8 @@
 """Secret scans: fixed patterns, and the Shannon entropy of sliding windows over candidate strings.
 
 The entropy of a window is kept by incremental counts: moving one place changes two counts, so a string costs
-time linear in its length. Each character class has its own alphabet and threshold; an allow-list suppresses
-identifiers that look random but are public, and letters alone where they fall into words of an identifier.
+time linear in its length. Each character class has its own alphabet and threshold. Parts between separators that read as words or numbers are set
+aside first, so paths and addresses aren't taken for keys; an allow-list suppresses identifiers that look random but are public.
 Defined results: null and empty texts have no spans; rows with null or repeated ids are scanned like any other; of spans with one start the kinds
 stand in the order listed; very long texts are read whole, in time linear in their length; an empty table gives no rows; other columns are never read.
 """
@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -34,12 +35,15 @@ CLASSES = (
     ("base64", re.compile(r"[A-Za-z0-9+/_=-]+"), 3.9),
 )
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-#: Public strings that look random: whole candidates or whole runs of a narrower class, parts of candidates, and words that make the letters and digits around them public.
-ALLOW = (re.compile(r"[0-9_/=+-]+"),)
-#: The words of an identifier without digits, and how many letters they must have on average to be words.
-LETTERS, PART, PART_SIZE = re.compile(r"[A-Za-z_/=+-]+"), re.compile(r"[A-Z]?[a-z]+|[A-Z]+"), 3
+#: Parts of a candidate stand between these; a part with fewer characters than NEUTRAL says nothing by itself.
+SEPARATOR, NEUTRAL = re.compile(r"[+/_=-]+"), 4
+#: Words of a part, and how many letters they must have on average to be words.
+PIECE, PIECE_SIZE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+"), 3
+#: Public strings that look random: runs without letters, these parts as they are, and the letters and digits around these words.
+ALLOW = re.compile(r"[0-9_/=+-]+")
 ALLOW_PART = re.compile(r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", re.I)
-ALLOW_WORD = re.compile(r"(?i)[A-Za-z0-9]*(example|sample|placeholder|changeme|xxxx|0123456789|abcdefgh)[A-Za-z0-9]*")
+ALLOW_WORD = re.compile(r"(?i)example|sample|placeholder|changeme|xxxx|0123456789|abcdefgh")
+AROUND = re.compile(r"[A-Za-z0-9]+")
 _BITS = [0.0] + [c / WINDOW * math.log2(c / WINDOW) for c in range(1, WINDOW + 1)]
 
 
@@ -62,37 +66,81 @@ def window_entropies(text: str, size: int = WINDOW) -> list[float]:
     return out
 
 
-def is_words(unit: str) -> bool:
-    """Whether a string without digits reads as words in any case; random letters change case too often."""
-    if not LETTERS.fullmatch(unit):
+def readable(part: str) -> bool:
+    """Whether letters and digits read as words in any case, with a number at most in sixteen characters, or as a number; random ones change case and kind too often.
+
+    Capitals with digits among them don't: random strings of such a narrow class have long runs of letters too.
+    """
+    pieces = PIECE.findall(part)
+    numbers = sum(p[0].isdigit() for p in pieces)
+    if numbers == len(pieces):
+        return True
+    if numbers and part.isupper():
         return False
-    parts = PART.findall(unit)
-    return sum(map(len, parts)) >= PART_SIZE * len(parts)
+    letters = sum(len(p) for p in pieces if not p[0].isdigit())
+    return letters >= PIECE_SIZE * (len(pieces) - numbers) and numbers <= 1 + len(part) // 16
+
+
+def doubtful(candidate: str, window: int = WINDOW) -> list[tuple[int, int]]:
+    """The stretches of a candidate between its readable parts that hold an unreadable one, if they are as long as a window.
+
+    The parts of paths, addresses and identifiers are readable, so they are never joined to a string that looks random by its length alone.
+    """
+    out, begin, end, found, at = [], None, 0, False, 0
+    for m in [*SEPARATOR.finditer(candidate), None]:
+        stop = m.start() if m else len(candidate)
+        if stop > at:
+            part = candidate[at:stop]
+            if len(part) >= NEUTRAL and readable(part):
+                if found and end - begin >= window:
+                    out.append((begin, end))
+                begin, found = None, False
+            else:
+                begin = at if begin is None else begin
+                end, found = stop, found or len(part) >= NEUTRAL
+        if m:
+            at = m.end()
+    if found and begin is not None:
+        end = len(candidate) if SEPARATOR.fullmatch(candidate, end) else end  # filling at the end belongs to the key
+        if end - begin >= window:
+            out.append((begin, end))
+    return out
+
+
+def public_windows(candidate: str, window: int = WINDOW) -> bytearray:
+    """For each place, 1 if the window that begins there lies within an allowed part or touches letters and digits around an allowed word."""
+    out = bytearray(len(candidate))
+    for m in ALLOW_PART.finditer(candidate):
+        n = m.end() - window + 1 - m.start()
+        out[m.start() : m.start() + n] = b"\1" * n
+    if ALLOW_WORD.search(candidate):
+        for m in AROUND.finditer(candidate):  # each run is searched once
+            if ALLOW_WORD.search(candidate, m.start(), m.end()):
+                first = max(0, m.start() - window + 1)
+                out[first : m.end()] = b"\1" * (m.end() - first)
+    return out
 
 
 def entropy_spans(text: str, window: int = WINDOW) -> list[tuple[int, int]]:
-    """Runs of windows of a candidate string that reach a class's threshold.
+    """Runs of windows of a candidate's doubtful stretches that reach a class's threshold.
 
-    The candidate is judged by the narrowest class it belongs to, and each run of a narrower class inside it by that class. Windows within an
-    allowed part, and those that touch a piece of letters and digits with an allowed word, don't count.
+    A stretch is judged by the narrowest class it belongs to, and each run of a narrower class inside it by that class. Public windows don't count.
     """
     spans = []
     for m in CANDIDATE.finditer(text):
-        s = m.group()
-        parts, words = [x.span() for x in ALLOW_PART.finditer(s)], [x.span() for x in ALLOW_WORD.finditer(s)]
-        units = {x.span(): bits for _, pattern, bits in reversed(CLASSES) for x in pattern.finditer(s) if x.end() - x.start() >= window}
-        for (start, end), least in units.items():
-            unit = s[start:end]
-            if any(a.fullmatch(unit) for a in ALLOW) or is_words(unit):
-                continue
-            open_at = None
-            for i, e in enumerate([*window_entropies(unit, window), -1.0], start):
-                public = any(a <= i and i + window <= b for a, b in parts) or any(a < i + window and i < b for a, b in words)
-                if e >= least - 1e-9 and not public:
-                    open_at = i if open_at is None else open_at
-                elif open_at is not None:
-                    spans.append((m.start() + open_at, m.start() + i - 1 + window))
-                    open_at = None
+        candidate = m.group()
+        stretches = doubtful(candidate, window)
+        public = public_windows(candidate, window) if stretches else b""
+        for begin, stop in stretches:
+            units = {x.span(): bits for _, pattern, bits in reversed(CLASSES) for x in pattern.finditer(candidate, begin, stop) if x.end() - x.start() >= window and not ALLOW.fullmatch(x.group())}
+            for (start, end), least in units.items():
+                open_at = None
+                for i, e in enumerate(chain(window_entropies(candidate[start:end], window), (-1.0,)), start):
+                    if e >= least - 1e-9 and not public[i]:
+                        open_at = i if open_at is None else open_at
+                    elif open_at is not None:
+                        spans.append((m.start() + open_at, m.start() + i - 1 + window))
+                        open_at = None
     return _merged(spans)
 
 
@@ -119,8 +167,16 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 def scan(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """(base spans, spans that entropy adds): those that lie within a base span are not repeated."""
-    base = base_spans(text)
-    more = [("entropy", a, b) for a, b in entropy_spans(text) if not any(s <= a and b <= e for _, s, e in base)]
+    base, more = base_spans(text), []
+    if found := entropy_spans(text):
+        ends = sorted((a, b) for _, a, b in base)
+        furthest, at = -1, 0  # how far the base spans that have begun reach
+        for a, b in found:
+            while at < len(ends) and ends[at][0] <= a:
+                furthest = max(furthest, ends[at][1])
+                at += 1
+            if furthest < b:
+                more.append(("entropy", a, b))
     return base, more
 
 
@@ -138,9 +194,11 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
 
 def redact(text: str, mark: str = "[REDACTED]") -> str:
     base, more = scan(text)
-    for a, b in reversed(_merged([(s, e) for _, s, e in base + more])):
-        text = text[:a] + mark + text[b:]
-    return text
+    out, at = [], 0
+    for a, b in _merged([(s, e) for _, s, e in base + more]):
+        out += [text[at:a], mark]
+        at = b
+    return "".join(out) + text[at:]
 
 
 def redact_secrets(docs: DataFrame) -> DataFrame:
