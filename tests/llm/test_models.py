@@ -100,6 +100,13 @@ def test_toxicity_without_classes():
     assert 0 <= toxicity.fit(["a", "b"], np.zeros(2)).score(["a b"])[0] < 0.01
 
 
+@pytest.mark.parametrize("label", [0, 1, None])
+def test_nothing_goes_without_both_classes(spark, label):
+    docs = spark.createDataFrame([(i, f"text {i}", "en", "s", 6) for i in range(20)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    labels = spark.createDataFrame([(i, 0, label) for i in range(20)], "doc_id bigint, quality int, toxic int")
+    assert toxicity.without_toxic(docs, toxicity.fit_toxicity(docs, labels)).count() == 20
+
+
 def test_forest_against_walking_by_hand():
     rng = np.random.default_rng(1)
     x = rng.standard_normal((400, len(quality.FEATURES))).astype(np.float32)

@@ -100,6 +100,8 @@ class Network:
     weights: dict[str, np.ndarray]
     joined: np.ndarray
     prior: float
+    #: Whether labels of both classes were there to learn from; else every text scores the prior.
+    learnt: bool = False
 
     def evidence_of(self, keys: np.ndarray, size: np.ndarray) -> np.ndarray:
         x = np.empty((len(keys), _EVIDENCE), np.float32)
@@ -362,7 +364,7 @@ def fit(texts: list[str], y: np.ndarray, prior: float | None = None, folds: int
         grad = f.T @ (weight * (p - y)) + np.array([0.5, 0.5, 0.5, 1e-3]) * beta
         move = np.linalg.solve(hess, grad)
         beta -= move * min(1.0, 2.0 / max(np.abs(move).max(), 1e-9))
-    network.joined = beta
+    network.joined, network.learnt = beta, True
     return network
 
 
@@ -392,8 +394,9 @@ def score_toxicity(docs: DataFrame, network: Network, threshold: float = 0.5) ->
 
 
 def without_toxic(docs: DataFrame, network: Network, threshold: float = 0.5) -> DataFrame:
-    """The rows of `docs` whose score stays under the threshold, with their columns."""
-
+    """The rows of `docs` whose score stays under the threshold, with their columns; all of them if the network hasn't learnt both classes."""
+    if not network.learnt:
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast(network)
 
     @F.pandas_udf("double")
