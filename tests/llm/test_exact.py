@@ -443,6 +443,25 @@ def test_licenses(make):
     assert sorted(result.fetchall()) == sorted(tuple(r[c] for c in names) for r in got.values())
 
 
+def test_spans_are_taken_by_rank(spark):
+    """Of a chain in which each span is beaten by the next, the first stays: what beats it doesn't."""
+    rng = random.Random(2)
+    rows = [(1, 7, t, f"l{t}", a, b, n, 0.9) for t, (a, b, n) in enumerate([(0, 10, 5), (8, 30, 9), (25, 70, 20), (70, 80, 3), (90, 91, 1)])]
+    for doc in range(2, 30):
+        for t in range(rng.randrange(1, 25)):
+            a = rng.randrange(60)
+            rows.append((doc, 7, t % 5, f"l{t % 5}", a, a + rng.randrange(12), rng.randrange(1, 6), rng.choice([0.8, 0.9])))
+    want = {}
+    for doc, _, t, label, a, b, n, share in sorted(rows, key=lambda r: (r[0], -r[6], -r[7], r[2], r[4], r[5])):
+        kept = want.setdefault(doc, [])
+        if all(b < x or y < a for _, x, y in kept):
+            kept.append((label, a, b))
+    got = licenses.best_spans(spark.createDataFrame(rows, "doc_id bigint, text_key bigint, template int, label string, first int, last int, n int, coverage double").repartition(3))
+    found = {r.doc_id: sorted((s["label"], s["first"], s["last"]) for s in r.spans) for r in got.collect()}
+    assert found == {d: sorted(k) for d, k in want.items()}
+    assert found[1] == [("l0", 0, 10), ("l2", 25, 70), ("l4", 90, 91)]
+
+
 def test_license_plan_is_native(make):
     plan = licenses.scan_licenses(make(["a b c"]))._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "InArrow", "NestedLoop", "Cartesian"))
@@ -480,6 +499,15 @@ def test_disclosing_terms(make):
     assert clean[0] == "common filler0 [TERM] writes from [EMAIL] often" and clean[10] == texts[10]
 
 
+def test_copies_are_no_evidence(make):
+    texts = ["write in the end to joe@site.org about it"] * 3 + [f"other words in the text {i} to be read" for i in range(5)]
+    assert all(r.n_term == 0 for r in pii.find_personal_data(make(texts)).collect())
+    texts = [f"n{i} hazelwood writes joe@site.org" for i in range(3)] + ["hazelwood alone"] * 50 + ["joe@site.org alone"] * 50 + [f"x{i}" for i in range(40)]
+    got = pii.find_personal_data(make(texts), threshold=0.7).collect()  # three of four texts with the word: the fifty copies count once
+    assert {r.doc_id: r.n_term for r in got if r.n_term} == {0: 2, 1: 2, 2: 2}
+    assert {texts[0][int(a) : int(b)] for k, a, b in (s.split(":") for s in next(r.spans for r in got if r.doc_id == 0).split(",")) if k == "term"} == {"hazelwood", "writes"}
+
+
 def test_disclosures_by_brute_force(make):
     """Every pair of a term near an entity, with its documents counted one by one."""
     rng = random.Random(12)

@@ -3,10 +3,10 @@
 All rolling 3-word hashes of every document are joined to the positions of the same hashes in the license templates (a fixed list, so
 its broadcast is bounded). A shared passage lines up on one offset diagonal (place in the document less place in the template), and an
 inserted or missing word moves it to a neighbouring one: votes are aggregated by diagonal, neighbouring diagonals are merged, and a merged
-span is verified by the share of the template's words that it covers. Of verified spans that overlap only the best counts (most words
-covered, then the larger share, then the earlier template), so that a notice isn't read as its near relation.
-Defined results: null and empty texts have no words and score 0; repeated rows each get the labels of their text; null ids are kept; spans of equal
-rank can't be, as templates differ; very long texts are one array of words each; an empty table gives no rows; other columns are never read.
+span is verified by the share of the template's words that it covers. Verified spans are taken by rank (most words
+covered, then the larger share, then the earlier template, then the earlier place), each if it overlaps none taken before, so that a notice isn't read as its near relation.
+Defined results: null and empty texts have no words and score 0; repeated rows each get the labels of their text; null ids are kept; no two spans
+have equal ranks; very long texts are one array of words each; an empty table gives no rows; other columns are never read.
 """
 
 from __future__ import annotations
@@ -53,6 +53,21 @@ TEMPLATES = (
     ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
     ("cc-by-sa", "Licensed under CC BY-SA 4.0."),
     ("reserved", "All rights reserved."),
+    ("mit", "Released under the MIT Licence."),
+    ("mit", "SPDX-License-Identifier: MIT"),
+    ("apache", "SPDX-License-Identifier: Apache-2.0"),
+    ("gpl", "SPDX-License-Identifier: GPL-3.0-or-later"),
+    ("gpl", "SPDX-License-Identifier: GPL-2.0-only"),
+    ("lgpl", "SPDX-License-Identifier: LGPL-2.1-or-later"),
+    ("agpl", "SPDX-License-Identifier: AGPL-3.0-or-later"),
+    ("mpl", "SPDX-License-Identifier: MPL-2.0"),
+    ("bsd", "BSD-3-Clause"),
+    ("bsd", "BSD-2-Clause"),
+    ("mit", 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'),
+    ("bsd", 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES'),
+    ("isc", 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES'),
+    ("zlib", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely"),
+    ("boost", "Distributed under the Boost Software License, Version 1.0."),
 )
 GRAM, APART, COVERAGE = 3, 2, 0.75
 
@@ -88,11 +103,20 @@ def license_spans(keyed: DataFrame, coverage: float = COVERAGE) -> DataFrame:
 
 
 def best_spans(spans: DataFrame) -> DataFrame:
-    """doc_id, text_key, spans: of each document's verified spans those that no better one overlaps."""
-    rank = lambda s: F.struct(s["n"], s["coverage"], -s["template"])
-    beaten = lambda s: F.exists("all", lambda o: (o["first"] <= s["last"]) & (s["first"] <= o["last"]) & (rank(o) > rank(s)))
-    listed = spans.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("template", "label", "first", "last", "n", "coverage")).alias("all"))
-    return listed.select("doc_id", "text_key", F.filter("all", lambda s: ~beaten(s)).alias("spans"))
+    """doc_id, text_key, spans: of each document's verified spans those that overlap no better one that stays itself.
+
+    Spans are taken by rank within stretches of overlapping ones, so the work grows with the spans of a stretch, not of a document.
+    """
+    doc = ["doc_id", "text_key"]
+    before = Window.partitionBy(*doc).orderBy("first", "last", "template").rowsBetween(Window.unboundedPreceding, -1)
+    fresh = spans.withColumn("fresh", (F.coalesce(F.max("last").over(before), F.lit(-1)) < F.col("first")).cast("int"))
+    dealt = fresh.withColumn("stretch", F.sum("fresh").over(Window.partitionBy(*doc).orderBy("first", "last", "template").rowsBetween(Window.unboundedPreceding, 0)))
+    row = F.struct((-F.col("n")).alias("n"), (-F.col("coverage")).alias("share"), "template", "first", "last", "label", "coverage")
+    ranked = dealt.groupBy(*doc, "stretch").agg(F.array_sort(F.collect_list(row)).alias("all"))
+    apart = lambda s, o: (o["last"] < s["first"]) | (s["last"] < o["first"])
+    none = F.slice("all", 1, 0)
+    stay = F.aggregate("all", none, lambda kept, s: F.when(F.forall(kept, lambda o: apart(s, o)), F.array_append(kept, s)).otherwise(kept))
+    return ranked.groupBy(*doc).agg(F.flatten(F.collect_list(stay)).alias("spans"))
 
 
 def scan_licenses(docs: DataFrame, coverage: float = COVERAGE) -> DataFrame:
@@ -145,8 +169,9 @@ fresh AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id
 spans AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS span FROM fresh),
 covered AS (SELECT doc_id, template, label, min(diagonal + pos) AS first, max(diagonal + pos + k) AS last, count(DISTINCT pos + k) AS n, count(DISTINCT pos + k) / length AS coverage
   FROM hits JOIN spans USING (doc_id, template, diagonal), unnest(range(0, {GRAM})) AS u(k) GROUP BY doc_id, template, label, length, span HAVING count(DISTINCT pos + k) / length >= {COVERAGE}::DOUBLE),
-found AS (SELECT doc_id, list(DISTINCT label) AS labels, max(coverage) AS best FROM covered s
-  WHERE NOT EXISTS (SELECT 1 FROM covered o WHERE o.doc_id = s.doc_id AND o.first <= s.last AND s.first <= o.last AND (o.n, o.coverage, -o.template) > (s.n, s.coverage, -s.template)) GROUP BY doc_id),
+ranked AS (SELECT doc_id, list([{{'n': -n, 'share': -coverage, 'template': template, 'first': first, 'last': last, 'label': label, 'coverage': coverage}}] ORDER BY n DESC, coverage DESC, template, first, last) AS listed FROM covered GROUP BY doc_id),
+taken AS (SELECT doc_id, unnest(list_reduce(listed, lambda kept, s: CASE WHEN len(list_filter(kept, lambda o: o.first <= s[1].last AND s[1].first <= o.last)) = 0 THEN kept || s ELSE kept END)) AS s FROM ranked),
+found AS (SELECT doc_id, list(DISTINCT s.label) AS labels, max(s.coverage) AS best FROM taken GROUP BY doc_id),
 base AS (SELECT doc_id, count(*) AS n_base, min(i) - 1 AS first_word, max(i) - 1 AS last_word, list(DISTINCT CASE w[i] {_LABEL} END) AS labels FROM d, unnest(range(1, len(w) + 1)) AS u(i) WHERE {_HELD} GROUP BY doc_id)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
 array_to_string(list_sort(coalesce(base.labels, [])), ',') AS base_labels, array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(found.labels, [])))), ',') AS labels,

@@ -1,12 +1,13 @@
 """PII: fixed patterns, and information-theoretic sanitisation of the terms around them.
 
 A protected entity is the value of a pattern's match (an address, a number). The words within `context` words of it are terms. Over the
-whole corpus, the documents in which a term stands near an entity, those that hold the term at all and those that hold the entity give
+whole corpus, the different texts in which a term stands near an entity, those that hold the term at all and those that hold the entity give
     disclosure(term -> entity) = log2(P(entity | term) / P(entity)) / -log2 P(entity),
 the share of the entity's information that the term gives away: 0 if independent, 1 if the term gives it away for certain.
-Terms at or above the threshold, seen with the entity in `support` documents or more, are spans of kind `term` near that entity.
+Terms at or above the threshold, seen with the entity in `support` different texts or more, are spans of kind `term` near that entity; copies of a text are no
+further evidence.
 Corpus counts of terms are taken through a bit filter of fixed size, so what is broadcast doesn't grow with the corpus.
-Defined results: null and empty texts have no spans; repeated rows count as documents of their own and get the same spans;
+Defined results: null and empty texts have no spans; repeated rows count once and get the same spans;
 null ids are kept; without any entity no term is disclosed; terms of equal disclosure are all spans; very long texts are read whole; an empty table
 gives no rows; other columns are never read.
 """
@@ -21,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, documents, map_rows, spans_text, word_table
+from .common import bit_filter, checkpointed, documents, in_filter, map_rows, spans_text, word_table
 
 #: The patterns of the base kinds.
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -114,34 +115,45 @@ def pattern_matches(docs: DataFrame, context: int = CONTEXT) -> DataFrame:
     return map_rows(keyed, read, schema, ["doc_id", "text_key", "text"])
 
 
-def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, n_term): the documents of the whole corpus that hold each of `terms`; a filter of FILTER_BITS bits spares the rest."""
+def term_counts(docs: DataFrame, terms: DataFrame, repeated: DataFrame) -> DataFrame:
+    """(term, n_term): the different texts of the whole corpus that hold each of `terms`; a filter of FILTER_BITS bits spares the rest.
+
+    Texts that stand once are counted where they are read. Those that a second filter takes for `repeated` (text_key) give pairs of term and text, so that
+    each counts once; the filter's size is fixed, and what it lets through beyond the repeated ones is counted right as well.
+    """
     slots = terms.select(F.pmod("term", F.lit(FILTER_BITS)).cast("int").alias("slot")).distinct()
     bits = np.zeros(FILTER_BITS, bool)
     bits[np.asarray(slots.toPandas()["slot"], np.int64)] = True  # FILTER_BITS numbers at most, whatever the corpus
-    wanted = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
+    wanted = docs.sparkSession.sparkContext.broadcast((np.packbits(bits), bit_filter(repeated)))
 
-    def read(texts):
+    def read(keys, texts):
+        terms_of, copies = wanted.value
         _, _, _, words, first = word_table(texts)
         own = words.view(np.int64)
-        held = np.flatnonzero(np.unpackbits(wanted.value)[own & (FILTER_BITS - 1)]) if len(own) else np.zeros(0, np.int64)
-        doc = np.searchsorted(first, held, side="right")
+        held = np.flatnonzero(np.unpackbits(terms_of)[own & (FILTER_BITS - 1)]) if len(own) else np.zeros(0, np.int64)
+        doc = np.searchsorted(first, held, side="right") - 1
         pairs = np.unique(np.stack([doc, own[held]], axis=1), axis=0) if len(held) else np.zeros((0, 2), np.int64)
-        found, n = np.unique(pairs[:, 1], return_counts=True)
-        return found, n
+        key = np.array(keys, np.int64)
+        several = in_filter(copies, key)[pairs[:, 0]]
+        found, n = np.unique(pairs[~several, 1], return_counts=True)
+        apart = np.unique(np.stack([pairs[several, 1], key[pairs[several, 0]]], axis=1), axis=0)
+        return [*found, *apart[:, 0]], [None] * len(found) + apart[:, 1].tolist(), [*n, *[1] * len(apart)]
 
-    counted = map_rows(documents(docs), read, "term bigint, n bigint", ["text"], size=1 << 22, rows=4096)
-    return counted.groupBy("term").agg(F.sum("n").alias("n_term")).join(terms, "term", "left_semi")
+    keyed = documents(docs).select(F.xxhash64("text").alias("text_key"), "text")
+    counted = map_rows(keyed, read, "term bigint, text_key bigint, n bigint", ["text_key", "text"], size=1 << 22, rows=4096)
+    once = counted.groupBy("term", "text_key").agg(F.sum("n").alias("n"))
+    return once.groupBy("term").agg(F.sum(F.when(F.col("text_key").isNull(), F.col("n")).otherwise(1)).alias("n_term")).join(terms, "term", "left_semi")
 
 
 def disclosures(docs: DataFrame, matched: DataFrame, support: int = SUPPORT, threshold: float = DISCLOSURE) -> DataFrame:
-    """(term, entity, disclosure) of the terms that give an entity away."""
-    total = matched.count()
-    near = matched.where(F.size("terms") > 0).select(F.explode(F.array_distinct(F.transform("terms", lambda t: F.struct(t["term"].alias("term"), t["entity"].alias("entity"))))).alias("p"), "doc_id", "text_key").select("p.*")
+    """(term, entity, disclosure) of the terms that give an entity away, by counts of different texts."""
+    texts = checkpointed(matched.groupBy("text_key").agg(F.count("*").alias("n")))
+    total = texts.count()
+    near = matched.where(F.size("terms") > 0).select("text_key", F.explode(F.array_distinct(F.transform("terms", lambda t: F.struct(t["term"].alias("term"), t["entity"].alias("entity"))))).alias("p")).select("text_key", "p.*").distinct()
     seen = near.groupBy("term", "entity").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
-    entities = matched.where(F.size("terms") > 0).select(F.explode(F.array_distinct(F.col("terms.entity"))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
+    entities = near.select("entity", "text_key").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
     seen = checkpointed(seen)
-    counts = term_counts(docs, seen.select("term").distinct())
+    counts = term_counts(docs, seen.select("term").distinct(), texts.where("n > 1").select("text_key"))
     gain = F.log2(F.col("n_both") * F.lit(float(total)) / (F.col("n_term") * F.col("n_entity"))) / F.log2(F.lit(float(total)) / F.col("n_entity"))
     scored = seen.join(counts, "term").join(entities, "entity").where(F.col("n_entity") < total)
     return scored.select("term", "entity", gain.alias("disclosure")).where(F.col("disclosure") >= threshold)
