@@ -12,14 +12,16 @@ def overlap_score(fractions: Column, value: str, mode: str = "reference") -> Col
     `reference`: a fraction that is missing, null or 0 counts as 1, so a region without any such pixel scores 0 and 1 is never reached.
     `documented`: such a fraction counts as 0, so that region scores 1. NaN stays NaN in both.
     """
-    fraction = F.try_element_at(fractions, F.lit(value))
+    return F.when(fractions.isNull(), F.lit(0.0)).otherwise(share_score(F.try_element_at(fractions, F.lit(value)), mode))
+
+
+def share_score(fraction: Column, mode: str = "reference") -> Column:
+    """1 less a fraction, which may be null; see `overlap_score`."""
     if mode == "reference":
-        known = F.coalesce(F.nullif(fraction, F.lit(0.0)), F.lit(1.0))
-    elif mode == "documented":
-        known = F.coalesce(fraction, F.lit(0.0))
-    else:
-        raise ValueError(f"unknown mode {mode!r}")
-    return F.when(fractions.isNull(), F.lit(0.0)).otherwise(F.lit(1.0) - known)
+        return F.lit(1.0) - F.coalesce(F.nullif(fraction, F.lit(0.0)), F.lit(1.0))
+    if mode == "documented":
+        return F.lit(1.0) - F.coalesce(fraction, F.lit(0.0))
+    raise ValueError(f"unknown mode {mode!r}")
 
 
 def positive(score: Column) -> Column:

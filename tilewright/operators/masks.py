@@ -1,9 +1,10 @@
-"""Overlap of tiles with mask rasters, by bit words and one join per row of tiles.
+"""Overlap of tiles with mask rasters, by summed-area blocks.
 
-Mask lines are packed into words of WORD bits, one for each pixel that has the undesired value, and BAND lines make a row of the join's table. Tiles of one
-row of the grid (one `tile_y`) read the same lines, so the join works on grid rows, not on tiles: each meets the bands it touches on
-(mask_path, band), and keeps the lines as a strip. A tile's pixels are then counted by two lookups per line of its strip. Pixels outside the mask are
-not counted; a region without any pixel has null fractions, and so has one whose mask has no line 0.
+A mask is cut into blocks of BAND lines by SPAN pixels. A block holds a summed-area table of the pixels with the undesired value: for each of its lines and
+places the number of such pixels above and before, so four corners give the count of any part of it. Tiles of one row of the grid read the same lines, and
+CELL neighbours read neighbouring blocks: such a stretch of a row is joined to the blocks it touches on (mask, value, band, block), and of each keeps the difference
+of two lines of its table, whose edge sums are carried from block to block. A tile is then counted by one lookup at each of its two sides, however wide its slide and
+however many lines it spans. Pixels outside the mask are not counted; a region without any pixel has null fractions, and so has one whose mask has no line 0.
 """
 
 from __future__ import annotations
@@ -15,9 +16,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.functions.geometry import Box
-from tilewright.functions.overlap import overlap_score
+from tilewright.functions.overlap import share_score
 
-WORD, BAND = 64, 64
+WORD, BAND, SPAN = 64, 64, 512
+#: Tiles of a stretch of a grid row, and how many tile pixels wide a stretch of tiles is that don't come from a grid.
+CELL, CELL_WIDTH = 64, 4096
+#: The bits of a word below each of its places.
+BELOW = [(1 << b) - 1 for b in range(WORD)]
 
 
 class Overlap(NamedTuple):
@@ -29,86 +34,136 @@ class Overlap(NamedTuple):
     value: str
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once, however often `body` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def packed_words(row: Column, value: int) -> Column:
     """One bit per pixel that equals `value`, the first pixel in the lowest bit of the first word."""
     word = lambda w: F.aggregate(F.reverse(F.slice(row, w * WORD + 1, F.lit(WORD))), F.lit(0).cast("bigint"), lambda a, v: F.shiftleft(a, 1).bitwiseOR((v == value).cast("bigint")))
-    return F.when(F.size(row) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(row) - 1) / WORD).cast("int")), word)).otherwise(F.array().cast("array<bigint>"))
-
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(row) - 1) / WORD).cast("int")), word)
 
-def counts_ahead(words: Column) -> Column:
-    """Set bits before each word, and before the end."""
-    return F.aggregate(words, F.array(F.lit(0)), lambda a, w: F.array_append(a, F.element_at(a, -1) + F.bit_count(w)))
 
+def _line_sums(words: Column, length: Column) -> Column:
+    """For each place of a line of `length` words the set bits before it, and those of the whole line at the end."""
+    below = F.array(*[F.lit(b).cast("bigint") for b in BELOW])
 
-def bits_before(line: Column, at: Column) -> Column:
-    """Set bits of a line (words, ahead) before the place `at`: the count of the words before it, and a part of its own word."""
-    word = F.floor(at / WORD).cast("int")
-    below = F.bitwise_not(F.call_function("shiftleft", F.lit(-1).cast("bigint"), at % WORD))
-    return F.get(line["ahead"], word) + F.coalesce(F.bit_count(F.get(line["words"], word).bitwiseAND(below)), F.lit(0))
+    def word(a: Column, w: Column) -> Column:
+        return F.struct((a["n"] + F.bit_count(w)).alias("n"), F.concat(a["sums"], F.transform(below, lambda b: a["n"] + F.bit_count(w.bitwiseAND(b)))).alias("sums"))
 
+    padded = F.concat(words, F.array_repeat(F.lit(0).cast("bigint"), length - F.size(words)))
+    return F.aggregate(padded, F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("sums")), word, lambda a: F.array_append(a["sums"], a["n"]))
 
-def mask_bands(masks: DataFrame, values: list[str]) -> DataFrame:
-    """mask_path, band, and for each value its lines `v<value>`: (y, n, words, ahead), in any order."""
-    lines = masks.select("mask_path", F.floor(F.col("y") / BAND).cast("int").alias("band"), *[F.struct(F.col("y").cast("int").alias("y"), F.size("row").alias("n"), packed_words(F.col("row"), int(v)).alias("words")).alias(f"v{v}") for v in values])
-    lines = lines.select("mask_path", "band", *[let(F.col(f"v{v}"), lambda c: F.struct(c["y"].alias("y"), c["n"].alias("n"), c["words"].alias("words"), counts_ahead(c["words"]).alias("ahead"))).alias(f"v{v}") for v in values])
-    return lines.groupBy("mask_path", "band").agg(*[F.collect_list(f"v{v}").alias(f"v{v}") for v in values])
 
+def mask_blocks(masks: DataFrame, wanted: DataFrame, values: list[str]) -> DataFrame:
+    """mask_path, value, band, block, lines (their numbers in the band), lengths (pixels of each whole line) and sums, the summed-area table, of the `wanted` (mask_path, value).
 
-def _pixels(axis: str, edge: Column | int, resolution: Column, up: bool) -> Column:
+    Row k of the table has the sums over the first k of the block's lines; there is one row more than lines.
+    """
+    n = F.size("row")
+    cut = masks.where(n > 0).select("mask_path", F.floor(F.col("y") / BAND).cast("int").alias("band"), F.pmod("y", F.lit(BAND)).cast("int").alias("line"), n.alias("n"), "row", F.explode(F.sequence(F.lit(0), F.floor((n - 1) / SPAN).cast("int"))).alias("block"))
+    part = F.slice("row", F.col("block") * SPAN + 1, F.lit(SPAN))
+    packed = cut.select("mask_path", "band", "line", "n", "block", *[packed_words(part, int(v)).alias(f"v{v}") for v in values])
+    found = packed.join(wanted, "mask_path")
+    words = F.coalesce(*[F.when(F.col("value") == v, F.col(f"v{v}")) for v in values])
+    key = ["mask_path", "value", "band", "block"]
+    grouped = found.select(*key, F.struct("line", "n", words.alias("words")).alias("l")).groupBy(*key).agg(F.array_sort(F.collect_list("l")).alias("all"), F.max(F.size("l.words")).alias("length"))
+    first = F.array(F.array_repeat(F.lit(0), F.col("length") * WORD + 1))
+    sums = F.aggregate("all", first, lambda a, l: F.array_append(a, F.zip_with(F.element_at(a, -1), _line_sums(l["words"], F.col("length")), lambda x, y: x + y)))
+    return grouped.select(*key, F.col("all.line").alias("lines"), F.col("all.n").alias("lengths"), sums.alias("sums"))
+
+
+def _pixels(axis: str, at: Column | int, resolution: Column, up: bool, tile: Column | None = None) -> Column:
     """A tile's edge in mask pixels, rounded outwards."""
-    scaled = (F.col(f"tile_{axis}") + edge) * F.col(f"mpp_{axis}") / resolution
+    scaled = ((F.col(f"tile_{axis}") if tile is None else tile) + at) * F.col(f"mpp_{axis}") / resolution
     return (F.ceil(scaled) if up else F.floor(scaled)).cast("int")
 
 
-def mask_strips(rows: DataFrame, masks: DataFrame, overlaps: list[Overlap], key: list[str]) -> DataFrame:
-    """One row per different `key` of `rows` (grid rows with path columns, tile_y, mpp_x, mpp_y): for overlap i the mask's mpp_x `m<i>` and its lines `s<i>`."""
-    box = ("y0", "y1")
-    kinds = F.array(*[F.struct(F.lit(i).alias("kind"), F.lit(f"v{o.value}").alias("plane"), F.col(o.path_column).alias("mask_path"), *[F.lit(getattr(o.roi, n)).alias(n) for n in box]) for i, o in enumerate(overlaps)])
-    wanted = list(dict.fromkeys([*key, "tile_y", "mpp_y"]))
-    regions = rows.select(*wanted, F.explode(kinds).alias("k")).select(*wanted, "k.*").where("mask_path <> ''").dropDuplicates([*key, "kind"])
-    sizes = masks.where("y = 0").select("mask_path", F.col("mpp_x").alias("mask_mpp_x"), F.col("mpp_y").alias("mask_mpp_y"))
-    scaled = regions.join(sizes, "mask_path").select(*key, "kind", "plane", "mask_path", "mask_mpp_x", _pixels("y", F.col("y0"), F.col("mask_mpp_y"), False).alias("from"), _pixels("y", F.col("y1"), F.col("mask_mpp_y"), True).alias("to"))
-    touched = scaled.withColumn("band", F.explode(F.sequence(F.floor(F.col("from") / BAND).cast("int"), F.floor((F.col("to") - 1) / BAND).cast("int"))))
-    values = sorted({o.value for o in overlaps})
-    met = touched.join(mask_bands(masks, values), ["mask_path", "band"])
-    plane = F.coalesce(*[F.when(F.col("plane") == f"v{v}", F.col(f"v{v}")) for v in values])
-    found = met.select(*key, "kind", "mask_mpp_x", F.filter(plane, lambda line: (line["y"] >= F.col("from")) & (line["y"] < F.col("to"))).alias("lines"))
-    of = lambda i, c: F.when(F.col("kind") == i, F.col(c))
-    return found.groupBy(*key).agg(*[x for i in range(len(overlaps)) for x in (F.max(of(i, "mask_mpp_x")).alias(f"m{i}"), F.flatten(F.collect_list(of(i, "lines"))).alias(f"s{i}"))])
+def _kinds(overlaps: list[Overlap], *more: Callable[[int, Overlap], Column]) -> Column:
+    return F.array(*[F.struct(F.lit(i).alias("kind"), F.lit(o.value).alias("value"), F.col(o.path_column).alias("mask_path"), *[m(i, o) for m in more]) for i, o in enumerate(overlaps)])
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """`body` of a value that is computed once, however often `body` uses it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def mask_strips(stretches: DataFrame, sources: DataFrame, masks: DataFrame, overlaps: list[Overlap], key: list[str]) -> DataFrame:
+    """One row per different `key` of `stretches` (path columns, tile_y, mpp_x, mpp_y, and x_from and x_to, its first and last tile_x) that has pixels:
 
-
-def strip_score(i: int, overlap: Overlap, mode: str) -> Column:
-    """The score of a tile from its strip's lines: the share of the undesired value among the pixels under its region."""
-    region = F.struct(F.greatest(_pixels("x", overlap.roi.x0, F.col(f"m{i}"), False), F.lit(0)).alias("begin"), _pixels("x", overlap.roi.x1, F.col(f"m{i}"), True).alias("end"))
-
-    def add(a: Column, line: Column, r: Column) -> Column:
-        end = F.least(r["end"], line["n"])
-        return F.when(end > r["begin"], F.struct((a["n"] + end - r["begin"]).alias("n"), (a["held"] + bits_before(line, end) - bits_before(line, r["begin"])).alias("held"))).otherwise(a)
-
-    def score(a: Column) -> Column:
-        return overlap_score(F.when(a["n"] > 0, F.create_map(F.lit(overlap.value), a["held"] / a["n"])), overlap.value, mode)
-
-    counted = let(region, lambda r: F.aggregate(F.col(f"s{i}"), F.struct(F.lit(0).alias("n"), F.lit(0).alias("held")), lambda a, line: add(a, line, r), score))
-    return F.coalesce(counted, F.lit(0.0))
-
-
-def with_scores(df: DataFrame, scores: dict[str, Column]) -> DataFrame:
-    """`df` with more columns, from a generator of one row: filters on a score then don't compute it again."""
-    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in scores.items()]))))
-
-
-def add_overlaps(tiles: DataFrame, masks: DataFrame, overlaps: list[Overlap], mode: str = "reference", key: list[str] | None = None) -> DataFrame:
-    """`tiles` with the scores of several mask kinds; disabled and missing masks score 0.
-
-    `key` names columns that decide the mask paths, resolutions and `tile_y` of a tile; by default these columns themselves.
+    for overlap i the mask's mpp_x `m<i>`, its pieces `p<i>` (carried sum, first pixel, sums before each further pixel) and its lines' lengths `n<i>` with
+    their numbers. `sources` has the path columns too, in fewer rows.
     """
-    key = key or [*dict.fromkeys(o.path_column for o in overlaps), "tile_y", "mpp_x", "mpp_y"]
-    strips = mask_strips(tiles, masks, overlaps, key)
-    joined = tiles.alias("t").join(strips.alias("f"), [F.col(f"t.{c}").eqNullSafe(F.col(f"f.{c}")) for c in key], "left")
-    both = joined.select("t.*", *[F.col(f"f.{n}{i}") for i in range(len(overlaps)) for n in "ms"])
-    return with_scores(both, {o.column: strip_score(i, o, mode) for i, o in enumerate(overlaps)}).select(*tiles.columns, *[o.column for o in overlaps])
+    box = [lambda i, o, n=n: F.lit(getattr(o.roi, n)).alias(n) for n in ("x0", "y0", "x1", "y1")]
+    carried = list(dict.fromkeys([*key, "tile_y", "mpp_x", "mpp_y", "x_from", "x_to"]))
+    regions = stretches.select(*carried, F.explode(_kinds(overlaps, *box)).alias("k")).select(*carried, "k.*").where("mask_path <> ''").dropDuplicates([*key, "kind"])
+    sizes = masks.where("y = 0").select("mask_path", F.col("mpp_x").alias("mask_mpp_x"), F.col("mpp_y").alias("mask_mpp_y"))
+    edge = lambda axis, at, up, tile=None: F.greatest(_pixels(axis, F.col(at), F.col(f"mask_mpp_{axis}"), up, tile), F.lit(0))
+    scaled = regions.join(sizes, "mask_path").select(
+        *key, "kind", "value", "mask_path", "mask_mpp_x",
+        edge("y", "y0", False).alias("top"), edge("y", "y1", True).alias("end"), edge("x", "x0", False, F.col("x_from")).alias("left"), edge("x", "x1", True, F.col("x_to")).alias("right"),
+    ).where("end > top AND right > left")
+    touched = lambda a, b, size: F.explode(F.sequence(F.floor(F.col(a) / size).cast("int"), F.floor((F.col(b) - 1) / size).cast("int")))
+    touching = scaled.withColumn("band", touched("top", "end", BAND)).withColumn("block", touched("left", "right", SPAN))
+    values = sorted({o.value for o in overlaps})
+    wanted = sources.select(F.explode(_kinds(overlaps)).alias("k")).select("k.mask_path", "k.value").where("mask_path <> ''").distinct()
+    met = touching.join(mask_blocks(masks, wanted, values), ["mask_path", "value", "band", "block"])
+    above = lambda at: F.size(F.filter("lines", lambda l: l < F.col(at) - F.col("band") * BAND))
+    met = met.withColumn("above", above("top")).withColumn("within", above("end"))
+    cut = lambda k: F.slice(F.get("sums", F.col(k)), F.greatest(F.col("left") - F.col("block") * SPAN, F.lit(0)) + 1, F.least(F.col("right") - F.col("block") * SPAN, F.lit(SPAN)) + 1)
+    piece = F.struct(
+        "kind", "block", "band", "mask_mpp_x", F.greatest("left", F.col("block") * SPAN).alias("first"),
+        F.zip_with(cut("within"), cut("above"), lambda a, b: a - b).alias("sums"), F.slice("lengths", F.col("above") + 1, F.col("within") - F.col("above")).alias("lengths"),
+    )
+    found = met.groupBy(*key).agg(F.collect_list(piece).alias("all"))
+    return found.select(*key, *[c for i in range(len(overlaps)) for c in _strip(i)])
+
+
+def _strip(i: int) -> list[Column]:
+    own = F.filter("all", lambda p: p["kind"] == i)
+    return [F.get(own, F.lit(0))["mask_mpp_x"].alias(f"m{i}"), let(own, _carried).alias(f"p{i}"), let(own, _lengths).alias(f"n{i}")]
+
+
+def _carried(own: Column) -> Column:
+    """(carry, first, sums) of each block in order, the sums of its bands added up; `carry` is what stands in the blocks before."""
+    longer = lambda x, of: F.coalesce(x, F.element_at(of, -1))  # noqa: E731  a line ends where a longer one of another band goes on
+    add = lambda a, p: F.when(F.size(a["sums"]) == 0, F.struct(p["first"].alias("first"), p["sums"].alias("sums"))).otherwise(F.struct(a["first"].alias("first"), F.zip_with(a["sums"], p["sums"], lambda x, y: longer(x, a["sums"]) + longer(y, p["sums"])).alias("sums")))
+    none = F.struct(F.lit(0).alias("first"), F.array().cast("array<int>").alias("sums"))
+    blocks = F.array_sort(F.array_distinct(F.transform(own, lambda p: p["block"])))
+    summed = F.transform(blocks, lambda b: F.aggregate(F.filter(own, lambda p: p["block"] == b), none, add))
+    start = F.array().cast("array<struct<carry:int,first:int,sums:array<int>>>")
+    ends = lambda a: F.coalesce(F.element_at(a, -1)["carry"] + F.element_at(F.element_at(a, -1)["sums"], -1), F.lit(0))
+    carry = F.aggregate(summed, start, lambda a, s: F.array_append(a, F.struct(F.when(F.size(a) == 0, 0).otherwise(ends(a)).alias("carry"), s["first"].alias("first"), s["sums"].alias("sums"))))
+    return F.when(F.size(own) > 0, carry)
+
+
+def _lengths(own: Column) -> Column:
+    """(length, lines) of the lines that reach the first block, usually one."""
+    first = F.array_min(F.transform(own, lambda p: p["block"]))
+    every = F.flatten(F.transform(F.filter(own, lambda p: p["block"] == first), lambda p: p["lengths"]))
+    return let(every, lambda all: F.transform(F.array_distinct(all), lambda n: F.struct(n.alias("length"), F.size(F.filter(all, lambda x: x == n)).alias("lines"))))
+
+
+def strip_score(i: int, overlap: Overlap, mode: str, tile_x: Column) -> Column:
+    """The score of the tile at `tile_x` from its stretch's strip: the share of the undesired value among the pixels under its region."""
+    pieces, lengths = F.col(f"p{i}"), F.col(f"n{i}")
+
+    def before(x: Column) -> Column:
+        block = F.least(F.floor(x / SPAN).cast("int") - F.floor(F.get(pieces, F.lit(0))["first"] / SPAN).cast("int"), F.size(pieces) - 1)
+        return let(F.get(pieces, block), lambda p: p["carry"] + F.get(p["sums"], F.least(x - p["first"], F.size(p["sums"]) - 1)))
+
+    def score(r: Column) -> Column:
+        pixels = F.aggregate(lengths, F.lit(0), lambda a, n: a + n["lines"] * F.greatest(F.least(r["end"], n["length"]) - r["begin"], F.lit(0)))
+        return let(pixels, lambda n: F.when(n > 0, share_score((before(r["end"]) - before(r["begin"])) / n, mode)))
+
+    edge = lambda at, up: F.greatest(_pixels("x", at, F.col(f"m{i}"), up, tile_x), F.lit(0))
+    region = F.struct(edge(overlap.roi.x0, False).alias("begin"), edge(overlap.roi.x1, True).alias("end"))
+    return F.coalesce(let(region, score), F.lit(0.0))
+
+
+def add_overlaps(tiles: DataFrame, masks: DataFrame, overlaps: list[Overlap], mode: str = "reference") -> DataFrame:
+    """`tiles` (wherever they come from) with the scores of several mask kinds; disabled and missing masks score 0."""
+    paths = list(dict.fromkeys(o.path_column for o in overlaps))
+    key = [*paths, "tile_y", "mpp_x", "mpp_y", "_cell"]
+    dealt = tiles.withColumn("_cell", F.floor(F.col("tile_x") / CELL_WIDTH))
+    stretches = dealt.groupBy(*key).agg(F.min("tile_x").alias("x_from"), F.max("tile_x").alias("x_to"))
+    strips = mask_strips(stretches, tiles, masks, overlaps, key)
+    joined = dealt.alias("t").join(strips.alias("f"), [F.col(f"t.{c}").eqNullSafe(F.col(f"f.{c}")) for c in key], "left")
+    both = joined.select("t.*", *[F.col(f"f.{n}{i}") for i in range(len(overlaps)) for n in "mpn"])
+    return both.select(*[F.col(c) for c in tiles.columns], *[strip_score(i, o, mode, F.col("tile_x")).alias(o.column) for i, o in enumerate(overlaps)])

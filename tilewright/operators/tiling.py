@@ -12,7 +12,7 @@ from tilewright.functions.overlap import positive
 from tilewright.sources.schemas import TILE_COLUMNS
 
 from .grid import grid_along, grid_tiles
-from .masks import Overlap, mask_strips, strip_score, with_scores
+from .masks import CELL, Overlap, mask_strips, strip_score
 
 #: Overlaps in order: column, mask column, whether only the centre counts, undesired pixel value. The first one filters.
 OVERLAPS = (
@@ -50,18 +50,30 @@ def expand(slides: DataFrame, roots: MaskRoots, last: str = "keep") -> DataFrame
     return grid_tiles(with_mask_paths(slides, roots), last).select("tile_x", "tile_y", F.col("id").alias("slide_id"), *CARRIED, *[path for _, path, _, _ in OVERLAPS])
 
 
-def tile_slides(slides: DataFrame, masks: DataFrame, tile_extent: int, roots: MaskRoots, mode: str = "reference", last: str = "keep") -> DataFrame:
-    """Ten columns per tile that has tissue in its centre.
+def score_tiles(slides: DataFrame, masks: DataFrame, overlaps: list[Overlap], roots: MaskRoots, mode: str = "reference", last: str = "keep", kept: bool = False, carried: tuple[str, ...] = ()) -> DataFrame:
+    """slide_id, `carried`, tile_y, tile_x and a score per overlap of every tile; `kept`: of those whose first score is positive.
 
-    Rows of the grid get the mask lines they need, and only then spread into tiles, which are scored where they stand: no tile is shuffled.
+    Stretches of grid rows get the mask sums they need, score their tiles, and only then spread into tiles: no tile is shuffled. The other scores are computed for
+    kept tiles alone.
     """
-    kinds = overlaps(tile_extent)
-    rows = grid_along(with_mask_paths(slides, roots), "y", last).withColumnRenamed("id", "slide_id")
-    key = ["slide_id", "tile_y"]
-    strips = mask_strips(rows, masks, kinds, key)
-    met = rows.join(strips, key)  # a row without any mask has no tissue
-    tiles = grid_along(met.select("slide_id", "tile_y", *CARRIED, *[f"{n}_x" for n in ("extent", "tile_extent", "stride")], *[f"{n}{i}" for i in range(len(kinds)) for n in "ms"]), "x", last)
-    scores = {o.column: strip_score(i, o, mode) for i, o in enumerate(kinds)}
-    first = kinds[0].column
-    kept = with_scores(tiles, {first: scores.pop(first)}).where(positive(F.col(first)))
-    return with_scores(kept, scores).select(*TILE_COLUMNS)
+    sources = with_mask_paths(slides, roots).withColumnRenamed("id", "slide_id")
+    n = F.col("_n")
+    place = lambda i: geometry.grid_start(i, F.col("extent_x"), F.col("tile_extent_x"), F.col("stride_x"), last)
+    rows = grid_along(sources, "y", last).withColumn("_n", geometry.grid_count(F.col("extent_x"), F.col("tile_extent_x"), F.col("stride_x"), last)).where(n > 0)
+    stretches = rows.withColumn("stretch", F.explode(F.sequence(F.lit(0), F.floor((n - 1) / CELL).cast("int"))))
+    stretches = stretches.withColumn("first", F.col("stretch") * CELL).withColumn("end", F.least(n, F.col("first") + CELL)).withColumn("x_from", place(F.col("first"))).withColumn("x_to", place(F.col("end") - 1))
+    key = ["slide_id", "tile_y", "stretch"]
+    strips = mask_strips(stretches, sources, masks, overlaps, key)
+    met = stretches.join(strips, key, "inner" if kept else "left")  # a stretch without any mask has no tissue
+    score = lambda i, x: strip_score(i, overlaps[i], mode, x).alias(overlaps[i].column)
+    tiles = F.transform(F.transform(F.sequence(F.col("first"), F.col("end") - 1), place), lambda x: F.struct(x.alias("tile_x"), score(0, x)))
+    if kept:
+        tiles = F.filter(tiles, lambda t: positive(t[overlaps[0].column]))
+    if len(overlaps) > 1:
+        tiles = F.transform(tiles, lambda t: F.struct(t["tile_x"].alias("tile_x"), t[overlaps[0].column].alias(overlaps[0].column), *[score(i, t["tile_x"]) for i in range(1, len(overlaps))]))
+    return met.select("slide_id", *carried, "tile_y", F.inline(tiles))
+
+
+def tile_slides(slides: DataFrame, masks: DataFrame, tile_extent: int, roots: MaskRoots, mode: str = "reference", last: str = "keep") -> DataFrame:
+    """Ten columns per tile that has tissue in its centre."""
+    return score_tiles(slides, masks, overlaps(tile_extent), roots, mode, last, kept=True, carried=("type", "risk_index")).select(*TILE_COLUMNS)

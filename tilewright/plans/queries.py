@@ -115,7 +115,8 @@ def _tiles(spark, sf_dir):
 def _overlap(which):
     def run(spark, sf_dir):
         one = tiling.overlaps(fx.TILE)[which]
-        return masks.add_overlaps(_tiles(spark, sf_dir), fx.masks(spark, sf_dir), [one]).select("slide_id", "tile_x", "tile_y", one.column)
+        kind = one.path_column.removesuffix("_mask_path")
+        return tiling.score_tiles(fx.slides(spark, sf_dir), fx.masks(spark, sf_dir, (kind,)), [one], fx.ROOTS).select("slide_id", "tile_x", "tile_y", one.column)
 
     return run
 
