@@ -1,10 +1,12 @@
 """Overlap of tiles with mask rasters, by summed-area blocks.
 
-A mask is cut into blocks of BAND lines by SPAN pixels. A block holds a summed-area table of the pixels with the undesired value: for each of its lines and
-places the number of such pixels above and before, so four corners give the count of any part of it. Tiles of one row of the grid read the same lines, and
-CELL neighbours read neighbouring blocks: such a stretch of a row is joined to the blocks it touches on (mask, value, band, block), and of each keeps the difference
-of two lines of its table, whose edge sums are carried from block to block. A tile is then counted by one lookup at each of its two sides, however wide its slide and
-however many lines it spans. Pixels outside the mask are not counted; a region without any pixel has null fractions, and so has one whose mask has no line 0.
+A mask is cut into blocks of BAND lines by SPAN pixels. A block holds a word for each of its columns, with a bit for each line whose pixel has the undesired
+value: the count of such pixels between two lines of a column is that of the bits between two places, so all sums down a column are at hand.
+Tiles of one row of the grid lie between the same two lines, and CELL neighbours in neighbouring blocks: such a stretch of a row is joined to the
+blocks it touches on (mask, value, band, block), and takes the sums of its columns from them. Along the columns they are added up in runs of RUN, whose edge sums are
+carried from run to run. So the sum over any area ahead of a corner is found by one lookup, and a tile is counted by one at each of its two sides,
+however wide its slide and however many lines it spans. Pixels outside the mask are not counted; a region without any pixel has null fractions, and so has one
+whose mask has no line 0.
 """
 
 from __future__ import annotations
@@ -18,11 +20,9 @@ from pyspark.sql import functions as F
 from tilewright.functions.geometry import Box
 from tilewright.functions.overlap import share_score
 
-WORD, BAND, SPAN = 64, 64, 512
+BAND, SPAN, RUN = 64, 512, 32
 #: Tiles of a stretch of a grid row, and how many tile pixels wide a stretch of tiles is that don't come from a grid.
 CELL, CELL_WIDTH = 64, 4096
-#: The bits of a word below each of its places.
-BELOW = [(1 << b) - 1 for b in range(WORD)]
 
 
 class Overlap(NamedTuple):
@@ -39,39 +39,21 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def packed_words(row: Column, value: int) -> Column:
-    """One bit per pixel that equals `value`, the first pixel in the lowest bit of the first word."""
-    word = lambda w: F.aggregate(F.reverse(F.slice(row, w * WORD + 1, F.lit(WORD))), F.lit(0).cast("bigint"), lambda a, v: F.shiftleft(a, 1).bitwiseOR((v == value).cast("bigint")))
-    return F.transform(F.sequence(F.lit(0), F.floor((F.size(row) - 1) / WORD).cast("int")), word)
+def _below(k: Column) -> Column:
+    """The lowest `k` bits of a word, none below 0 and all from 64 on."""
+    return F.when(k >= BAND, F.lit(-1).cast("bigint")).when(k <= 0, F.lit(0).cast("bigint")).otherwise(F.bitwise_not(F.call_function("shiftleft", F.lit(-1).cast("bigint"), k)))
 
 
-def _line_sums(words: Column, length: Column) -> Column:
-    """For each place of a line of `length` words the set bits before it, and those of the whole line at the end."""
-    below = F.array(*[F.lit(b).cast("bigint") for b in BELOW])
-
-    def word(a: Column, w: Column) -> Column:
-        return F.struct((a["n"] + F.bit_count(w)).alias("n"), F.concat(a["sums"], F.transform(below, lambda b: a["n"] + F.bit_count(w.bitwiseAND(b)))).alias("sums"))
-
-    padded = F.concat(words, F.array_repeat(F.lit(0).cast("bigint"), length - F.size(words)))
-    return F.aggregate(padded, F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("sums")), word, lambda a: F.array_append(a["sums"], a["n"]))
-
-
-def mask_blocks(masks: DataFrame, wanted: DataFrame, values: list[str]) -> DataFrame:
-    """mask_path, value, band, block, lines (their numbers in the band), lengths (pixels of each whole line) and sums, the summed-area table, of the `wanted` (mask_path, value).
-
-    Row k of the table has the sums over the first k of the block's lines; there is one row more than lines.
-    """
+def mask_blocks(masks: DataFrame, wanted: DataFrame) -> DataFrame:
+    """mask_path, value, band, block, columns (a word for each, one bit for each line) and lines (number in the band, pixels of the whole line), of the `wanted` (mask_path, value)."""
     n = F.size("row")
     cut = masks.where(n > 0).select("mask_path", F.floor(F.col("y") / BAND).cast("int").alias("band"), F.pmod("y", F.lit(BAND)).cast("int").alias("line"), n.alias("n"), "row", F.explode(F.sequence(F.lit(0), F.floor((n - 1) / SPAN).cast("int"))).alias("block"))
-    part = F.slice("row", F.col("block") * SPAN + 1, F.lit(SPAN))
-    packed = cut.select("mask_path", "band", "line", "n", "block", *[packed_words(part, int(v)).alias(f"v{v}") for v in values])
-    found = packed.join(wanted, "mask_path")
-    words = F.coalesce(*[F.when(F.col("value") == v, F.col(f"v{v}")) for v in values])
+    part = cut.select("mask_path", "band", "line", "n", "block", F.slice("row", F.col("block") * SPAN + 1, F.lit(SPAN)).alias("row"))
     key = ["mask_path", "value", "band", "block"]
-    grouped = found.select(*key, F.struct("line", "n", words.alias("words")).alias("l")).groupBy(*key).agg(F.array_sort(F.collect_list("l")).alias("all"), F.max(F.size("l.words")).alias("length"))
-    first = F.array(F.array_repeat(F.lit(0), F.col("length") * WORD + 1))
-    sums = F.aggregate("all", first, lambda a, l: F.array_append(a, F.zip_with(F.element_at(a, -1), _line_sums(l["words"], F.col("length")), lambda x, y: x + y)))
-    return grouped.select(*key, F.col("all.line").alias("lines"), F.col("all.n").alias("lengths"), sums.alias("sums"))
+    found = part.join(wanted, "mask_path").groupBy(*key).agg(F.collect_list(F.struct("line", F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("line")).alias("bit"), "n", "row")).alias("all"), F.max(F.size("row")).alias("width"))
+    none = F.lit(0).cast("bigint")
+    columns = F.aggregate("all", F.array_repeat(none, F.col("width")), lambda a, l: F.zip_with(a, l["row"], lambda w, v: F.when(v == F.col("value"), w.bitwiseOR(l["bit"])).otherwise(w)))
+    return found.select(*key, columns.alias("columns"), F.transform("all", lambda l: F.struct(l["line"].alias("line"), l["n"].alias("n"))).alias("lines"))
 
 
 def _pixels(axis: str, at: Column | int, resolution: Column, up: bool, tile: Column | None = None) -> Column:
@@ -81,14 +63,14 @@ def _pixels(axis: str, at: Column | int, resolution: Column, up: bool, tile: Col
 
 
 def _kinds(overlaps: list[Overlap], *more: Callable[[int, Overlap], Column]) -> Column:
-    return F.array(*[F.struct(F.lit(i).alias("kind"), F.lit(o.value).alias("value"), F.col(o.path_column).alias("mask_path"), *[m(i, o) for m in more]) for i, o in enumerate(overlaps)])
+    return F.array(*[F.struct(F.lit(i).alias("kind"), F.lit(int(o.value)).cast("smallint").alias("value"), F.col(o.path_column).alias("mask_path"), *[m(i, o) for m in more]) for i, o in enumerate(overlaps)])
 
 
 def mask_strips(stretches: DataFrame, sources: DataFrame, masks: DataFrame, overlaps: list[Overlap], key: list[str]) -> DataFrame:
     """One row per different `key` of `stretches` (path columns, tile_y, mpp_x, mpp_y, and x_from and x_to, its first and last tile_x) that has pixels:
 
-    for overlap i the mask's mpp_x `m<i>`, its pieces `p<i>` (carried sum, first pixel, sums before each further pixel) and its lines' lengths `n<i>` with
-    their numbers. `sources` has the path columns too, in fewer rows.
+    for overlap i the mask's mpp_x `m<i>`, the sums `p<i>` along its columns (the first one, what stands before each run, and in it) and its lines' lengths `n<i>`
+    with their numbers. `sources` has the path columns too, in fewer rows.
     """
     box = [lambda i, o, n=n: F.lit(getattr(o.roi, n)).alias(n) for n in ("x0", "y0", "x1", "y1")]
     carried = list(dict.fromkeys([*key, "tile_y", "mpp_x", "mpp_y", "x_from", "x_to"]))
@@ -101,36 +83,35 @@ def mask_strips(stretches: DataFrame, sources: DataFrame, masks: DataFrame, over
     ).where("end > top AND right > left")
     touched = lambda a, b, size: F.explode(F.sequence(F.floor(F.col(a) / size).cast("int"), F.floor((F.col(b) - 1) / size).cast("int")))
     touching = scaled.withColumn("band", touched("top", "end", BAND)).withColumn("block", touched("left", "right", SPAN))
-    values = sorted({o.value for o in overlaps})
     wanted = sources.select(F.explode(_kinds(overlaps)).alias("k")).select("k.mask_path", "k.value").where("mask_path <> ''").distinct()
-    met = touching.join(mask_blocks(masks, wanted, values), ["mask_path", "value", "band", "block"])
-    above = lambda at: F.size(F.filter("lines", lambda l: l < F.col(at) - F.col("band") * BAND))
-    met = met.withColumn("above", above("top")).withColumn("within", above("end"))
-    cut = lambda k: F.slice(F.get("sums", F.col(k)), F.greatest(F.col("left") - F.col("block") * SPAN, F.lit(0)) + 1, F.least(F.col("right") - F.col("block") * SPAN, F.lit(SPAN)) + 1)
-    piece = F.struct(
-        "kind", "block", "band", "mask_mpp_x", F.greatest("left", F.col("block") * SPAN).alias("first"),
-        F.zip_with(cut("within"), cut("above"), lambda a, b: a - b).alias("sums"), F.slice("lengths", F.col("above") + 1, F.col("within") - F.col("above")).alias("lengths"),
-    )
+    met = touching.join(mask_blocks(masks, wanted), ["mask_path", "value", "band", "block"])
+    met = met.withColumn("above", F.col("top") - F.col("band") * BAND).withColumn("under", F.col("end") - F.col("band") * BAND)
+    bits = _below(F.col("under")).bitwiseAND(F.bitwise_not(_below(F.col("above"))))
+    first = F.greatest("left", F.col("block") * SPAN)
+    columns = F.slice("columns", first - F.col("block") * SPAN + 1, F.least("right", (F.col("block") + 1) * SPAN) - first)
+    within = F.filter("lines", lambda l: (l["line"] >= F.col("above")) & (l["line"] < F.col("under")))
+    piece = F.struct("kind", "block", "mask_mpp_x", first.alias("first"), let(bits, lambda b: F.transform(columns, lambda c: F.bit_count(c.bitwiseAND(b)))).alias("sums"), F.transform(within, lambda l: l["n"]).alias("lengths"))
     found = met.groupBy(*key).agg(F.collect_list(piece).alias("all"))
     return found.select(*key, *[c for i in range(len(overlaps)) for c in _strip(i)])
 
 
 def _strip(i: int) -> list[Column]:
     own = F.filter("all", lambda p: p["kind"] == i)
-    return [F.get(own, F.lit(0))["mask_mpp_x"].alias(f"m{i}"), let(own, _carried).alias(f"p{i}"), let(own, _lengths).alias(f"n{i}")]
+    return [F.get(own, F.lit(0))["mask_mpp_x"].alias(f"m{i}"), F.when(F.size(own) > 0, let(own, _runs)).alias(f"p{i}"), let(own, _lengths).alias(f"n{i}")]
+
+
+def _runs(own: Column) -> Column:
+    """(first, carry, runs) of the blocks in order, the sums of their bands added up; runs have the sums ahead of each of their columns and at their end."""
+    block = F.array_min(F.transform(own, lambda p: p["block"]))
+    add = lambda a, p: F.when(F.size(a) == 0, p["sums"]).otherwise(F.zip_with(a, p["sums"], lambda x, y: F.coalesce(x, F.lit(0)) + F.coalesce(y, F.lit(0))))
+    every = F.transform(F.sequence(block, F.array_max(F.transform(own, lambda p: p["block"]))), lambda b: F.aggregate(F.filter(own, lambda p: p["block"] == b), F.array().cast("array<int>"), add))
+    sums = let(F.flatten(every), lambda c: F.transform(F.sequence(F.lit(0), F.floor((F.size(c) - 1) / RUN).cast("int")), lambda k: F.aggregate(F.slice(c, k * RUN + 1, F.lit(RUN)), F.array(F.lit(0)), _appended)))
+    first = F.array_min(F.transform(own, lambda p: p["first"]))
+    return let(sums, lambda runs: F.struct(first.alias("first"), F.aggregate(runs, F.array(F.lit(0)), lambda a, r: _appended(a, F.element_at(r, -1))).alias("carry"), runs.alias("runs")))
 
 
-def _carried(own: Column) -> Column:
-    """(carry, first, sums) of each block in order, the sums of its bands added up; `carry` is what stands in the blocks before."""
-    longer = lambda x, of: F.coalesce(x, F.element_at(of, -1))  # noqa: E731  a line ends where a longer one of another band goes on
-    add = lambda a, p: F.when(F.size(a["sums"]) == 0, F.struct(p["first"].alias("first"), p["sums"].alias("sums"))).otherwise(F.struct(a["first"].alias("first"), F.zip_with(a["sums"], p["sums"], lambda x, y: longer(x, a["sums"]) + longer(y, p["sums"])).alias("sums")))
-    none = F.struct(F.lit(0).alias("first"), F.array().cast("array<int>").alias("sums"))
-    blocks = F.array_sort(F.array_distinct(F.transform(own, lambda p: p["block"])))
-    summed = F.transform(blocks, lambda b: F.aggregate(F.filter(own, lambda p: p["block"] == b), none, add))
-    start = F.array().cast("array<struct<carry:int,first:int,sums:array<int>>>")
-    ends = lambda a: F.coalesce(F.element_at(a, -1)["carry"] + F.element_at(F.element_at(a, -1)["sums"], -1), F.lit(0))
-    carry = F.aggregate(summed, start, lambda a, s: F.array_append(a, F.struct(F.when(F.size(a) == 0, 0).otherwise(ends(a)).alias("carry"), s["first"].alias("first"), s["sums"].alias("sums"))))
-    return F.when(F.size(own) > 0, carry)
+def _appended(a: Column, v: Column) -> Column:
+    return F.array_append(a, F.element_at(a, -1) + v)
 
 
 def _lengths(own: Column) -> Column:
@@ -142,11 +123,12 @@ def _lengths(own: Column) -> Column:
 
 def strip_score(i: int, overlap: Overlap, mode: str, tile_x: Column) -> Column:
     """The score of the tile at `tile_x` from its stretch's strip: the share of the undesired value among the pixels under its region."""
-    pieces, lengths = F.col(f"p{i}"), F.col(f"n{i}")
+    strip, lengths = F.col(f"p{i}"), F.col(f"n{i}")
 
     def before(x: Column) -> Column:
-        block = F.least(F.floor(x / SPAN).cast("int") - F.floor(F.get(pieces, F.lit(0))["first"] / SPAN).cast("int"), F.size(pieces) - 1)
-        return let(F.get(pieces, block), lambda p: p["carry"] + F.get(p["sums"], F.least(x - p["first"], F.size(p["sums"]) - 1)))
+        at = F.least(x - strip["first"], F.lit(RUN) * F.size(strip["runs"]))
+        run = F.floor(at / RUN).cast("int")
+        return F.get(strip["carry"], run) + let(F.get(strip["runs"], run), lambda r: F.coalesce(F.get(r, F.least(at % RUN, F.size(r) - 1)), F.lit(0)))
 
     def score(r: Column) -> Column:
         pixels = F.aggregate(lengths, F.lit(0), lambda a, n: a + n["lines"] * F.greatest(F.least(r["end"], n["length"]) - r["begin"], F.lit(0)))
