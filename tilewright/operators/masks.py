@@ -1,12 +1,11 @@
-"""Overlap of tiles with mask rasters, by summed-area blocks.
-
-A mask is cut into blocks of BAND lines by SPAN pixels. A block holds a word for each of its columns, with a bit for each line whose pixel has the undesired
-value: the count of such pixels between two lines of a column is that of the bits between two places, so all sums down a column are at hand.
-Tiles of one row of the grid lie between the same two lines, and CELL neighbours in neighbouring blocks: such a stretch of a row is joined to the
-blocks it touches on (mask, value, band, block), and takes the sums of its columns from them. Along the columns they are added up in runs of RUN, whose edge sums are
-carried from run to run. So the sum over any area ahead of a corner is found by one lookup, and a tile is counted by one at each of its two sides,
-however wide its slide and however many lines it spans. Pixels outside the mask are not counted; a region without any pixel has null fractions, and so has one
-whose mask has no line 0.
+"""Overlap of tiles with mask rasters, by summed columns in bit planes.
+
+A mask is cut into blocks of BAND lines by SPAN pixels, whose lines are packed into words: a bit for each pixel that has the undesired value. Tiles of one row of
+the grid lie between the same two lines, and CELL neighbours in neighbouring blocks: such a stretch of a row is joined to the blocks it touches on
+(mask, band, block). Its lines are added up word by word in bit planes (plane k has bit k of the sum of each column), 64 columns at once, and what the words
+before hold is carried along. So the sum over the area ahead of any corner is one carried number and a few counts of bits, and a tile is counted by one such
+lookup at each of its two sides, however wide its slide and however many lines it spans. Pixels outside the mask are not counted; a region without any pixel
+has null fractions, and so has one whose mask has no line 0.
 """
 
 from __future__ import annotations
@@ -20,7 +19,7 @@ from pyspark.sql import functions as F
 from tilewright.functions.geometry import Box
 from tilewright.functions.overlap import share_score
 
-BAND, SPAN, RUN = 64, 512, 32
+WORD, BAND, SPAN = 64, 64, 512
 #: Tiles of a stretch of a grid row, and how many tile pixels wide a stretch of tiles is that don't come from a grid.
 CELL, CELL_WIDTH = 64, 4096
 
@@ -39,21 +38,49 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def packed_words(row: Column, value: int, first: Column, words: Column) -> Column:
+    """`words` words of a line from word `first` on, with one bit per pixel that equals `value`, the first pixel in the lowest bit."""
+    word = lambda w: F.aggregate(F.reverse(F.slice(row, w * WORD + 1, F.lit(WORD))), F.lit(0).cast("bigint"), lambda a, v: F.shiftleft(a, 1).bitwiseOR((v == value).cast("bigint")))
+    return F.transform(F.sequence(first, first + words - 1), word)
+
+
 def _below(k: Column) -> Column:
-    """The lowest `k` bits of a word, none below 0 and all from 64 on."""
-    return F.when(k >= BAND, F.lit(-1).cast("bigint")).when(k <= 0, F.lit(0).cast("bigint")).otherwise(F.bitwise_not(F.call_function("shiftleft", F.lit(-1).cast("bigint"), k)))
+    """The lowest `k` bits of a word, all from 64 on."""
+    return F.when(k >= WORD, F.lit(-1).cast("bigint")).otherwise(F.bitwise_not(F.call_function("shiftleft", F.lit(-1).cast("bigint"), k)))
+
 
+def mask_blocks(masks: DataFrame, values: list[str]) -> DataFrame:
+    """mask_path, band, block and its lines: number in the band, pixels of the whole line, and the words `v<value>` of each value.
 
-def mask_blocks(masks: DataFrame, wanted: DataFrame) -> DataFrame:
-    """mask_path, value, band, block, columns (a word for each, one bit for each line) and lines (number in the band, pixels of the whole line), of the `wanted` (mask_path, value)."""
-    n = F.size("row")
+    In a line with no other pixels than those of two values the words of the second are the first one's turned round.
+    """
+    n, per_block = F.size("row"), SPAN // WORD
     cut = masks.where(n > 0).select("mask_path", F.floor(F.col("y") / BAND).cast("int").alias("band"), F.pmod("y", F.lit(BAND)).cast("int").alias("line"), n.alias("n"), "row", F.explode(F.sequence(F.lit(0), F.floor((n - 1) / SPAN).cast("int"))).alias("block"))
-    part = cut.select("mask_path", "band", "line", "n", "block", F.slice("row", F.col("block") * SPAN + 1, F.lit(SPAN)).alias("row"))
-    key = ["mask_path", "value", "band", "block"]
-    found = part.join(wanted, "mask_path").groupBy(*key).agg(F.collect_list(F.struct("line", F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("line")).alias("bit"), "n", "row")).alias("all"), F.max(F.size("row")).alias("width"))
+    first = F.col("block") * per_block
+    words = F.least(F.ceil(F.col("n") / WORD).cast("int") - first, F.lit(per_block))
+    packed = cut.select("mask_path", "band", "block", "line", "n", "row", packed_words(F.col("row"), int(values[0]), first, words).alias("v0"))
+    turned = F.transform("v0", lambda w, k: F.bitwise_not(w).bitwiseAND(_below(F.col("n") - (first + k) * WORD)))
+    small = lambda v: F.lit(int(v)).cast("smallint")
+    other = lambda v: F.when(F.size(F.array_remove(F.array_remove("row", small(values[0])), small(v))) == 0, turned).otherwise(packed_words(F.col("row"), int(v), first, words))
+    planes = [F.col("v0").alias(f"v{values[0]}"), *[other(v).alias(f"v{v}") for v in values[1:]]]
+    return packed.select("mask_path", "band", "block", F.struct("line", "n", *planes).alias("l")).groupBy("mask_path", "band", "block").agg(F.collect_list("l").alias("lines"))
+
+
+def column_sums(lines: Column, word: Column, planes: Column) -> Column:
+    """The bit planes, highest first, of the sums of 64 columns over `lines` (arrays of words): each line is added with its carries going up plane by plane."""
     none = F.lit(0).cast("bigint")
-    columns = F.aggregate("all", F.array_repeat(none, F.col("width")), lambda a, l: F.zip_with(a, l["row"], lambda w, v: F.when(v == F.col("value"), w.bitwiseOR(l["bit"])).otherwise(w)))
-    return found.select(*key, columns.alias("columns"), F.transform("all", lambda l: F.struct(l["line"].alias("line"), l["n"].alias("n"))).alias("lines"))
+
+    def add(sums: Column, line: Column) -> Column:
+        start = F.struct(F.coalesce(F.get(line, word), none).alias("carry"), F.array().cast("array<bigint>").alias("out"))
+        step = lambda a, p: F.struct(a["carry"].bitwiseAND(p).alias("carry"), F.array_append(a["out"], p.bitwiseXOR(a["carry"])).alias("out"))
+        return F.aggregate(sums, start, step, lambda a: a["out"])
+
+    return F.reverse(F.aggregate(lines, F.array_repeat(none, planes), add))
+
+
+def counted(planes: Column, within: Column) -> Column:
+    """The sum of the columns in the word `within`."""
+    return F.aggregate(planes, F.lit(0), lambda a, p: a + a + F.bit_count(p.bitwiseAND(within)))
 
 
 def _pixels(axis: str, at: Column | int, resolution: Column, up: bool, tile: Column | None = None) -> Column:
@@ -66,11 +93,11 @@ def _kinds(overlaps: list[Overlap], *more: Callable[[int, Overlap], Column]) ->
     return F.array(*[F.struct(F.lit(i).alias("kind"), F.lit(int(o.value)).cast("smallint").alias("value"), F.col(o.path_column).alias("mask_path"), *[m(i, o) for m in more]) for i, o in enumerate(overlaps)])
 
 
-def mask_strips(stretches: DataFrame, sources: DataFrame, masks: DataFrame, overlaps: list[Overlap], key: list[str]) -> DataFrame:
+def mask_strips(stretches: DataFrame, masks: DataFrame, overlaps: list[Overlap], key: list[str]) -> DataFrame:
     """One row per different `key` of `stretches` (path columns, tile_y, mpp_x, mpp_y, and x_from and x_to, its first and last tile_x) that has pixels:
 
-    for overlap i the mask's mpp_x `m<i>`, the sums `p<i>` along its columns (the first one, what stands before each run, and in it) and its lines' lengths `n<i>`
-    with their numbers. `sources` has the path columns too, in fewer rows.
+    for overlap i the mask's mpp_x `m<i>`, the sums of columns `p<i>` (first word, what stands ahead of each word, its planes) and the lengths of
+    its lines `n<i>` with their numbers.
     """
     box = [lambda i, o, n=n: F.lit(getattr(o.roi, n)).alias(n) for n in ("x0", "y0", "x1", "y1")]
     carried = list(dict.fromkeys([*key, "tile_y", "mpp_x", "mpp_y", "x_from", "x_to"]))
@@ -83,35 +110,38 @@ def mask_strips(stretches: DataFrame, sources: DataFrame, masks: DataFrame, over
     ).where("end > top AND right > left")
     touched = lambda a, b, size: F.explode(F.sequence(F.floor(F.col(a) / size).cast("int"), F.floor((F.col(b) - 1) / size).cast("int")))
     touching = scaled.withColumn("band", touched("top", "end", BAND)).withColumn("block", touched("left", "right", SPAN))
-    wanted = sources.select(F.explode(_kinds(overlaps)).alias("k")).select("k.mask_path", "k.value").where("mask_path <> ''").distinct()
-    met = touching.join(mask_blocks(masks, wanted), ["mask_path", "value", "band", "block"])
-    met = met.withColumn("above", F.col("top") - F.col("band") * BAND).withColumn("under", F.col("end") - F.col("band") * BAND)
-    bits = _below(F.col("under")).bitwiseAND(F.bitwise_not(_below(F.col("above"))))
-    first = F.greatest("left", F.col("block") * SPAN)
-    columns = F.slice("columns", first - F.col("block") * SPAN + 1, F.least("right", (F.col("block") + 1) * SPAN) - first)
-    within = F.filter("lines", lambda l: (l["line"] >= F.col("above")) & (l["line"] < F.col("under")))
-    piece = F.struct("kind", "block", "mask_mpp_x", first.alias("first"), let(bits, lambda b: F.transform(columns, lambda c: F.bit_count(c.bitwiseAND(b)))).alias("sums"), F.transform(within, lambda l: l["n"]).alias("lengths"))
+    values = sorted({o.value for o in overlaps})
+    met = touching.join(mask_blocks(masks, values), ["mask_path", "band", "block"])
+    at = F.col("band") * BAND
+    within = F.filter("lines", lambda l: (at + l["line"] >= F.col("top")) & (at + l["line"] < F.col("end")))
+    first = F.greatest(F.floor(F.col("left") / WORD).cast("int"), F.col("block") * (SPAN // WORD))
+    n_words = F.least(F.floor((F.col("right") - 1) / WORD).cast("int") + 1, (F.col("block") + 1) * (SPAN // WORD)) - first
+    cut = lambda v: F.transform(within, lambda l: F.slice(l[f"v{v}"], first - F.col("block") * (SPAN // WORD) + 1, n_words))
+    words = F.coalesce(*[F.when(F.col("value") == int(v), cut(v)) for v in values])
+    piece = F.struct("kind", "block", "mask_mpp_x", first.alias("first"), n_words.alias("words"), words.alias("lines"), F.transform(within, lambda l: l["n"]).alias("lengths"))
     found = met.groupBy(*key).agg(F.collect_list(piece).alias("all"))
     return found.select(*key, *[c for i in range(len(overlaps)) for c in _strip(i)])
 
 
 def _strip(i: int) -> list[Column]:
     own = F.filter("all", lambda p: p["kind"] == i)
-    return [F.get(own, F.lit(0))["mask_mpp_x"].alias(f"m{i}"), F.when(F.size(own) > 0, let(own, _runs)).alias(f"p{i}"), let(own, _lengths).alias(f"n{i}")]
+    return [F.get(own, F.lit(0))["mask_mpp_x"].alias(f"m{i}"), F.when(F.size(own) > 0, let(own, _summed)).alias(f"p{i}"), let(own, _lengths).alias(f"n{i}")]
+
 
+def _summed(own: Column) -> Column:
+    """(first, carry, planes) of all words of the blocks in order; the lines of all bands are added up."""
+    blocks = F.array_sort(F.array_distinct(F.transform(own, lambda p: F.struct(p["first"].alias("first"), p["words"].alias("words"), p["block"].alias("block")))))
 
-def _runs(own: Column) -> Column:
-    """(first, carry, runs) of the blocks in order, the sums of their bands added up; runs have the sums ahead of each of their columns and at their end."""
-    block = F.array_min(F.transform(own, lambda p: p["block"]))
-    add = lambda a, p: F.when(F.size(a) == 0, p["sums"]).otherwise(F.zip_with(a, p["sums"], lambda x, y: F.coalesce(x, F.lit(0)) + F.coalesce(y, F.lit(0))))
-    every = F.transform(F.sequence(block, F.array_max(F.transform(own, lambda p: p["block"]))), lambda b: F.aggregate(F.filter(own, lambda p: p["block"] == b), F.array().cast("array<int>"), add))
-    sums = let(F.flatten(every), lambda c: F.transform(F.sequence(F.lit(0), F.floor((F.size(c) - 1) / RUN).cast("int")), lambda k: F.aggregate(F.slice(c, k * RUN + 1, F.lit(RUN)), F.array(F.lit(0)), _appended)))
-    first = F.array_min(F.transform(own, lambda p: p["first"]))
-    return let(sums, lambda runs: F.struct(first.alias("first"), F.aggregate(runs, F.array(F.lit(0)), lambda a, r: _appended(a, F.element_at(r, -1))).alias("carry"), runs.alias("runs")))
+    def of(block: Column) -> Column:
+        lines = F.flatten(F.transform(F.filter(own, lambda p: p["block"] == block["block"]), lambda p: p["lines"]))
+        planes = F.length(F.bin(F.size(lines).cast("bigint")))
+        return let(lines, lambda every: F.transform(F.sequence(F.lit(0), block["words"] - 1), lambda w: column_sums(every, w, planes)))
 
+    def carry(planes: Column) -> Column:
+        ahead = F.aggregate(planes, F.array(F.lit(0)), lambda a, p: F.array_append(a, F.element_at(a, -1) + counted(p, F.lit(-1).cast("bigint"))))
+        return F.struct(F.get(blocks, F.lit(0))["first"].alias("first"), ahead.alias("carry"), planes.alias("planes"))
 
-def _appended(a: Column, v: Column) -> Column:
-    return F.array_append(a, F.element_at(a, -1) + v)
+    return let(F.flatten(F.transform(blocks, of)), carry)
 
 
 def _lengths(own: Column) -> Column:
@@ -126,9 +156,8 @@ def strip_score(i: int, overlap: Overlap, mode: str, tile_x: Column) -> Column:
     strip, lengths = F.col(f"p{i}"), F.col(f"n{i}")
 
     def before(x: Column) -> Column:
-        at = F.least(x - strip["first"], F.lit(RUN) * F.size(strip["runs"]))
-        run = F.floor(at / RUN).cast("int")
-        return F.get(strip["carry"], run) + let(F.get(strip["runs"], run), lambda r: F.coalesce(F.get(r, F.least(at % RUN, F.size(r) - 1)), F.lit(0)))
+        word = F.least(F.floor(x / WORD).cast("int") - strip["first"], F.size(strip["planes"]))
+        return F.get(strip["carry"], word) + F.coalesce(counted(F.get(strip["planes"], word), _below(x % WORD)), F.lit(0))
 
     def score(r: Column) -> Column:
         pixels = F.aggregate(lengths, F.lit(0), lambda a, n: a + n["lines"] * F.greatest(F.least(r["end"], n["length"]) - r["begin"], F.lit(0)))
@@ -145,7 +174,7 @@ def add_overlaps(tiles: DataFrame, masks: DataFrame, overlaps: list[Overlap], mo
     key = [*paths, "tile_y", "mpp_x", "mpp_y", "_cell"]
     dealt = tiles.withColumn("_cell", F.floor(F.col("tile_x") / CELL_WIDTH))
     stretches = dealt.groupBy(*key).agg(F.min("tile_x").alias("x_from"), F.max("tile_x").alias("x_to"))
-    strips = mask_strips(stretches, tiles, masks, overlaps, key)
+    strips = mask_strips(stretches, masks, overlaps, key)
     joined = dealt.alias("t").join(strips.alias("f"), [F.col(f"t.{c}").eqNullSafe(F.col(f"f.{c}")) for c in key], "left")
     both = joined.select("t.*", *[F.col(f"f.{n}{i}") for i in range(len(overlaps)) for n in "mpn"])
     return both.select(*[F.col(c) for c in tiles.columns], *[strip_score(i, o, mode, F.col("tile_x")).alias(o.column) for i, o in enumerate(overlaps)])
