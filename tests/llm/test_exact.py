@@ -599,6 +599,63 @@ def test_links_in_crowded_postings():
     assert naive_classes(nodes, lambda a, b: (a, b) in edges) == naive_classes(nodes, lambda a, b: apart(a, b) <= 4)
 
 
+@pytest.mark.parametrize("crowd", [16, 40])
+def test_crowded_postings_are_cut_exactly(monkeypatch, crowd):
+    """The steps of near_links in one process, as workers have their own copy of the bound."""
+    rng = random.Random(crowd)
+    fps = {rng.getrandbits(14) | 0xABCD << 40 for _ in range(70)} | {0xABCD << 40 | 1 << k for k in range(0, 64, 3)} | {rng.getrandbits(64) for _ in range(20)}
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    signed = sorted(f - 2**64 if f >= 2**63 else f for f in fps)
+    batch = lambda rows, names: simhash.pa.RecordBatch.from_arrays([simhash.pa.array(c) for c in np.array(rows, np.int64).T], names=names)
+    rows = [(n, 0, f & m, f) for n, m in enumerate(simhash.masks(4)) for f in signed]
+    turn, found, rounds = simhash.turns(4), set(), 0
+    while rows:
+        rows.sort()
+        rounds += 1
+        again = []
+        for out in simhash._links((batch(rows[k : k + 97], ["slot", "path", "key", "fp"]) for k in range(0, len(rows), 97)), 4, turn):
+            for a, b, slot, path in zip(*(out.column(c).to_pylist() for c in range(4))):
+                (again.append((slot, path, b, a)) if slot >= 0 else found.add((a, b)))
+        postings = {}
+        for slot, path, key, f in again:
+            postings.setdefault((slot, path, key), []).append(f)
+        rows = []
+        for (slot, path, key), own in postings.items():
+            assert len(own) > crowd
+            varying = 0
+            for f in own:
+                varying |= f ^ own[0]
+            for out in simhash._cut_up(iter([batch([(slot, hash((path, key)) >> 8, f, varying) for f in own], ["slot", "path", "fp", "varying"])]), 4):
+                rows += zip(*(out.column(c).to_pylist() for c in range(4)))
+    apart = lambda a, b: int(np.bitwise_count(np.int64(a ^ b).view(np.uint64)))
+    assert rounds > 1 and all(a < b and apart(a, b) <= 4 for a, b in found)
+    assert naive_classes(signed, lambda a, b: (a, b) in found) == naive_classes(signed, lambda a, b: apart(a, b) <= 4)
+
+
+def test_a_posting_of_unlinked_rows(spark):
+    """A hundred thousand fingerprints with four bytes in common: compared by bands, in several tasks."""
+    draw = np.random.default_rng(1)
+    low = np.unique(draw.integers(0, 2**32, 100_000, dtype=np.uint64))
+    fps = spark.createDataFrame([(int(f),) for f in low], "fp bigint")
+    began = time.time()
+    links = {(r.a, r.b) for r in simhash.near_links(fps).collect()}
+    assert time.time() - began < 120
+    assert all((a ^ b).bit_count() <= 4 for a, b in links)
+    some = low[:300]
+    near = {(int(min(a, b)), int(max(a, b))) for a in some for b in low[np.bitwise_count(low ^ a) <= 4] if a != b}
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        parent[find(a)] = find(b)
+    assert near and all(find(a) == find(b) for a, b in near)
+
+
 def test_classes_of_chains(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 140), (120, 140), (120, 101)] + [(500, 600 + i) for i in range(30)]
     got = {r.node: r["class"] for r in simhash.classes(spark.createDataFrame([(min(e), max(e)) for e in chain], "a bigint, b bigint")).collect()}

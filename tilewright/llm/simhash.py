@@ -2,7 +2,8 @@
 
 Two fingerprints of 8 bytes that differ in at most `distance` bits agree in at least 8 - distance bytes. Postings are keyed by
 that many positional bytes, so a pair meets in a posting only if its tally of shared positional bytes reaches the guaranteed
-minimum; what meets is tallied and verified bit by bit. A pair that meets in several postings counts in the first alone, and within a
+minimum; what meets is tallied and verified bit by bit. A crowded posting is cut once more by bands of the bits in which its rows vary, of which a linked pair
+shares one. A pair that meets in several postings counts in the first alone, and within a
 posting a search leaves a spanning forest of its links in place of all pairs, which keeps every class whole. Classes follow from star contraction over distinct fingerprints.
 Defined results: null and empty texts have fingerprint 0 and are linked like any other; texts with fewer words than a shingle
 are one shingle; rows with a null id get the class of their fingerprint, and a class of null ids alone has a null class id; repeated rows get equal
@@ -106,60 +107,101 @@ def forest(fps: np.ndarray, distance: int, turn: np.ndarray, slot: int) -> list[
     return _reach(len(fps), lambda at, left: _bits(fps[at][:, None] ^ fps[left][None, :], turn, slot) <= distance)
 
 
-def _links(batches: Iterator[pa.RecordBatch], keys: int, near, grow) -> Iterator[pa.RecordBatch]:
-    """Rows (`keys` columns of a posting's key, fingerprints, node) sorted by the key: links between nodes within each posting.
+#: Rows of a posting that are compared as they are, 2^distance at least; a larger one is cut by further bits.
+CROWD = 2048
 
-    `near(differing bits, first key)` tells for pairs if they are linked, `grow(fingerprints, first key)` gives a forest of a posting's links.
-    A spanning forest of each posting's own pairs keeps all classes whole, as every link is some posting's.
+
+def bands(varying: int, distance: int) -> list[int]:
+    """The bits of `varying` in distance + 1 masks: fingerprints that differ in these bits alone, and in `distance` of them at most, agree in one of the masks."""
+    bits = [b for b in range(64) if varying >> b & 1]
+    return [sum(1 << b for b in bits[k :: distance + 1]) for k in range(distance + 1)]
+
+
+def _links(batches: Iterator[pa.RecordBatch], distance: int, turn: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows (slot, path, key, fingerprint) sorted by the first three, a posting's key: links (a, b) between fingerprints within each posting, with slot -1.
+
+    A spanning forest of each posting's own pairs keeps all classes whole, as every link is some posting's. The rows of postings with more than CROWD are
+    passed on as they come (a is the fingerprint, b the key), so none is held whole.
     """
-    rest = None
+    rest, passing = np.zeros((4, 0), np.int64), None
 
-    def close(rows: np.ndarray) -> pa.RecordBatch:
-        cut = np.flatnonzero((np.diff(rows[:keys]) != 0).any(0)) + 1
+    def links(rows: np.ndarray) -> pa.RecordBatch:
+        cut = np.flatnonzero((np.diff(rows[:3]) != 0).any(0)) + 1
         begin, end = np.concatenate([[0], cut]), np.concatenate([cut, [rows.shape[1]]])
-        fps, node = rows[keys:-1].view(np.uint64).T, rows[-1]
+        fps, node = rows[3].view(np.uint64), rows[3]
+        slot = rows[0]
         two = begin[end - begin == 2]
-        two = two[near(fps[two] ^ fps[two + 1], rows[0, two])]
+        agreeing = np.packbits((fps[two] ^ fps[two + 1]).view(np.uint8).reshape(-1, 8) == 0, axis=-1, bitorder="little")[:, 0]
+        two = two[(np.bitwise_count(fps[two] ^ fps[two + 1]) <= distance) & (turn[agreeing] == slot[two])]
         a, b = [node[two]], [node[two + 1]]
         for s, e in zip(begin[end - begin > 2].tolist(), end[end - begin > 2].tolist(), strict=True):
-            if (pairs := np.array(grow(fps[s:e], int(rows[0, s])), np.int64).reshape(-1, 2)).size:
+            if (pairs := np.array(forest(fps[s:e], distance, turn, int(slot[s])), np.int64).reshape(-1, 2)).size:
                 a.append(node[s + pairs[:, 0]])
                 b.append(node[s + pairs[:, 1]])
         a, b = np.concatenate(a), np.concatenate(b)
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+        return _found(np.minimum(a, b), np.maximum(a, b), np.full(len(a), -1), np.zeros(len(a), np.int64))
 
     for batch in batches:
-        rows = np.stack([np.asarray(c) for c in batch.columns])
-        rows = rows if rest is None else np.concatenate([rest, rows], axis=1)
+        rows = np.concatenate([rest, np.stack([np.asarray(c) for c in batch.columns])], axis=1)
         if rows.shape[1] == 0:
             continue
-        same = (rows[:keys] == rows[:keys, -1:]).all(0)
-        done = rows.shape[1] - int(same[::-1].argmin()) if not same.all() else 0  # the last run may go on in the next batch
-        if done:
-            yield close(rows[:, :done])
-        rest = rows[:, done:]
-    if rest is not None and rest.shape[1]:
-        yield close(rest)
+        begin = np.concatenate([[0], np.flatnonzero((np.diff(rows[:3]) != 0).any(0)) + 1])
+        end = np.concatenate([begin[1:], [rows.shape[1]]])
+        crowded = end - begin > CROWD
+        if passing is not None and (rows[:3, 0] == passing).all():
+            crowded[0] = True
+        passing = rows[:3, -1].copy() if crowded[-1] else None
+        closed = np.repeat(~crowded, end - begin)
+        if passing is None:  # the last run may go on in the next batch
+            closed[begin[-1] :] = False
+        opened = np.repeat(crowded, end - begin)
+        if closed.any():
+            yield links(rows[:, closed])
+        if opened.any():
+            yield _found(rows[3, opened], rows[2, opened], rows[0, opened], rows[1, opened])
+        rest = rows[:, :0] if passing is not None else rows[:, begin[-1] :]
+    if rest.shape[1]:
+        yield links(rest)
+
+
+def _found(a: np.ndarray, b: np.ndarray, slot: np.ndarray, path: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in (a, b, slot, path)], names=["a", "b", "slot", "path"])
+
+
+def _cut_up(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
+    """Rows (slot, path, fingerprint, the bits that vary in its posting) of crowded postings as rows of the distance + 1 postings that each becomes."""
+    for batch in batches:
+        slot, path, fp, varying = (np.asarray(c) for c in batch.columns)
+        for bits in np.unique(varying).tolist():
+            own = varying == bits
+            for n, band in enumerate(bands(bits & 2**64 - 1, distance)):
+                key = fp[own] & np.uint64(band).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (slot[own], path[own] * 31 + n + 1, key, fp[own])], names=["slot", "path", "key", "fp"])
 
 
 def near_links(fps: DataFrame, distance: int = 4) -> DataFrame:
-    """Distinct links (a < b) between the distinct fingerprints of `fps`: enough of them to join each class."""
+    """Distinct links (a < b) between the distinct fingerprints of `fps`: enough of them to join each class.
+
+    A crowded posting is dealt out once more by bands of the bits in which its rows vary, of which a linked pair shares one, and so on while one is crowded. `path` tells
+    the postings apart that come from different ones; it is a hash, and two that shared it would only be compared together.
+    """
     if not 0 < distance < 8:
         raise ValueError("the byte index serves distances from 1 to 7")
     agree = 8 - distance
     slots = F.array(*[F.struct(F.lit(n).cast("bigint").alias("slot"), F.lit(m).alias("mask")) for n, m in enumerate(masks(agree))])
     spread = fps.select("fp").distinct().select("fp", F.explode(slots).alias("c"))
-    postings = spread.select("c.slot", F.col("fp").bitwiseAND(F.col("c.mask")).alias("part"), "fp", F.col("fp").alias("node"))
-    dealt = postings.repartition("slot", "part").sortWithinPartitions("slot", "part")
-    turn = turns(agree)
-
-    def near(diff: np.ndarray, slot: np.ndarray) -> np.ndarray:
-        return _bits(diff[:, 0], turn, slot) <= distance
-
-    def grow(rows: np.ndarray, slot: int) -> list[tuple[int, int]]:
-        return forest(np.ascontiguousarray(rows[:, 0]), distance, turn, slot)
-
-    return dealt.mapInArrow(lambda b: _links(b, 2, near, grow), "a bigint, b bigint").distinct()
+    rows = spread.select("c.slot", F.lit(0).cast("bigint").alias("path"), F.col("fp").bitwiseAND(F.col("c.mask")).alias("key"), "fp")
+    turn, key, links = turns(agree), ["slot", "path", "key"], None
+    while True:
+        dealt = rows.repartition(*key).sortWithinPartitions(*key)
+        found = checkpointed(dealt.mapInArrow(lambda b: _links(b, distance, turn), "a bigint, b bigint, slot bigint, path bigint"))
+        own = found.where("slot < 0").select("a", "b")
+        links = own if links is None else links.union(own)
+        crowded = found.where("slot >= 0").select("slot", "path", F.col("b").alias("key"), F.col("a").alias("fp"))
+        if crowded.isEmpty():
+            return links.distinct()
+        varying = crowded.groupBy(*key).agg(F.bit_or("fp").bitwiseXOR(F.bit_and("fp")).alias("varying"))  # one row for each crowded posting
+        rows = crowded.join(varying, key).select("slot", F.xxhash64("path", "key").alias("path"), "fp", "varying").mapInArrow(lambda b: _cut_up(b, distance), "slot bigint, path bigint, key bigint, fp bigint")
 
 
 def classes(links: DataFrame, most: int = 60) -> DataFrame:
