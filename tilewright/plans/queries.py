@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tilewright.functions import geometry, labels, paths, vectors
 from tilewright.functions.overlap import overlap_score, positive
 from tilewright.operators import dataset, embeddings, grid, masks, pixels, slides, tasks, tiling
-from tilewright.sources import readers, schemas, sinks
+from tilewright.sources import graymaps, readers, schemas, sinks
 from tilewright.sources.scratch import fresh_folder
 
 from . import fixtures as fx
@@ -323,6 +323,30 @@ def slide_headers(spark, sf_dir):
     return readers.levels_of(_graymaps(spark, sf_dir))
 
 
+def _slide_files(spark, sf_dir):
+    """The graymaps as files, and the data source that reads their headers."""
+    graymaps.register(spark)
+    folder = fresh_folder(spark, "slides")
+    named = _graymaps(spark, sf_dir).select(F.concat(F.md5("path"), F.lit(".pgm")).alias("name"), "content")
+    named.write.format("graymap").mode("append").save(folder)
+    return spark.read.format("graymap").load(folder)
+
+
+@query("SELECT path, 0 AS level, (k % 3 + 1) / 4 AS mpp_x, (k % 3 + 1) / 4 AS mpp_y, (extent_x // 32 % 9 + 1)::INTEGER AS extent_x, 2 AS extent_y FROM base")
+def slide_files(spark, sf_dir):
+    """Headers of graymap files through the data source, which reads some kilobytes of each."""
+    return _slide_files(spark, sf_dir).select("path", "level", "mpp_x", "mpp_y", "extent_x", "extent_y")
+
+
+@query("""SELECT path, x::INTEGER AS x, list_transform(range(0, 9), lambda i: CASE WHEN x + i % 3 < extent_x // 32 % 9 + 1 AND i // 3 < 2 THEN (x + i % 3 + i // 3 + k) % 250 ELSE 0 END)::SMALLINT[] AS pixels
+FROM base, unnest(range(0, 9, 2)) AS t(x) WHERE x <= extent_x // 32 % 9""")
+def tile_pixels_of_files(spark, sf_dir):
+    """Tiles of 3 by 3 pixels at half overlap, from byte ranges of the files."""
+    headers = _slide_files(spark, sf_dir)
+    tiles = headers.select("path", "level", F.explode(F.sequence(F.lit(0), F.col("extent_x") - 1, F.lit(2))).alias("x"), F.lit(0).alias("y"))
+    return pixels.tile_pixels(tiles, graymaps.read_lines(tiles, headers, 3), 3).select("path", "x", "pixels")
+
+
 @query("SELECT replace(path[4:], '.mrxs', '.tiff') AS mask_path, y::INTEGER AS y, (k % 3 + 1) / 4 AS mpp_x, list_transform(range(0, extent_x // 32 % 9 + 1), lambda x: (CASE WHEN (x + y + k) % 250 < 100 * (k % 3 + 1) / 4 THEN 255 ELSE 0 END)::SMALLINT) AS row FROM base, unnest(range(0, 2)) AS t(y)")
 def tissue_masks(spark, sf_dir):
     """Masks at each slide's own resolution, which the stand-in's limit follows, written and read back."""
