@@ -155,6 +155,53 @@ def test_calls_are_made_once(spark, tmp_path):
     assert done.count() == 3 and len(done.collect()) == 3 and sorted(p.read_text() for p in tmp_path.iterdir()) == ["a", "b", "c"]
 
 
+def test_a_lost_task_repeats_only_what_was_in_flight(tmp_path):
+    items = [{"wsi_path": f"s{k % 5}", "_item": k % 5, "_turn": k // 5} for k in range(20)]
+    calls = []
+
+    def call(item):
+        assert set(item) == {"wsi_path"}
+        calls.append(item["wsi_path"])
+        return 200, "ok"
+
+    def task(call):
+        return list(tasks.logged_outcomes(iter(items), tasks.OutcomeLog(str(tmp_path / "log" / "3"), 0.0), call, 3, lambda s: None, None))
+
+    run = tasks.logged_outcomes(iter(items), tasks.OutcomeLog(str(tmp_path / "log" / "3"), 0.0), call, 3, lambda s: None, None)
+    for _ in range(7):
+        next(run)
+    run.close()  # lost after seven
+    again = []
+    done = task(lambda item: again.append(item["wsi_path"]) or (200, "ok"))
+    assert len(calls) == 7 and len(again) == len(done) == 13
+    assert task(lambda item: again.append("more")) == [] and len(again) == 13
+    assert not list((tmp_path / "log").rglob("*.part"))
+
+
+def test_calls_go_on_where_a_failed_job_ended(spark, tmp_path):
+    items = spark.createDataFrame([(f"s{k % 30}", k % 3) for k in range(40)] + [(None, 1)] * 2, "wsi_path string, k int").repartition(3)
+    made, log = tmp_path / "made", str(tmp_path / "log")
+    made.mkdir()
+
+    def call(item, broken=True):
+        if broken and item["wsi_path"] == "s7":
+            import os
+
+            os._exit(1)  # the worker is lost in the middle of a call
+        (made / uuid.uuid4().hex).write_text(str(item["wsi_path"]))
+        return 200, "ok"
+
+    with pytest.raises(Exception):  # noqa: B017
+        tasks.call_all(items, call, 2, log=log, flush_seconds=0.0)
+    before = len(list(made.iterdir()))
+    assert before < 42
+    got = tasks.call_all(items, lambda item: call(item, False), 2, log=log, flush_seconds=0.0)
+    assert sorted(r.wsi_path for r in got.collect()) == sorted([f"s{k % 30}" for k in range(40)] + ["<unknown>"] * 2)
+    assert len(list(made.iterdir())) - 42 <= 2  # one in flight in each task at most
+    assert tasks.call_all(items.limit(0), call, 2, log=log).count() == 0
+    assert tasks.call_all(items.where("wsi_path = 's7'"), call, 2, log=log).count() == 2  # not called again
+
+
 def test_waiting_items_let_others_pass():
     now, slept, order = [0.0], [], []
 

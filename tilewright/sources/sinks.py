@@ -16,6 +16,13 @@ def write_dataset(slides: DataFrame, tiles: DataFrame, root: str, name: str, row
     return counts
 
 
+def write_buckets(slides: DataFrame, tiles: DataFrame, root: str, name: str, buckets: int) -> tuple[DataFrame, DataFrame]:
+    """A pair as tables `<name>_slides` and `<name>_tiles` below `root`, both in `buckets` buckets of the slide id: linking them, or grouping tiles by slide, moves no row."""
+    for part, df, key in (("slides", slides, "id"), ("tiles", tiles, "slide_id")):
+        df.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key).option("path", f"{root}/{name}/{part}").saveAsTable(f"{name}_{part}")
+    return slides.sparkSession.table(f"{name}_slides"), slides.sparkSession.table(f"{name}_tiles")
+
+
 def write_embeddings(embeddings: DataFrame, root: str, key: str = "slide_name") -> None:
     """One folder per slide; only slides that are written are replaced, and only whole tasks are committed."""
     out = embeddings.select(key, F.col("x").cast("int"), F.col("y").cast("int"), F.col("embedding").cast("array<float>"))
