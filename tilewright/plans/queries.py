@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.functions import geometry, labels, paths, vectors
 from tilewright.functions.overlap import overlap_score, positive
-from tilewright.operators import blocks, dataset, embeddings, grid, masks, pixels, slides, tasks, tiling
+from tilewright.operators import blocks, dataset, embeddings, encoder, grid, masks, pixels, slides, tasks, tiling
 from tilewright.sources import graymaps, readers, schemas, sinks
 from tilewright.sources.scratch import fresh_folder
 
@@ -274,6 +276,19 @@ def encoder_stub(spark, sf_dir):
     return embeddings.encode(embedding_rows(spark, sf_dir).withColumn("pixels", pixels), "tilewright.operators.embeddings.small_projection")
 
 
+@query("""WITH q AS (SELECT (vec_id % 7)::VARCHAR AS slide_name, (vec_id * 32)::INTEGER AS x, (label * 32)::INTEGER AS y, list_transform(embedding, lambda v: floor(v * 16)) AS q FROM embeddings),
+t AS (SELECT slide_name, x, y, list_transform(range(0, len(q) // 8), lambda p: list_transform(range(0, 8), lambda j: list_sum(list_transform(range(0, 8), lambda i: q[8 * p + i + 1] * ((5 * i + 3 * j) % 7 - 3))))) AS t FROM q)
+SELECT slide_name, x, y, list_concat(list_transform(range(0, 8), lambda j: list_max(list_transform(t, lambda p: p[j + 1]))), list_transform(range(0, 8), lambda j: list_sum(list_transform(t, lambda p: p[j + 1])) / len(t)))::FLOAT[] AS embedding FROM t""")
+def token_embeddings(spark, sf_dir):
+    """Tokens of a model whose weights are a file, reduced to the class token and the mean of the patches; whole numbers go in."""
+    weights = ((5 * np.arange(8)[:, None] + 3 * np.arange(8)) % 7 - 3).astype(np.float32)
+    uri = encoder.write_weights(weights, f"{fresh_folder(spark, 'weights')}/{uuid.uuid4().hex}.npy")
+    rows = embedding_rows(spark, sf_dir)
+    first = rows.select(F.size("embedding")).head()
+    tokens = encoder.token_encoder(spark, uri, first[0] if first else 8)
+    return encoder.token_embeddings(rows.withColumn("pixels", F.transform("embedding", lambda v: F.floor(v * 16).cast("float"))), tokens, 8)
+
+
 @query("SELECT path, type, risk_index FROM mapping")
 def mapping_csv(spark, sf_dir):
     """Written as a CSV with another name of the third column, and read with declared types."""
