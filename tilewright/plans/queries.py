@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tilewright.functions import geometry, labels, paths, vectors
 from tilewright.functions.overlap import overlap_score, positive
-from tilewright.operators import blocks, dataset, embeddings, encoder, grid, masks, pixels, slides, tasks, tiling
+from tilewright.operators import blocks, dataset, embeddings, encoder, grid, pixels, segmentation, slides, tasks, tiling
 from tilewright.sources import graymaps, readers, schemas, sinks
 from tilewright.sources.scratch import fresh_folder
 
@@ -385,6 +385,15 @@ def tissue_masks(spark, sf_dir):
     return spark.read.schema(schemas.MASK_ROWS).parquet(folder).select("mask_path", "y", "mpp_x", "row")
 
 
+@query()
+def tissue_segmentation(spark, sf_dir):
+    """Tissue pixels per line of the stand-in rasters, by each slide's own threshold; tested against loops over pixels."""
+    lines = fx.masks(spark, sf_dir, ("tissue",)).select(F.col("mask_path").alias("path"), "y", "row")
+    levels = lines.select("path").distinct().withColumn("mpp", F.lit(4.0))
+    found = segmentation.tissue_lines(lines, levels, radius=4.0, area=500.0, band=32)
+    return found.select("path", "y", F.size(F.filter("row", lambda v: v == 255)).alias("n_tissue"))
+
+
 @query("SELECT '/d/' || p_brand || '.' || k || '.mrxs' AS wsi_path, '/m/tissue/' || p_brand || '.' || k || '.tiff' AS tissue_mask_path, '/m/epithelium/' || p_brand || '.' || k || '.tiff' AS output_path, 'segmentation-1' AS model FROM p")
 def heatmap_requests(spark, sf_dir):
     return jobs.heatmap_items(fx.mapping(spark, sf_dir), "/m/tissue", "/m/epithelium", "segmentation-1")
