@@ -84,4 +84,4 @@ def test_registered_queries():
 
     found = entry.queries()
     assert entry.HAS_LLM and "pipeline" in found and set(entry.oracle_sql()) <= set(found)
-    assert sorted(int(n[2:].split("_")[0]) for n in found if n.startswith("op") and n[2].isdigit()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in found if n.startswith("op") and n[2].isdigit()) == list(range(1, 14))
