@@ -1,0 +1,104 @@
+import os
+import time
+
+import pytest
+from pyspark.sql import functions as F
+
+from tilewright.operators import embeddings, resources
+from tilewright.plans import jobs
+from tilewright.sources import manifest
+
+ROWS = "slide_name string, x int, y int"
+
+
+def frame(spark, counts, parts=2):
+    return spark.createDataFrame([(name, x, 0) for name, n in counts.items() for x in range(n)], ROWS).repartition(parts)
+
+
+def tally(df):
+    return {r.slide_name: r["count"] for r in df.groupBy("slide_name").count().collect()}
+
+
+def test_runs_add_up_and_nothing_is_met_before_its_commit(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "out")
+    assert manifest.keys(spark, root).count() == 0 and manifest.read(spark, root, "slide_name", ROWS).count() == 0
+    first = manifest.append(frame(spark, {"a": 3, "b": 1}), root, "slide_name")
+    broken = frame(spark, {"c": 5}).withColumn("y", F.when(F.col("x") == 4, F.raise_error(F.lit("lost")).cast("int")).otherwise(F.col("y")))
+    with pytest.raises(Exception, match="lost"):
+        manifest.append(broken, root, "slide_name")
+    frame(spark, {"d": 2}).write.parquet(f"{root}/run={time.time_ns():020d}-torn")  # lost between rows and commit
+    assert tally(manifest.read(spark, root, "slide_name", ROWS)) == {"a": 3, "b": 1}
+    assert {(r.key, r.run, r.n) for r in manifest.keys(spark, root).collect()} == {("a", first, 3), ("b", first, 1)}
+    manifest.append(frame(spark, {"c": 5}), root, "slide_name")
+    assert tally(manifest.read(spark, root, "slide_name", ROWS)) == {"a": 3, "b": 1, "c": 5}
+    assert manifest.clear_torn(spark, root, 3600) == []
+    torn = manifest.clear_torn(spark, root, 0)
+    assert len(torn) in (1, 2) and sorted(n for n in os.listdir(root) if n.startswith("run=")) == [f"run={r}" for r in manifest.committed(spark, root)]
+    assert tally(manifest.read(spark, root, "slide_name", ROWS)) == {"a": 3, "b": 1, "c": 5}
+
+
+def test_keys_of_two_writers_count_once(spark, tmp_path):
+    root = str(tmp_path / "out")
+    rows = spark.createDataFrame([("a", 0, 1), (None, 0, 1), ("b", 0, 1)], ROWS)
+    manifest.append(rows, root, "slide_name")
+    manifest.append(rows.where("slide_name IS NULL OR slide_name = 'a'").withColumn("y", F.lit(2)).unionByName(spark.createDataFrame([("c", 0, 2)], ROWS)), root, "slide_name")
+    got = sorted(((r.slide_name or "", r.y) for r in manifest.read(spark, root, "slide_name", ROWS).collect()))
+    assert got == [("", 1), ("a", 1), ("b", 1), ("c", 2)]
+    assert manifest.keys(spark, root).count() == 4
+
+
+def test_the_anti_join_reads_keys_alone(spark, tmp_path):
+    root = str(tmp_path / "out")
+    manifest.append(frame(spark, {"a": 3}), root, "slide_name")
+    plan = jobs.written_keys(spark, root)._jdf.queryExecution().executedPlan().toString()
+    assert "_keys" in plan and "/run=" not in plan
+    assert "embedding" not in plan
+
+
+def test_files_are_bounded_by_rows_and_a_large_slide_is_split(spark, tmp_path):
+    counts = {"giant": 6000} | {f"s{k:02d}": 20 for k in range(50)}
+    rows = embeddings.dealt(frame(spark, counts, 3), 500)
+    sizes = [r.n for r in rows.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) == 14 and max(sizes) <= 1.5 * sorted(sizes)[len(sizes) // 2]
+    root = str(tmp_path / "out")
+    run = manifest.append(rows, root, "slide_name", rows_per_file=800)
+    files = [n for n in os.listdir(f"{root}/run={run}") if n.endswith(".parquet")]
+    assert len(files) <= 14 + 7000 // 800 and len(files) < len(counts)
+    assert tally(manifest.read(spark, root, "slide_name", ROWS)) == counts
+    whole = spark.read.parquet(f"{root}/run={run}").groupBy(F.input_file_name().alias("f")).agg(F.max(F.struct("slide_name", "y", "x")).alias("last"), F.min(F.struct("slide_name", "y", "x")).alias("first")).orderBy("first").collect()
+    assert all(a["last"] < b["first"] for a, b in zip(whole, whole[1:]))  # ranges, so a slide's rows are found by the files' statistics
+    assert embeddings.dealt(frame(spark, {}), 500).count() == 0
+
+
+@pytest.mark.parametrize("mode", ["full", "reference"])
+def test_a_job_goes_on_after_a_torn_write(spark, tmp_path, mode):
+    """The second of two jobs embeds what the first didn't commit."""
+    out = str(tmp_path / "emb")
+    slides = spark.createDataFrame([(f"/s/{n}.mrxs", n, 0, 8, 8) for n in ("a.1", "b.1", "c.1")], "path string, id string, level int, tile_extent_x int, tile_extent_y int")
+    tiles = spark.createDataFrame([(n, x, 0) for n in ("a.1", "b.1", "c.1") for x in range(4)], "slide_id string, x int, y int")
+    load = lambda df: df.withColumn("pixels", F.array(F.col("x").cast("float")))
+    named = "tilewright.operators.embeddings.small_projection"
+    assert jobs.embeddings_job(spark, [], out, load, named, mode, pairs=[(slides.where("id = 'a.1'"), tiles)]) == 1
+
+    def failing():
+        raise RuntimeError("no weights")
+
+    with pytest.raises(Exception, match="no weights"):
+        jobs.embeddings_job(spark, [], out, load, failing, mode, pairs=[(slides, tiles)])
+    assert jobs.embeddings_job(spark, [], out, load, named, mode, pairs=[(slides, tiles)]) == 2
+    assert tally(jobs.read_embeddings(spark, out)) == {"a.1": 4, "b.1": 4, "c.1": 4}
+    assert jobs.embeddings_job(spark, [], out, load, named, mode, pairs=[(slides, tiles)]) == 0
+
+
+def test_stages_ask_for_their_own_resources(spark):
+    """The plan of an encoder's stage carries its profile; in local mode there is none, and the stage runs."""
+    samples = spark.createDataFrame([("a", 0, 0, [1.0])], "slide_name string, x int, y int, pixels array<float>")
+    profile = resources.profile_of(task_cpus=2, executor_cores=4, python_memory="3g", gpus=2, gpu_script="/opt/gpus.sh")
+    assert profile.taskResources["cpus"].amount == 2 and profile.taskResources["gpu"].amount == 1
+    plan = embeddings.encode(samples, embeddings.small_projection, profile=profile)._jdf.queryExecution().analyzed()
+    carried = plan.profile().get()
+    asked = {k: carried.executorResources().apply(k).amount() for k in ("cores", "gpu", "pyspark.memory")}
+    assert asked == {"cores": 4, "gpu": 2, "pyspark.memory": 3072}
+    assert resources.stage_profile(spark, 2, gpus=1) is None
+    plain = embeddings.encode(samples, embeddings.small_projection, profile=resources.stage_profile(spark, 2, gpus=1))
+    assert plain._jdf.queryExecution().analyzed().profile().isEmpty() and plain.count() == 1

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.resource import ResourceProfile
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,10 +19,24 @@ def pending(slides: DataFrame, done: DataFrame, mode: str = "full") -> DataFrame
     return slides.withColumn("key", embedding_key(F.col("path"), mode)).join(done.select("key"), "key", "left_anti")
 
 
-def encode(samples: DataFrame, make_encoder: str | Callable[[], Callable[[np.ndarray], np.ndarray]], column: str = "pixels", batch: int = 256, transform: str | Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+#: Tiles of one task.
+TASK_ROWS = 1 << 16
+
+
+def dealt(samples: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
+    """The same tiles in ranges of slide and place, some `task_rows` in each: a large slide is split over tasks, small ones share one.
+
+    What is counted, sampled and moved are names and places, so deal tiles before their pixels are loaded. Small tables use all cores.
+    """
+    rows = samples.count()
+    tasks = max(-(-rows // task_rows), min(rows, samples.sparkSession.sparkContext.defaultParallelism), 1)
+    return samples.repartitionByRange(tasks, "slide_name", "y", "x").sortWithinPartitions("slide_name", "y", "x")
+
+
+def encode(samples: DataFrame, make_encoder: str | Callable[[], Callable[[np.ndarray], np.ndarray]], column: str = "pixels", batch: int = 256, transform: str | Callable[[np.ndarray], np.ndarray] | None = None, profile: ResourceProfile | None = None) -> DataFrame:
     """slide_name, x, y, embedding. The encoder is made once per task and gets batches of rows as a float32 matrix, after `transform` if there is one.
 
-    Both may be given by dotted name.
+    Both may be given by dotted name. `profile` is what the stage asks for, see `resources.stage_profile`.
     """
     make_encoder = resolve(make_encoder) if isinstance(make_encoder, str) else make_encoder
     transform = resolve(transform) if isinstance(transform, str) else transform
@@ -35,7 +50,7 @@ def encode(samples: DataFrame, make_encoder: str | Callable[[], Callable[[np.nda
                 out = encoder(transform(rows) if transform else rows)
                 yield part[["slide_name", "x", "y"]].assign(embedding=[v.astype(np.float32) for v in out])
 
-    return samples.select("slide_name", "x", "y", column).mapInPandas(run, "slide_name string, x int, y int, embedding array<float>")
+    return samples.select("slide_name", "x", "y", column).mapInPandas(run, "slide_name string, x int, y int, embedding array<float>", profile=profile)
 
 
 def projection_encoder(size: int = 16) -> Callable[[], Callable[[np.ndarray], np.ndarray]]:

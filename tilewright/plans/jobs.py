@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+from pyspark.resource import ResourceProfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.functions import paths
 from tilewright.operators import dataset, embeddings, slides, tasks, tiling
-from tilewright.sources import readers, sinks
+from tilewright.sources import manifest, readers, schemas, sinks
 
 #: Resolution (microns per pixel) of the four tilings by level, all of 224-pixel tiles at half overlap.
 EXPERIMENTS = {level: {"mpp": mpp, "tile_extent": 224, "stride": 112} for level, mpp in enumerate((0.24, 0.485, 0.97, 1.94))}
@@ -29,26 +30,33 @@ def tiling_job(spark: SparkSession, mapping_csv: str, levels: DataFrame, masks:
     return sinks.write_dataset(table, tiling.tile_slides(table, masks, tile_extent, roots, mode), out, name, rows_per_file)
 
 
-def embeddings_job(spark: SparkSession, roots: list[str], out: str, load: Callable[[DataFrame], DataFrame], make_encoder: str | Callable, mode: str = "full", transform: str | Callable | None = None, pairs: Sequence[tuple[DataFrame, DataFrame]] = ()) -> int:
+def embeddings_job(
+    spark: SparkSession, roots: list[str], out: str, load: Callable[[DataFrame], DataFrame], make_encoder: str | Callable, mode: str = "full", transform: str | Callable | None = None,
+    pairs: Sequence[tuple[DataFrame, DataFrame]] = (), task_rows: int = embeddings.TASK_ROWS, rows_per_file: int = manifest.ROWS_PER_FILE, profile: ResourceProfile | None = None,
+) -> int:
     """Embeddings of the slides that have none yet; returns the slides done.
 
-    `load` adds `pixels` to (slide_name, slide_id, x, y). Encoder and transform may be given by dotted name.
+    `load` adds `pixels` to (slide_name, slide_id, x, y); tiles come to it in ranges of some `task_rows`. Encoder and transform may be given by dotted name.
+    What is finished is told by the manifest of `out`, which is committed with the rows; a slide without tiles has no rows, and stays pending.
     """
     slide_table, tiles = readers.read_pair(spark, *roots, pairs=pairs)
-    todo = embeddings.pending(slide_table, written_keys(spark, out), mode)
-    samples = dataset.tile_samples(dataset.link_tiles(todo, tiles))
+    todo = embeddings.pending(slide_table, written_keys(spark, out, mode), mode)
     count = todo.count()
     if count:
-        sinks.write_embeddings(embeddings.encode(load(samples), make_encoder, transform=transform), out)
+        samples = embeddings.dealt(dataset.tile_samples(dataset.link_tiles(todo, tiles)), task_rows)
+        found = embeddings.encode(load(samples), make_encoder, transform=transform, profile=profile)
+        manifest.append(found, out, "slide_name", rows_per_file)
     return count
 
 
-def written_keys(spark: SparkSession, out: str) -> DataFrame:
-    """Keys of the embeddings below `out`; none where nothing was written yet."""
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out)
-    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
-        return spark.createDataFrame([], "key string")
-    return spark.read.schema("x int, y int, embedding array<float>, slide_name string").parquet(out).select(F.col("slide_name").alias("key")).distinct()
+def written_keys(spark: SparkSession, out: str, mode: str = "full") -> DataFrame:
+    """Keys of the embeddings that are finished below `out`, by its manifest; none where nothing was written yet."""
+    return manifest.keys(spark, out).select(paths.stem(F.col("key")).alias("key") if mode == "reference" else "key").distinct()
+
+
+def read_embeddings(spark: SparkSession, out: str) -> DataFrame:
+    """slide_name, x, y, embedding of all finished slides below `out`."""
+    return manifest.read(spark, out, "slide_name", schemas.EMBEDDINGS)
 
 
 def quality_control_job(
@@ -68,7 +76,7 @@ def quality_control_job(
     return done, tasks.call_all(requests.withColumn("wsi_path", F.col("url")), report, limit, 1, **{"timeout": tasks.REPORT_SECONDS} | how)
 
 
-def tissue_masks_job(files: DataFrame, levels: DataFrame, level: int, segment: Callable[[bytes, float], list[list[int]]], out: str) -> None:
+def tissue_masks_job(files: DataFrame, levels: DataFrame, level: int, segment: Callable[[bytes, float], list[list[int]]], out: str, profile: ResourceProfile | None = None) -> None:
     """Mask rows of (path, content), the pixels of each slide at `level`, by a `segment` function that returns lines of 0 and 255.
 
     Each slide has the resolution that `levels` gives for it; `segment` gets the mean of both axes.
@@ -81,7 +89,7 @@ def tissue_masks_job(files: DataFrame, levels: DataFrame, level: int, segment: C
                 lines = segment(content, (x + y) / 2)
                 yield pd.DataFrame({"path": path, "y": range(len(lines)), "mpp_x": x, "mpp_y": y, "row": lines})
 
-    rows = files.select("path", "content").join(known, "path").mapInPandas(run, "path string, y int, mpp_x double, mpp_y double, row array<smallint>")
+    rows = files.select("path", "content").join(known, "path").mapInPandas(run, "path string, y int, mpp_x double, mpp_y double, row array<smallint>", profile=profile)
     sinks.write_masks(rows.select(paths.with_suffix_name(F.col("path")).alias("mask_path"), "y", "mpp_x", "mpp_y", "row"), out)
 
 
