@@ -339,6 +339,59 @@ def mask_files(spark, sf_dir):
     return found.select("mask_path", "y", "mpp_x", F.size("row").cast("bigint").alias("n"), F.size(F.filter("row", lambda v: v == 0)).cast("bigint").alias("zeros"))
 
 
+def _mapping_csv(spark, sf_dir):
+    """A folder of CSV files with the mapping, as jobs read it."""
+    folder = fresh_folder(spark, "mapping")
+    fx.mapping(spark, sf_dir).select("path", "type", "risk_index").write.option("header", True).csv(folder)
+    return folder
+
+
+@query("""SELECT path, m.type, tile_x AS x, tile_y AS y, tissue_overlap, blur_overlap, folding_overlap, residual_overlap, epithelium_overlap
+FROM tiles JOIN scores USING (k, tile_x, tile_y) JOIN (SELECT path || '.mrxs' AS path, type FROM mapping) m USING (path) WHERE tissue_overlap > 0""")
+def tiling_job(spark, sf_dir):
+    """The whole job: a mapping file, three levels of which the middle one is nearest, masks, and a pair that is written and read back."""
+    levels = fx.base_slides(spark, sf_dir).select("path", F.explode(F.array(*[F.struct(F.lit(i).alias("level"), F.lit(2.0**i).alias("f")) for i in range(3)])).alias("l"), "extent_x", "extent_y")
+    levels = levels.select("path", "l.level", *[(F.col("l.f") / 4).alias(f"mpp_{a}") for a in "xy"], *[(F.col(f"extent_{a}") * 2 / F.col("l.f")).cast("int").alias(f"extent_{a}") for a in "xy"])
+    folder = fresh_folder(spark, "job")
+    jobs.tiling_job(spark, _mapping_csv(spark, sf_dir), levels, fx.masks(spark, sf_dir), folder, "pair", 0.485, fx.TILE, fx.STRIDE, fx.ROOTS)
+    s, t = readers.read_pair(spark, f"{folder}/pair")
+    return dataset.link_tiles(s, t).select("path", "type", "x", "y", *[c for c in schemas.TILE_COLUMNS if c.endswith("_overlap")])
+
+
+@query("""SELECT replace(path[4:], '.mrxs', '') AS slide_name, tile_x AS x, tile_y AS y, list_transform(range(0, 16), lambda j: -(tile_x // 32 * (13 * j % 11 - 5) + tile_y // 32 * ((7 + 13 * j) % 11 - 5) + ((14 + 13 * j) % 11 - 5)))::FLOAT[] AS embedding FROM tiles""")
+def embeddings_job(spark, sf_dir):
+    """Two jobs with one output, encoder and transform by name: the second embeds the slides that the first wasn't given, and its manifest tells which."""
+    out, s = fresh_folder(spark, "embedded"), fx.slides(spark, sf_dir)
+    tiles = _tiles(spark, sf_dir).select("slide_id", "tile_x", "tile_y")
+    load = lambda df: df.withColumn("pixels", F.array(*[(v / 32).cast("float") for v in (F.col("x"), F.col("y"))], F.lit(1.0).cast("float")))
+    for given in (s.where("k % 3 = 0"), s):
+        jobs.embeddings_job(spark, [], out, load, "tilewright.operators.embeddings.small_projection", transform="numpy.negative", pairs=[(given, tiles)])
+    return jobs.read_embeddings(spark, out)
+
+
+@query("""SELECT path AS wsi_path, (CASE WHEN k % 500 = 7 THEN -1 WHEN k % 4 = 1 THEN 500 WHEN k % 4 = 3 THEN 404 ELSE 200 END)::INTEGER AS status, (CASE WHEN k % 500 <> 7 AND k % 4 = 1 THEN 2 ELSE 1 END)::INTEGER AS attempts,
+CASE WHEN k % 500 = 7 THEN 'timeout' WHEN k % 4 = 1 THEN 'exhausted' ELSE 'done' END AS outcome, CASE WHEN k % 500 = 7 THEN 'Timeout' WHEN k % 4 = 1 THEN 'Internal Server Error' END AS error FROM base
+UNION ALL SELECT 'http://qc/report', 200, 1, 'done', NULL FROM (SELECT count(*) AS n FROM base), unnest(range(0, ceil(n / 10000)::BIGINT))""")
+def quality_control_job(spark, sf_dir):
+    """A request per slide, of which some hang and run into the time limit, and then the report on all of them in as few requests as bound their size."""
+    import json
+    import time
+
+    def call(item):
+        sent = json.loads(item["payload"])
+        k = int(sent["wsi_path"].split(".")[-2])
+        if k % 500 == 7:
+            time.sleep(30)
+        return (500, "Internal Server Error") if k % 4 == 1 else (404, "missing") if k % 4 == 3 else (200, "ok")
+
+    def report(item):
+        sent = json.loads(item["payload"])
+        return (200 if sent["backgrounds"] and sent["mask_dir"] == "/masks" else 404), "ok"
+
+    done, sent = jobs.quality_control_job(spark, _mapping_csv(spark, sf_dir), call, "/masks", 3, 1, most=2, url="http://qc/", report=report, save_location="/reports", sleep=lambda seconds: None, timeout=2.0)
+    return done.unionByName(sent)
+
+
 def _graymaps(spark, sf_dir):
     """(path, content): two lines of pixels per slide, with its resolution in a comment."""
     s = fx.base_slides(spark, sf_dir).select("path", "k", (F.col("extent_x") / 32 % 9 + 1).cast("int").alias("w"), ((F.col("k") % 3 + 1) / 4).alias("mpp"))
