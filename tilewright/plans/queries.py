@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from tilewright.functions import geometry, labels, paths, vectors
 from tilewright.functions.overlap import overlap_score, positive
-from tilewright.operators import blocks, dataset, embeddings, encoder, grid, pixels, segmentation, slides, tasks, tiling
-from tilewright.sources import graymaps, readers, schemas, sinks
+from tilewright.operators import blocks, dataset, embeddings, encoder, grid, pixels, pyramids, segmentation, slides, tasks, tiling
+from tilewright.sources import graymaps, readers, schemas, sinks, tiffs
 from tilewright.sources.scratch import fresh_folder
 
 from . import fixtures as fx
@@ -339,6 +339,21 @@ def mask_files(spark, sf_dir):
     return found.select("mask_path", "y", "mpp_x", F.size("row").cast("bigint").alias("n"), F.size(F.filter("row", lambda v: v == 0)).cast("bigint").alias("zeros"))
 
 
+@query("""WITH """ + fx.SQL + """, held AS (SELECT k, replace(path[4:], '.mrxs', '.tiff') AS name, extent_x // 8 + 17 AS w, extent_y // 8 + 17 AS h FROM base),
+full_size AS (SELECT name, w, h, x, y, CASE WHEN (x * 31 + y * 17 + k * 7) % 11 < k % 11 THEN 0 ELSE 255 END AS v FROM held, unnest(range(0, w)) AS a(x), unnest(range(0, h)) AS b(y)),
+levels AS (SELECT name, 0 AS level, w, h, x, y, v FROM full_size UNION ALL SELECT name, l, w, h, x // (1 << l), y // (1 << l), max(v) FROM full_size, unnest(range(1, 9)) AS t(l) WHERE 32 * (1 << (l - 1)) < greatest(w, h) GROUP BY ALL)
+SELECT name, level::INTEGER AS level, (4.0 * 2 ** level)::DOUBLE AS mpp_x, y::INTEGER AS y, count(*)::BIGINT AS n, sum((x + 1) * (v = 0)::INTEGER)::BIGINT AS zeros FROM levels GROUP BY ALL""")
+def mask_pyramids(spark, sf_dir):
+    """Masks as tiled files of several levels, read back by ranges of bytes: pixels of each line, and the sum of the places of its zeros."""
+    folder = fresh_folder(spark, "pyramids")
+    pyramids.write_pyramids(fx.masks(spark, sf_dir, ("tissue",)), folder, side=32)
+    levels = spark.read.format("tiles").load(folder)
+    wanted = tiffs.region_tiles(levels.select("path", "level", F.lit(0).alias("x"), F.lit(0).alias("y"), F.col("extent_x").alias("width"), F.col("extent_y").alias("height")), levels)
+    zeros = F.aggregate(F.transform("row", lambda v, i: F.when(v == 0, F.col("x") + i + 1).otherwise(0).cast("bigint")), F.lit(0).cast("bigint"), lambda a, v: a + v)
+    lines = tiffs.read_tiles(wanted, levels).groupBy("path", "level", "y").agg(F.sum(F.size("row")).alias("n"), F.sum(zeros).alias("zeros"))
+    return lines.join(levels.select("path", "level", "mpp_x"), ["path", "level"]).select(F.regexp_extract("path", "([^/]*)$", 1).alias("name"), "level", "mpp_x", "y", "n", "zeros")
+
+
 def _mapping_csv(spark, sf_dir):
     """A folder of CSV files with the mapping, as jobs read it."""
     folder = fresh_folder(spark, "mapping")

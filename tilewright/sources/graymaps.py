@@ -60,6 +60,8 @@ class Files(InputPartition):
 
 
 class HeaderReader(DataSourceReader):
+    suffix = ".pgm"
+
     def __init__(self, folder: str, per_partition: int) -> None:
         self.folder, self.per_partition = folder, per_partition
         self.tests: list[Filter] = []
@@ -79,7 +81,7 @@ class HeaderReader(DataSourceReader):
         system, root = located(self.folder)
         prefix = self.folder.removesuffix(root)
         listed = system.get_file_info(fs.FileSelector(root, recursive=True))
-        names = sorted(prefix + i.path for i in listed if i.is_file and i.path.endswith(".pgm") and "/_" not in i.path.removeprefix(root))
+        names = sorted(prefix + i.path for i in listed if i.is_file and i.path.endswith(self.suffix) and "/_" not in i.path.removeprefix(root))
         names = [n for n in names if self._wanted(n)]
         return [Files(names[k : k + self.per_partition]) for k in range(0, len(names), self.per_partition)] or [Files([])]
 
