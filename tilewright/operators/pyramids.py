@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.sources import tiffs
-from tilewright.sources.scratch import checkpointed
+from tilewright.sources.scratch import drop_folder, fresh_folder, stored
 
 SIDE = 256
 TILE = "mask_path string, level int, tile_y int, tile_x int, content binary"
@@ -78,9 +78,17 @@ def write_pyramids(rows: DataFrame, folder: str, side: int = SIDE) -> int:
     """
     if side % 16:
         raise ValueError("the side of a tile is a multiple of 16")
-    spark = rows.sparkSession
-    tiffs.register(spark)
-    sizes = checkpointed(extents(rows).withColumn("name", F.regexp_extract("mask_path", "([^/]*)$", 1)))
+    tiffs.register(rows.sparkSession)
+    kept = fresh_folder(rows.sparkSession, "levels")
+    try:
+        return _write(rows, folder, side, kept)
+    finally:
+        drop_folder(rows.sparkSession, kept)
+
+
+def _write(rows: DataFrame, folder: str, side: int, kept: str) -> int:
+    """What `write_pyramids` does, with tables for the time being below `kept`."""
+    sizes = stored(extents(rows).withColumn("name", F.regexp_extract("mask_path", "([^/]*)$", 1)), f"{kept}/sizes")
     if not sizes.groupBy("name").count().where("count > 1").isEmpty():
         raise ValueError("two masks have one name")
     largest = sizes.agg(F.max(F.greatest("width", "height"))).first()[0]
@@ -89,22 +97,19 @@ def write_pyramids(rows: DataFrame, folder: str, side: int = SIDE) -> int:
     grid = lambda a, level: F.ceil(F.ceil(F.col(a) / F.pow(F.lit(2), level)) / side).cast("int")
     coarser = F.filter(F.sequence(F.lit(0), F.lit(31)), lambda k: side * F.pow(F.lit(2), k) < F.greatest("width", "height"))
     depth = sizes.withColumn("depth", F.size(coarser))
-    level, n = checkpointed(base_tiles(rows, side)), 0
-    stored = [level]
+    level, n = stored(base_tiles(rows, side), f"{kept}/level-0"), 0
+    found = level
     while side << n < largest:
         n += 1
         going = depth.where(F.col("depth") >= n).select("mask_path")
-        level = checkpointed(halved(level.join(going, "mask_path", "left_semi"), side))
-        stored.append(level)
-    found = stored[0]
-    for more in stored[1:]:
-        found = found.union(more)
+        level = stored(halved(level.join(going, "mask_path", "left_semi"), side), f"{kept}/level-{n}")
+        found = found.union(level)
     # Tiles none of whose lines was given are put in, so that the grid of each level is whole.
     blank = zlib.compress(bytes(side * side))
     cells = depth.withColumn("level", F.explode(F.sequence(F.lit(0), "depth"))).select("mask_path", "name", "level", grid("width", F.col("level")).alias("_nx"), grid("height", F.col("level")).alias("_ny"))
     cells = cells.withColumn("tile_y", F.explode(F.sequence(F.lit(0), F.col("_ny") - 1))).withColumn("tile_x", F.explode(F.sequence(F.lit(0), F.col("_nx") - 1)))
     whole = cells.join(found, ["mask_path", "level", "tile_y", "tile_x"], "left").select("mask_path", "name", "level", "tile_y", "tile_x", F.coalesce("content", F.lit(blank)).alias("content"))
-    whole = checkpointed(whole)
+    whole = stored(whole, f"{kept}/whole")
     table = whole.groupBy("mask_path").agg(F.array_sort(F.collect_list(F.struct("level", "tile_y", "tile_x", F.length("content").alias("size")))).alias("tiles"))
 
     def head(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -26,6 +27,8 @@ HEADERS = "path string, level int, mpp_x double, mpp_y double, extent_x int, ext
 #: Bytes that are read of a file at first, and at most before its header has to end; files of a partition; bytes of one range.
 FIRST, MOST, FILES, RANGE = 1 << 12, 1 << 16, 512, 1 << 22
 BAND = 64
+#: Files that are put in their places at a time.
+MOVES = 32
 
 
 def located(uri: str) -> tuple[fs.FileSystem, str]:
@@ -96,9 +99,9 @@ class HeaderReader(DataSourceReader):
 
 @dataclass
 class Written(WriterCommitMessage):
-    """Names of the files of one task, under their names for the time being."""
+    """The folder of a task that ended well; what is sent doesn't grow with its files."""
 
-    names: list[str]
+    task: str
 
 
 class FileWriter(DataSourceWriter):
@@ -109,18 +112,23 @@ class FileWriter(DataSourceWriter):
 
     def write(self, rows: Iterator) -> WriterCommitMessage:
         system, root = located(self.folder)
-        task, names = uuid.uuid4().hex, []
+        task = uuid.uuid4().hex
         system.create_dir(f"{root}/_{self.job}/{task}", recursive=True)
         for name, content in rows:
             with system.open_output_stream(f"{root}/_{self.job}/{task}/{name}") as out:
                 out.write(bytes(content))
-            names.append(f"{task}/{name}")
-        return Written(names)
+        return Written(task)
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         system, root = located(self.folder)
-        for name in (n for m in messages if m for n in m.names):
-            system.move(f"{root}/_{self.job}/{name}", f"{root}/{name.split('/', 1)[1]}")
+
+        def place(path: str) -> None:
+            system.move(path, f"{root}/{path.rsplit('/', 1)[1]}")
+
+        with ThreadPoolExecutor(MOVES) as pool:
+            for m in (m for m in messages if m):
+                listed = system.get_file_info(fs.FileSelector(f"{root}/_{self.job}/{m.task}"))
+                list(pool.map(place, [i.path for i in listed if i.is_file]))
         self._clear()
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:

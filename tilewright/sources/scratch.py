@@ -32,3 +32,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def fresh_folder(spark: SparkSession, name: str) -> str:
     """A new folder's path below the shared one."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, folder: str) -> DataFrame:
+    """The same rows, written once to `folder` and read from there. Unlike a checkpoint, nothing is computed twice, and the folder can be dropped."""
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of this module's making, which nothing reads any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -112,20 +112,19 @@ class PartWriter(FileWriter):
 
     def write(self, rows: Iterator) -> WriterCommitMessage:
         system, root = located(self.folder)
-        task, names, out = uuid.uuid4().hex, [], None
+        task, last, out = uuid.uuid4().hex, None, None
         system.create_dir(f"{root}/_{self.job}/{task}", recursive=True)
         try:
             for name, *_, content in rows:
-                if not names or names[-1] != f"{task}/{name}":
+                if name != last:
                     if out:
                         out.close()
-                    names.append(f"{task}/{name}")
-                    out = system.open_output_stream(f"{root}/_{self.job}/{names[-1]}")
+                    last, out = name, system.open_output_stream(f"{root}/_{self.job}/{task}/{name}")
                 out.write(bytes(content))
         finally:
             if out:
                 out.close()
-        return Written(names)
+        return Written(task)
 
 
 class Tiles(DataSource):
