@@ -13,7 +13,7 @@ from tilewright.functions import geometry, labels, paths, vectors
 from tilewright.functions.overlap import overlap_score, positive
 from tilewright.operators import blocks, dataset, embeddings, encoder, grid, pixels, pyramids, segmentation, slides, tasks, tiling
 from tilewright.sources import graymaps, readers, schemas, sinks, tiffs
-from tilewright.sources.scratch import fresh_folder
+from tilewright.sources.scratch import fresh_folder, stored
 
 from . import fixtures as fx
 from . import jobs
@@ -347,7 +347,7 @@ def mask_pyramids(spark, sf_dir):
     """Masks as tiled files of several levels, read back by ranges of bytes: pixels of each line, and the sum of the places of its zeros."""
     folder = fresh_folder(spark, "pyramids")
     pyramids.write_pyramids(fx.masks(spark, sf_dir, ("tissue",)), folder, side=32)
-    levels = spark.read.format("tiles").load(folder)
+    levels = stored(spark.read.format("tiles").load(folder), f"{folder}-headers")
     wanted = tiffs.region_tiles(levels.select("path", "level", F.lit(0).alias("x"), F.lit(0).alias("y"), F.col("extent_x").alias("width"), F.col("extent_y").alias("height")), levels)
     zeros = F.aggregate(F.transform("row", lambda v, i: F.when(v == 0, F.col("x") + i + 1).otherwise(0).cast("bigint")), F.lit(0).cast("bigint"), lambda a, v: a + v)
     lines = tiffs.read_tiles(wanted, levels).groupBy("path", "level", "y").agg(F.sum(F.size("row")).alias("n"), F.sum(zeros).alias("zeros"))

@@ -31,7 +31,8 @@ REDUCED, WIDTH, LENGTH, BITS, COMPRESSION, PHOTOMETRIC, SAMPLES, X_RESOLUTION, Y
 DEFLATE, CENTIMETRE = 8, 3
 #: Pixels per centimetre are given as PER_CM / n, so resolutions are kept to 1 / 100,000 of a micron.
 PER_CM, STEPS = 1_000_000_000, 100_000
-FIRST_BYTES = 1 << 14
+#: Bytes that are read of a file at first; pixels that are handed on at a time.
+FIRST_BYTES, CELLS = 1 << 14, 1 << 20
 
 
 def header(levels: list[tuple[int, int, float | None, float | None, list[int]]], side: int) -> bytes:
@@ -182,7 +183,15 @@ def read_tiles(wanted: DataFrame, levels: DataFrame) -> DataFrame:
     planned = planned.select("path", "level", "tile_y", "tile_x", "extent_x", "extent_y", "side", "file", F.get("offsets", at).alias("offset"), F.get("sizes", at).alias("size"))
     dealt = planned.repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
 
+    def lines(r: dict, content: bytes) -> pa.RecordBatch:
+        side, left, top = r["side"], r["tile_x"] * r["side"], r["tile_y"] * r["side"]
+        cells = np.frombuffer(zlib.decompress(content), np.uint8).reshape(side, side)[: r["extent_y"] - top, : r["extent_x"] - left]
+        n, width = cells.shape
+        row = pa.ListArray.from_arrays(pa.array(range(0, n * width + 1, width), pa.int32()), pa.array(cells.ravel().astype(np.int16)))
+        return pa.RecordBatch.from_arrays([pa.array([r["path"]] * n), pa.array([r["level"]] * n, pa.int32()), pa.array(range(top, top + n), pa.int32()), pa.array([left] * n, pa.int32()), row], names=["path", "level", "y", "x", "row"])
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, cells = [], 0
         for batch in batches:
             rows = batch.to_pylist()
             for at, end in spans(rows):
@@ -191,10 +200,12 @@ def read_tiles(wanted: DataFrame, levels: DataFrame) -> DataFrame:
                 with system.open_input_file(name) as opened:
                     data = opened.read_at(last["offset"] + last["size"] - begin, begin)
                 for r in rows[at:end]:
-                    side, left, top = r["side"], r["tile_x"] * r["side"], r["tile_y"] * r["side"]
-                    cells = np.frombuffer(zlib.decompress(data[r["offset"] - begin : r["offset"] - begin + r["size"]]), np.uint8).reshape(side, side)[: r["extent_y"] - top, : r["extent_x"] - left]
-                    n, width = cells.shape
-                    lines = pa.ListArray.from_arrays(pa.array(range(0, n * width + 1, width), pa.int32()), pa.array(cells.ravel().astype(np.int16)))
-                    yield pa.RecordBatch.from_arrays([pa.array([r["path"]] * n), pa.array([r["level"]] * n, pa.int32()), pa.array(range(top, top + n), pa.int32()), pa.array([left] * n, pa.int32()), lines], names=["path", "level", "y", "x", "row"])
+                    held.append(lines(r, data[r["offset"] - begin : r["offset"] - begin + r["size"]]))
+                    cells += r["side"] ** 2
+                    if cells >= CELLS:
+                        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                        held, cells = [], 0
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
     return dealt.mapInArrow(read, "path string, level int, y int, x int, row array<smallint>")
