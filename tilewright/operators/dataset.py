@@ -14,8 +14,11 @@ def rename_coordinates(tiles: DataFrame) -> DataFrame:
 
 
 def link_tiles(slides: DataFrame, tiles: DataFrame, how: str = "inner") -> DataFrame:
-    """Each tile with its slide's path and level: one join in place of a filter per slide. `left` keeps slides without tiles."""
-    parents = slides.select("id", "path", "level", "tile_extent_x", "tile_extent_y")
+    """Each tile with its slide's path and level: one join in place of a filter per slide. `left` keeps slides without tiles.
+
+    Tiles are many more than their plan or files tell, so the join is never a broadcast; a task holds its share of the slides, and tiles are neither held nor sorted.
+    """
+    parents = slides.select("id", "path", "level", "tile_extent_x", "tile_extent_y").hint("shuffle_hash")
     children = rename_coordinates(tiles)
     return parents.join(children, parents.id == children.slide_id, how).drop("id")
 

@@ -25,8 +25,9 @@ def tiling_job(spark: SparkSession, mapping_csv: str, levels: DataFrame, masks:
     mapping = readers.read_mapping(spark, mapping_csv)
     listed = slides.slide_metadata(mapping)
     wanted = listed.select(F.col("slide_path").alias("path"))
-    found = slides.read_slides(levels, mpp, tile_extent, stride).join(wanted, "path")
-    table = slides.add_id(slides.join_metadata(found, listed))
+    found = slides.read_slides(levels, mpp, tile_extent, stride).join(wanted.hint("merge"), "path")
+    # Tiles are generated from few bytes: the slides are dealt to all cores first.
+    table = slides.add_id(slides.join_metadata(found, listed)).repartition(2 * spark.sparkContext.defaultParallelism, "id")
     return sinks.write_dataset(table, tiling.tile_slides(table, masks, tile_extent, roots, mode), out, name, rows_per_file)
 
 
@@ -89,7 +90,7 @@ def tissue_masks_job(files: DataFrame, levels: DataFrame, level: int, segment: C
                 lines = segment(content, (x + y) / 2)
                 yield pd.DataFrame({"path": path, "y": range(len(lines)), "mpp_x": x, "mpp_y": y, "row": lines})
 
-    rows = files.select("path", "content").join(known, "path").mapInPandas(run, "path string, y int, mpp_x double, mpp_y double, row array<smallint>", profile=profile)
+    rows = files.select("path", "content").join(known.hint("shuffle_hash"), "path").mapInPandas(run, "path string, y int, mpp_x double, mpp_y double, row array<smallint>", profile=profile)
     sinks.write_masks(rows.select(paths.with_suffix_name(F.col("path")).alias("mask_path"), "y", "mpp_x", "mpp_y", "row"), out)
 
 
