@@ -308,7 +308,7 @@ def folded(bits: np.ndarray, size: int) -> np.ndarray:
 
 
 def prefix_rows(keyed: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """node, size, bits, keys of each different text of `keyed` (node, other, text): its shingles' number, parity and prefix.
+    """node, size, bits, keys, fp of each different text of `keyed` (node, other, text): its shingles' number, parity, prefix and fingerprint.
 
     `other` is a second hash of the text; of texts with one node that of the smallest is read.
     """
@@ -316,13 +316,22 @@ def prefix_rows(keyed: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
     def read(nodes, others, texts):
         sets = [_shingles(t) for t in texts]
-        return nodes, others, [len(h) for h in sets], [parity(h).tobytes() for h in sets], [prefix(h, levels.value, least).view(np.int64) for h in sets]
+        return nodes, others, [len(h) for h in sets], [parity(h).tobytes() for h in sets], [prefix(h, levels.value, least).view(np.int64) for h in sets], np.array([majority([h]) for h in sets], np.uint64).view(np.int64)
 
-    rows = map_rows(keyed, read, "node bigint, other bigint, size bigint, bits binary, keys array<bigint>", ["node", "other", "text"])
-    own = rows.groupBy("node").agg(F.min_by(F.struct("size", "bits", "keys"), "other").alias("r"))
+    rows = map_rows(keyed, read, "node bigint, other bigint, size bigint, bits binary, keys array<bigint>, fp bigint", ["node", "other", "text"])
+    own = rows.groupBy("node").agg(F.min_by(F.struct("size", "bits", "keys", "fp"), "other").alias("r"))
     return checkpointed(own.select("node", "r.*"))
 
 
+def fingerprint_pairs(rows: DataFrame, distance: int = 4) -> DataFrame:
+    """Pairs (a < b) of nodes of `rows` (node, fp) that the byte-position index finds: the smallest nodes of linked fingerprints, and each node with the smallest of its own."""
+    first = checkpointed(rows.groupBy("fp").agg(F.min("node").alias("first")))
+    equal = rows.select("node", "fp").join(first, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    end = lambda e: first.select(F.col("fp").alias(e), F.col("first").alias(f"{e}_first"))
+    linked = near_links(first, distance).join(end("a"), "a").join(end("b"), "b")
+    return equal.union(linked.select(F.least("a_first", "b_first").alias("a"), F.greatest("a_first", "b_first").alias("b")))
+
+
 def meetings(rows: DataFrame) -> DataFrame:
     """key, node, low, high of the postings with more than one node: low and high are the smallest and largest node there."""
     postings = rows.select("node", F.explode("keys").alias("key"))
@@ -467,13 +476,15 @@ def open_pairs(met: DataFrame, known: DataFrame, rows: DataFrame, least: float =
 def similar_links(keyed: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """Links (a < b) between nodes of `keyed` (node, other, text) whose texts have a similarity of `least` or more: enough of them to join each class.
 
-    Similar texts share a shingle of their prefixes. In each such posting all nodes are verified against its smallest and its largest one, which
-    joins most classes by few pairs; then every pair that meets between the classes that this leaves is verified.
+    The byte-position index gives pairs of near fingerprints. A fingerprint can't promise a similarity, so an exact step follows: similar texts share a shingle of
+    their prefixes, and in each such posting all nodes are paired with its smallest and its largest one. Both kinds of pairs are verified, which joins most
+    classes by few of them; then every pair that meets between the classes that this leaves is verified.
     """
     rows = prefix_rows(keyed, least)
     met = meetings(rows)
     star = F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("node").alias("b")), F.struct(F.col("node").alias("a"), F.col("high").alias("b"))))
-    likely = verified(plausible(met.select(star.alias("p")).select("p.*").where("a <> b"), rows, least), keyed, least)
+    pairs = met.select(star.alias("p")).select("p.*").where("a <> b").union(fingerprint_pairs(rows))
+    likely = verified(plausible(pairs, rows, least), keyed, least)
     return likely.union(verified(open_pairs(met, classes(likely), rows, least), keyed, least))
 
 

@@ -14,6 +14,8 @@ texts get equal scores; very long texts are read whole, in windows; an empty tab
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -369,7 +371,7 @@ def fit(texts: list[str], y: np.ndarray, prior: float | None = None, folds: int
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS, **how) -> Network:
-    """Fits on at most `max_rows` labelled documents of each class."""
+    """Fits on at most `max_rows` labelled documents of each class, in one task: what comes to the driver is the network."""
     rows = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     rows = rows.groupBy("doc_id").agg(F.max("y").alias("y"))
     share = rows.agg(F.avg("y")).first()[0]
@@ -378,8 +380,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, m
         own = rows.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
         picked = own if picked is None else picked.union(own)
     sample = documents(docs).where(F.length("text") <= max_chars).join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
-    got = sample.select("doc_id", "y", "text").toPandas().sort_values("doc_id", ignore_index=True)
-    return fit(got["text"].tolist(), got["y"].to_numpy(float), share, **how)
+
+    def learn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        got = pd.concat([pd.DataFrame({"doc_id": [], "y": [], "text": []}), *frames]).sort_values("doc_id", ignore_index=True)
+        yield pd.DataFrame({"network": [pickle.dumps(fit(got["text"].tolist(), got["y"].to_numpy(float), share, **how))]})
+
+    found = sample.select("doc_id", "y", "text").repartition(1).mapInPandas(learn, "network binary").first()
+    return pickle.loads(found[0]) if found else fit([], np.zeros(0), share, **how)
 
 
 def score_toxicity(docs: DataFrame, network: Network, threshold: float = 0.5) -> DataFrame:
