@@ -16,10 +16,18 @@ def write_dataset(slides: DataFrame, tiles: DataFrame, root: str, name: str, row
     return counts
 
 
-def write_buckets(slides: DataFrame, tiles: DataFrame, root: str, name: str, buckets: int) -> tuple[DataFrame, DataFrame]:
-    """A pair as tables `<name>_slides` and `<name>_tiles` below `root`, both in `buckets` buckets of the slide id: linking them, or grouping tiles by slide, moves no row."""
+#: Rows that one task sorts for its bucket.
+TASK_ROWS = 1 << 20
+
+
+def write_buckets(slides: DataFrame, tiles: DataFrame, root: str, name: str, buckets: int, task_rows: int = TASK_ROWS) -> tuple[DataFrame, DataFrame]:
+    """A pair as tables `<name>_slides` and `<name>_tiles` below `root`, both in `buckets` buckets of the slide id: linking them, or grouping tiles by slide, moves no row.
+
+    A bucket is dealt by slide to as many tasks (and files) as keep some `task_rows` in each: a multiple of `buckets`, so a task meets one bucket alone.
+    """
     for part, df, key in (("slides", slides, "id"), ("tiles", tiles, "slide_id")):
-        df.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key).option("path", f"{root}/{name}/{part}").saveAsTable(f"{name}_{part}")
+        tasks = buckets * max(1, -(-df.count() // (buckets * task_rows)))
+        df.repartition(tasks, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key).option("path", f"{root}/{name}/{part}").saveAsTable(f"{name}_{part}")
     return slides.sparkSession.table(f"{name}_slides"), slides.sparkSession.table(f"{name}_tiles")
 
 
