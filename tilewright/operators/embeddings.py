@@ -15,8 +15,8 @@ from tilewright.functions.plugins import resolve
 
 
 def pending(slides: DataFrame, done: DataFrame, mode: str = "full") -> DataFrame:
-    """Slides whose embedding key isn't among `done` (column key): an anti-join."""
-    return slides.withColumn("key", embedding_key(F.col("path"), mode)).join(done.select("key"), "key", "left_anti")
+    """Slides whose embedding key isn't among `done` (column key): an anti-join, whose sides both grow with the slides."""
+    return slides.withColumn("key", embedding_key(F.col("path"), mode)).join(done.select("key").hint("merge"), "key", "left_anti")
 
 
 #: Tiles of one task.

@@ -102,13 +102,13 @@ def _write(rows: DataFrame, folder: str, side: int, kept: str) -> int:
     while side << n < largest:
         n += 1
         going = depth.where(F.col("depth") >= n).select("mask_path")
-        level = stored(halved(level.join(going, "mask_path", "left_semi"), side), f"{kept}/level-{n}")
+        level = stored(halved(level.join(going.hint("shuffle_hash"), "mask_path", "left_semi"), side), f"{kept}/level-{n}")
         found = found.union(level)
     # Tiles none of whose lines was given are put in, so that the grid of each level is whole.
     blank = zlib.compress(bytes(side * side))
     cells = depth.withColumn("level", F.explode(F.sequence(F.lit(0), "depth"))).select("mask_path", "name", "level", grid("width", F.col("level")).alias("_nx"), grid("height", F.col("level")).alias("_ny"))
     cells = cells.withColumn("tile_y", F.explode(F.sequence(F.lit(0), F.col("_ny") - 1))).withColumn("tile_x", F.explode(F.sequence(F.lit(0), F.col("_nx") - 1)))
-    whole = cells.join(found, ["mask_path", "level", "tile_y", "tile_x"], "left").select("mask_path", "name", "level", "tile_y", "tile_x", F.coalesce("content", F.lit(blank)).alias("content"))
+    whole = cells.join(found.hint("merge"), ["mask_path", "level", "tile_y", "tile_x"], "left").select("mask_path", "name", "level", "tile_y", "tile_x", F.coalesce("content", F.lit(blank)).alias("content"))
     whole = stored(whole, f"{kept}/whole")
     table = whole.groupBy("mask_path").agg(F.array_sort(F.collect_list(F.struct("level", "tile_y", "tile_x", F.length("content").alias("size")))).alias("tiles"))
 
@@ -123,7 +123,7 @@ def _write(rows: DataFrame, folder: str, side: int, kept: str) -> int:
                 contents.append(tiffs.header([(-(-int(width) >> k), -(-int(height) >> k), *(m and m * 2**k for m in mpp), by_level[k]) for k in sorted(by_level)], side))
             yield frame[["name"]].assign(level=-1, tile_y=0, tile_x=0, content=contents)
 
-    heads = sizes.join(table, "mask_path").mapInPandas(head, "name string, level int, tile_y int, tile_x int, content binary")
+    heads = sizes.join(table.hint("merge"), "mask_path").mapInPandas(head, "name string, level int, tile_y int, tile_x int, content binary")
     parts = heads.union(whole.select(*tiffs.PARTS))
     parts.repartition("name").sortWithinPartitions("name", "level", "tile_y", "tile_x").write.format("tiles").mode("append").save(folder)
     return n + 1

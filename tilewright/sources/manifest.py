@@ -66,7 +66,7 @@ def read(spark: SparkSession, root: str, key: str, schema: str) -> DataFrame:
     listed = spark.read.parquet(*[f"{root}/_keys/{r}" for r in runs])
     if len(runs) > 1 and not listed.groupBy("key").count().where("count > 1").isEmpty():
         first = keys(spark, root).select(F.col("key").alias("_key"), F.col("run").alias("_run"))
-        rows = rows.join(first, rows[key].eqNullSafe(F.col("_key")) & (F.col("run") == F.col("_run")), "left_semi")
+        rows = rows.join(first.hint("shuffle_hash"), rows[key].eqNullSafe(F.col("_key")) & (F.col("run") == F.col("_run")), "left_semi")
     return rows.select(*names)
 
 

@@ -155,7 +155,7 @@ def register(spark: SparkSession) -> None:
 
 def region_tiles(regions: DataFrame, levels: DataFrame) -> DataFrame:
     """path, level, tile_y, tile_x of the tiles that `regions` (path, level, x, y, width, height) meet, each once."""
-    held = regions.join(levels.select("path", "level", "extent_x", "extent_y", "side"), ["path", "level"])
+    held = regions.join(levels.select("path", "level", "extent_x", "extent_y", "side").hint("merge"), ["path", "level"])
     inside = held.where("width > 0 AND height > 0 AND x < extent_x AND y < extent_y AND x + width > 0 AND y + height > 0")
     along = lambda a, size: F.sequence(F.floor(F.greatest(a, F.lit(0)) / F.col("side")), F.floor((F.least(F.col(a) + F.col(size), f"extent_{a}") - 1) / F.col("side")))
     return inside.withColumn("tile_y", F.explode(along("y", "height"))).withColumn("tile_x", F.explode(along("x", "width"))).select("path", "level", F.col("tile_y").cast("int"), F.col("tile_x").cast("int")).distinct()
@@ -179,7 +179,7 @@ def read_tiles(wanted: DataFrame, levels: DataFrame) -> DataFrame:
     """
     per_line = F.ceil(F.col("extent_x") / F.col("side"))
     at = (F.col("tile_y") * per_line + F.col("tile_x")).cast("int")
-    planned = wanted.join(levels, ["path", "level"]).where(F.col("tile_x").between(0, per_line - 1) & (F.col("tile_y") >= 0) & (at < F.size("offsets")))
+    planned = wanted.join(levels.hint("merge"), ["path", "level"]).where(F.col("tile_x").between(0, per_line - 1) & (F.col("tile_y") >= 0) & (at < F.size("offsets")))
     planned = planned.select("path", "level", "tile_y", "tile_x", "extent_x", "extent_y", "side", "file", F.get("offsets", at).alias("offset"), F.get("sizes", at).alias("size"))
     dealt = planned.repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
 
