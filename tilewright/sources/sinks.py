@@ -37,6 +37,15 @@ def write_embeddings(embeddings: DataFrame, root: str, key: str = "slide_name")
     out.repartition(key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(root)
 
 
-def write_masks(rows: DataFrame, root: str) -> None:
-    """Raster rows, near each other by mask and line."""
-    rows.repartitionByRange("mask_path", "y").sortWithinPartitions("mask_path", "y").write.mode("overwrite").parquet(root)
+#: Bytes of mask rows that one task sorts, and neighbouring lines of a mask that stay together.
+TASK_BYTES, STRETCH = 1 << 26, 256
+
+
+def write_masks(rows: DataFrame, root: str, task_bytes: int = TASK_BYTES) -> None:
+    """Raster rows, near each other by mask and line: masks, in stretches of STRETCH lines, are dealt to as many tasks (and files) as keep some `task_bytes` in each.
+
+    Bytes are those of the pixels as they are sorted. Those that are moved tell little, as masks compress well.
+    """
+    held = rows.agg(F.sum(F.coalesce(F.size("row"), F.lit(0)).cast("bigint") * 2 + 128)).first()[0] or 0
+    tasks = max(-(-held // task_bytes), rows.sparkSession.sparkContext.defaultParallelism)
+    rows.repartition(tasks, "mask_path", F.floor(F.col("y") / STRETCH)).sortWithinPartitions("mask_path", "y").write.mode("overwrite").parquet(root)
