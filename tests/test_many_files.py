@@ -56,3 +56,10 @@ def test_moves_where_each_is_a_call(tmp_path, monkeypatch):
 
 def test_headers_are_read_once(spark):
     assert "BatchScan" not in queries.tile_pixels_of_files(spark, SF)._jdf.queryExecution().executedPlan().toString().replace("BatchScan parquet", "")
+
+
+def test_tasks_that_read_headers_stay_few(spark, slides, tmp_path, monkeypatch):
+    sizes = lambda *how: [len(p.names) for p in graymaps.HeaderReader(str(tmp_path / "s"), *how).partitions()]
+    monkeypatch.setattr(graymaps, "TASKS", 4)
+    assert sizes(10, 100) == [15] * 4 and sizes(10, 12) == [12] * 5 and sizes(20, 100) == [20] * 3 and sizes(10) == [10] * 6
+    assert slides.count() == 60
