@@ -6,6 +6,7 @@ import pyspark.sql
 from pyspark.sql import functions as F
 
 from tilewright.llm import simhash, toxicity
+from tilewright.llm.common import packed
 
 
 def test_the_network_is_fitted_in_a_task(spark, make, monkeypatch):
@@ -35,3 +36,26 @@ def test_fingerprints_propose_pairs_in_the_pipeline(make, monkeypatch):
     plain = simhash.fingerprint_pairs
     monkeypatch.setattr(simhash, "fingerprint_pairs", lambda *a: used.append(1) or plain(*a))
     assert sorted(r.doc_id for r in simhash.drop_near_duplicates(make(texts)).collect()) == list(range(6)) and used
+
+
+def test_small_tables_in_many_partitions_cost_few_jobs_and_tasks(spark, make):
+    """Near-duplicates take rounds over small tables: neither their filters nor their checkpoints cost a job or a task for each partition that a shuffle left."""
+    held = {k: spark.conf.get(k, None) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    rng = random.Random(9)
+    base = [[f"w{rng.randrange(5000)}" for _ in range(60)] for _ in range(6)]
+    docs = make([" ".join([*b[: 60 - k], *["x"] * k]) for b in base for k in range(3)])
+    tracker = spark.sparkContext.statusTracker()
+    try:
+        for k, v in zip(held, ("64", "false"), strict=True):
+            spark.conf.set(k, v)
+        small = packed(spark.range(20_000).repartition(64, "id"))
+        assert small.rdd.getNumPartitions() == 4 and sorted(r.id for r in small.collect()) == list(range(20_000))
+        spark.sparkContext.setJobGroup("near", "near")
+        assert simhash.drop_near_duplicates(docs).count() == 6
+        jobs = [tracker.getJobInfo(k) for k in tracker.getJobIdsForGroup("near")]
+        tasks = sum(i.numCompletedTasks for j in jobs for s in j.stageIds if (i := tracker.getStageInfo(s)))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in held.items():
+            spark.conf.set(k, v) if v else spark.conf.unset(k)
+    assert len(jobs) < 130 and tasks < 5_000, (len(jobs), tasks)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import FILTER_BITS, bit_filter, checkpointed, documents, in_filter, map_rows, slices
+from .common import FILTER_BITS, bit_filter, checkpointed, documents, in_filter, map_rows, packed, slices
 
 SEED = 42
 
@@ -194,7 +194,7 @@ def near_links(fps: DataFrame, distance: int = 4) -> DataFrame:
     turn, key, links = turns(agree), ["slot", "path", "key"], None
     while True:
         dealt = rows.repartition(*key).sortWithinPartitions(*key)
-        found = checkpointed(dealt.mapInArrow(lambda b: _links(b, distance, turn), "a bigint, b bigint, slot bigint, path bigint"))
+        found = packed(dealt.mapInArrow(lambda b: _links(b, distance, turn), "a bigint, b bigint, slot bigint, path bigint"))
         own = found.where("slot < 0").select("a", "b")
         links = own if links is None else links.union(own)
         crowded = found.where("slot >= 0").select("slot", "path", F.col("b").alias("key"), F.col("a").alias("fp"))
@@ -204,23 +204,31 @@ def near_links(fps: DataFrame, distance: int = 4) -> DataFrame:
         rows = crowded.join(varying, key).select("slot", F.xxhash64("path", "key").alias("path"), "fp", "varying").mapInArrow(lambda b: _cut_up(b, distance), "slot bigint, path bigint, key bigint, fp bigint")
 
 
+def _ends(edges: DataFrame, one: tuple[str, str], other: tuple[str, str]) -> DataFrame:
+    """Two rows (a, b) per row of `edges`: the columns named by `one`, and those named by `other`."""
+    return edges.select(F.explode(F.array(*[F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x, y in (one, other)])).alias("e")).select("e.*")
+
+
+def stars(edges: DataFrame) -> bool:
+    """Whether `edges` (a > b) are stars around their smallest nodes: no node has two smaller neighbours, or a smaller and a larger one."""
+    one = F.lit(1)
+    ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), one.alias("up"), F.lit(0).alias("down")), F.struct(F.col("b").alias("node"), F.lit(0).alias("up"), one.alias("down")))).alias("e"))
+    return ends.groupBy("e.node").agg(F.sum("e.up").alias("up"), F.max("e.down").alias("down")).where("up + down > 1").isEmpty()
+
+
 def classes(links: DataFrame, most: int = 60) -> DataFrame:
-    """(node, class) for each node of a link, the class being its smallest node: alternating large and small stars."""
-    edges = checkpointed(links.where("a <> b").select("a", "b"))
-    seen = None
+    """(node, class) for each node of a link, the class being its smallest node: alternating large and small stars, until each class is one star."""
+    edges = packed(links.where("a <> b").select("a", "b"))
     for _ in range(most):
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = _ends(edges, ("a", "b"), ("b", "a"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        down = packed(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
         least = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-        edges = checkpointed(small.where("a <> b").distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == seen:
+        edges = packed(_ends(down.join(least, "a"), ("b", "m"), ("a", "m")).where("a <> b").distinct())
+        if stars(edges):
             return edges.select(F.col("a").alias("node"), F.col("b").alias("class")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("class")).distinct())
-        seen = now
-    raise RuntimeError(f"no fixed point after {most} rounds")
+    raise RuntimeError(f"no stars after {most} rounds")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
@@ -320,12 +328,12 @@ def prefix_rows(keyed: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
     rows = map_rows(keyed, read, "node bigint, other bigint, size bigint, bits binary, keys array<bigint>, fp bigint", ["node", "other", "text"])
     own = rows.groupBy("node").agg(F.min_by(F.struct("size", "bits", "keys", "fp"), "other").alias("r"))
-    return checkpointed(own.select("node", "r.*"))
+    return packed(own.select("node", "r.*"))
 
 
 def fingerprint_pairs(rows: DataFrame, distance: int = 4) -> DataFrame:
     """Pairs (a < b) of nodes of `rows` (node, fp) that the byte-position index finds: the smallest nodes of linked fingerprints, and each node with the smallest of its own."""
-    first = checkpointed(rows.groupBy("fp").agg(F.min("node").alias("first")))
+    first = packed(rows.groupBy("fp").agg(F.min("node").alias("first")))
     equal = rows.select("node", "fp").join(first, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
     end = lambda e: first.select(F.col("fp").alias(e), F.col("first").alias(f"{e}_first"))
     linked = near_links(first, distance).join(end("a"), "a").join(end("b"), "b")
@@ -336,7 +344,7 @@ def meetings(rows: DataFrame) -> DataFrame:
     """key, node, low, high of the postings with more than one node: low and high are the smallest and largest node there."""
     postings = rows.select("node", F.explode("keys").alias("key"))
     shared = postings.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
-    return checkpointed(postings.join(shared, "key"))
+    return packed(postings.join(shared, "key"))
 
 
 def shingle_sets(keyed: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
@@ -352,7 +360,7 @@ def shingle_sets(keyed: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
         return [nodes[k] for k in at], [others[k] for k in at], [_shingles(texts[k]).tobytes() for k in at]
 
     sets = map_rows(keyed, read, "node bigint, other bigint, held binary", ["node", "other", "text"]).groupBy("node").agg(F.min_by("held", "other").alias("held"))
-    return checkpointed(sets.join(nodes, "node", "left_semi"))
+    return packed(sets.join(nodes, "node", "left_semi"), 1 << 11)
 
 
 def plausible(pairs: DataFrame, rows: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -379,7 +387,7 @@ def _allowed(bits_apart: np.ndarray, sizes: np.ndarray, least: float) -> np.ndar
 
 def verified(pairs: DataFrame, keyed: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """The distinct `pairs` (a, b) whose texts have a similarity of `least` or more, by all of their shingles."""
-    pairs = checkpointed(pairs)
+    pairs = packed(pairs)
     sets = shingle_sets(keyed, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), 2 * pairs.count())
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("held").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("held").alias("sb")), "b")
 
@@ -387,7 +395,7 @@ def verified(pairs: DataFrame, keyed: DataFrame, least: float = SIMILARITY) -> D
         kept = [(x, y) for x, y, p, q in zip(a, b, sa, sb, strict=True) if similarity(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) >= least]
         return [x for x, _ in kept], [y for _, y in kept]
 
-    return checkpointed(map_rows(both, verify, "a bigint, b bigint", ["a", "b", "sa", "sb"]))
+    return packed(map_rows(both, verify, "a bigint, b bigint", ["a", "b", "sa", "sb"]))
 
 
 def _open_pairs(size: np.ndarray, kind: np.ndarray, bits: list[bytes], part: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -450,7 +458,7 @@ def open_pairs(met: DataFrame, known: DataFrame, rows: DataFrame, least: float =
     A posting of more than `block` rows is dealt into blocks, and each two of them are compared in a group of their own, so none grows with the posting.
     A pair that meets in several postings has its turn in one: the smallest that both have among their LEAD first, if there is such a one.
     """
-    named = checkpointed(met.join(known, "node", "left").select("key", "node", F.coalesce("class", "node").alias("class")))
+    named = packed(met.join(known, "node", "left").select("key", "node", F.coalesce("class", "node").alias("class")))
     several = named.groupBy("key").agg(F.min("class").alias("c"), F.max("class").alias("d"), F.count("*").alias("n")).where("c <> d AND n > 3").select("key", F.ceil(F.col("n") / block).cast("int").alias("parts"))
     dealt = named.join(several, "key").select("key", "node", "class", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     group = ["key", "i", "j"]
@@ -498,7 +506,7 @@ def drop_near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFram
     text = F.coalesce("text", F.lit(""))
     own = [F.coalesce(F.col("doc_id").cast("bigint"), F.lit(2**63 - 1)).alias("id"), F.xxhash64(text).alias("node"), F.xxhash64(F.lit(WIDTH), text).alias("other")]
     found = classes(similar_links(docs.select(*own[1:], text.alias("text")), least))
-    texts = checkpointed(docs.select(*own).groupBy("node", "other").agg(F.min("id").alias("id")))
+    texts = packed(docs.select(*own).groupBy("node", "other").agg(F.min("id").alias("id")))
     read = texts.groupBy("node").agg(F.min("other").alias("other"))
     named = texts.join(read.join(found, "node", "left").withColumn("class", F.coalesce("class", "node")), ["node", "other"], "left")
     alone = F.when(F.col("class").isNull(), F.struct("node", "other"))
