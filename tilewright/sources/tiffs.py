@@ -98,7 +98,7 @@ class LevelReader(HeaderReader):
     suffix = ".tiff"
 
     def read(self, partition: Files) -> Iterator[tuple]:
-        for name in (partition.folder + n for n in partition.names):
+        for name in self.names(partition):
             system, path = located(name)
             with system.open_input_file(path) as opened:
                 for level, tags in enumerate(read_levels(buffered(opened))):
