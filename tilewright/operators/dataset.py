@@ -26,3 +26,10 @@ def link_tiles(slides: DataFrame, tiles: DataFrame, how: str = "inner") -> DataF
 def tile_samples(linked: DataFrame) -> DataFrame:
     """slide_name (the file's stem), slide_id and integer coordinates; numbers beyond the range raise."""
     return linked.select(stem(F.col("path")).alias("slide_name"), "slide_id", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"))
+
+
+def samples_of(slides: DataFrame, tiles: DataFrame) -> DataFrame:
+    """`tile_samples` of the tiles of `slides`: names are made once for each slide, before it meets its tiles."""
+    parents = slides.select("id", stem(F.col("path")).alias("slide_name")).hint("shuffle_hash")
+    children = rename_coordinates(tiles)
+    return parents.join(children, parents.id == children.slide_id).select("slide_name", "slide_id", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"))

@@ -46,7 +46,7 @@ def embeddings_job(
     todo = embeddings.pending(slide_table, written_keys(spark, out, mode), mode)
     count = todo.count()
     if count:
-        samples = embeddings.dealt(dataset.tile_samples(dataset.link_tiles(todo, tiles)), task_rows)
+        samples = embeddings.dealt(dataset.samples_of(todo, tiles), task_rows)
         found = embeddings.encode(load(samples), make_encoder, transform=transform, profile=profile)
         manifest.append(found, out, "slide_name", rows_per_file)
     return count
