@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, WriterCommitMessage
 
-from .graymaps import RANGE, Files, FileWriter, HeaderReader, Written, located
+from .graymaps import MANY, RANGE, Files, FileWriter, HeaderReader, Written, located
 
 LEVELS = "path string, level int, mpp_x double, mpp_y double, extent_x int, extent_y int, file string, side int, offsets array<bigint>, sizes array<bigint>"
 PARTS = ["name", "level", "tile_y", "tile_x", "content"]
@@ -137,7 +137,8 @@ class Tiles(DataSource):
         return LEVELS
 
     def reader(self, schema) -> DataSourceReader:
-        return LevelReader(self.options["path"], int(self.options.get("filesPerPartition", 128)))
+        given = self.options.get("filesPerPartition")
+        return LevelReader(self.options["path"], int(given or 128), 0 if given else MANY)
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
         if schema.fieldNames() != PARTS:
@@ -181,14 +182,21 @@ def read_tiles(wanted: DataFrame, levels: DataFrame) -> DataFrame:
     at = (F.col("tile_y") * per_line + F.col("tile_x")).cast("int")
     planned = wanted.join(levels.hint("merge"), ["path", "level"]).where(F.col("tile_x").between(0, per_line - 1) & (F.col("tile_y") >= 0) & (at < F.size("offsets")))
     planned = planned.select("path", "level", "tile_y", "tile_x", "extent_x", "extent_y", "side", "file", F.get("offsets", at).alias("offset"), F.get("sizes", at).alias("size"))
-    dealt = planned.repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
-
-    def lines(r: dict, content: bytes) -> pa.RecordBatch:
-        side, left, top = r["side"], r["tile_x"] * r["side"], r["tile_y"] * r["side"]
-        cells = np.frombuffer(zlib.decompress(content), np.uint8).reshape(side, side)[: r["extent_y"] - top, : r["extent_x"] - left]
-        n, width = cells.shape
-        row = pa.ListArray.from_arrays(pa.array(range(0, n * width + 1, width), pa.int32()), pa.array(cells.ravel().astype(np.int16)))
-        return pa.RecordBatch.from_arrays([pa.array([r["path"]] * n), pa.array([r["level"]] * n, pa.int32()), pa.array(range(top, top + n), pa.int32()), pa.array([left] * n, pa.int32()), row], names=["path", "level", "y", "x", "row"])
+    spark = wanted.sparkSession
+    # The number is given: planned by bytes of places, a few tasks would read all tiles.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    dealt = planned.repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
+
+    def handed(held: list[tuple[dict, np.ndarray]]) -> pa.RecordBatch:
+        """The lines of tiles as one batch."""
+        tall, wide = (np.array([c.shape[axis] for _, c in held]) for axis in (0, 1))
+        each = lambda values: np.repeat(np.array(values, np.int32), tall)
+        top = [r["tile_y"] * r["side"] for r, _ in held]
+        y = each(top) + np.arange(int(tall.sum()), dtype=np.int32) - np.repeat(np.cumsum(tall) - tall, tall).astype(np.int32)
+        pixels = pa.array(np.concatenate([c.ravel() for _, c in held]).astype(np.int16))
+        row = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.repeat(wide, tall))]).astype(np.int32)), pixels)
+        path = pa.array([r["path"] for r, _ in held]).take(pa.array(np.repeat(np.arange(len(held)), tall)))
+        return pa.RecordBatch.from_arrays([path, pa.array(each([r["level"] for r, _ in held])), pa.array(y), pa.array(each([r["tile_x"] * r["side"] for r, _ in held])), row], names=["path", "level", "y", "x", "row"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, cells = [], 0
@@ -200,12 +208,14 @@ def read_tiles(wanted: DataFrame, levels: DataFrame) -> DataFrame:
                 with system.open_input_file(name) as opened:
                     data = opened.read_at(last["offset"] + last["size"] - begin, begin)
                 for r in rows[at:end]:
-                    held.append(lines(r, data[r["offset"] - begin : r["offset"] - begin + r["size"]]))
-                    cells += r["side"] ** 2
+                    content, side = data[r["offset"] - begin : r["offset"] - begin + r["size"]], r["side"]
+                    tile = np.frombuffer(zlib.decompress(content), np.uint8).reshape(side, side)
+                    held.append((r, tile[: r["extent_y"] - r["tile_y"] * side, : r["extent_x"] - r["tile_x"] * side]))
+                    cells += side**2
                     if cells >= CELLS:
-                        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                        yield handed(held)
                         held, cells = [], 0
         if held:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            yield handed(held)
 
     return dealt.mapInArrow(read, "path string, level int, y int, x int, row array<smallint>")
